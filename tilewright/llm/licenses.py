@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.quality import behind_generate
+
 #: Anything else is a word character once A-Z are lower-cased.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,7 +151,8 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list | None = None)
     """
     rules = RULES if rules is None else rules
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score"]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    names = [c for c in docs.columns if c.lower() not in added]
+    keep = [F.col(f"`{c}`") for c in names]
     words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BREAKS), "")
     gate = sorted({k for r in rules for k in r[3]} | {"license", "cc"})
     looked_for = sorted({k for r in rules for group in r[3:] for k in group} | set(gate))
@@ -189,8 +192,7 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list | None = None)
     base_labels = F.array_sort(F.array_distinct(b["l"]))
     all_labels = F.array_sort(F.array_distinct(F.concat(b["l"], F.col("detections")["label"])))
     best = F.get(F.array(*[F.lit(x) for x in LEVEL_SCORES]), F.array_min(F.col("detections")["level"]))
-    return a.select(
-        *keep,
+    made = F.struct(
         "n_words",
         F.size(b).cast("long").alias("n_base"),
         F.array_min(b["s"]).cast("long").alias("first_word"),
@@ -200,3 +202,4 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list | None = None)
         "detections",
         F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size(b) > 0, 0.5).otherwise(0.0)).alias("score"),
     )
+    return behind_generate(a, names, made, added)

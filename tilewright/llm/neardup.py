@@ -61,7 +61,7 @@ def shingle_set(text: str | None, words: int = 4) -> np.ndarray:
     for i in range(k):
         total += h[i : len(h) - k + 1 + i] * PLACES[i]
     if len(h) < words:
-        total += np.uint64(len(h)) * PLACES[-1]
+        total += np.array([len(h)], dtype=np.uint64) * PLACES[-1]
     return np.unique(_mix(total))
 
 
