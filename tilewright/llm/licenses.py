@@ -119,14 +119,17 @@ def _places(norm: Column, pattern: Column) -> Column:
 
     empty = F.array().cast("array<struct<s:int,e:int>>")
 
-    def step(state: Column, piece: Column) -> Column:
-        size = spaces(F.call_function("regexp_extract", F.concat(piece, F.lit(" ")), extract, F.lit(1)))
-        found = F.struct(state["n"].alias("s"), (state["n"] + size).alias("e"))
-        return F.struct((state["n"] + spaces(piece)).alias("n"), F.concat(state["out"], F.array(found)).alias("out"))
-
     def read(pieces: Column) -> Column:
         start = F.struct(spaces(F.get(pieces, F.lit(0))).alias("n"), empty.alias("out"))
-        found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda s: s["out"])
+
+        def step(state: Column, k: Column) -> Column:
+            # optional first words let a rule match again inside its own match, in at most three places
+            ahead = F.concat(F.array_join(F.slice(pieces, k, F.lit(4)), ""), F.lit(" "))
+            size = spaces(F.call_function("regexp_extract", ahead, extract, F.lit(1)))
+            found = F.struct(state["n"].alias("s"), (state["n"] + size).alias("e"))
+            return F.struct((state["n"] + spaces(F.element_at(pieces, k))).alias("n"), F.concat(state["out"], F.array(found)).alias("out"))
+
+        found = F.aggregate(F.sequence(F.lit(2), F.size(pieces)), start, step, lambda s: s["out"])
         return F.when(F.size(pieces) < 2, empty).otherwise(found)
 
     # a one-element array binds the pieces, so that the text is cut once

@@ -152,6 +152,29 @@ def _deep_regions(reps: DataFrame, max_group: int, max_shingles: int) -> DataFra
     return found.unionByName(both.select("rep", F.format_string("r%d-%d-%d", "tree", "region", "run").alias("grp")))
 
 
+def _rest_against_all(crowded: DataFrame, linked: DataFrame, max_group: int, max_shingles: int) -> DataFrame:
+    """(rep, grp) of block pairs: what regions left outside a cluster's largest component, against the whole cluster.
+
+    ``crowded`` has (rep, n_shingles, component), ``linked`` (node, component). Every pair with one end outside the
+    largest component meets in one block pair, so no link is lost however dense the cluster is.
+    """
+    rows = crowded.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = stage(rows, "crowded")
+    largest = rows.groupBy("component", "root").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("root", F.struct(F.col("n"), -F.col("root"))).alias("main"))
+    marked = rows.join(largest, "component").withColumn("rest", F.col("root") != F.col("main"))
+
+    def blocks(inside) -> Column:
+        n, s = F.sum(inside.cast("int")), F.sum(F.when(inside, F.col("n_shingles")))
+        return F.ceil(F.greatest(n / (max_group / 2), F.coalesce(s, F.lit(0)) / (max_shingles / 2))).cast("int")
+
+    counts = marked.groupBy("component").agg(blocks(F.lit(True)).alias("all_blocks"), blocks(F.col("rest")).alias("rest_blocks")).where("rest_blocks > 0")
+    dealt = marked.join(counts, "component")
+    slot = F.xxhash64("rep", F.lit(1))
+    whole = dealt.select("rep", "component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("r"), F.pmod(slot, F.col("all_blocks")).cast("int").alias("a"))
+    rest = dealt.where("rest").select("rep", "component", F.pmod(slot, F.col("rest_blocks")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("a"))
+    return whole.unionByName(rest).select("rep", F.format_string("b%d-%d-%d", "component", "r", "a").alias("grp")).distinct()
+
+
 LINKS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("root", T.LongType())])
 
 
@@ -203,7 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
     TREES sorted signature orders; neighbours with a common prefix of DEPTH hashes or more chain into clusters. A cluster of
     up to ``max_group`` classes and ``max_shingles`` shingles is settled in one task by exact intersections
     of all its sets; a larger one is divided, order by order, into regions as deep as it takes for each to be that small,
-    and their links are joined. A pair of similarity s shares no region of an order with probability (1 - s**4)**20.
+    and their links are joined; then what is still outside the largest component of such a cluster is compared with all of
+    it in blocks. A pair of similarity s is in different clusters with a probability below (1 - s**4)**20.
 
     Null texts and texts without words have empty sets: they link with nothing and are kept. Rows with a null
     doc_id come back with themselves as component null and kept. Repeated ids give repeated rows. An empty table gives no rows. Other columns are left out.
@@ -215,11 +239,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
     sizes = clusters.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     fits = (F.col("n") <= max_group) & (F.col("s") <= max_shingles)
     small = clusters.join(sizes.where(fits).select("component"), "component").select(F.col("node").alias("rep"), F.format_string("c%d", "component").alias("grp"))
-    crowded = sizes.where(~fits).select("component")
-    groups = small
-    if not crowded.isEmpty():
-        deep = clusters.join(crowded, "component").select(F.col("node").alias("rep"))
-        groups = small.unionByName(_deep_regions(reps.join(deep, "rep"), max_group, max_shingles))
+    large = sizes.where(~fits).select("component")
+    crowded, groups = None, small
+    if not large.isEmpty():
+        crowded = stage(clusters.join(large, "component").withColumnRenamed("node", "rep").join(reps, "rep"), "dense")
+        groups = small.unionByName(_deep_regions(crowded.select(*reps.columns), max_group, max_shingles))
     groups = stage(groups, "groups")
 
     def sets(batches):
@@ -228,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
             keys = [xxhash.xxh3_128_digest(m) for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["rep", "set_key", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.select("rep").distinct(), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep")), "rep")
     made = texts.mapInArrow(sets, "rep long, set_key binary, shingles binary")
     # where an id is repeated, each of its classes takes part
     full = stage(made.join(reps.select("rep", "set_key"), ["rep", "set_key"]).dropDuplicates(["rep", "set_key"]), "sets")
@@ -238,7 +262,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
         root = link_group(ids, [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()], percent)
         return pa.table({"rep": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    links = stage(full.join(groups, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
+    def settled(members: DataFrame) -> DataFrame:
+        return stage(full.join(members, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
+
+    links = settled(groups)
+    if crowded is not None:
+        so_far = connected_components(links, "rep", "root")
+        links = links.unionByName(settled(_rest_against_all(crowded.select("rep", "n_shingles", "component"), so_far, max_group, max_shingles)))
     final = connected_components(links, "rep", "root")
     roots = reps.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = marks.drop("signature").join(roots, "set_key", "left")
