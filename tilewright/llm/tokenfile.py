@@ -34,6 +34,8 @@ CONTAINER = T.StructType(
         T.StructField("doc_ids_in", T.ArrayType(T.LongType())),
         T.StructField("doc_starts", T.ArrayType(T.LongType())),
         T.StructField("doc_sizes", T.ArrayType(T.LongType())),
+        T.StructField("doc_whole", T.ArrayType(T.BooleanType())),
+        T.StructField("cut", T.BooleanType()),
         T.StructField("symbols", T.BinaryType()),
         T.StructField("frequencies", T.BinaryType()),
         T.StructField("words", T.BinaryType()),
@@ -47,7 +49,9 @@ CONTAINER = T.StructType(
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies): the distinct ids, and shares of 2**PRECISION, at least 1 each, that sum to it."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << PRECISION
     if len(symbols) > total // 2:
         raise ValueError("more distinct ids than the table can hold")
@@ -69,7 +73,9 @@ def encode_blocks(ids: np.ndarray, symbols: np.ndarray, frequencies: np.ndarray)
     fill = symbols[int(np.argmax(frequencies))]
     padded = np.full(n_blocks * per_block, fill, dtype=np.uint32)
     padded[: len(ids)] = ids
-    rank = np.searchsorted(symbols, padded).reshape(n_blocks, steps, LANES)
+    ranks = np.zeros(int(symbols[-1]) + 1, dtype=np.int32)
+    ranks[symbols] = np.arange(len(symbols))
+    rank = ranks[padded].reshape(n_blocks, steps, LANES)
     freq = frequencies.astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     shift, bound = np.uint64(PRECISION), np.uint64(1 << (63 - PRECISION))
@@ -130,8 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encode every whole text (null: empty), append ``end_id``, and write containers in ascending doc_id order to ``path``.
 
     The texts are range-partitioned by doc_id once (nulls first; equal ids by text) and each task encodes,
-    models and writes its own range, holding one container's ids; a document may run on
-    over containers. Container order is (part, container). An empty table writes an empty file set.
+    models and writes its own range, holding one container's ids. A container ends in front of a document that would
+    not fit; only a document of more than ``segment`` ids runs on over containers. Container order is (part, container). An empty table writes an empty file set.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -146,9 +152,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             for doc_id, data in zip(rows["doc_id"], encoder.encode(rows["text"]), strict=True):
                 data += end
                 start, n = 0, len(data) // 4
+                if size + n > segment and held:
+                    yield _container(part, container, first, held)
+                    first, container, size, held = first + size, container + 1, 0, []
                 while start < n:
                     take = min(n - start, segment - size)
-                    held.append((number, doc_id, start, take, data[4 * start : 4 * (start + take)]))
+                    held.append((number, doc_id, start, take, data[4 * start : 4 * (start + take)], take == n))
                     start, size = start + take, size + take
                     if size == segment:
                         yield _container(part, container, first, held)
@@ -164,7 +173,7 @@ def _container(part: int, container: int, first: int, held: list[tuple]) -> pa.R
     ids = np.frombuffer(b"".join([h[4] for h in held]), dtype=np.uint32)
     symbols, frequencies = frequency_table(ids)
     words, states, offsets, checks, steps = encode_blocks(ids, symbols, frequencies)
-    row = (part, container, first, len(ids), [h[1] for h in held], [h[0] for h in held], [h[2] for h in held], [h[3] for h in held], _squeeze(symbols), zlib.compress(frequencies.tobytes()), words, states, offsets, checks, steps)
+    row = (part, container, first, len(ids), [h[1] for h in held], [h[0] for h in held], [h[2] for h in held], [h[3] for h in held], [h[5] for h in held], not all(h[5] for h in held), _squeeze(symbols), zlib.compress(frequencies.tobytes()), words, states, offsets, checks, steps)
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow_schema(CONTAINER).types, strict=True)], names=CONTAINER.names)
 
 
@@ -189,7 +198,8 @@ PIECE = T.StructType(
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a file set: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit little-endian).
 
-    Containers decode independently; only documents that run over a container's end are brought together.
+    Containers decode independently; only documents that run over a container's end are brought together, and
+    only their containers are read for that.
     One total per written part comes together to give the starts. A damaged block raises.
     """
     rows = spark.read.schema(CONTAINER).parquet(path)
@@ -204,20 +214,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = decode_blocks(r["n_ids"], symbols, frequencies, np.frombuffer(r["words"], dtype=np.uint32), np.frombuffer(r["states"], dtype=np.uint64), np.frombuffer(r["offsets"], dtype=np.uint64), r["checksums"], r["steps"])
                 data, sizes = ids.tobytes(), r["doc_sizes"]
                 at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                # only the first and the last document of a container can go on elsewhere
-                whole = [True] * len(sizes)
-                whole[0] = r["doc_starts"][0] == 0
-                whole[-1] = False
-                columns = [[r["part"]] * len(sizes), r["doc_ids_in"], r["doc_ids"], r["doc_starts"], [r["first"] + a - s for a, s in zip(at, r["doc_starts"], strict=False)], whole, [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]]
+                columns = [[r["part"]] * len(sizes), r["doc_ids_in"], r["doc_ids"], r["doc_starts"], [r["first"] + a - s for a, s in zip(at, r["doc_starts"], strict=False)], r["doc_whole"], [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema(PIECE).types, strict=True)], names=names)
 
     sums = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each written part
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    pieces = rows.mapInArrow(run, PIECE)
-    whole = pieces.where("whole").select("part", "doc_id", "in_part", "ids")
-    joined = pieces.where("not whole").groupBy("part", "number").agg(F.first("doc_id").alias("doc_id"), F.min("in_part").alias("in_part"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    whole = rows.mapInArrow(run, PIECE).where("whole").select("part", "doc_id", "in_part", "ids")
+    joined = rows.where("cut").mapInArrow(run, PIECE).where("not whole").groupBy("part", "number").agg(F.first("doc_id").alias("doc_id"), F.min("in_part").alias("in_part"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     joined = joined.select("part", "doc_id", "in_part", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     docs = whole.unionByName(joined).join(F.broadcast(bases), "part")
     return docs.select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -102,7 +103,7 @@ class WordEncoder:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def arrow_schema(schema: T.StructType):
