@@ -117,9 +117,9 @@ def training_sample(docs: DataFrame, per_language: int, max_chars: int) -> DataF
     counts of the languages, so few rows are sorted.
     """
     able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike("\\p{L}"))
-    able = able.select("lang", "text", F.xxhash64("text").alias("h")).distinct()
+    able = able.select("lang", "text", F.xxhash64("text").alias("h"))
     counts = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = able.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < 4.0 * per_language * (1 << 30) / F.col("n"))
+    drawn = able.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < 4.0 * per_language * (1 << 30) / F.col("n")).drop("n").distinct()
     best = Window.partitionBy("lang").orderBy("h", "text")
     return drawn.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_language).select("lang", "text", "r")
 
