@@ -291,6 +291,8 @@ def test_pieces(spark, docs, odd):
                 best = unigram.encode(r.text)
                 score = lambda ids: sum(model.scores.get(model.text[i], 0.0) for i in ids)
                 assert r.piece_ids == best or score(r.piece_ids) >= score(best) - 1e-6
+    for word in {w for t in list(texts(docs).values())[:40] for w in (t or "").split()} | {"日本語x", "é\t\n", "▁"}:
+        assert model._short(word) == model._search(word)
     long = "".join(random.Random(5).choices("abcdeéあ", k=3000))
     held = list(model.stream(long))
     assert "".join(long[a:b] for a, b, _ in held) == long

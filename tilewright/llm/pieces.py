@@ -43,6 +43,10 @@ class PieceModel:
         self.unknown_score = low - UNKNOWN_PENALTY
         # pieces that go on across the start of a word forbid cutting there
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # every prefix of a piece, with the piece's score and id where it is one itself
+        self.prefixes = dict.fromkeys(self.starts, (None, -1)) | {p: (self.scores[p], i) for p, i in self.ids.items()}
+        unknown = " ⁇ ".encode()
+        self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else unknown if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
         self.limit, self.known = limit, {}
 
     @staticmethod
@@ -114,6 +118,34 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
+    def _short(self, word: str) -> list[int]:
+        """The same search over a word no longer than a few windows, with lists for the window."""
+        n, prefixes, longest, lost = len(word), self.prefixes, self.longest, (None, -2)
+        best, back, chosen = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, single = best[i], False
+            for end in range(i + 1, min(n, i + longest) + 1):
+                score, piece = prefixes.get(word[i:end], lost)
+                if piece >= 0:
+                    single = single or end == i + 1
+                    if here + score > best[end]:
+                        best[end], back[end], chosen[end] = here + score, i, piece
+                elif piece == -2:
+                    break
+            if not single and here + self.unknown_score > best[i + 1]:
+                best[i + 1], back[i + 1], chosen[i + 1] = here + self.unknown_score, i, -1
+        out, k = [], n
+        while k:
+            if chosen[k] >= 0:
+                out.append(chosen[k])
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in reversed(word[back[k] : k].encode("utf-8", "replace")))
+            else:
+                out.append(self.unknown)
+            k = back[k]
+        return out[::-1]
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; an empty text has none."""
         if not text:
@@ -130,21 +162,14 @@ class PieceModel:
             if found is None:
                 if len(known) >= self.limit:
                     known.clear()
-                found = known[word] = np.array(self._search(word), dtype=np.int32).tobytes()
+                ids = self._short(word) if len(word) <= 4 * self.longest else self._search(word)
+                found = known[word] = np.array(ids, dtype=np.int32).tobytes()
             out.append(found)
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes joined, marks as spaces, the leading space gone; control pieces give nothing."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i == self.unknown:
-                out += " ⁇ ".encode()
-            elif i not in self.special:
-                out += self.text[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
