@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,19 +155,25 @@ class PieceModel:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.by_word:
             return np.array(self._search(marked), dtype=np.int32)
+        # pieces of several marks only go on across marks next to one another
+        if SPACE + SPACE in marked:
+            return np.array(self._search(marked), dtype=np.int32)
         # all paths meet in front of a word's mark, so words are searched one by one and kept
-        known, out = self.known, []
-        for word in marked.replace(SPACE, " " + SPACE).split(" ")[1:]:
-            if word == SPACE:
-                return np.array(self._search(marked), dtype=np.int32)
-            found = known.get(word)
-            if found is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = self._short(word) if len(word) <= 4 * self.longest else self._search(word)
-                found = known[word] = np.array(ids, dtype=np.int32).tobytes()
-            out.append(found)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        words = marked.replace(SPACE, " " + SPACE).split(" ")[1:]
+        try:
+            out = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            out = b"".join([self._word(w) for w in words])
+        return np.frombuffer(out, dtype=np.int32)
+
+    def _word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            ids = self._short(word) if len(word) <= 4 * self.longest else self._search(word)
+            found = self.known[word] = struct.pack(f"={len(ids)}i", *ids)
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes joined, marks as spaces, the leading space gone; control pieces give nothing."""
