@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -45,11 +46,17 @@ class PieceModel:
         self.unknown_score = low - UNKNOWN_PENALTY
         # pieces that go on across the start of a word forbid cutting there
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # where no piece joins a letter with another character, words part there too
+        joins = {p[k : k + 2] for p in self.ids for k in range(p.startswith(SPACE), len(p) - 1)}
+        letters = {c for p in self.ids for c in p if c.isalpha()}
+        apart = letters and not any((j[0] in letters) != (j[1] in letters) for j in joins)
+        some = "[" + "".join(map(re.escape, sorted(letters))) + "]"
+        self.runs = re.compile(f"{SPACE}?{some}+|{SPACE}?(?:(?!{some}).)+" if apart else ".+", re.S).findall
         # every prefix of a piece, with the piece's score and id where it is one itself
         self.prefixes = dict.fromkeys(self.starts, (None, -1)) | {p: (self.scores[p], i) for p, i in self.ids.items()}
         unknown = " ⁇ ".encode()
         self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else unknown if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.parts = limit, {}, {}
 
     @staticmethod
     def of(path: str) -> PieceModel:
@@ -160,19 +167,21 @@ class PieceModel:
             return np.array(self._search(marked), dtype=np.int32)
         # all paths meet in front of a word's mark, so words are searched one by one and kept
         words = marked.replace(SPACE, " " + SPACE).split(" ")[1:]
-        try:
-            out = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            out = b"".join([self._word(w) for w in words])
-        return np.frombuffer(out, dtype=np.int32)
-
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known = {}
+            new = set(words)
+        for word in new:
+            self.known[word] = b"".join([self._part(p) for p in self.runs(word)])
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32)
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
         if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            ids = self._short(word) if len(word) <= 4 * self.longest else self._search(word)
-            found = self.known[word] = struct.pack(f"={len(ids)}i", *ids)
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            ids = self._short(part) if len(part) <= 4 * self.longest else self._search(part)
+            found = self.parts[part] = struct.pack(f"={len(ids)}i", *ids)
         return found
 
     def decode(self, ids: list[int]) -> str:
