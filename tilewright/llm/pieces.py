@@ -50,13 +50,14 @@ class PieceModel:
         joins = {p[k : k + 2] for p in self.ids for k in range(p.startswith(SPACE), len(p) - 1)}
         letters = {c for p in self.ids for c in p if c.isalpha()}
         apart = letters and not any((j[0] in letters) != (j[1] in letters) for j in joins)
-        some = "[" + "".join(map(re.escape, sorted(letters))) + "]"
-        self.runs = re.compile(f"{SPACE}?{some}+|{SPACE}?(?:(?!{some}).)+" if apart else ".+", re.S).findall
+        some = "".join(map(re.escape, sorted(letters)))
+        self.parts_of = re.compile(f"{SPACE}?[{some}]+|{SPACE}?[^{some}{SPACE}]+|{SPACE}" if apart else f"{SPACE}?[^{SPACE}]+|{SPACE}").findall
         # every prefix of a piece, with the piece's score and id where it is one itself
         self.prefixes = dict.fromkeys(self.starts, (None, -1)) | {p: (self.scores[p], i) for p, i in self.ids.items()}
         unknown = " ⁇ ".encode()
         self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else unknown if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
-        self.limit, self.known, self.parts = limit, {}, {}
+        self.limit, self.known = limit, {}
+        self._tables()
 
     @staticmethod
     def of(path: str) -> PieceModel:
@@ -155,34 +156,95 @@ class PieceModel:
             k = back[k]
         return out[::-1]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; an empty text has none."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        marked = SPACE + text.replace(" ", SPACE)
-        if not self.by_word:
-            return np.array(self._search(marked), dtype=np.int32)
-        # pieces of several marks only go on across marks next to one another
-        if SPACE + SPACE in marked:
-            return np.array(self._search(marked), dtype=np.int32)
-        # all paths meet in front of a word's mark, so words are searched one by one and kept
-        words = marked.replace(SPACE, " " + SPACE).split(" ")[1:]
-        new = set(words).difference(self.known)
+    def _tables(self) -> None:
+        """The prefixes as arrays: a step is a sorted key of prefix number and character code."""
+        number = {"": 0} | {p: k for k, p in enumerate(self.prefixes, 1)}
+        self.code_of = np.zeros(0x110000, dtype=np.uint16)
+        known = sorted({p[-1] for p in self.prefixes})
+        self.code_of[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.codes = len(known) + 1
+        keys = np.array([number[p[:-1]] * self.codes + int(self.code_of[ord(p[-1])]) for p in self.prefixes], dtype=np.int64)
+        order = np.argsort(keys)
+        self.steps, self.next = keys[order], order + 1
+        self.first = np.zeros(self.codes, dtype=np.int64)
+        self.first[[self.code_of[ord(p)] for p in self.prefixes if len(p) == 1]] = [number[p] for p in self.prefixes if len(p) == 1]
+        self.node_score = np.array([-np.inf] + [-np.inf if v is None else v for v, _ in self.prefixes.values()])
+        self.node_id = np.array([-1] + [i for _, i in self.prefixes.values()], dtype=np.int32)
+
+    def _many(self, parts: list[str]) -> list[bytes | None]:
+        """The same search over many short parts at once, one text position at a time.
+
+        Of a part in which a character has no piece of its own on the best path, None.
+        """
+        n, sizes = len(parts), np.array([len(p) for p in parts])
+        wide, longest = int(sizes.max()), min(self.longest, int(sizes.max()))
+        chars = np.frombuffer("".join(p.ljust(wide, "\0") for p in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, wide)
+        codes = np.where(np.arange(wide) < sizes[:, None], self.code_of[chars], 0).astype(np.int64)
+        codes = np.concatenate([codes, np.zeros((n, longest), dtype=np.int64)], axis=1)
+        # gain[k - 1, i]: score of the piece of k characters from position i
+        gain = np.full((longest, wide, n), -np.inf)
+        ids = np.full((longest, wide, n), -1, dtype=np.int32)
+        row, at = np.nonzero(codes[:, :wide])
+        node = self.first[codes[row, at]]
+        for k in range(longest):
+            if k:
+                key = node * self.codes + codes[row, at + k]
+                found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                hit = self.steps[found] == key
+                row, at, node = row[hit], at[hit], self.next[found[hit]]
+            else:
+                hit = node > 0
+                row, at, node = row[hit], at[hit], node[hit]
+            gain[k, at, row], ids[k, at, row] = self.node_score[node], self.node_id[node]
+        gain[0][np.isneginf(gain[0])] = self.unknown_score
+        best, taken = np.zeros((wide + 1, n)), np.zeros((wide + 1, n), dtype=np.int64)
+        every = np.arange(n)
+        for end in range(1, wide + 1):
+            ways = range(min(end, longest), 0, -1)  # of equals, the one that starts first
+            value = np.stack([best[end - k] + gain[k - 1, end - k] for k in ways])
+            pick = value.argmax(axis=0)
+            best[end], taken[end] = value[pick, every], ways[0] - pick
+        out, count, lost = np.zeros((n, wide), dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        row, at = every, sizes.copy()
+        while len(row):
+            k = taken[at, row]
+            at = at - k
+            piece = ids[k - 1, at, row]
+            count[row] += 1
+            out[row, wide - count[row]] = piece
+            lost[row] |= piece < 0
+            row, at = row[at > 0], at[at > 0]
+        raw = out.tobytes()
+        return [None if no else raw[4 * (wide * (r + 1) - c) : 4 * wide * (r + 1)] for r, (c, no) in enumerate(zip(count.tolist(), lost.tolist()))]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; an empty text has none.
+
+        No piece lies across the parts of a text, so all paths meet between them; parts are searched one by one and kept.
+        """
+        out = []
+        for text in texts:
+            marked = SPACE + text.replace(" ", SPACE) if text else ""
+            # pieces of several marks only go on across marks next to one another
+            whole = not self.by_word or SPACE + SPACE in marked
+            out.append(np.array(self._search(marked), dtype=np.int32) if whole else self.parts_of(marked))
+        every = set().union(*(x for x in out if isinstance(x, list)))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = set(words)
-        for word in new:
-            self.known[word] = b"".join([self._part(p) for p in self.runs(word)])
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32)
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            ids = self._short(part) if len(part) <= 4 * self.longest else self._search(part)
-            found = self.parts[part] = struct.pack(f"={len(ids)}i", *ids)
-        return found
+            self.known, new = {}, every
+        new = sorted(new, key=len)
+        for k in range(0, len(new), 2048):
+            some = new[k : k + 2048]
+            short = [p for p in some if len(p) <= 2 * self.longest]
+            self.known.update(zip(short, self._many(short) if short else []))
+            for part in some:
+                if self.known.get(part) is None:
+                    ids = self._short(part) if len(part) <= 4 * self.longest else self._search(part)
+                    self.known[part] = struct.pack(f"={len(ids)}i", *ids)
+        return [x if isinstance(x, np.ndarray) else np.frombuffer(b"".join(map(self.known.__getitem__, x)), dtype=np.int32) for x in out]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes joined, marks as spaces, the leading space gone; control pieces give nothing."""
@@ -196,7 +258,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str
     A null text gives null. A column of that name is replaced. Rows stand alone, so repeats and empty
     tables need no rule. The worker keeps the ids of words it has met, up to a fixed number.
     """
-    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), model_path, lambda m, t: m.encode(t))
+    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), model_path, lambda m, texts: m.encode_all(texts))
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -204,7 +266,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids", out:
 
     Encoding and decoding gives back any text, but that ``▁`` in it returns as a space.
     """
-    return _mapped(docs, ids, out, T.StringType(), model_path, lambda m, x: m.decode(x))
+    return _mapped(docs, ids, out, T.StringType(), model_path, lambda m, lists: [m.decode(x) for x in lists])
 
 
 def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model_path: str, how) -> DataFrame:
@@ -215,7 +277,9 @@ def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model_path
     def run(batches):
         model = PieceModel.of(model_path)
         for batch in slices(batches, 256):
-            made = [None if v is None else how(model, v) for v in batch.column(len(keep)).to_pylist()]
+            given = batch.column(len(keep)).to_pylist()
+            found = iter(how(model, [v for v in given if v is not None]))
+            made = [None if v is None else next(found) for v in given]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, arrow_schema(schema).types[-1])], schema=arrow_schema(schema))
 
     return rows.mapInArrow(run, schema)
