@@ -56,6 +56,7 @@ class PieceModel:
         self.prefixes = dict.fromkeys(self.starts, (None, -1)) | {p: (self.scores[p], i) for p, i in self.ids.items()}
         unknown = " ⁇ ".encode()
         self.raw = [b"" if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else unknown if i == self.unknown else t.encode() for i, t in enumerate(self.text)]
+        self.raw.append(b"")  # of id -1
         self.limit, self.known = limit, {}
         self._tables()
 
@@ -262,13 +263,21 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """Add ``decoded``: the text of an array of ids; null for null. A column of that name is replaced.
+    """Add ``decoded``: the text of an array of ids; null for null, and a null id gives nothing. A column of that name is replaced.
 
     Encoding and decoding gives back any text, but that ``▁`` in it returns as a space.
     """
     return _mapped(docs, ids, out, T.StringType(), model_path, lambda m, lists: [m.decode(x) for x in lists])
 
 
+def _values(column: pa.Array) -> list:
+    """Python values, lists as slices of one array of numbers."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, bounds = column.values.fill_null(-1).to_numpy(), column.offsets.to_pylist()
+    return [flat[a:b].tolist() if ok else None for a, b, ok in zip(bounds, bounds[1:], column.is_valid().to_pylist())]
+
+
 def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model_path: str, how) -> DataFrame:
     keep = without(docs, [out])
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("_in"))
@@ -277,7 +286,7 @@ def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model_path
     def run(batches):
         model = PieceModel.of(model_path)
         for batch in slices(batches, 256):
-            given = batch.column(len(keep)).to_pylist()
+            given = _values(batch.column(len(keep)))
             found = iter(how(model, [v for v in given if v is not None]))
             made = [None if v is None else next(found) for v in given]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, arrow_schema(schema).types[-1])], schema=arrow_schema(schema))
