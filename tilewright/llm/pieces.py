@@ -27,19 +27,19 @@ class PieceModel:
     piece covers becomes its byte pieces where the model has them, else ``<unk>``.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.library.vocab_size()
-        self.text = [self.library.id_to_piece(i) for i in range(n)]
-        normal = [i for i in range(n) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i) or self.library.is_byte(i))]
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = library.vocab_size()
+        self.text = [library.id_to_piece(i) for i in range(n)]
+        normal = [i for i in range(n) if not (library.is_control(i) or library.is_unknown(i) or library.is_unused(i) or library.is_byte(i))]
         self.ids = {self.text[i]: i for i in normal}
-        self.scores = {self.text[i]: self.library.get_score(i) for i in normal}
-        self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if self.library.is_byte(i)}
+        self.scores = {self.text[i]: library.get_score(i) for i in normal}
+        self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.unknown = self.library.unk_id()
-        self.special = {i for i in range(n) if self.library.is_control(i)}
+        self.unknown = library.unk_id()
+        self.special = {i for i in range(n) if library.is_control(i)}
         self.longest = max(map(len, self.ids), default=1)
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
         low = min(self.scores.values(), default=0.0)
@@ -285,7 +285,7 @@ def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model_path
 
     def run(batches):
         model = PieceModel.of(model_path)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
             given = _values(batch.column(len(keep)))
             found = iter(how(model, [v for v in given if v is not None]))
             made = [None if v is None else next(found) for v in given]
