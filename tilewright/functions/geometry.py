@@ -73,6 +73,18 @@ def inside(ring: Column, p: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
+def distance_to_ring(ring: Column, p: Column) -> Column:
+    """Distance of a point from the nearest edge of a ring."""
+
+    def to_edge(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        t = F.coalesce(F.try_divide((p["x"] - e["a"]["x"]) * dx + (p["y"] - e["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.sqrt(F.pow(p["x"] - e["a"]["x"] - t * dx, 2) + F.pow(p["y"] - e["a"]["y"] - t * dy, 2))
+
+    return F.array_min(F.transform(steps(ring, True), to_edge))
+
+
 def boxes_meet(a: str, b: str) -> Column:
     """Whether two boxes with the given column prefixes share a point."""
     c = F.col

@@ -96,6 +96,18 @@ def keep_some_empty(df: DataFrame, keep: int, of: int, key: Column) -> DataFrame
     return kept.withColumns({"x1": F.lit(0), "y1": F.lit(0), "x2": F.lit(1), "y2": F.lit(1)})
 
 
+def mix_negatives(positive: DataFrame, negative: DataFrame, order: list, times: int = 4) -> DataFrame:
+    """All positive rows and, in the given order, the first ``times`` as many negative ones; origin tells which."""
+    n = positive.agg((F.count("*") * times).alias("_n"))
+    first = prefix_sum(negative, order, out="_r").join(F.broadcast(n)).where("_r < _n").drop("_r", "_n")
+    return positive.withColumn("origin", F.lit("images")).unionByName(first.withColumn("origin", F.lit("images_negative")), allowMissingColumns=True)
+
+
+def blank_annotations(images: DataFrame) -> DataFrame:
+    """One row without a box for each background image."""
+    return images.withColumns({"category": F.lit(None).cast("string"), **{c: F.lit(None).cast("int") for c in ("x1", "y1", "x2", "y2")}})
+
+
 def first_of_each(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
     """The first n rows of each group; fewer where there are fewer."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).where(F.col("rank") < n)

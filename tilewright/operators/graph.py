@@ -62,21 +62,19 @@ def longest_neighbour(lines: DataFrame) -> DataFrame:
     return met.groupBy("line_id").agg(F.max_by("neighbour", F.struct(F.col("size"), -F.col("neighbour"))).alias("neighbour"))
 
 
-def remove_dangling(lines: DataFrame, min_length: float, min_angle: float, share: float = 0.5) -> DataFrame:
-    """Lines kept: inner and isolated ones, and dangling ones that are long, or turn off their longest neighbour by enough.
+def remove_dangling(lines: DataFrame, min_length: float | None, min_angle: float | None, share: float = 0.5) -> DataFrame:
+    """Lines kept: inner and isolated ones, and dangling ones that are longer than a length, or turn off their longest neighbour by more than an angle.
 
-    The angle is taken at the joint between the line's far end and the point at ``share`` along the neighbour.
+    The angle is taken at the joint between the line's far end and the point at ``share`` along the neighbour, from its
+    start; where that point is the joint there is no angle. Without a length, or an angle, that reason to keep a line falls away.
     """
     kinds = line_kinds(lines)
     p = lambda a, b: G.point(F.col(a), F.col(b))
-    near = longest_neighbour(lines)
     other = lines.select(F.col("line_id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
-    d = kinds.where("kind = 'dangling'").join(near, "line_id", "left").join(other, "neighbour", "left")
+    d = kinds.where("kind = 'dangling'").join(longest_neighbour(lines), "line_id", "left").join(other, "neighbour", "left")
     free, joint = F.when(F.col("_a") == 1, p("x0", "y0")).otherwise(p("x1", "y1")), F.when(F.col("_a") == 1, p("x1", "y1")).otherwise(p("x0", "y0"))
-    n0, n1 = p("nx0", "ny0"), p("nx1", "ny1")
-    at_start = (joint["x"] == n0["x"]) & (joint["y"] == n0["y"])
-    main = F.when(at_start, G.along(n0, n1, share)).otherwise(G.along(n1, n0, share))
-    long = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)) > min_length
-    keep = F.coalesce(long | (G.angle(free, joint, main) > min_angle), long, F.lit(False))
-    gone = d.where(F.col("neighbour").isNull() | ~keep).select("line_id")
-    return lines.join(gone, "line_id", "left_anti")
+    main = G.along(p("nx0", "ny0"), p("nx1", "ny1"), share)
+    size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    long = F.lit(False) if min_length is None else size > min_length
+    turns = F.lit(False) if min_angle is None else F.coalesce(G.angle(free, joint, main) > min_angle, F.lit(False))
+    return lines.join(d.where(~(long | turns)).select("line_id"), "line_id", "left_anti")

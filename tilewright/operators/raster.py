@@ -132,3 +132,103 @@ def draw_outlines(objects: DataFrame, ring: str = "ring") -> DataFrame:
     t = e.withColumn("_n", n).withColumn("_t", F.explode(F.sequence(F.lit(0), F.ceil("_n").cast("int")))).withColumn("_s", F.least(F.lit(1.0), F.col("_t") / F.col("_n")))
     at = lambda k: F.round(F.col(f"e.a.{k}") + F.col("_s") * (F.col(f"e.b.{k}") - F.col(f"e.a.{k}"))).cast("long")
     return t.select("img", "class", "order", at("y").alias("row_no"), at("x").alias("col_no")).groupBy("img", "row_no", "col_no").agg(F.max_by("class", "order").alias("class"))
+
+
+def fill(objects: DataFrame, ring: str = "ring") -> DataFrame:
+    """Runs of the pixels whose centres lie in each object's ring: (other columns, row_no, c0, c1), by even-odd scan lines.
+
+    A ring of fewer than three points, or null, has no pixel.
+    """
+    from tilewright.functions.geometry import bounds, steps
+
+    box, low = bounds(F.col(ring)), F.floor(bounds(F.col(ring))["miny"])
+    rows = objects.where(F.size(ring) >= 3).withColumn("row_no", F.explode(F.sequence(low, F.greatest(low, F.ceil(box["maxy"]) - 1))))
+    y = F.col("row_no") + 0.5
+    cut = F.filter(steps(F.col(ring), True), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * F.try_divide(y - e["a"]["y"], e["b"]["y"] - e["a"]["y"])))
+    rows = rows.withColumn("_x", xs).where(F.size("_x") >= 2)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)), lambda k: F.struct(F.ceil(F.get("_x", k) - 0.5).alias("c0"), (F.ceil(F.get("_x", k + 1) - 0.5) - 1).alias("c1")))
+    return rows.withColumn("_s", F.explode(pairs)).where("_s.c0 <= _s.c1").select(*[c for c in objects.columns if c != ring], "row_no", "_s.c0", "_s.c1")
+
+
+def without(objects: DataFrame, over: DataFrame, ring: str = "ring") -> DataFrame:
+    """Pixels (img, id, row_no, col_no) of objects (img, id, ring) that no ring of ``over`` (img, ring) in the same image covers."""
+    mine = fill(objects.select("img", "id", ring), ring).select("img", "id", "row_no", F.explode(F.sequence("c0", "c1")).alias("col_no"))
+    theirs = fill(over.select("img", ring), ring).select("img", "row_no", F.explode(F.sequence("c0", "c1")).alias("col_no"))
+    return mine.join(theirs, KEY, "left_anti")
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """Corners of the closed rings that border edges (``outlines``) form: (img, component, ring, place, x, y, signed_area).
+
+    An edge is followed by the one that starts where it ends; where two start, by the right turn, so rings touch there but do
+    not cross. Places come from pointer jumping (rounds grow with the logarithm of the longest ring), so no
+    ring has to fit into one task. Outer rings have a positive area, holes a negative one; the areas of a component sum to its pixels.
+    """
+    turn = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    key = F.concat_ws("/", *[F.format_string("%012d", F.col(c).cast("long")) for c in ("y0", "x0", "y1", "x1")])
+    e = stage(edges.withColumns({"e": F.concat_ws("|", F.col("img").cast("string"), F.col("component").cast("string"), key), "dx": turn[0], "dy": turn[1]}), "ring-edges")
+    after = e.select("img", "component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("next"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
+    # rows count downwards, so the right turn of (dx, dy) is (-dy, dx)
+    right = ((F.col("nx") == -F.col("dy")) & (F.col("ny") == F.col("dx"))).cast("int")
+    linked = e.join(after, ["img", "component", "x1", "y1"]).groupBy("e").agg(F.max(F.struct(right.alias("r"), F.col("next"))).alias("n"))
+    succ = stage(linked.select("e", F.col("n.next").alias("next")), "ring-next")
+    named = connected_components(succ, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
+    # the edge before a ring's name is its last: steps counts the way to there
+    now = succ.join(named, "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("steps"))
+    now = stage(now, "ring-steps")
+    while not now.where("next is not null").isEmpty():
+        ahead = now.select(F.col("e").alias("next"), F.col("next").alias("_n"), F.col("steps").alias("_s"))
+        now = stage(now.join(ahead, "next", "left").select("e", "ring", F.col("_n").alias("next"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")), "ring-steps")
+    before = succ.join(e.select("e", F.col("dx").alias("px"), F.col("dy").alias("py")), "e").select(F.col("next").alias("e"), "px", "py")
+    sizes = now.join(e, "e").groupBy("ring").agg(F.max("steps").alias("_m"), (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("signed_area"))
+    corners = e.join(before, "e").where("px <> dx or py <> dy").join(now.select("e", "ring", "steps"), "e").join(sizes, "ring")
+    return corners.select("img", "component", "ring", (F.col("_m") - F.col("steps")).alias("place"), F.col("x0").alias("x"), F.col("y0").alias("y"), "signed_area")
+
+
+def resize(pixels: DataFrame, sizes: DataFrame, value: str, height: int, width: int) -> DataFrame:
+    """Bilinear resize of pixel tables to a fixed size: (img, row_no, col_no, value), half-pixel centres, clamped at the border.
+
+    ``sizes`` has img, h and w. Every new pixel asks for its four source pixels, found by an equal join; one whose sources are
+    all missing is left out, and a missing source counts as 0.
+    """
+
+    def axis(n: int, size: str, out: str) -> Column:
+        def taps(i: Column) -> Column:
+            at = F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(size) / n - 0.5, F.col(size) - 1.0))
+            low = F.floor(at)
+            return F.array(F.struct(i.alias(out), low.alias("at"), (1 - (at - low)).alias("wt")), F.struct(i.alias(out), (low + 1).alias("at"), (at - low).alias("wt")))
+
+        return F.explode(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), taps)))
+
+    grid = sizes.select("img", "w", axis(height, "h", "i").alias("r")).where("r.wt > 0").select("img", "r", axis(width, "w", "j").alias("c")).where("c.wt > 0")
+    asked = grid.select("img", F.col("r.at").alias("row_no"), F.col("c.at").alias("col_no"), "r.i", "c.j", (F.col("r.wt") * F.col("c.wt")).alias("_w"))
+    met = asked.join(pixels.select(*KEY, value), KEY)
+    return met.groupBy("img", F.col("i").alias("row_no"), F.col("j").alias("col_no")).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
+
+
+def resize_images(images: DataFrame, height: int, width: int) -> DataFrame:
+    """The same for decoded images (origin, height, width, nChannels, mode, data): one image a row, in Arrow batches; broken ones are left out."""
+    import numpy as np
+
+    def one(h, w, n, data):
+        a = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(float)
+
+        def taps(size, new):
+            at = np.clip((np.arange(new) + 0.5) * size / new - 0.5, 0, size - 1)
+            low = np.floor(at).astype(int)
+            return low, np.minimum(low + 1, size - 1), at - low
+
+        r0, r1, fr = taps(h, height)
+        c0, c1, fc = taps(w, width)
+        fr, fc = fr[:, None, None], fc[None, :, None]
+        top, bottom = a[r0][:, c0] * (1 - fc) + a[r0][:, c1] * fc, a[r1][:, c0] * (1 - fc) + a[r1][:, c1] * fc
+        return np.floor(top * (1 - fr) + bottom * fr + 0.5).astype(np.uint8).tobytes()
+
+    def run(batches):
+        for b in batches:
+            data = [one(*x) for x in zip(b.height, b.width, b.nChannels, b.data)]
+            yield b.assign(data=data, height=height, width=width)[["origin", "height", "width", "nChannels", "mode", "data"]]
+
+    good = images.where("height > 0").select("origin", "height", "width", "nChannels", "mode", "data")
+    return good.mapInPandas(run, "origin string, height int, width int, nChannels int, mode int, data binary")

@@ -61,31 +61,58 @@ def clipped_bounds(ring: Column, minx: Column, miny: Column, maxx: Column, maxy:
     return F.when(F.size(points) > 0, G.bounds(points))
 
 
-def crossing_points(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
-    """(road, parking, x, y): distinct points where a road's line meets a parking's outline."""
-    with_box = lambda df, g: df.withColumns({k: G.bounds(F.col(g))[k] for k in ("minx", "miny", "maxx", "maxy")})
+def _cuts(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
+    """(road, parking, line, ring, p, at): points where a line meets an outline, and how far along the line in edges."""
+    with_box = lambda df, g: df.select("id", g).withColumns({k: G.bounds(F.col(g))[k] for k in ("minx", "miny", "maxx", "maxy")})
     pairs = G.spatial_join(with_box(roads, "line"), with_box(parkings, "ring"), cell)
-    e = pairs.select(F.col("a_id").alias("road"), F.col("b_id").alias("parking"), F.explode(G.steps(F.col("a_line"))).alias("e"), "b_ring")
-    g = e.select("road", "parking", "e", F.explode(G.steps(F.col("b_ring"), True)).alias("g"))
-    return g.select("road", "parking", G.meeting_point(F.col("e"), F.col("g")).alias("p")).where("p is not null").select("road", "parking", "p.x", "p.y").distinct()
+    e = pairs.select(F.col("a_id").alias("road"), F.col("b_id").alias("parking"), F.col("a_line").alias("line"), F.col("b_ring").alias("ring"), F.posexplode(G.steps(F.col("a_line"))).alias("no", "e"))
+    g = e.select("*", F.explode(G.steps(F.col("ring"), True)).alias("g")).withColumn("p", G.meeting_point(F.col("e"), F.col("g"))).where("p is not null")
+    run = lambda a, b: F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) + F.abs(F.col(f"{a}.y") - F.col(f"{b}.y"))
+    return g.select("road", "parking", "line", "ring", "p", (F.col("no") + F.coalesce(F.try_divide(run("p", "e.a"), run("e.b", "e.a")), F.lit(0.0))).alias("at"))
+
+
+def crossing_points(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
+    """(road, parking, x, y): distinct points where a road's line (id, line) meets a parking's outline (id, ring)."""
+    return _cuts(roads, parkings, cell).select("road", "parking", "p.x", "p.y").distinct()
 
 
-def entry_points(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
-    """Crossing points at which the road passes from outside to inside or back: (road, parking, x, y).
+def entry_points(roads: DataFrame, parkings: DataFrame, cell: float, start_buffer: float = 1e-6, end_buffer: float = 1e-5) -> DataFrame:
+    """(road, parking, x, y): where a road from outside first meets a parking's outline, and where it last meets it on its way out.
 
-    Each road is cut at the outline; a piece with one end in the parking and one outside gives its point. The middle
-    of a piece tells whether the piece lies inside.
+    Cut at the outline, a road has pieces; both ends of an inner piece lie on the outline, so only the first and the last
+    piece can have exactly one end in the parking. They do when the road's own start, or end, is neither inside nor within its buffer.
     """
-    points = crossing_points(roads, parkings, cell).groupBy("road", "parking").agg(F.collect_set(F.struct("x", "y")).alias("ps"))
-    j = points.join(roads.select(F.col("id").alias("road"), "line"), "road").join(parkings.select(F.col("id").alias("parking"), "ring"), "parking")
-    a, b = F.element_at("line", 1), F.element_at("line", -1)
-    along = F.array_sort(F.transform("ps", lambda p: F.struct(((p["x"] - a["x"]) * (b["x"] - a["x"]) + (p["y"] - a["y"]) * (b["y"] - a["y"])).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
-    chain = F.concat(F.array(a), F.transform(along, lambda p: G.point(p["x"], p["y"])), F.array(b))
-    j = j.withColumn("chain", chain)
-    mids = F.transform(G.steps(F.col("chain")), lambda e: G.inside(F.col("ring"), G.along(e["a"], e["b"], 0.5)))
-    j = j.withColumn("ins", mids)
-    hits = F.filter(F.sequence(F.lit(1), F.size("chain") - 2), lambda k: F.get("ins", k - 1) != F.get("ins", k))
-    return j.select("road", "parking", F.explode(F.transform(hits, lambda k: F.get("chain", k))).alias("p")).select("road", "parking", "p.x", "p.y")
+    found = _cuts(roads, parkings, cell).groupBy("road", "parking").agg(F.first("line").alias("line"), F.first("ring").alias("ring"), F.min_by("p", "at").alias("low"), F.max_by("p", "at").alias("high"))
+    outside = lambda p, buffer: ~G.inside(F.col("ring"), p) & (G.distance_to_ring(F.col("ring"), p) > buffer)
+    first = F.when(outside(F.element_at("line", 1), start_buffer), F.col("low"))
+    last = F.when(outside(F.element_at("line", -1), end_buffer), F.col("high"))
+    return found.select("road", "parking", F.explode(F.array_compact(F.array(first, last))).alias("p")).select("road", "parking", "p.x", "p.y").distinct()
+
+
+def normalise_features(df: DataFrame, mapping: dict, threshold: float | None = None, ring: str = "ring") -> DataFrame:
+    """Detections with a valid ring, a known category and, with a threshold, enough score; the ring becomes its bounding box, the category its number."""
+    from tilewright.functions.boxes import map_category
+
+    kept = df.where(G.valid_ring(F.col(ring))).withColumn("category", map_category("category", mapping)).where("category is not null")
+    kept = kept if threshold is None else kept.where(F.col("score") >= threshold)
+    return kept.withColumn("_b", G.bounds(F.col(ring))).withColumn(ring, G.box_ring(*[F.col(f"_b.{k}") for k in ("minx", "miny", "maxx", "maxy")])).drop("_b")
+
+
+def crowd_boxes(features: DataFrame, affine: tuple, width: Column, height: Column) -> DataFrame:
+    """World bounds (minx, miny, maxx, maxy) as pixel boxes x1, y1, x2, y2 of a patch, with ``reject``: outside, flipped (or without area), or null."""
+    low, high = G.to_pixel(affine, F.col("minx"), F.col("maxy")), G.to_pixel(affine, F.col("maxx"), F.col("miny"))
+    d = features.withColumns({"x1": low["col"], "y1": low["row"], "x2": high["col"], "y2": high["row"]})
+    outside = (F.greatest("x1", "x2") > width) | (F.greatest("y1", "y2") > height)
+    return d.withColumn("reject", F.when(outside, "outside").when((F.col("x1") >= F.col("x2")) | (F.col("y1") >= F.col("y2")), "flipped"))
+
+
+def task_boxes(tasks: DataFrame, classes: dict) -> DataFrame:
+    """(name, category, x1, y1, x2, y2) of labelling tasks (name, tag, points): tags merged to classes, others and objects of fewer than three points dropped."""
+    from tilewright.functions.boxes import map_category
+
+    t = tasks.withColumn("category", map_category("tag", classes)).where((F.col("category").isNotNull()) & (F.size("points") >= 3))
+    b = G.bounds(F.col("points"))
+    return t.select("name", "category", *[b[k].cast("int").alias(n) for n, k in (("x1", "minx"), ("y1", "miny"), ("x2", "maxx"), ("y2", "maxy"))])
 
 
 def suppress(shapes: DataFrame, cell: float) -> DataFrame:
