@@ -123,6 +123,16 @@ def test_entry_points(spark):
     assert vector.entry_points(a.limit(0), b, 4.0).count() == 0
 
 
+def test_spatial_join_over_levels(spark):
+    r = random.Random(9)
+    some = lambda n: [(i, x := r.uniform(-50, 50), y := r.uniform(-50, 50), x + r.choice([0, 1, 7, 70, 900, 9000]), y + r.choice([0, 2, 30, 2000])) for i in range(n)] + [(n, None, 0.0, 1.0, 1.0)]
+    a, b = some(60), some(70)
+    want = sorted((p[0], q[0]) for p in a[:-1] for q in b[:-1] if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    kind = "id long, minx double, miny double, maxx double, maxy double"
+    got = G.spatial_join(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 2.0)
+    assert sorted((p.a_id, p.b_id) for p in got.collect()) == want
+
+
 def test_suppression_and_components(spark):
     r = random.Random(6)
     boxes = [(i, x := r.randrange(60), y := r.randrange(60), x + r.randrange(1, 9), y + r.randrange(1, 9)) for i in range(80)]

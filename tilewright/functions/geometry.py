@@ -149,10 +149,13 @@ def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
 def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4, exact: Column | None = None) -> DataFrame:
     """Pairs whose boxes (minx, miny, maxx, maxy) share a point; columns come prefixed ``a_`` and ``b_``.
 
-    Each box goes to the cells of a grid level chosen by its size (cell times a power of 8), so a huge box
-    covers few; the sides meet by equal level and cell, the finer box being also listed at each coarser level. A pair
-    counts only in the cell that holds the corner of its overlap, so no distinct is needed. ``exact`` is a further test.
+    Each box goes to the cells of a grid level chosen by its size (cell times a power of 8), so a huge box covers few of
+    them. Two boxes meet at the coarser one's level: one join takes the left boxes at their own level and the right ones at
+    theirs and every coarser one, the other join the right boxes at their own and the left ones at coarser levels, so
+    two small boxes never meet in a large cell. A pair counts only in the cell that holds the corner of its overlap, so no
+    distinct is needed. Boxes with a null bound meet nothing. ``exact`` is a further test.
     """
+    width = F.lit(float(cell)) * F.pow(F.lit(8.0), F.col("level"))
 
     def prefixed(df: DataFrame, p: str) -> DataFrame:
         df = df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
@@ -162,18 +165,18 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4
             level = F.when(size <= cell * 8**k, k).otherwise(level)
         return df.withColumn(f"{p}level", level)
 
-    def listed(df: DataFrame, p: str) -> DataFrame:
-        df = df.withColumn("level", F.explode(F.sequence(F.col(f"{p}level"), F.lit(levels - 1))))
-        width = F.lit(float(cell)) * F.pow(F.lit(8.0), F.col("level"))
+    def listed(df: DataFrame, p: str, first: int, last: int | None) -> DataFrame:
+        own = F.col(f"{p}level")
+        at = F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: (k >= own + first) & (F.lit(True) if last is None else k <= own + last))
 
         def span(low: str, high: str) -> Column:
             return F.explode(F.sequence(F.floor(F.col(p + low) / width), F.floor(F.col(p + high) / width)))
 
-        return df.withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
+        return df.withColumn("level", F.explode(at)).withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
 
-    a, b = listed(prefixed(left, "a_"), "a_"), listed(prefixed(right, "b_"), "b_")
-    both = a.join(b, ["level", "cx", "cy"]).where(F.col("level") == F.greatest("a_level", "b_level"))
-    width = F.lit(float(cell)) * F.pow(F.lit(8.0), F.col("level"))
+    a, b = prefixed(left, "a_"), prefixed(right, "b_")
+    key = ["level", "cx", "cy"]
+    both = listed(a, "a_", 0, 0).join(listed(b, "b_", 0, None), key).unionByName(listed(a, "a_", 1, None).join(listed(b, "b_", 0, 0), key))
     corner = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / width)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / width))
     pairs = both.where(boxes_meet("a_", "b_") & corner)
     pairs = pairs if exact is None else pairs.where(exact)

@@ -65,10 +65,15 @@ def _cuts(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
     """(road, parking, line, ring, p, at): points where a line meets an outline, and how far along the line in edges."""
     with_box = lambda df, g: df.select("id", g).withColumns({k: G.bounds(F.col(g))[k] for k in ("minx", "miny", "maxx", "maxy")})
     pairs = G.spatial_join(with_box(roads, "line"), with_box(parkings, "ring"), cell)
-    e = pairs.select(F.col("a_id").alias("road"), F.col("b_id").alias("parking"), F.col("a_line").alias("line"), F.col("b_ring").alias("ring"), F.posexplode(G.steps(F.col("a_line"))).alias("no", "e"))
-    g = e.select("*", F.explode(G.steps(F.col("ring"), True)).alias("g")).withColumn("p", G.meeting_point(F.col("e"), F.col("g"))).where("p is not null")
-    run = lambda a, b: F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) + F.abs(F.col(f"{a}.y") - F.col(f"{b}.y"))
-    return g.select("road", "parking", "line", "ring", "p", (F.col("no") + F.coalesce(F.try_divide(run("p", "e.a"), run("e.b", "e.a")), F.lit(0.0))).alias("at"))
+    pairs = pairs.select(F.col("a_id").alias("road"), F.col("b_id").alias("parking"), F.col("a_line").alias("line"), F.col("b_ring").alias("ring"))
+    far = lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
+
+    def of_edge(e: Column, no: Column) -> Column:
+        met = F.filter(F.transform(G.steps(F.col("ring"), True), lambda g: G.meeting_point(e, g)), lambda p: p.isNotNull())
+        return F.transform(met, lambda p: F.struct(p.alias("p"), (no + F.coalesce(F.try_divide(far(p, e["a"]), far(e["b"], e["a"])), F.lit(0.0))).alias("at")))
+
+    found = F.flatten(F.transform(G.steps(F.col("line")), of_edge))
+    return pairs.select("*", F.explode(found).alias("c")).select("road", "parking", "line", "ring", "c.p", "c.at")
 
 
 def crossing_points(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
