@@ -58,7 +58,8 @@ def clipped_bounds(ring: Column, minx: Column, miny: Column, maxx: Column, maxy:
 
     corners = F.filter(G.box_ring(minx, miny, maxx, maxy), lambda p: G.inside(ring, p))
     points = F.concat(F.flatten(F.transform(G.steps(ring, True), clip)), corners)
-    return F.when(F.size(points) > 0, G.bounds(points))
+    # a lambda's variable is computed once, a repeated expression each time
+    return F.get(F.transform(F.array(points), lambda ps: F.when(F.size(ps) > 0, G.bounds(ps))), F.lit(0))
 
 
 def _cuts(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
