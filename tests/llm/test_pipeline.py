@@ -29,3 +29,20 @@ def test_stages(spark):
         else:
             assert out.columns == corpus_pipeline.COLUMNS
         docs = out
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    def words(start, n=60):
+        return " ".join(f"w{i}" for i in range(start, start + n))
+
+    near = words(0) + " other"
+    known = [
+        (3, words(0)), (5, near), (5, words(1000)), (6, words(2000)), (7, words(3000)), (7, words(3000) + " more"), (7, words(3000)),
+        (8, words(2000)), (8, words(4000)), (9, ""), (9, ""), (9, None), (None, words(5000)), (None, words(0)), (None, words(0)), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in known], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    sevens = [x for x in out if x[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in known
+    want = [(3, words(0)), (5, words(1000)), (6, words(2000)), (8, words(4000)), (9, ""), (9, None), (None, words(5000)), (None, words(0)), (None, words(0)), (None, None)]
+    assert sorted((x for x in out if x[0] != 7), key=str) == sorted(want, key=str)

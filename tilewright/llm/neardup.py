@@ -77,6 +77,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_key", T.BinaryType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_key", T.BinaryType()),
         T.StructField("signature", T.BinaryType()),
@@ -84,19 +85,24 @@ SKETCH = T.StructType(
 )
 
 
+def text_key(text: str = "text") -> Column:
+    """A digest of the text, so that a verdict finds its own row where ids are null or repeated; null for a null text."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and the signature as big-endian bytes (null for empty sets)."""
+    """doc_id, text_key, n_shingles, a 128-bit digest of the set, and the signature as big-endian bytes (null for empty sets)."""
 
     def run(batches):
         for batch in slices(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, key in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = shingle_set(text, words)
-                out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).astype(">u4").tobytes()) if len(s) else (doc_id, 0, None, None))
+                out.append((doc_id, key, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).astype(">u4").tobytes()) if len(s) else (doc_id, key, 0, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow_schema(SKETCH).types, strict=True)], names=SKETCH.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(run, SKETCH)
 
 
 def _prefix(tree: Column, depth: int) -> Column:
@@ -218,7 +224,7 @@ def link_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int
     return [ids[r] for r in root]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, max_shingles: int = 8_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, max_shingles: int = 8_000_000, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach), kept.
 
     Two documents link if their sets of ``words``-word shingles have a Jaccard similarity of at least ``percent``
@@ -230,11 +236,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
     it in blocks. A pair of similarity s is in different clusters with a probability below (1 - s**4)**20.
 
     Null texts and texts without words have empty sets: they link with nothing and are kept. Rows with a null
-    doc_id come back with themselves as component null and kept. Repeated ids give repeated rows. An empty table gives no rows. Other columns are left out.
+    doc_id come back with themselves as component null and kept. Repeated ids give repeated rows, each with the verdict on
+    its own text: texts under one id are classes of their own, and where such texts lead a component together, only
+    the class with the lesser digest is kept. With ``keys`` each row also has ``text_key`` and ``set_key``. An empty table gives no rows.
+    Other columns are left out.
     """
     marks = stage(sketches(docs, words), "sketches")
     classes = marks.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    reps = stage(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = classes.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # a class has a number of its own, since one id can have several; it is fixed by being written
+    reps = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     clusters = stage(connected_components(neighbours(reps), "rep", "before"), "clusters")
     sizes = clusters.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     fits = (F.col("n") <= max_group) & (F.col("s") <= max_shingles)
@@ -250,27 +261,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
         for batch in slices(batches):
             made = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(m) for m in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["rep", "set_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["least", "set_key", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep")), "rep")
-    made = texts.mapInArrow(sets, "rep long, set_key binary, shingles binary")
+    members = reps.join(clusters.select(F.col("node").alias("rep")), "rep").select("rep", "least", "set_key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(members.select("least"), "least", "left_semi")
+    made = texts.mapInArrow(sets, "least long, set_key binary, shingles binary")
     # where an id is repeated, each of its classes takes part
-    full = stage(made.join(reps.select("rep", "set_key"), ["rep", "set_key"]).dropDuplicates(["rep", "set_key"]), "sets")
+    full = stage(made.join(members, ["least", "set_key"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
     def settle(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_pylist()
         root = link_group(ids, [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()], percent)
         return pa.table({"rep": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    def settled(members: DataFrame) -> DataFrame:
-        return stage(full.join(members, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
+    def settled(dealt: DataFrame) -> DataFrame:
+        return stage(full.join(dealt, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
 
     links = settled(groups)
     if crowded is not None:
         so_far = connected_components(links, "rep", "root")
         links = links.unionByName(settled(_rest_against_all(crowded.select("rep", "n_shingles", "component"), so_far, max_group, max_shingles)))
     final = connected_components(links, "rep", "root")
-    roots = reps.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    placed = reps.select("set_key", "least", "rep").join(final, F.col("rep") == F.col("node"), "left").select("set_key", "least", F.coalesce("component", "rep").alias("component"))
+    leads = placed.groupBy("component").agg(F.min(F.struct("least", "set_key")).alias("lead"))
+    roots = placed.join(leads, "component").select("set_key", F.col("lead.least").alias("component_id"), (F.col("set_key") == F.col("lead.set_key")).alias("leads"))
     out = marks.drop("signature").join(roots, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    kept = component.eqNullSafe(F.col("doc_id")) & (F.col("doc_id").isNull() | F.coalesce("leads", F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *(["text_key", "set_key"] if keys else []))
