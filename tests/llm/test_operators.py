@@ -72,6 +72,30 @@ def test_quality_separates_labels(spark):
     assert share[1] > 0.98 and share[0] < 0.2
 
 
+ITALIAN = (
+    "Il vecchio pescatore guardava ogni mattina il mare dalla finestra della sua piccola casa. Quando il vento soffiava forte, restava seduto "
+    "accanto al fuoco e raccontava ai nipoti le storie della sua giovinezza, quando navigava verso isole lontane con i suoi fratelli. Loro ascoltavano "
+    "in silenzio, perché ogni storia finiva sempre con una sorpresa, e nessuno voleva perdere neppure una parola del racconto. "
+)
+
+
+def letters(n, seed=5):
+    r = random.Random(seed)
+    said = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(n)]
+    return " ".join(w.capitalize() if i % 12 == 0 else w + "." if i % 12 == 11 else w for i, w in enumerate(said))
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    known = [(1, letters(480)), (2, letters(60)), (3, letters(5000)), (4, ITALIAN)]
+    d = spark.createDataFrame(known, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality(d).collect()}
+    assert not any(r.base_failed for r in got.values()) and not any(r.kept for r in got.values())
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").repartition(8)
+    sizes = F.when(F.col("n_words") < 100, 0).when(F.col("n_words") < 400, 1).otherwise(2)
+    rated = quality(docs).where("not base_failed and n_words >= 40").groupBy(sizes.alias("s"), "quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
+    assert all(r.k > 0.98 if r.quality else r.k < (0.02 if r.s else 0.15) for r in rated.collect())
+
+
 def brute_licenses(text):
     w = [x for x in re.split(licenses.BREAKS, text or "") if x]
     w = [x.translate(str.maketrans(licenses.UPPER, licenses.LOWER)) for x in w]
