@@ -187,6 +187,19 @@ def test_language(spark, odd):
     assert language.identify(odd, language.train(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_training_sample_keeps_every_language(spark):
+    hot = spark.range(3000).select("id", F.lit("aa").alias("lang"), F.format_string("word%d of few", F.col("id") % 7).alias("text"))
+    long = spark.range(9).select("id", F.lit("bb").alias("lang"), F.repeat(F.format_string("long%d text ", "id"), 900).alias("text"))
+    many = spark.range(500).select("id", F.lit("cc").alias("lang"), F.format_string("one of many %d", "id").alias("text"))
+    docs = hot.union(long).union(many).withColumnRenamed("id", "doc_id")
+    got = defaultdict(list)
+    for r in language.training_sample(docs, 5, 8000).collect():
+        got[r.lang].append((r.r, r.text))
+    assert {k: len({t for _, t in v}) for k, v in got.items()} == {"aa": 5, "bb": 5, "cc": 5}
+    assert all(sorted(r for r, _ in v) == [1, 2, 3, 4, 5] for v in got.values()) and all(len(t) <= 8000 for v in got.values() for _, t in v)
+    assert language.train(docs).languages == ["aa", "bb", "cc"]
+
+
 def test_fingerprints(spark, docs, odd):
     for d in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
         known = texts(d)

@@ -111,17 +111,22 @@ def held_out(doc_id: str):
 
 
 def training_sample(docs: DataFrame, per_language: int, max_chars: int) -> DataFrame:
-    """At most ``per_language`` learnable rows of each language, in the order of a hash of their text.
+    """The ``per_language`` distinct learnable texts of each language with the lowest hashes, or all if it has fewer.
 
-    Rows with null lang or text, without a letter, held out, or longer than ``max_chars`` are not learned from. Shares are set from
-    counts of the languages, so few rows are sorted.
+    Rows with null lang or text, without a letter, or held out are not learned from. A text longer than ``max_chars`` is cut into even
+    windows of at most so many characters, which are drawn like texts. Only hashes are ranked: copies merge before, and texts are
+    fetched for the hashes drawn.
     """
-    able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike("\\p{L}"))
-    able = able.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = able.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < 4.0 * per_language * (1 << 30) / F.col("n")).drop("n").distinct()
-    best = Window.partitionBy("lang").orderBy("h", "text")
-    return drawn.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_language).select("lang", "text", "r")
+    able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    n = F.ceil(F.length("text") / max_chars)
+    width = F.ceil(F.length("text") / n).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(F.col("text"), i * width + 1, width))
+    long = F.length("text") > max_chars
+    able = able.where(~long).unionByName(able.where(long).select("lang", F.explode(windows).alias("text")))
+    able = able.where(F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
+    lowest = Window.partitionBy("lang").orderBy("h")
+    drawn = able.select("lang", "h").distinct().withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= per_language)
+    return able.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text", "r")
 
 
 def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, max_chars: int = 8000) -> KernelModel:
