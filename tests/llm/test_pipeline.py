@@ -46,3 +46,14 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert len(sevens) == 1 and sevens[0] in known
     want = [(3, words(0)), (5, words(1000)), (6, words(2000)), (8, words(4000)), (9, ""), (9, None), (None, words(5000)), (None, words(0)), (None, words(0)), (None, None)]
     assert sorted((x for x in out if x[0] != 7), key=str) == sorted(want, key=str)
+
+
+def test_language_id_rejects_what_was_not_learned(spark):
+    from tests.llm.test_operators import ITALIAN, letters
+
+    strange = {1: ITALIAN, 2: letters(480), 3: letters(60), 4: "Старик каждое утро смотрел на море из окна своего дома.", 5: "日本語の文章です。海を見ていました。"}
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    added = spark.createDataFrame([(-i, t, None, None, len(t)) for i, t in strange.items()], real.schema)
+    after = {r.doc_id for r in corpus_pipeline.language_id(spark, real.union(added), "").select("doc_id").collect()}
+    assert not any(i < 0 for i in after)
+    assert len(after) > 0.97 * real.count()

@@ -20,6 +20,7 @@ from tilewright.llm.tokens import arrow_schema, slices, without
 _LETTER = re.compile(r"[^\W\d_]")
 #: Code points have classes 1 to 119 if common in the landmarks, else one of the rest by block of 128.
 CLASSES, COMMON = 128, 120
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
 class KernelModel:
@@ -28,30 +29,47 @@ class KernelModel:
     def __init__(self, languages: list[str], classes: np.ndarray, grams: np.ndarray, matrix: np.ndarray, norms: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.languages, self.classes = languages, classes
         self.grams, self.matrix, self.norms, self.weights, self.bias = grams, matrix, norms, weights, bias
-        self.slots = None
+        #: Per language the codes of its common 3-grams, and the least share of a text's 3-grams that must be among them.
+        self.known: list[np.ndarray] = [np.zeros(0, dtype=np.int32) for _ in languages]
+        self.limits = np.zeros(len(languages))
+        self.slots = self.planes = None
 
     def open(self) -> KernelModel:
         """Make the table from n-gram codes to columns; done where the model is used."""
         if self.slots is None:
             self.slots = np.zeros(CLASSES**3, dtype=np.int32)
             self.slots[self.grams] = np.arange(1, len(self.grams) + 1)
+            # one bit a language
+            self.planes = [np.zeros(CLASSES**3, dtype=np.uint8) for _ in range(0, len(self.languages), 8)]
+            for k, codes in enumerate(self.known):
+                self.planes[k // 8][codes] |= np.uint8(1 << k % 8)
         return self
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Rows of 0 and 1: which landmark n-grams each whole text holds."""
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of 0 and 1: which landmark n-grams each whole text holds; and its share of 3-grams common in each language (1 if it has none)."""
         out = np.zeros((len(texts), len(self.grams) + 1), dtype=np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for codes in gram_codes(text, self.classes):
-                row[self.slots[codes]] = 1.0
-        return out[:, 1:]
-
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        x = self.presence(texts)
+        shares = np.ones((len(texts), 8 * len(self.planes)))
+        for row, share, text in zip(out, shares, texts, strict=True):
+            codes = gram_codes(text, self.classes)
+            for c in codes:
+                row[self.slots[c]] = 1.0
+            for k, plane in enumerate(self.planes if len(codes[2]) else []):
+                share[8 * k : 8 * k + 8] = np.bincount(plane[codes[2]], minlength=256) @ _BITS / len(codes[2])
+        return out[:, 1:], shares[:, : len(self.languages)]
+
+    def _kernel(self, x: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
         return (x @ self.matrix) / (own * self.norms)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(texts) @ self.weights + self.bias
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        return self._kernel(self.presence(texts)[0])
+
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each text, and its score: 0 where too few of the 3-grams are common in that language."""
+        x, shares = self.presence(texts)
+        s = self._kernel(x) @ self.weights + self.bias
+        k, row = s.argmax(axis=1), np.arange(len(texts))
+        return k, np.where(shares[row, k] >= self.limits[k], np.clip(s[row, k], 0.0, 1.0), 0.0)
 
 
 def gram_codes(text: str, classes: np.ndarray) -> list[np.ndarray]:
@@ -102,7 +120,23 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 24, ridge: float =
     solved = np.linalg.solve(centred.T @ centred + ridge * len(texts) * 1e-2 * np.eye(features.shape[1]), centred.T @ (target - mean_y))
     model.weights = (to_features @ solved).astype(np.float32)
     model.bias = (mean_y - mean_x @ solved).astype(np.float32)
-    return model
+    for k, lang in enumerate(languages):
+        model.known[k], model.limits[k] = _common([t for t, of in zip(texts, labels, strict=True) if of == lang], classes)
+    model.slots = None
+    return model.open()
+
+
+def _common(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, float]:
+    """The 3-grams that two texts or more hold, and three quarters of the share of them that all but 5 % of the texts reach.
+
+    A text's share is taken over what two others hold, so a language with fewer than three texts has the limit 0.
+    """
+    held = np.zeros(CLASSES**3, dtype=np.int32)
+    each = [gram_codes(t, classes)[2] for t in texts]
+    for codes in each:
+        held[np.unique(codes)] += 1
+    shares = [(held[codes] >= 3).mean() for codes in each if len(codes)]
+    return np.flatnonzero(held >= 2).astype(np.int32), 0.75 * float(np.quantile(shares, 0.05)) if shares else 0.0
 
 
 def held_out(doc_id: str):
@@ -138,7 +172,9 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, max_cha
 def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) from the whole text alone.
 
-    A null text, one without a letter, or a model that learned no language gives ``und`` and 0. Ties go to the language first in
+    A null text, one without a letter, or a model that learned no language gives ``und`` and 0. Scores over the languages sum to 1, so one
+    is always best; a text with too few 3-grams common in it, against the limit from the training sample, has the score 0: it is in no
+    learned language. Ties go to the language first in
     order. An added name that the input already has is replaced. Texts are scored in batches of a few dozen by matrix
     products; rows stand alone, so repeats and empty tables need no rule.
     """
@@ -155,8 +191,7 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
             known = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if m.languages else []
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if known:
-                s = m.scores([texts[i] for i in known])
-                for i, k, v in zip(known, s.argmax(axis=1), np.clip(s.max(axis=1), 0.0, 1.0), strict=True):
+                for i, k, v in zip(known, *m.best([texts[i] for i in known]), strict=True):
                     langs[i], scores[i] = m.languages[int(k)], round(float(v), 4)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow_schema(schema))
 
@@ -164,5 +199,5 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
 
 
 def _closed(model: KernelModel) -> KernelModel:
-    model.slots = None
+    model.slots = model.planes = None
     return model
