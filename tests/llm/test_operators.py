@@ -243,6 +243,25 @@ def test_chat(spark):
         assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in sorted(full[conv], key=lambda r: r.example)] == replies
 
 
+def test_chat_written_out(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok"), (-7, 1, "assistant", "[INST]assistant[/INST]"), (-7, 2, "assistant", ""), (-7, 3, "user", "last"), (None, 0, "user", "[")], turns.schema)
+    both = turns.union(odd)
+    full, folded = chat.written_out(both), chat.expand(both)
+    real = Counter((r.conv_id, r.example, r.text, r.loss_start, r.loss_end) for r in full.where("loss_start is not null").collect())
+    assert real == Counter(tuple(r) for r in chat.full_texts(folded).collect())
+    chars = Counter()
+    for r in full.collect():
+        chars[r.conv_id] += len(r.text)
+    got, want = {r.conv_id: r for r in chat.read_written(full).collect()}, {r.conv_id: r for r in chat.read_back(folded).collect()}
+    assert {k: r[:5] for k, r in got.items()} == {k: r[:5] for k, r in want.items()} and {k: r.formatted_chars for k, r in got.items()} == chars
+    written = {r.conv_id: r for r in queries.op6_chat(spark, SF).collect()}
+    assert all(written[k].formatted_chars == n for k, n in chars.items() if k is not None and k >= 0)
+    wrong = full.where("conv_id = -7").withColumn("text", F.when(F.col("example") == 0, F.replace("text", F.lit("ok"), F.lit("no"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="context is not the text"):
+        chat.read_written(wrong).collect()
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 

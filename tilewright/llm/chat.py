@@ -112,6 +112,76 @@ def full_texts(examples: DataFrame) -> DataFrame:
     return joined.select("conv_id", "example", text.alias("text"), "loss_start", "loss_end")
 
 
+FULL = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("example", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("loss_start", T.LongType()),
+        T.StructField("loss_end", T.LongType()),
+    ]
+)
+#: Characters of written-out examples that a batch may hold before it goes on.
+FLUSH = 1 << 22
+
+
+def written_out(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
+    """One row for every turn of the role ``trainable``: ``text`` is its whole context and its reply, ready to train on alone.
+
+    The rules are those of ``expand``; a conversation's texts are written as its turns stream by, so a task holds one context at a
+    time. Turns after the last reply come alone in a row without loss span.
+    """
+
+    def run(batches):
+        conv, context, started, out, size = None, "", False, [], 0
+        for batch in slices(batches, 4096):
+            r = batch.to_pydict()
+            for conv_id, example, added, target, a, b in zip(*[r[n] for n in ("conv_id", "example", "added", "target", "loss_start", "loss_end")], strict=True):
+                if not started or conv_id != conv:
+                    conv, context, started = conv_id, "", True
+                if target is not None:
+                    context += added + target
+                out.append((conv_id, example, added if target is None else context, a, b))
+                size += len(out[-1][2])
+                if size > FLUSH:
+                    yield _batch(out, FULL.names, FULL)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, FULL.names, FULL)
+
+    return expand(turns, trainable).mapInArrow(run, FULL)
+
+
+PARTS = T.StructType([*EXAMPLES.fields, T.StructField("text_chars", T.LongType()), T.StructField("before_sha256", T.BinaryType()), T.StructField("text_sha256", T.BinaryType())])
+
+
+def read_written(full: DataFrame, trainable: str = "assistant") -> DataFrame:
+    """What ``read_back`` says, read from written-out examples; ``formatted_chars`` counts all characters of all of them.
+
+    Each example is divided where its last earlier reply ends; the text before must have the digest of the whole example before it,
+    so every example is shown to hold its whole context. Only the parts and digests are sent on, not the texts.
+    """
+    mark = f"{OPEN}{escape(trainable)}{CLOSE}"
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            out = []
+            for conv, example, text, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if a is None:
+                    out.append((conv, example, None, text, None, None, None, len(text), None, None))
+                    continue
+                if not text.endswith(mark, 0, a) or text[b:] != END:
+                    raise ValueError("a loss span is not a reply without its marks")
+                last = text.rfind(mark, 0, a - len(mark))
+                cut = text.index(END, last) + len(END) if last >= 0 else 0
+                digests = [hashlib.sha256(x.encode("utf-8", "replace")).digest() for x in (text[:cut], text)]
+                out.append((conv, example, a, text[cut:a], text[a:], a, b, len(text), *digests))
+            if out:
+                yield _batch(out, PARTS.names, PARTS)
+
+    return _read(full.select(*FULL.names).mapInArrow(run, PARTS))
+
+
 DIGESTS = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -132,14 +202,18 @@ def read_back(examples: DataFrame) -> DataFrame:
     the loss spans, unescaped, in order. Each example's spans must lie where its context ends. Examples of a
     conversation stream through one task in order. An empty table gives no rows.
     """
+    return _read(examples)
+
+
+def _read(examples: DataFrame) -> DataFrame:
     dealt = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    names = DIGESTS.names
+    names, given = DIGESTS.names, examples.columns
 
     def run(batches):
         conv, state, out = None, None, []
         for batch in slices(batches, 4096):
             r = batch.to_pydict()
-            for row in zip(*[r[n] for n in EXAMPLES.names], strict=True):
+            for row in zip(*[r[n] for n in given], strict=True):
                 if state is None or row[0] != conv:
                     if state is not None:
                         out.append(state.result(conv))
@@ -157,21 +231,26 @@ def read_back(examples: DataFrame) -> DataFrame:
 class _Reader:
     def __init__(self):
         self.turns, self.chars, self.loss, self.n_turns, self.n_loss = hashlib.sha256(), 0, hashlib.sha256(), 0, 0
+        self.written, self.before = 0, hashlib.sha256().digest()
 
-    def read(self, context_chars, added, target, loss_start, loss_end):
+    def read(self, context_chars, added, target, loss_start, loss_end, text_chars=None, before=None, whole=None):
         for role, text in _TURN.findall(added + (target or "")):
             self.turns.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
             self.n_turns += 1
-        if self.chars + len(added) != context_chars:
+        if context_chars is None:
+            context_chars = self.chars + len(added)
+        if self.chars + len(added) != context_chars or before not in (None, self.before):
             raise ValueError("an example's context is not the text of those before it")
         if target is not None:
             under = unescape(target[loss_start - context_chars : loss_end - context_chars])
             self.loss.update(under.encode())
             self.n_loss += len(under)
         self.chars += len(added) + len(target or "")
+        self.written += len(added) + len(target or "") if text_chars is None else text_chars
+        self.before = whole or self.before
 
     def result(self, conv):
-        return (conv, self.n_turns, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.chars)
+        return (conv, self.n_turns, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.written)
 
 
 def _batch(rows: list[tuple], names: list[str], schema: T.StructType) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from tilewright.llm import chat, chunks, language, neardup, pieces, tokencounts,
 from tilewright.llm.licenses import license_scan
 from tilewright.llm.packing import pack
 from tilewright.llm.quality import quality
-from tilewright.plans.staging import scratch_dir
+from tilewright.plans.staging import scratch_dir, stage
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS_DIR", "/opt/tokenizers")
 
@@ -55,7 +55,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.expand(turns.unionByName(added)))
+    return chat.read_written(stage(chat.written_out(turns.unionByName(added)), "examples", compression="zstd"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
