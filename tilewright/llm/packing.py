@@ -31,6 +31,7 @@ class _Pool:
     def __init__(self, size: int):
         self.tokens = np.zeros(size)
         self.loss = np.zeros(size)
+        self.masked = np.zeros(size)
         self.items: list = [None] * size
         self.free = list(range(size))[::-1]
 
@@ -40,11 +41,11 @@ class _Pool:
     def put(self, item: tuple) -> None:
         k = self.free.pop()
         self.items[k] = item
-        self.tokens[k], self.loss[k] = item[2], item[5]
+        self.tokens[k], self.loss[k], self.masked[k] = item[2], item[5], item[6]
 
     def take(self, k: int) -> tuple:
         item = self.items[k]
-        self.items[k], self.tokens[k], self.loss[k] = None, 0.0, 0.0
+        self.items[k], self.tokens[k], self.loss[k], self.masked[k] = None, 0.0, 0.0, 0.0
         self.free.append(k)
         return item
 
@@ -55,21 +56,34 @@ class Packer:
     An item is (doc_id, start, length, ids, doc_tokens, loss, masked): its first ``masked`` ids bear
     no loss. Of the waiting items that fit all three limits, the one goes in whose demand vector has the largest dot
     product with what the sequence has left, both as shares of the limits. When none fits whole and
-    tokens are left, the waiting item with the most tokens is cut to fill the gap as far as the
-    limits allow. What is left at the end is cut into sequences of powers of two, which need no padding.
+    tokens are left, the waiting item whose head fills most of the gap within the limits is cut there.
+    Items over a limit are cut before they wait: a head of ``max_tokens`` ids within the loss limit is a sequence of its own; a
+    head that reaches the loss limit first waits for others without loss, and a masked stretch is cut so that a
+    sequence that holds it has room for ``max_loss`` ids of loss beside it. What is left at the end is cut into sequences of powers of two,
+    which need no padding.
     """
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, waiting: int, base: int):
+        if min(max_tokens, max_segments, max_loss, waiting) < 1:
+            raise ValueError("limits must be positive")
         self.limits = np.array([max_tokens, max_segments, max_loss], dtype=float)
         self.pool, self.sequence = _Pool(waiting), base
         self.out: list[tuple] = []
 
     def add(self, item: tuple) -> None:
-        """Take in one document: whole sequences are cut off first, the rest waits."""
-        full = int(min(self.limits[0], self.limits[2]))
-        while item[2] > full:
-            head, item = _cut(item, full)
-            self._emit([head])
+        """Take in one document: what is over a limit is cut off its front, the rest waits."""
+        tokens, loss = int(self.limits[0]), int(self.limits[2])
+        while item[2] > tokens or item[5] > loss:
+            masked = item[6]
+            n = (tokens - loss if loss < tokens else tokens) if masked >= tokens else min(tokens, masked + loss)
+            head, item = _cut(item, n)
+            if n == tokens:
+                self._emit([head])
+            else:
+                self._wait(head)
+        self._wait(item)
+
+    def _wait(self, item: tuple) -> None:
         while not self.pool.free:
             self._fill()
         self.pool.put(item)
@@ -88,10 +102,9 @@ class Packer:
             share = left / self.limits**2
             k = int(np.argmax(np.where(fits, pool.tokens * share[0] + share[1] + pool.loss * share[2], -1.0)))
             if not fits[k]:
-                k = int(np.argmax(pool.tokens))
-                if not pool.tokens[k]:
-                    break
-                n = _cut_at(pool.items[k], int(left[0]), int(left[2]))
+                heads = np.minimum(np.minimum(left[0], pool.masked + left[2]), pool.tokens - 1)
+                k = int(np.argmax(heads))
+                n = int(heads[k])
                 if n <= 0:
                     break
                 head, rest = _cut(pool.take(k), n)
@@ -130,11 +143,6 @@ class Packer:
         self.sequence += 1
 
 
-def _cut_at(item: tuple, tokens: int, loss: int) -> int:
-    """The most ids of the item's head that fit."""
-    return min(tokens, item[6] + loss, item[2] - 1)
-
-
 def _cut(item: tuple, n: int) -> tuple[tuple, tuple]:
     doc_id, start, length, ids, doc_tokens, loss, masked = item
     rest = max(0, masked - n)
@@ -164,7 +172,7 @@ def pack(
     ``waiting`` pieces of at most ``max_tokens`` ids besides the document at hand, and a repeated task gives the same
     sequences. Sequence ids are unique: partition number times 2**33, plus a count. Padding is needed only
     where ``max_segments`` very short documents, or loss limits, close a sequence; the last one of a partition is cut into powers of two.
-    An empty table gives no rows; a null or repeated doc_id is carried through; other columns are left out.
+    Limits under 1 raise. An empty table gives no rows; a null or repeated doc_id is carried through; other columns are left out.
     """
     mask = F.lit(0) if masked is None else F.greatest(F.lit(0), F.coalesce(F.col(masked), F.lit(0)))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), mask.cast("long").alias("masked"))
