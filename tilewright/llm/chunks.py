@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 
 import numpy as np
@@ -102,39 +103,42 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows (part, is_next, key, doc_id, text) dealt and sorted so that each document's follower stands after it.
+    """Rows (part, is_next, doc_id, text) dealt and sorted so that each document's follower stands after it.
 
-    The order is descending doc_id (nulls last; equal ids by text). The ids alone are counted in
-    even cells to choose parts of about equal size; the first document of each part is also sent, marked
+    The order is descending doc_id (nulls last; equal ids by text). Parts of about equal size come from approximate quantiles of
+    the ids, whatever values they have; rows of one id stay together. The first documents of each part are also sent, marked
     ``is_next``, to the end of the part before it, and the very first to the end of the last. The texts move once.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
-    low, high = (span[0] or 0) - 1, span[1] if span[1] is not None else 0
-    cells = 64 * parts
-    width = (high - low) // cells + 1
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low))
-    cell = F.expr(f"cast((coalesce(cast(doc_id as bigint), {low}L) - ({low}L)) div {width}L as int)")
-    # at most 64 rows for each part come to the driver
-    counts = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(key).alias("first")).collect()
-    total, seen, part_of, first = sum(r["n"] for r in counts), 0, [0] * cells, {}
-    for r in sorted(counts, key=lambda r: -r["cell"]):
-        p = min(parts - 1, seen * parts // max(1, total))
-        part_of[r["cell"]] = p
-        first.setdefault(p, r["first"])
-        seen += r["n"]
-    used = sorted(first)
-    heads = {}
-    for p, after in zip(used, used[1:] + used[:1], strict=True):
-        heads.setdefault(first[after], []).append(p)
-    part = F.get(F.expr(f"array({','.join(map(str, part_of))})"), cell)
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), part.alias("part"))
-    targets = spark.createDataFrame([(k, p) for k, ps in heads.items() for p in ps], "head long, target int")
-    follow = rows.join(F.broadcast(targets), F.col("key") == F.col("head"))
-    follow = follow.select(F.col("target").alias("part"), F.lit(True).alias("is_next"), "key", "doc_id", "text")
-    both = rows.select("part", F.lit(False).alias("is_next"), "key", "doc_id", "text").unionByName(follow)
-    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "is_next", F.desc("key"), "text")
+    key = F.col("doc_id").cast("long")
+    # fewer numbers than parts come to the driver
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(docs.agg(F.percentile_approx(key, shares, max(10_000, 50 * parts))).first()[0] or [])) if shares else []
+    part = F.when(key.isNull(), len(bounds)).otherwise(_count_above(bounds, key))
+    first = docs.groupBy(part.alias("part")).agg(F.max(key).alias("first")).orderBy("part").collect()
+    targets = [(after["first"], before["part"]) for before, after in zip(first, first[1:] + first[:1], strict=True)]
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), part.alias("part"))
+    heads = spark.createDataFrame(targets, "head long, target int")
+    follow = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")))
+    follow = follow.select(F.col("target").alias("part"), F.lit(True).alias("is_next"), "doc_id", "text")
+    both = rows.select("part", F.lit(False).alias("is_next"), "doc_id", "text").unionByName(follow)
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "is_next", F.desc_nulls_last("doc_id"), "text")
+
+
+def _count_above(bounds: list[int], key: Column) -> Column:
+    """How many of the ascending bounds are above the key; looked up in groups, so that a row meets few of them."""
+    size = max(1, math.isqrt(len(bounds)))
+    down = bounds[::-1]
+    groups = [down[i : i + size] for i in range(0, len(down), size)]
+    if not groups:
+        return F.lit(0)
+    kind = "array<bigint>"
+    lists = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
+    # groups that lie above the key as a whole, then the place in the next one
+    whole = F.size(F.filter(F.lit([g[-1] for g in groups]).cast(kind), lambda b: b > key))
+    within = F.size(F.filter(F.coalesce(F.get(lists, whole), F.array().cast(kind)), lambda b: b > key))
+    return whole * size + within
 
 
 RESULT = T.StructType(
