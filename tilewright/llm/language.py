@@ -1,14 +1,12 @@
 """Language identification by a string kernel.
 
 The kernel of two texts is the number of distinct 1-, 2- and 3-grams that both hold (blended-spectrum
-presence), normalised by their own counts. Nyström landmarks map a text to a few dozen kernel
+presence), normalised by the roots of their own counts of distinct n-grams. Nyström landmarks map a text to a few dozen kernel
 values; one-versus-rest kernel ridge regression on those gives a score for every language.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +15,6 @@ from pyspark.sql import types as T
 
 from tilewright.llm.tokens import arrow_schema, slices, without
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Code points have classes 1 to 119 if common in the landmarks, else one of the rest by block of 128.
 CLASSES, COMMON = 128, 120
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -32,42 +29,46 @@ class KernelModel:
         #: Per language the codes of its common 3-grams, and the least share of a text's 3-grams that must be among them.
         self.known: list[np.ndarray] = [np.zeros(0, dtype=np.int32) for _ in languages]
         self.limits = np.zeros(len(languages))
-        self.slots = self.planes = None
+        self.slots = self.planes = self.stamps = None
 
     def open(self) -> KernelModel:
         """Make the table from n-gram codes to columns; done where the model is used."""
         if self.slots is None:
             self.slots = np.zeros(CLASSES**3, dtype=np.int32)
             self.slots[self.grams] = np.arange(1, len(self.grams) + 1)
+            self.stamps = np.zeros(CLASSES**3, dtype=np.int32)
             # one bit a language
             self.planes = [np.zeros(CLASSES**3, dtype=np.uint8) for _ in range(0, len(self.languages), 8)]
             for k, codes in enumerate(self.known):
                 self.planes[k // 8][codes] |= np.uint8(1 << k % 8)
         return self
 
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of 0 and 1: which landmark n-grams each whole text holds; and its share of 3-grams common in each language (1 if it has none)."""
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of 0 and 1: which landmark n-grams each whole text holds; how many distinct n-grams it has at all; and its share of 3-grams common in each language (1 if it has none)."""
         out = np.zeros((len(texts), len(self.grams) + 1), dtype=np.float32)
-        shares = np.ones((len(texts), 8 * len(self.planes)))
-        for row, share, text in zip(out, shares, texts, strict=True):
+        own, shares = np.ones((len(texts), 1)), np.ones((len(texts), 8 * len(self.planes)))
+        for i, text in enumerate(texts):
             codes = gram_codes(text, self.classes)
-            for c in codes:
-                row[self.slots[c]] = 1.0
+            every = np.concatenate(codes)
+            out[i][self.slots[every]] = 1.0
+            # each distinct code keeps one of its places, whichever was written last
+            place = np.arange(len(every), dtype=np.int32)
+            self.stamps[every] = place
+            own[i] = max(1, np.count_nonzero(self.stamps[every] == place))
             for k, plane in enumerate(self.planes if len(codes[2]) else []):
-                share[8 * k : 8 * k + 8] = np.bincount(plane[codes[2]], minlength=256) @ _BITS / len(codes[2])
-        return out[:, 1:], shares[:, : len(self.languages)]
+                shares[i, 8 * k : 8 * k + 8] = np.bincount(plane[codes[2]], minlength=256) @ _BITS / len(codes[2])
+        return out[:, 1:], own, shares[:, : len(self.languages)]
 
-    def _kernel(self, x: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
-        return (x @ self.matrix) / (own * self.norms)
+    def _kernel(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return (x @ self.matrix) / (np.sqrt(own) * self.norms)
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        return self._kernel(self.presence(texts)[0])
+        return self._kernel(*self.presence(texts)[:2])
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The best language of each text, and its score: 0 where too few of the 3-grams are common in that language."""
-        x, shares = self.presence(texts)
-        s = self._kernel(x) @ self.weights + self.bias
+        x, own, shares = self.presence(texts)
+        s = self._kernel(x, own) @ self.weights + self.bias
         k, row = s.argmax(axis=1), np.arange(len(texts))
         return k, np.where(shares[row, k] >= self.limits[k], np.clip(s[row, k], 0.0, 1.0), 0.0)
 
@@ -144,35 +145,38 @@ def held_out(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, per_language: int, max_chars: int) -> DataFrame:
-    """The ``per_language`` distinct learnable texts of each language with the lowest hashes, or all if it has fewer.
+def training_sample(docs: DataFrame, per_language: int, max_chars: int, max_languages: int = 64) -> DataFrame:
+    """The ``per_language`` distinct learnable texts of each language with the lowest hashes, or all if it has fewer; of the ``max_languages`` languages with the most rows (of equals, the first in order).
 
     Rows with null lang or text, without a letter, or held out are not learned from. A text longer than ``max_chars`` is cut into even
     windows of at most so many characters, which are drawn like texts. Only hashes are ranked: copies merge before, and texts are
-    fetched for the hashes drawn.
+    fetched for the hashes drawn. The lowest of each 64th of a language's hashes are found first, so that no task ranks a whole language.
     """
     able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    most = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    able = able.join(F.broadcast(most), "lang")
     n = F.ceil(F.length("text") / max_chars)
     width = F.ceil(F.length("text") / n).cast("int")
     windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(F.col("text"), i * width + 1, width))
     long = F.length("text") > max_chars
     able = able.where(~long).unionByName(able.where(long).select("lang", F.explode(windows).alias("text")))
     able = able.where(F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
-    lowest = Window.partitionBy("lang").orderBy("h")
-    drawn = able.select("lang", "h").distinct().withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= per_language)
-    return able.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text", "r")
+    drawn = able.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
+    for group in (["lang", "salt"], ["lang"]):
+        drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("r") <= per_language)
+    return able.join(F.broadcast(drawn.drop("salt")), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text", "r")
 
 
-def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, max_chars: int = 8000) -> KernelModel:
-    """Fit on a bounded sample: at most ``per_language`` texts of ``max_chars`` characters for each language come to the driver."""
-    rows = sorted((r["r"], r["lang"], r["text"]) for r in training_sample(docs, per_language, max_chars).collect())
+def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, max_chars: int = 8000, max_languages: int = 64) -> KernelModel:
+    """Fit on a bounded sample: at most ``per_language`` texts of ``max_chars`` characters for each of at most ``max_languages`` languages come to the driver."""
+    rows = sorted((r["r"], r["lang"], r["text"]) for r in training_sample(docs, per_language, max_chars, max_languages).collect())
     return fit([r[2] for r in rows], [r[1] for r in rows], landmarks)
 
 
 def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) from the whole text alone.
 
-    A null text, one without a letter, or a model that learned no language gives ``und`` and 0. Scores over the languages sum to 1, so one
+    A null text, one without a letter (Unicode category L), or a model that learned no language gives ``und`` and 0. Scores over the languages sum to 1, so one
     is always best; a text with too few 3-grams common in it, against the limit from the training sample, has the score 0: it is in no
     learned language. Ties go to the language first in
     order. An added name that the input already has is replaced. Texts are scored in batches of a few dozen by matrix
@@ -188,7 +192,7 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
         m = shared.value.open()
         for batch in slices(batches, 48):
             texts = batch.column(at).to_pylist()
-            known = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if m.languages else []
+            known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if m.languages else []
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if known:
                 for i, k, v in zip(known, *m.best([texts[i] for i in known]), strict=True):
@@ -199,5 +203,5 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
 
 
 def _closed(model: KernelModel) -> KernelModel:
-    model.slots = model.planes = None
+    model.slots = model.planes = model.stamps = None
     return model

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +14,10 @@ from tilewright.llm.packing import pack
 from tilewright.llm.quality import quality
 from tilewright.plans.staging import scratch_dir, stage
 
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str) -> str:
     """Where a vocabulary file lies; the folder is the same on every executor."""
-    return os.path.join(TOKENIZERS, name)
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
