@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -213,5 +213,8 @@ def _hull(points):
 
 
 def largest_first(df: DataFrame, ring: str = "ring", image: str = "img") -> DataFrame:
-    """Rank of each object in its image by area, largest 1; ties by id."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(area(F.col(ring))), "id")))
+    """Rank of each object in its image by area, largest 1; ties by id. Images of any number of objects: no task sorts a whole one."""
+    from tilewright.plans.order import rank_within
+
+    sized = df.withColumn("_size", area(F.col(ring)))
+    return rank_within(sized, [image], [F.desc("_size"), F.col("id")]).withColumn("rank", (F.col("rank") + 1).cast("int")).drop("_size")

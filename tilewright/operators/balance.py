@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.plans.order import hash_key, prefix_sum
+from tilewright.plans.order import hash_key, prefix_sum, rank_within
 
 
 def shuffled(df: DataFrame, key: list | None = None, seed: int = 0, unique: str = "pos") -> DataFrame:
@@ -51,8 +49,7 @@ def bucket_probabilities(df: DataFrame, ratio: Column, threshold: float, by: lis
 def positive_negative(df: DataFrame, positive: Column, n: int, factor: float, key: list, unique: str = "pos") -> DataFrame:
     """n positives and n negatives by hash order are validation; of the rest p(positive) = 1/S, p(negative) = factor/(S * negatives), S = positives + factor."""
     marked = df.withColumn("positive", positive)
-    pos, neg = prefix_sum(marked.where("positive"), key, out="rank"), prefix_sum(marked.where("not positive"), key, out="rank")
-    both = pos.unionByName(neg).withColumn("split", F.when(F.col("rank") < n, "validation").otherwise("training"))
+    both = rank_within(marked.where("positive is not null"), ["positive"], key, few=True).withColumn("split", F.when(F.col("rank") < n, "validation").otherwise("training"))
     totals = both.where("split = 'training'").agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
     s = F.col("np") + F.lit(float(factor))
     p = F.when(F.col("split") == "training", F.when(F.col("positive"), 1 / s).otherwise(F.try_divide(F.lit(float(factor)), s * F.col("nn"))))
@@ -64,11 +61,9 @@ def category_quotas(df: DataFrame, categories: list[str], quota: int, key: list[
 
     A patch of several categories can be on both sides; validation wins, unless parity keeps both.
     """
-    parts = []
-    for c in categories:
-        ranked = prefix_sum(df.where(F.col(c) > 0), key, out="rank")
-        parts.append(ranked.select(unique, F.when(F.col("rank") < quota, "validation").otherwise("training").alias("split")))
-    both = reduce(DataFrame.union, parts).distinct()
+    wanted = F.filter(F.array(*[F.when(F.col(c) > 0, c) for c in categories]), lambda c: c.isNotNull())
+    ranked = rank_within(df.withColumn("_category", F.explode(wanted)), ["_category"], key, few=True)
+    both = ranked.select(unique, F.when(F.col("rank") < quota, "validation").otherwise("training").alias("split")).distinct()
     if parity:
         return both
     return both.groupBy(unique).agg(F.max("split").alias("split"))
@@ -109,8 +104,9 @@ def blank_annotations(images: DataFrame) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    """The first n rows of each group; fewer where there are fewer."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).where(F.col("rank") < n)
+    """The first n rows of each group, with their ``rank`` from 0; fewer where there are fewer. Each task sends on no more than n rows of a group."""
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n)
+    return first.withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def class_list(names: str) -> list[dict]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.plans.staging import drop_staged, stage
+from tilewright.plans.staging import drop_staged, scratch_dir, stage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -48,25 +51,50 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def first_wins(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst", max_rounds: int = 20_000) -> DataFrame:
-    """The nodes that a loop in ascending order keeps when each kept node drops its later neighbours.
+def first_wins(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst", max_rounds: int = 20_000, task_edges: int = 200_000) -> DataFrame:
+    """The nodes that a loop in ascending order keeps when each kept node drops its later neighbours. Rows: (node).
 
-    One round keeps every node that has no smaller active neighbour and drops the neighbours of
-    those, so the answer is the sequential one; a sorted chain is the worst case and takes as
-    many rounds as half its length. Rows: (node).
+    Connected components are independent: each of up to ``task_edges`` edges is settled in one task. In larger ones a round
+    keeps every node that has no smaller active neighbour and drops the neighbours of those, so the answer is the sequential
+    one; there a sorted chain is the worst case and takes as many rounds as half its length. Only new nodes are written in a round.
     """
-    pair = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    links = stage(pair.union(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    active = stage(nodes.select(F.col(node).alias("n")).distinct(), "active")
-    kept = None
+    spark = nodes.sparkSession
+    pair = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a <> b").distinct()
+    links = stage(pair, "links")
+    every = nodes.select(F.col(node).alias("n")).where("n is not null").distinct()
+    parts = stage(connected_components(links, "a", "b"), "parts")
+    dealt = links.join(parts, links.a == parts.node).select("a", "b", "component")
+    sizes = stage(dealt.groupBy("component").agg(F.count("*").alias("_m")), "sizes")
+    kind = links.schema["a"].dataType.simpleString()
+
+    def settle(rows):
+        gone, later = set(), {}
+        for a, b in zip(rows.a, rows.b):
+            later.setdefault(b, []).append(a)
+        for b in sorted(later):
+            if b not in gone:
+                gone.update(later[b])
+        return pd.DataFrame({"n": sorted(gone)}, dtype=rows.a.dtype)
+
+    small = dealt.join(sizes.where(F.col("_m") <= task_edges), "component")
+    dropped = stage(small.groupBy("component").applyInPandas(settle, f"n {kind}"), "dropped")
+    large = dealt.join(sizes.where(F.col("_m") > task_edges), "component").select("a", "b")
+    folder = f"{scratch_dir(spark)}/dropped-{uuid.uuid4().hex}"
+    dropped.limit(0).write.parquet(folder)
+    active = stage(large, "links")
     for _ in range(max_rounds):
-        blocked = links.where("b < a").select(F.col("a").alias("n")).distinct()
-        won = stage(active.join(blocked, "n", "left_anti"), "won")
-        kept = won if kept is None else stage(kept.unionByName(won), "kept")
-        gone = won.unionByName(links.join(won, links.a == won.n, "left_semi").select(F.col("b").alias("n"))).distinct()
-        active = stage(active.join(gone, "n", "left_anti"), "active")
         if active.isEmpty():
-            return kept.withColumnRenamed("n", node)
-        left = links.join(active, links.a == active.n, "left_semi")
-        links = stage(left.join(active, left.b == active.n, "left_semi"), "links")
-    raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+            break
+        # a node that is nobody's later neighbour stays, and its later neighbours go
+        won = active.select(F.col("b").alias("n")).distinct().join(active.select(F.col("a").alias("n")).distinct(), "n", "left_anti")
+        lost = stage(active.join(won, active.b == won.n, "left_semi").select(F.col("a").alias("n")).distinct(), "lost")
+        lost.write.mode("append").parquet(folder)
+        left = active.join(lost, active.a == lost.n, "left_anti")
+        after = stage(left.join(lost, left.b == lost.n, "left_anti"), "links")
+        drop_staged(active)
+        drop_staged(lost)
+        active = after
+    else:
+        raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+    gone = dropped.unionByName(spark.read.schema(dropped.schema).parquet(folder))
+    return every.join(gone, "n", "left_anti").withColumnRenamed("n", node)
