@@ -161,11 +161,11 @@ def near_texts(n=60, seed=3):
     return out | {200: None, 201: "", 202: "two words", 203: "Two WORDS"}
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
-def test_near_duplicates(spark, limit):
-    known = near_texts()
+@pytest.mark.parametrize("limits", [(4096, 512), (4096, 16), (16, 8)])
+def test_near_duplicates(spark, limits):
+    known = near_texts(120)
     d = spark.createDataFrame(list(known.items()), "doc_id long, text string").withColumn("rep", F.lit(1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, words=4, max_group=limit).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, words=4, max_group=limits[0], task_rows=limits[1]).collect()}
     assert got == jaccard_components(known, 4, 80)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.tokens import arrow_schema, slices
 from tilewright.plans.components import connected_components
-from tilewright.plans.staging import stage
+from tilewright.plans.order import prefix_sum
+from tilewright.plans.staging import Staged
 
 #: Signature orders, and hashes of the shallowest region: a pair at 0.8 misses all orders once in about 40,000.
 TREES, DEPTH = 20, 4
@@ -117,61 +119,104 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n_shingles", "signature", trees.alias("tree")).withColumn("region", _prefix(F.col("tree"), DEPTH))
 
 
-def neighbours(reps: DataFrame) -> DataFrame:
-    """Longest-common-prefix neighbours: in each order, each representative and the one sorted before it in its region.
+PLACED = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "edge", "tree", "region", "rep", "before")])
 
-    Regions are counted by their keys alone; signatures go only to regions of two or more, a small part of all.
+
+def neighbours(reps: DataFrame, staged: Staged) -> DataFrame:
+    """(rep, before): longest-common-prefix neighbours: in each order, each representative and the one sorted before it in its region.
+
+    Regions are counted by their keys alone; signatures go only to regions of two or more, a small part of all. The
+    orders are sorted as one, by range, so a region of any size lies over many tasks; the first and last row of every
+    task are compared afterwards.
     """
-    keyed = forest(reps).select("rep", "tree", "region")
+    keyed = forest(reps).select("rep", F.col("tree").cast("long").alias("tree"), "region")
     shared = keyed.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     placed = keyed.join(shared, ["tree", "region"]).join(reps.select("rep", "signature"), "rep")
-    key = F.concat("signature", "signature").substr(F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * HASHES))
-    order = Window.partitionBy("tree", "region").orderBy("key", "rep")
-    before = placed.withColumn("key", key).withColumn("before", F.lag("rep").over(order))
-    return before.where("before is not null").select("rep", "before").distinct()
+    key = F.concat("signature", "signature").substr((F.col("tree") * (4 * DEPTH) + 1).cast("int"), F.lit(4 * HASHES))
+    order = ["tree", "region", "key", "rep"]
+    dealt = placed.withColumn("key", key).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        part, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            if not len(rows):
+                continue
+            above = np.concatenate([[[-1, 0, 0]] if last is None else last, rows[:-1]])
+            before = np.where((above[:, :2] == rows[:, :2]).all(axis=1), above[:, 2], -1)
+            edge = np.zeros(len(rows), dtype=np.int64)
+            edge[0] = last is None
+            last = rows[-1:]
+            yield made(part, edge, rows, before)
+        if last is not None:
+            yield made(part, np.array([2]), last, np.array([-1]))
+
+    def made(part, edge, rows, before):
+        columns = [np.full(len(rows), part), edge, *rows.T, before]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=PLACED.names)
+
+    rows = staged(dealt.select("tree", "region", "rep").mapInArrow(run, PLACED), "placed")
+    inside = rows.where("before >= 0").select("rep", "before")
+    # two rows for each task
+    ends = Window.orderBy("part", "edge")
+    bounds = rows.where("edge > 0").select("*", *[F.lag(c).over(ends).alias(f"_{c}") for c in ("part", "tree", "region", "rep")])
+    across = bounds.where("part <> _part and tree = _tree and region = _region").select("rep", F.col("_rep").alias("before"))
+    return inside.unionByName(across).distinct()
+
+
+def _block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, grp): every two of a cluster's blocks meet in one group, so all its pairs are compared.
+
+    ``rows`` has (rep, component), ``sizes`` (component, blocks).
+    """
+    dealt = rows.join(sizes, "component").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    met = dealt.select("rep", "component", "slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("rep", F.format_string("p%d-%d-%d", "component", F.least("slot", "other"), F.greatest("slot", "other")).alias("grp"))
 
 
-def _deep_regions(reps: DataFrame, max_group: int, max_shingles: int) -> DataFrame:
+def _deep_regions(reps: DataFrame, rows: int, max_shingles: int, staged: Staged) -> DataFrame:
     """(rep, grp) for crowded clusters: in each order the shallowest region that holds few enough documents.
 
     What no depth divides is nearly the same text throughout: it is cut along its sorted order into
-    runs that share one document with the next, so nothing is left out.
+    runs that share one document with the next, so nothing is left out. The order is a global one, sorted by range.
     """
-    left = stage(forest(reps).drop("region"), "deep")
+    left = staged(forest(reps).drop("region"), "deep")
     found = None
     for depth in LADDER:
         keyed = left.withColumn("region", _prefix(F.col("tree"), depth))
         sizes = keyed.groupBy("tree", "region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-        fits = (F.col("n") <= max_group) & (F.col("s") <= max_shingles)
+        fits = (F.col("n") <= rows) & (F.col("s") <= max_shingles)
         settled = keyed.join(sizes.where(fits & (F.col("n") > 1)).select("tree", "region"), ["tree", "region"])
         settled = settled.select("rep", F.format_string("t%d-%d-%d", "tree", F.lit(depth), "region").alias("grp"))
         found = settled if found is None else found.unionByName(settled)
-        left = stage(keyed.join(sizes.where(~fits).select("tree", "region"), ["tree", "region"]).drop("region"), "deep")
+        left = staged(keyed.join(sizes.where(~fits).select("tree", "region"), ["tree", "region"]).drop("region"), "deep")
         if left.isEmpty():
             return found
-    order = Window.partitionBy("tree", "region").orderBy("signature", "rep")
-    keyed = left.withColumn("region", _prefix(F.col("tree"), LADDER[-1]))
-    runs = keyed.withColumn("at", F.row_number().over(order) - 1).withColumn("w", F.sum("n_shingles").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.floor(F.greatest(F.col("at") / (max_group / 2), F.col("w") / (max_shingles / 2)))
-    runs = runs.withColumn("run", run).withColumn("next", F.lead("run").over(order))
-    both = runs.select("rep", "tree", "region", F.explode(F.array_distinct(F.array(F.col("run"), F.coalesce("next", "run")))).alias("run"))
+    # a run holds a million units, of rows or of shingles
+    unit = 2_000_000
+    weight = F.greatest(F.lit(-(-unit // rows)).cast("long"), F.ceil(F.col("n_shingles") * unit / max_shingles))
+    keyed = left.withColumn("region", _prefix(F.col("tree"), LADDER[-1])).withColumn("weight", weight)
+    placed = prefix_sum(keyed.select("rep", "tree", "region", "signature", "weight"), ["tree", "region", "signature", "rep"], F.col("weight"), "at")
+    first = placed.groupBy("tree", "region").agg(F.min("at").alias("first"))
+    own = placed.join(first, ["tree", "region"]).withColumn("at", F.col("at") - F.col("first"))
+    run, after = F.expr(f"at div {unit // 2}"), F.expr(f"(at + weight) div {unit // 2}")
+    both = own.select("rep", "tree", "region", F.explode(F.array_distinct(F.array(run, after))).alias("run"))
     return found.unionByName(both.select("rep", F.format_string("r%d-%d-%d", "tree", "region", "run").alias("grp")))
 
 
-def _rest_against_all(crowded: DataFrame, linked: DataFrame, max_group: int, max_shingles: int) -> DataFrame:
+def _rest_against_all(crowded: DataFrame, linked: DataFrame, rows: int, max_shingles: int, staged: Staged) -> DataFrame:
     """(rep, grp) of block pairs: what regions left outside a cluster's largest component, against the whole cluster.
 
     ``crowded`` has (rep, n_shingles, component), ``linked`` (node, component). Every pair with one end outside the
     largest component meets in one block pair, so no link is lost however dense the cluster is.
     """
-    rows = crowded.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rows = stage(rows, "crowded")
-    largest = rows.groupBy("component", "root").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("root", F.struct(F.col("n"), -F.col("root"))).alias("main"))
-    marked = rows.join(largest, "component").withColumn("rest", F.col("root") != F.col("main"))
+    known = crowded.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = staged(known, "crowded")
+    largest = known.groupBy("component", "root").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("root", F.struct(F.col("n"), -F.col("root"))).alias("main"))
+    marked = known.join(largest, "component").withColumn("rest", F.col("root") != F.col("main"))
 
     def blocks(inside) -> Column:
-        n, s = F.sum(inside.cast("int")), F.sum(F.when(inside, F.col("n_shingles")))
-        return F.ceil(F.greatest(n / (max_group / 2), F.coalesce(s, F.lit(0)) / (max_shingles / 2))).cast("int")
+        return _blocks(F.sum(inside.cast("int")), F.coalesce(F.sum(F.when(inside, F.col("n_shingles"))), F.lit(0)), rows, max_shingles)
 
     counts = marked.groupBy("component").agg(blocks(F.lit(True)).alias("all_blocks"), blocks(F.col("rest")).alias("rest_blocks")).where("rest_blocks > 0")
     dealt = marked.join(counts, "component")
@@ -181,6 +226,11 @@ def _rest_against_all(crowded: DataFrame, linked: DataFrame, max_group: int, max
     return whole.unionByName(rest).select("rep", F.format_string("b%d-%d-%d", "component", "r", "a").alias("grp")).distinct()
 
 
+def _blocks(n: Column, shingles: Column, rows: int, max_shingles: int) -> Column:
+    """Blocks of a cluster, of which two fill a task."""
+    return F.ceil(F.greatest(n / (rows / 2), shingles / (max_shingles / 2))).cast("int")
+
+
 LINKS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("root", T.LongType())])
 
 
@@ -224,38 +274,48 @@ def link_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int
     return [ids[r] for r in root]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, max_shingles: int = 8_000_000, keys: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, task_rows: int = 512, max_shingles: int = 8_000_000, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach), kept.
 
     Two documents link if their sets of ``words``-word shingles have a Jaccard similarity of at least ``percent``
     hundredths. Documents of equal sets are one class, represented by its least id. Each class has its place in
-    TREES sorted signature orders; neighbours with a common prefix of DEPTH hashes or more chain into clusters. A cluster of
-    up to ``max_group`` classes and ``max_shingles`` shingles is settled in one task by exact intersections
-    of all its sets; a larger one is divided, order by order, into regions as deep as it takes for each to be that small,
-    and their links are joined; then what is still outside the largest component of such a cluster is compared with all of
-    it in blocks. A pair of similarity s is in different clusters with a probability below (1 - s**4)**20.
+    TREES sorted signature orders; neighbours with a common prefix of DEPTH hashes or more chain into clusters. All sets of a
+    cluster are intersected exactly, in tasks of about ``task_rows`` classes and ``max_shingles`` shingles: a cluster of up to so many in one
+    of them, one of up to ``max_group`` classes in blocks, every two of which meet. A larger one is divided, order by order, into
+    regions as deep as it takes for each to be as small as a task, and their links are joined; then what is still outside the largest
+    component of such a cluster is compared with all of it in blocks. A pair of similarity s is in different clusters with a
+    probability below (1 - s**4)**20.
 
     Null texts and texts without words have empty sets: they link with nothing and are kept. Rows with a null
     doc_id come back with themselves as component null and kept. Repeated ids give repeated rows, each with the verdict on
     its own text: texts under one id are classes of their own, and where such texts lead a component together, only
     the class with the lesser digest is kept. With ``keys`` each row also has ``text_key`` and ``set_key``. An empty table gives no rows.
-    Other columns are left out.
+    Other columns are left out. Tables staged on the way are deleted, but for the sketches and classes that the result reads.
     """
-    marks = stage(sketches(docs, words), "sketches")
+    with Staged() as staged:
+        return _near_duplicates(docs, words, percent, max_group, task_rows, max_shingles, keys, staged)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, max_group: int, task_rows: int, max_shingles: int, keys: bool, staged: Staged) -> DataFrame:
+    marks = staged.keep(staged(sketches(docs, words), "sketches"))
     classes = marks.where("set_key is not null and doc_id is not null").groupBy("set_key")
     classes = classes.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     # a class has a number of its own, since one id can have several; it is fixed by being written
-    reps = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    clusters = stage(connected_components(neighbours(reps), "rep", "before"), "clusters")
+    reps = staged.keep(staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes"))
+    clusters = staged(connected_components(neighbours(reps, staged), "rep", "before"), "clusters")
     sizes = clusters.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    fits = (F.col("n") <= max_group) & (F.col("s") <= max_shingles)
-    small = clusters.join(sizes.where(fits).select("component"), "component").select(F.col("node").alias("rep"), F.format_string("c%d", "component").alias("grp"))
-    large = sizes.where(~fits).select("component")
-    crowded, groups = None, small
+    sizes = staged(sizes.withColumn("blocks", _blocks(F.col("n"), F.col("s"), task_rows, max_shingles)), "sizes")
+    one, some = F.col("blocks") <= 2, F.col("blocks") <= 2 * -(-max_group // task_rows)
+    rows = clusters.withColumnRenamed("node", "rep")
+    groups = rows.join(sizes.where(one).select("component"), "component").select("rep", F.format_string("c%d", "component").alias("grp"))
+    middle, large = sizes.where(~one & some), sizes.where(~some)
+    if not middle.isEmpty():
+        groups = groups.unionByName(_block_pairs(rows, middle.select("component", "blocks")))
+    crowded = None
     if not large.isEmpty():
-        crowded = stage(clusters.join(large, "component").withColumnRenamed("node", "rep").join(reps, "rep"), "dense")
-        groups = small.unionByName(_deep_regions(crowded.select(*reps.columns), max_group, max_shingles))
-    groups = stage(groups, "groups")
+        crowded = staged(rows.join(large.select("component"), "component").join(reps, "rep"), "dense")
+        groups = groups.unionByName(_deep_regions(crowded.select(*reps.columns), task_rows, max_shingles, staged))
+    groups = staged(groups, "groups")
 
     def sets(batches):
         for batch in slices(batches):
@@ -263,11 +323,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
             keys = [xxhash.xxh3_128_digest(m) for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["least", "set_key", "shingles"])
 
-    members = reps.join(clusters.select(F.col("node").alias("rep")), "rep").select("rep", "least", "set_key")
+    members = reps.join(rows.select("rep"), "rep").select("rep", "least", "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(members.select("least"), "least", "left_semi")
     made = texts.mapInArrow(sets, "least long, set_key binary, shingles binary")
     # where an id is repeated, each of its classes takes part
-    full = stage(made.join(members, ["least", "set_key"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
+    full = staged(made.join(members, ["least", "set_key"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
     def settle(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_pylist()
@@ -275,12 +335,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_grou
         return pa.table({"rep": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64())})
 
     def settled(dealt: DataFrame) -> DataFrame:
-        return stage(full.join(dealt, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
+        return staged(full.join(dealt, "rep").groupBy("grp").applyInArrow(settle, LINKS), "links")
 
     links = settled(groups)
     if crowded is not None:
         so_far = connected_components(links, "rep", "root")
-        links = links.unionByName(settled(_rest_against_all(crowded.select("rep", "n_shingles", "component"), so_far, max_group, max_shingles)))
+        links = links.unionByName(settled(_rest_against_all(crowded.select("rep", "n_shingles", "component"), so_far, task_rows, max_shingles, staged)))
     final = connected_components(links, "rep", "root")
     placed = reps.select("set_key", "least", "rep").join(final, F.col("rep") == F.col("node"), "left").select("set_key", "least", F.coalesce("component", "rep").alias("component"))
     leads = placed.groupBy("component").agg(F.min(F.struct("least", "set_key")).alias("lead"))
