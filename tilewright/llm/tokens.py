@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,7 +27,8 @@ class WordEncoder:
     Valid for vocabularies whose pre-tokens never hold white space, so that the ids of a text are
     those of its white-space-delimited chunks one after another. Chunks seen before come from a
     dictionary of at most ``limit`` entries, emptied when full; others are encoded by the library:
-    plain Latin words by its model directly, everything else by its whole pipeline.
+    a Latin word, alone or with ASCII marks after it, by its model directly (word and marks are a pre-token
+    each), everything else by its whole pipeline. A chunk's ids never depend on what was encoded before.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -36,11 +36,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-        self.direct = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str().replace(" ", "").replace('\\"', '"')
+        letters = _byte_letters()
+        plain = [c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha()]
+        self.lower = {ord(c): "".join([letters[b] for b in c.lower().encode()]) for c in plain}
+        direct = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str().replace(" ", "").replace('\\"', '"')
+        self.known = _Known(self, limit, re.compile(f"([{''.join(plain)}]+)([!-/:-@\\[-`{{-~]*)").fullmatch if direct else lambda chunk: None)
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -49,57 +49,34 @@ class WordEncoder:
             _KEPT[path] = WordEncoder(path)
         return _KEPT[path]
 
-    def _core(self, word: str) -> bytes | None:
-        """Ids of a word of Latin letters; None if the whole pipeline has to see it."""
-        if not word.isalpha() or max(word) > "ɏ" or not self.direct:
-            return None
-        low = unicodedata.normalize("NFC", word)
-        low = "".join([c.lower() for c in low]) if not low.isascii() else low.lower()
-        if not low.isalpha():
-            return None
-        mapped = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
-        return _pack([x.id for x in self.model.tokenize(mapped)])
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > self.limit:
-            self.known.clear()
-        known, whole = self.known, []
-        for chunk in chunks:
-            ids = self._core(chunk)
-            if ids is None and chunk[-1] in ".,;:!?" and len(chunk) > 1:
-                # a mark after a letter is a pre-token of its own
-                head, mark = chunk[:-1], chunk[-1]
-                ids = known.get(head) if head.isalpha() else None
-                ids = self._core(head) if ids is None else ids
-                ids = None if ids is None else ids + self._mark(mark)
-            if ids is None:
-                whole.append(chunk)
-            else:
-                known[chunk] = ids
-        for chunk, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            known[chunk] = _pack(e.ids)
-
-    def _mark(self, mark: str) -> bytes:
-        key = " " + mark
-        if key not in self.known:
-            self.known[key] = _pack(self.tokenizer.encode(mark, add_special_tokens=False).ids)
-        return self.known[key]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_CHUNK.findall(t) if any(c in t for c in _ODD) else t.split() for t in texts]
-        out = []
-        for chunks in split:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                self._learn(set(chunks).difference(self.known))
-                out.append(b"".join([self.known[c] if c in self.known else self._one(c) for c in chunks]))
-        return out
-
-    def _one(self, chunk: str) -> bytes:
-        self._learn({chunk})
-        return self.known[chunk]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, _CHUNK.findall(t) if any(c in t for c in _ODD) else t.split())) for t in texts]
+
+
+class _Known(dict):
+    """Chunks to their packed ids, made when first asked for."""
+
+    def __init__(self, encoder: WordEncoder, limit: int, parts):
+        self.limit, self.parts, self.lower, self.marks = limit, parts, encoder.lower, {"": b""}
+        self.word, self.whole = encoder.tokenizer.model.tokenize, encoder.tokenizer.encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.parts(chunk)
+        if found is None:
+            ids = _pack(self.whole(chunk, add_special_tokens=False).ids)
+        else:
+            word, marks = found.groups()
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[marks] = _pack([t.id for t in self.word(marks)])
+            ids = _pack([t.id for t in self.word(word.lower() if word.isascii() else word.translate(self.lower))]) + self.marks[marks]
+        if len(self) >= self.limit:
+            self.clear()
+        self[chunk] = ids
+        return ids
 
 
 def _pack(ids: list[int]) -> bytes:
