@@ -135,12 +135,14 @@ def decode_blocks(n_ids: int, symbols: np.ndarray, frequencies: np.ndarray, word
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment: int = 1 << 20) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write containers in ascending doc_id order to ``path``.
 
-    The texts are range-partitioned by doc_id once (nulls first; equal ids by text) and each task encodes,
+    The texts are range-partitioned by doc_id once (nulls first; equal ids by their texts' hashes) and each task encodes,
     models and writes its own range, holding one container's ids. A container ends in front of a document that would
     not fit; only a document of more than ``segment`` ids runs on over containers. Container order is (part, container). An empty table writes an empty file set.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a repeated id can be cut between its texts; their hashes stand for them in the bounds
+    h = F.xxhash64("text")
+    dealt = source.repartitionByRange("doc_id", h).sortWithinPartitions("doc_id", h, "text")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
