@@ -169,9 +169,39 @@ def test_hull_and_rings(spark):
 
 
 def test_utm(spark):
-    got = spark.range(1).select(G.utm(F.lit(-99.0), F.lit(0.0), 14).alias("p"), G.utm(F.lit(9.0), F.lit(48.0), 32).alias("q")).first()
-    assert abs(got.p.x - 500000) < 1e-6 and abs(got.p.y) < 1e-6
-    assert abs(got.q.x - 500000) < 1e-6 and abs(got.q.y - 5316300) < 600
+    got = spark.range(1).select(*[G.utm(F.lit(x), F.lit(y), 32).alias(n) for n, x, y in (("o", 9.0, 0.0), ("edge", 12.0, 0.0), ("mid", 9.0, 45.0))]).first()
+    assert abs(got.o.x - 500000) < 1e-6 and abs(got.o.y) < 1e-6
+    # fixed values: the easting of a zone's edge at the equator; 0.9996 times the WGS84 meridian arc to 45 degrees
+    assert abs(got.edge.x - 833978.5569) < 1e-3 and abs(got.edge.y) < 1e-6
+    assert abs(got.mid.x - 500000) < 1e-6 and abs(got.mid.y - 0.9996 * 4984944.3780) < 1e-3
+
+
+def test_intersects(spark):
+    square, hole = [(0, 0), (0, 9), (9, 9), (9, 0)], [(2, 2), (2, 7), (7, 7), (7, 2)]
+    cases = [
+        ([square, hole], [[(3, 3), (4, 4)]], False), ([square, hole], [[(3, 3), (8, 8)]], True), ([square], [[(3, 3), (4, 4)]], True), ([square], [[(9, 9), (12, 9)]], True),
+        ([square], [[(9, 3), (9, 20)]], True), ([square], [[(10, 3), (12, 20)]], False), ([square], [[(5, 5)]], True), ([square, hole], [[(5, 5)]], False), (None, [[(5, 5)]], False), ([square], [], False),
+    ]
+    parts = lambda g: None if g is None else [[(float(x), float(y)) for x, y in p] for p in g]
+    d = spark.createDataFrame([(i, parts(a), parts(b)) for i, (a, b, _) in enumerate(cases)], f"i int, a array<{RING}>, b array<{RING}>")
+    got = {r.i: r.x for r in d.select("i", G.intersects(F.col("a"), F.col("b"), True, False).alias("x")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+    seg = spark.createDataFrame([((0.0, 0.0), (4.0, 0.0), (2.0, 0.0), (9.0, 0.0)), ((0.0, 0.0), (4.0, 0.0), (5.0, 0.0), (9.0, 0.0))], "a struct<x:double,y:double>, b struct<x:double,y:double>, c struct<x:double,y:double>, d struct<x:double,y:double>")
+    met = seg.select(G.meeting_points(F.struct("a", "b"), F.struct(F.col("c").alias("a"), F.col("d").alias("b"))).alias("p")).collect()
+    assert [sorted((p.x, p.y) for p in r.p) for r in met] == [[(2, 0), (4, 0)], []]
+
+
+def test_crossing_lines_are_not_isolated(spark):
+    d = spark.createDataFrame([(1, 0, 5, 10, 5), (2, 5, 0, 5, 9), (3, 50, 50, 60, 60)], "line_id long, x0 long, y0 long, x1 long, y1 long")
+    assert {r.line_id: r.kind for r in graph.line_kinds(d).collect()} == {1: "dangling", 2: "dangling", 3: "isolated"}
+    assert sorted((r.line_id, r.neighbour) for r in graph.longest_neighbour(d).collect()) == [(1, 2), (2, 1)]
+
+
+def test_combine_finds_mixed_systems(spark):
+    d = spark.createDataFrame([(1, [[(0.0, 0.0)]], 32632)], f"id long, parts array<{RING}>, epsg int")
+    assert vector.combine([d, d]).select("id").count() == 2
+    with pytest.raises(ValueError, match="mixed coordinate systems"):
+        vector.combine([d, d.withColumn("epsg", F.lit(4326))]).select("id")
 
 
 def test_readers(spark, tmp_path):
@@ -189,8 +219,13 @@ def test_readers(spark, tmp_path):
         {"type": "Feature", "properties": {"k": 1}, "geometry": {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]}},
         {"type": "Feature", "properties": {"k": 2}, "geometry": None},
         {"type": "Feature", "properties": {"k": 3}, "geometry": {"type": "Point", "coordinates": [5, 6]}},
+        {"type": "Feature", "properties": {"k": 4}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [0, 9], [9, 9], [9, 0], [0, 0]], [[1, 1], [1, 3], [3, 3], [3, 1], [1, 1]]], [[[20, 0], [20, 2], [22, 2], [20, 0]]]]}},
     ]}))
-    got = {r.k: r.parts for r in readers.read_features(spark, shapes, "k:int").collect()}
+    read = readers.read_features(spark, shapes, "k:int")
+    area = {r.k: r.a for r in read.select("k", G.polygon_area(F.col("polygons")).alias("a")).collect()}
+    assert area == {1: None, 2: None, 3: None, 4: 79.0}
+    got = {r.k: r.parts for r in read.collect()}
+    assert [len(p) for p in got[4]] == [4, 4, 3]
     assert len(got[1]) == 2 and got[2] is None and (got[3][0][0].x, got[3][0][0].y) == (5, 6)
     table = put("c.csv", "pixel_value , category_name\n 1 , road \n2,house\n")
     assert [(r.pixel_value, r.category_name, r.vectorize, r.min_area) for r in readers.read_categories(spark, table).collect()] == [(1, "road", True, None), (2, "house", True, None)]

@@ -57,14 +57,72 @@ def crosses(e: Column, g: Column) -> Column:
     return (_side(e["a"], e["b"], g["a"]) * _side(e["a"], e["b"], g["b"]) < 0) & (_side(g["a"], g["b"], e["a"]) * _side(g["a"], g["b"], e["b"]) < 0)
 
 
-def meeting_point(e: Column, g: Column) -> Column:
-    """The point two segments share, ends included; null if parallel or apart."""
+def meeting_points(e: Column, g: Column) -> Column:
+    """The points two segments share, ends included: one, the ends of the stretch where they lie on one another, or none."""
     dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
     ex, ey = g["b"]["x"] - g["a"]["x"], g["b"]["y"] - g["a"]["y"]
     d = dx * ey - dy * ex
     t = F.try_divide((g["a"]["x"] - e["a"]["x"]) * ey - (g["a"]["y"] - e["a"]["y"]) * ex, d)
     u = F.try_divide((g["a"]["x"] - e["a"]["x"]) * dy - (g["a"]["y"] - e["a"]["y"]) * dx, d)
-    return F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), point(e["a"]["x"] + t * dx, e["a"]["y"] + t * dy))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    along = F.array_distinct(F.filter(F.array(e["a"], e["b"], g["a"], g["b"]), lambda p: on_segment(e, p) & on_segment(g, p)))
+    one = F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.array(point(e["a"]["x"] + t * dx, e["a"]["y"] + t * dy))).otherwise(none)
+    return F.when(d == 0, along).otherwise(one)
+
+
+def on_segment(e: Column, p: Column) -> Column:
+    """Whether a point lies on a segment, ends included."""
+    within = p["x"].between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & p["y"].between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
+    return within & (_side(e["a"], e["b"], p) == 0)
+
+
+def touches(e: Column, g: Column) -> Column:
+    """Whether two segments share a point: their boxes meet and neither lies on one side of the other's line. A segment may be a point."""
+
+    def apart(k: str) -> Column:
+        return (F.greatest(e["a"][k], e["b"][k]) < F.least(g["a"][k], g["b"][k])) | (F.greatest(g["a"][k], g["b"][k]) < F.least(e["a"][k], e["b"][k]))
+
+    def straddles(e: Column, g: Column) -> Column:
+        return _side(e["a"], e["b"], g["a"]) * _side(e["a"], e["b"], g["b"]) <= 0
+
+    return ~apart("x") & ~apart("y") & straddles(e, g) & straddles(g, e)
+
+
+def part_steps(parts: Column, areal: bool) -> Column:
+    """The edges of all parts; a lone point counts as an edge of no length."""
+    one = lambda p: F.when(F.size(p) == 1, F.array(F.struct(p[0].alias("a"), p[0].alias("b")))).otherwise(steps(p, areal))
+    return F.flatten(F.transform(parts, one))
+
+
+def holds(edges: Column, p: Column) -> Column:
+    """Even-odd test of a point against all rings of an area at once, so that holes and several polygons count."""
+    cut = F.filter(edges, lambda e: ((e["a"]["y"] > p["y"]) != (e["b"]["y"] > p["y"])) & (p["x"] < (e["b"]["x"] - e["a"]["x"]) * F.try_divide(p["y"] - e["a"]["y"], e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+    return F.size(cut) % 2 == 1
+
+
+def intersects(a: Column, b: Column, a_areal: bool, b_areal: bool) -> Column:
+    """Whether two geometries share a point, each an array of parts: lines, or all rings of one or more polygons, holes included.
+
+    They do when two edges touch, or when a part of one starts inside the other's area. False if one is null or has no part.
+    """
+
+    def test(g: Column) -> Column:
+        edges = F.exists(g["ea"], lambda e: F.exists(g["eb"], lambda o: touches(e, o)))
+        if b_areal:
+            edges = edges | F.exists(g["a"], lambda p: holds(g["eb"], p[0]))
+        if a_areal:
+            edges = edges | F.exists(g["b"], lambda p: holds(g["ea"], p[0]))
+        return edges
+
+    # a lambda's variable is computed once, a repeated expression each time
+    bound = F.struct(a.alias("a"), b.alias("b"), part_steps(a, a_areal).alias("ea"), part_steps(b, b_areal).alias("eb"))
+    return F.coalesce(F.get(F.transform(F.array(bound), test), F.lit(0)), F.lit(False))
+
+
+def polygon_area(polygons: Column) -> Column:
+    """Area of an array of polygons, each its outer ring and then its holes."""
+    one = lambda rings: F.aggregate(F.slice(rings, 2, 1_000_000), F.coalesce(area(F.get(rings, F.lit(0))), F.lit(0.0)), lambda s, r: s - F.coalesce(area(r), F.lit(0.0)))
+    return F.aggregate(polygons, F.lit(0.0), lambda s, p: s + one(p))
 
 
 def inside(ring: Column, p: Column) -> Column:
@@ -153,7 +211,7 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4
     them. Two boxes meet at the coarser one's level: one join takes the left boxes at their own level and the right ones at
     theirs and every coarser one, the other join the right boxes at their own and the left ones at coarser levels, so
     two small boxes never meet in a large cell. A pair counts only in the cell that holds the corner of its overlap, so no
-    distinct is needed. Boxes with a null bound meet nothing. ``exact`` is a further test.
+    distinct is needed. Boxes with a null bound meet nothing. ``exact`` is a further test on the prefixed columns, such as ``intersects``.
     """
     width = F.lit(float(cell)) * F.pow(F.lit(8.0), F.col("level"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.operators.vector import meeting
 from tilewright.plans.order import prefix_sum
+from tilewright.plans.staging import stage
 
 
 def lines_to_graph(lines: DataFrame, convert_xy: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -42,39 +44,49 @@ def degrees(lines: DataFrame) -> DataFrame:
     return ends.groupBy("p.x", "p.y").agg(F.count("*").alias("degree"))
 
 
-def line_kinds(lines: DataFrame) -> DataFrame:
-    """Add kind: isolated (both ends of degree 1), dangling (one of them), or inner."""
+def meeting_lines(lines: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(line_id, other): every two different lines that share a point, ends, crossings and overlaps alike, both ways."""
+    parts = F.array(F.array(G.point(F.col("x0"), F.col("y0")), G.point(F.col("x1"), F.col("y1"))))
+    shapes = lines.select(F.col("line_id").alias("id"), parts.alias("parts"))
+    return meeting(shapes, shapes, cell, False, False).where("a_id <> b_id").select(F.col("a_id").alias("line_id"), F.col("b_id").alias("other"))
+
+
+def line_kinds(lines: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """Add kind: isolated (shares no point with another line), dangling (an end of degree 1), or inner; and the ends' degrees ``_a``, ``_b``."""
+    met = meeting_lines(lines) if met is None else met
     d = degrees(lines)
     a = d.select(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("degree").alias("_a"))
     b = d.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("degree").alias("_b"))
-    ends = (F.col("_a") == 1).cast("int") + (F.col("_b") == 1).cast("int")
-    return lines.join(a, ["x0", "y0"]).join(b, ["x1", "y1"]).select(*lines.columns, "_a", "_b", F.when(ends == 2, "isolated").when(ends == 1, "dangling").otherwise("inner").alias("kind"))
+    alone = met.select("line_id").distinct().withColumn("_met", F.lit(True))
+    kind = F.when(F.col("_met").isNull(), "isolated").when((F.col("_a") == 1) | (F.col("_b") == 1), "dangling").otherwise("inner")
+    return lines.join(a, ["x0", "y0"]).join(b, ["x1", "y1"]).join(alone, "line_id", "left").select(*[lines[c] for c in lines.columns], "_a", "_b", kind.alias("kind"))
 
 
-def longest_neighbour(lines: DataFrame) -> DataFrame:
-    """(line_id, neighbour): the longest other line at the joined end of each dangling line; the lower id of equals."""
-    kinds = line_kinds(lines)
-    joined = F.when(F.col("_a") == 1, F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).otherwise(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")))
-    dangling = kinds.where("kind = 'dangling'").select("line_id", joined.alias("p")).select("line_id", "p.x", "p.y")
+def longest_neighbour(lines: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(line_id, neighbour): the longest other line that each dangling line shares a point with; the lower id of equals."""
+    met = stage(meeting_lines(lines), "met") if met is None else met
+    dangling = line_kinds(lines, met).where("kind = 'dangling'").select("line_id")
     size = F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)
-    ends = lines.select(F.col("line_id").alias("neighbour"), size.alias("size"), F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("neighbour", "size", "p.x", "p.y")
-    met = dangling.join(ends, ["x", "y"]).where("line_id <> neighbour")
-    return met.groupBy("line_id").agg(F.max_by("neighbour", F.struct(F.col("size"), -F.col("neighbour"))).alias("neighbour"))
+    sized = lines.select(F.col("line_id").alias("other"), size.alias("size"))
+    pairs = met.join(dangling, "line_id").join(sized, "other")
+    return pairs.groupBy("line_id").agg(F.max_by("other", F.struct(F.col("size"), -F.col("other"))).alias("neighbour"))
 
 
 def remove_dangling(lines: DataFrame, min_length: float | None, min_angle: float | None, share: float = 0.5) -> DataFrame:
     """Lines kept: inner and isolated ones, and dangling ones that are longer than a length, or turn off their longest neighbour by more than an angle.
 
-    The angle is taken at the joint between the line's far end and the point at ``share`` along the neighbour, from its
-    start; where that point is the joint there is no angle. Without a length, or an angle, that reason to keep a line falls away.
+    The angle is taken at the line's end that lies on the neighbour (the first, if both do), between its other end and the point at
+    ``share`` along the neighbour, from its start; where that point is the joint, or a line only crosses its neighbour, there is no
+    angle. Without a length, or an angle, that reason to keep a line falls away.
     """
-    kinds = line_kinds(lines)
+    met = stage(meeting_lines(lines), "met")
     p = lambda a, b: G.point(F.col(a), F.col(b))
     other = lines.select(F.col("line_id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
-    d = kinds.where("kind = 'dangling'").join(longest_neighbour(lines), "line_id", "left").join(other, "neighbour", "left")
-    free, joint = F.when(F.col("_a") == 1, p("x0", "y0")).otherwise(p("x1", "y1")), F.when(F.col("_a") == 1, p("x1", "y1")).otherwise(p("x0", "y0"))
+    d = line_kinds(lines, met).where("kind = 'dangling'").join(longest_neighbour(lines, met), "line_id", "left").join(other, "neighbour", "left")
+    edge = F.struct(p("nx0", "ny0").alias("a"), p("nx1", "ny1").alias("b"))
+    ends = F.when(G.on_segment(edge, p("x0", "y0")), F.struct(p("x0", "y0").alias("joint"), p("x1", "y1").alias("free"))).when(G.on_segment(edge, p("x1", "y1")), F.struct(p("x1", "y1").alias("joint"), p("x0", "y0").alias("free")))
     main = G.along(p("nx0", "ny0"), p("nx1", "ny1"), share)
     size = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
     long = F.lit(False) if min_length is None else size > min_length
-    turns = F.lit(False) if min_angle is None else F.coalesce(G.angle(free, joint, main) > min_angle, F.lit(False))
+    turns = F.lit(False) if min_angle is None else F.coalesce(G.angle(ends["free"], ends["joint"], main) > min_angle, F.lit(False))
     return lines.join(d.where(~(long | turns)).select("line_id"), "line_id", "left_anti")

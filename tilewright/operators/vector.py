@@ -22,13 +22,14 @@ def road_lines(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def combine(frames: list[DataFrame]) -> DataFrame:
-    """All features of several files after exploding; mixed epsg is an error when read."""
+    """All features of several files after exploding; mixed epsg is an error, found before anything else is read."""
     from functools import reduce
 
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    one = both.agg(F.count_distinct("epsg").alias("n"))
-    checked = both.join(F.broadcast(one)).withColumn("epsg", F.when(F.col("n") > 1, F.raise_error(F.lit("mixed coordinate systems")).cast("int")).otherwise(F.col("epsg"))).drop("n")
-    return explode_parts(checked)
+    low, high = both.agg(F.min("epsg"), F.max("epsg")).first()
+    if low != high:
+        raise ValueError(f"mixed coordinate systems: {low} and {high}")
+    return explode_parts(both)
 
 
 def dedupe(df: DataFrame, geom: str, id_col: str = "id") -> DataFrame:
@@ -70,7 +71,7 @@ def _cuts(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
     far = lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
 
     def of_edge(e: Column, no: Column) -> Column:
-        met = F.filter(F.transform(G.steps(F.col("ring"), True), lambda g: G.meeting_point(e, g)), lambda p: p.isNotNull())
+        met = F.flatten(F.transform(G.steps(F.col("ring"), True), lambda g: G.meeting_points(e, g)))
         return F.transform(met, lambda p: F.struct(p.alias("p"), (no + F.coalesce(F.try_divide(far(p, e["a"]), far(e["b"], e["a"])), F.lit(0.0))).alias("at")))
 
     found = F.flatten(F.transform(G.steps(F.col("line")), of_edge))
@@ -121,10 +122,33 @@ def task_boxes(tasks: DataFrame, classes: dict) -> DataFrame:
     return t.select("name", "category", *[b[k].cast("int").alias(n) for n, k in (("x1", "minx"), ("y1", "miny"), ("x2", "maxx"), ("y2", "maxy"))])
 
 
-def suppress(shapes: DataFrame, cell: float) -> DataFrame:
-    """Ids kept when each shape in ascending id, if still there, drops the later ones its box meets."""
-    pairs = G.spatial_join(shapes, shapes, cell).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    return first_wins(shapes, pairs)
+def with_bounds(df: DataFrame, parts: str = "parts") -> DataFrame:
+    """Add minx, miny, maxx, maxy of a geometry's parts."""
+    box = G.bounds(F.flatten(parts))
+    return df.withColumn("_b", box).withColumns({k: F.col(f"_b.{k}") for k in ("minx", "miny", "maxx", "maxy")}).drop("_b")
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float, left_areal: bool, right_areal: bool) -> DataFrame:
+    """Pairs of features (id, parts) that share a point, found by their boxes and tested exactly; columns prefixed ``a_`` and ``b_``."""
+    exact = G.intersects(F.col("a_parts"), F.col("b_parts"), left_areal, right_areal)
+    return G.spatial_join(with_bounds(left), with_bounds(right), cell, exact=exact)
+
+
+def tiles_met(features: DataFrame, size: int, areal: bool) -> DataFrame:
+    """(id, tx, ty): every regular tile that a feature (id, parts) shares a point with, borders included, by arithmetic on its box and an exact test."""
+    span = lambda low, high: F.explode(F.sequence(F.ceil(F.col(low) / size) - 1, F.floor(F.col(high) / size)))
+    hits = with_bounds(features).withColumn("tx", span("minx", "maxx")).withColumn("ty", span("miny", "maxy"))
+    x, y = F.col("tx") * float(size), F.col("ty") * float(size)
+    return hits.where(G.intersects(F.col("parts"), F.array(G.box_ring(x, y, x + size, y + size)), areal, True)).drop("minx", "miny", "maxx", "maxy")
+
+
+def suppress(shapes: DataFrame, cell: float, areal: bool | None = None) -> DataFrame:
+    """Ids kept when each shape in ascending id, if still there, drops the later ones it shares a point with.
+
+    Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines.
+    """
+    pairs = G.spatial_join(shapes, shapes, cell) if areal is None else meeting(shapes, shapes, cell, areal, areal)
+    return first_wins(shapes, pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
 
 
 def ground_truth(boxes: DataFrame, images: DataFrame, mapping: dict, background: str = "bg") -> DataFrame:

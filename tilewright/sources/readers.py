@@ -68,20 +68,32 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return t.select("t.name", F.explode("t.Tags.tags").alias("g")).select("name", "g.tags.tag", F.transform("g.tags.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
 
 
-def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of GeoJSON documents: properties, kind, and parts as arrays of points (null geometry: null)."""
-    kind = f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
-    f = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("features").alias("f"))
+def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON documents: properties, kind, parts and polygons (null geometry: both null).
+
+    ``parts`` is an array of point arrays: the point, the lines, or all rings. ``polygons`` keeps them apart: an array of polygons, each its
+    outer ring and then its holes; null for points and lines. A document is one row of the reader; with ``lines`` each line is a
+    Feature of its own (as ``write_geojson`` writes them), and large files are split.
+    """
+    kind = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
+    if lines:
+        f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
+    else:
+        f = spark.read.schema(f"features array<{kind}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
     c, k = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     xy = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    # rings close themselves here, so a last point that repeats the first goes
+    ring = lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
     many = lambda a: F.transform(a, lambda line: F.transform(line, xy))
+    rings = lambda a: F.transform(many(a), ring)
+    polygons = F.when(k == "Polygon", F.array(rings(F.from_json(c, "array<array<array<double>>>")))).when(k == "MultiPolygon", F.transform(F.from_json(c, "array<array<array<array<double>>>>"), rings))
     parts = (
         F.when(k == "Point", F.array(F.array(xy(F.from_json(c, "array<double>")))))
         .when(k == "LineString", F.array(F.transform(F.from_json(c, "array<array<double>>"), xy)))
-        .when(k.isin("Polygon", "MultiLineString"), many(F.from_json(c, "array<array<array<double>>>")))
-        .when(k == "MultiPolygon", many(F.flatten(F.from_json(c, "array<array<array<array<double>>>>"))))
+        .when(k == "MultiLineString", many(F.from_json(c, "array<array<array<double>>>")))
+        .when(k.isin("Polygon", "MultiPolygon"), F.flatten("polygons"))
     )
-    return f.select("f.properties.*", k.alias("kind"), parts.alias("parts"))
+    return f.withColumn("polygons", polygons).select("f.properties.*", k.alias("kind"), parts.alias("parts"), "polygons")
 
 
 def read_stats(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
