@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
-from tilewright.operators import graph, raster, vector
+from tilewright.operators import blocks, graph, raster, vector
 from tilewright.plans.components import connected_components
 from tilewright.sources import readers, sinks
 
@@ -48,15 +48,17 @@ def pixels(spark, cells):
 
 
 @pytest.mark.parametrize("diagonal", [False, True])
-def test_regions(cells, pixels, diagonal):
-    got = raster.region_boxes(raster.regions(pixels, "lab", diagonal)).collect()
+@pytest.mark.parametrize("size", [5, 64])
+def test_regions(cells, pixels, diagonal, size):
+    got = blocks.region_boxes(blocks.regions(blocks.to_blocks(pixels, "lab", size), diagonal, size)).collect()
     want = [(cells[p[0]], min(c for _, c in p), min(r for r, _ in p), max(c for _, c in p) + 1, max(r for r, _ in p) + 1, len(p)) for p in flood(cells, diagonal)]
     assert sorted((r.value, r.x1, r.y1, r.x2, r.y2, r.pixels) for r in got) == sorted(want)
 
 
 def test_rings(cells, pixels):
     ones = pixels.where("lab = 1")
-    found = raster.rings(raster.outlines(raster.regions(ones, "lab"))).collect()
+    cut = lambda d: blocks.to_blocks(d, "lab", 5)
+    found = raster.rings(blocks.outlines(cut(ones), blocks.regions(cut(ones), False, 5))).collect()
     by_ring, area = defaultdict(list), defaultdict(float)
     for r in found:
         by_ring[(r.component, r.ring)].append((r.place, r.x, r.y, r.signed_area))
@@ -70,13 +72,23 @@ def test_rings(cells, pixels):
     parts = flood({k: v for k, v in cells.items() if v}, False)
     assert sorted(area.values()) == sorted(map(float, map(len, parts)))
     assert sum(1 for c in by_ring.values() if c[0][3] > 0) == len(parts)
-    assert raster.rings(raster.outlines(raster.regions(ones.limit(0), "lab"))).count() == 0
+    none = cut(ones.limit(0))
+    assert raster.rings(blocks.outlines(none, blocks.regions(none))).count() == 0
+    kinds = spark_categories(pixels.sparkSession)
+    for f in blocks.vectorise(cut(pixels), kinds, 5).collect():
+        rings = [[(p.x, p.y) for p in r] for r in f.polygon]
+        area = [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1]))) / 2 for r in rings]
+        assert area[0] - sum(area[1:]) == f.pixels and (f.num, f.category) == (1, "field")
+
+
+def spark_categories(spark):
+    return spark.createDataFrame([(1, "field", True, None, None, None), (0, "ground", False, None, None, None)], "pixel_value int, category_name string, vectorize boolean, bbox_flag boolean, kernel_size int, min_area double")
 
 
 def test_mask_boxes_keep_empty_images(spark):
     rows = [(1, 0, 0, 1), (1, 1, 1, 1), (1, 0, 3, 1), (2, 0, 0, 0)]
     d = spark.createDataFrame(rows, "img long, row_no long, col_no long, lab int")
-    got = {(r.img, r.x1, r.y1, r.x2, r.y2, r.pixels) for r in raster.mask_boxes(d, "lab", 2).select("img", "x1", "y1", "x2", "y2", "pixels").collect()}
+    got = {(r.img, r.x1, r.y1, r.x2, r.y2, r.pixels) for r in blocks.mask_boxes(blocks.to_blocks(d, "lab"), 2).select("img", "x1", "y1", "x2", "y2", "pixels").collect()}
     assert got == {(1, 0, 0, 2, 2, 2), (2, None, None, None, None, None)}
 
 

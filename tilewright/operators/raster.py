@@ -1,8 +1,8 @@
-"""Rasters as pixel tables (img, row_no, col_no, value) and runs of equal values."""
+"""Rasters as pixel tables (img, row_no, col_no, value), rings of outlines, decoded images."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.plans.components import connected_components
@@ -42,10 +42,19 @@ def mirror(pixels: DataFrame, how: str, h: Column | int, w: Column | int) -> Dat
     return pixels.withColumn("col_no", F.lit(w) - 1 - F.col("col_no"))
 
 
-def brighten(pixels: DataFrame, value: str, seed: int, most: float = 1.5) -> DataFrame:
-    """Each image's pixels times a reproducible factor in [1, most), at most 255."""
-    factor = 1 + (most - 1) * F.pmod(F.xxhash64(F.lit(seed), "img"), F.lit(1 << 20)) / (1 << 20)
-    return pixels.withColumn(value, F.least(F.lit(255), F.floor(F.col(value) * factor)).cast("int"))
+def brightness(seed: int, most: float = 1.5, key: Column | None = None) -> Column:
+    """A reproducible factor in [1, most) for each image, from a hash of ``img`` or from a whole number of one's own."""
+    key = F.xxhash64(F.lit(seed), "img") if key is None else key
+    return 1 + (most - 1) * F.pmod(key, F.lit(1 << 20)) / (1 << 20)
+
+
+def brighten(pixels: DataFrame, value: str, seed: int, most: float = 1.5, key: Column | None = None, images: int | None = None) -> DataFrame:
+    """Each image's pixels times its ``brightness``, at most 255; of all images, or of those with the ``images`` lowest keys."""
+    own = F.xxhash64(F.lit(seed), "img") if key is None else key
+    if images is not None:
+        some = pixels.select("img", own.alias("_key")).distinct().orderBy("_key", "img").limit(images).select("img")
+        pixels = pixels.join(F.broadcast(some), "img", "left_semi")
+    return pixels.withColumn(value, F.least(F.lit(255), F.floor(F.col(value) * brightness(seed, most, key))).cast("int"))
 
 
 def weight_raster(pixels: DataFrame, value: str, weights: dict[int, int], parity: bool = False) -> DataFrame:
@@ -58,71 +67,6 @@ def weight_raster(pixels: DataFrame, value: str, weights: dict[int, int], parity
     return pixels.withColumn("weight", F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in weights.items() for x in kv]), v.cast("int")), v.cast("int")))
 
 
-def runs(pixels: DataFrame, value: str) -> DataFrame:
-    """Maximal runs of equal value in a row: (run, img, row_no, c0, c1, value)."""
-    w = Window.partitionBy("img", "row_no", value).orderBy("col_no")
-    grouped = pixels.withColumn("_g", F.col("col_no") - F.row_number().over(w)).groupBy("img", "row_no", value, "_g")
-    found = grouped.agg(F.min("col_no").alias("c0"), F.max("col_no").alias("c1"))
-    run = F.struct("img", "row_no", "c0")
-    return found.select(F.xxhash64(run).alias("run"), "img", "row_no", "c0", "c1", F.col(value).alias("value"))
-
-
-def regions(pixels: DataFrame, value: str, diagonal: bool = False) -> DataFrame:
-    """Runs with their component: (img, row_no, c0, c1, value, component), 4-connected, or 8-connected when diagonal.
-
-    Runs of one value in rows next to each other are joined by equality on row and value and then by overlap; components
-    may cross any number of rows, tiles and tasks. A component is named by its first pixel.
-    """
-    found = stage(runs(pixels, value), "runs")
-    r = 1 if diagonal else 0
-    up = found.select("img", F.col("row_no").alias("_r"), "value", F.col("c0").alias("_0"), F.col("c1").alias("_1"), F.col("run").alias("_run"))
-    touching = (F.col("c0") <= F.col("_1") + r) & (F.col("_0") <= F.col("c1") + r)
-    edges = found.withColumn("_r", F.col("row_no") - 1).join(up, ["img", "_r", "value"]).where(touching).select("run", "_run")
-    loops = found.select("run", F.col("run").alias("_run"))
-    parts = connected_components(edges.unionByName(loops), "run", "_run")
-    named = found.join(parts, found.run == parts.node)
-    first = named.groupBy("component").agg(F.min(F.struct("img", "row_no", "c0")).alias("first"))
-    return named.join(first, "component").select("img", "row_no", "c0", "c1", "value", F.concat_ws("/", "first.img", "first.row_no", "first.c0").alias("component"))
-
-
-def region_boxes(parts: DataFrame, min_area: int = 0, area_scale: int = 1) -> DataFrame:
-    """Per component: half-open box and pixel count, small ones left out."""
-    size = F.sum(F.col("c1") - F.col("c0") + 1)
-    boxes = parts.groupBy("img", "value", "component").agg(F.min("c0").alias("x1"), F.min("row_no").alias("y1"), (F.max("c1") + 1).alias("x2"), (F.max("row_no") + 1).alias("y2"), size.alias("pixels"))
-    return boxes.where(F.col("pixels") * area_scale >= min_area)
-
-
-def mask_boxes(masks: DataFrame, value: str, min_area: int = 500, area_scale: int = 1) -> DataFrame:
-    """Boxes of the 8-connected objects of each mask; a mask without any has one row of nulls."""
-    images = masks.select("img").distinct()
-    boxes = region_boxes(regions(masks.where(F.col(value) != 0), value, diagonal=True), min_area, area_scale)
-    return images.join(boxes.drop("component"), "img", "left")
-
-
-def vectorise(pixels: DataFrame, value: str, categories: DataFrame) -> DataFrame:
-    """Regions of the values that ``categories`` (pixel_value, category_name, vectorize, min_area) wants, as boxes with num and category."""
-    wanted = F.broadcast(categories.where("vectorize"))
-    boxes = region_boxes(regions(pixels.join(wanted.select(F.col("pixel_value").alias(value)), value, "left_semi"), value))
-    joined = boxes.join(wanted, boxes.value == wanted.pixel_value)
-    return joined.where(F.coalesce(F.col("pixels") >= F.col("min_area"), F.lit(True))).select("img", F.col("value").alias("num"), F.col("category_name").alias("category"), "x1", "y1", "x2", "y2", "pixels")
-
-
-def outlines(parts: DataFrame) -> DataFrame:
-    """Directed unit edges on the border of each component: (img, component, x0, y0, x1, y1), inside on the right.
-
-    Every pixel gives four edges; the two opposite ones between neighbours of one component cancel.
-    """
-    pixels = parts.select("img", "component", "row_no", F.explode(F.sequence("c0", "c1")).alias("c"))
-    c, r = F.col("c"), F.col("row_no")
-    four = [(c, r, c + 1, r), (c + 1, r, c + 1, r + 1), (c + 1, r + 1, c, r + 1), (c, r + 1, c, r)]
-    edges = pixels.select("img", "component", F.explode(F.array(*[F.struct(a.alias("x0"), b.alias("y0"), d.alias("x1"), e.alias("y1")) for a, b, d, e in four])).alias("e")).select("img", "component", "e.*")
-    forward = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") < F.col("y1")))
-    norm = edges.withColumn("_k", F.struct(F.least("x0", "x1").alias("a"), F.least("y0", "y1").alias("b"), F.greatest("x0", "x1").alias("c"), F.greatest("y0", "y1").alias("d"))).withColumn("_f", F.when(forward, 1).otherwise(-1))
-    left = norm.groupBy("img", "component", "_k").agg(F.sum("_f").alias("_f")).where("_f <> 0")
-    k, f = F.col("_k"), F.col("_f") > 0
-    return left.select("img", "component", *[F.when(f, k[p]).otherwise(k[q]).alias(n) for n, p, q in (("x0", "a", "c"), ("y0", "b", "d"), ("x1", "c", "a"), ("y1", "d", "b"))])
-
-
 def draw_outlines(objects: DataFrame, ring: str = "ring") -> DataFrame:
     """Pixels of the edges of each object's ring, one step a column or row; where objects meet the later order wins."""
     from tilewright.functions.geometry import steps
@@ -167,7 +111,7 @@ def rings(edges: DataFrame) -> DataFrame:
     """
     turn = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     key = F.concat_ws("/", *[F.format_string("%012d", F.col(c).cast("long")) for c in ("y0", "x0", "y1", "x1")])
-    e = stage(edges.withColumns({"e": F.concat_ws("|", F.col("img").cast("string"), F.col("component").cast("string"), key), "dx": turn[0], "dy": turn[1]}), "ring-edges")
+    e = stage(edges.withColumns({"e": F.concat_ws("|", F.col("img").cast("string"), F.to_json(F.struct("component")), key), "dx": turn[0], "dy": turn[1]}), "ring-edges")
     after = e.select("img", "component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("next"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
     # rows count downwards, so the right turn of (dx, dy) is (-dy, dx)
     right = ((F.col("nx") == -F.col("dy")) & (F.col("ny") == F.col("dx"))).cast("int")

@@ -446,32 +446,12 @@ def _(p):
     return raster.logical_or(a.withColumn("v", F.col("v") % 4), b.withColumn("v", F.col("v") % 4))
 
 
-@query("r5_regions", "pixels")
-def _(p):
-    return raster.region_boxes(raster.regions(p, "lab")).select("img", "value", "x1", "y1", "x2", "y2", "pixels")
-
-
-@query("r7_outlines", "pixels")
-def _(p):
-    return raster.outlines(raster.regions(p.where("lab = 1"), "lab")).select("img", "component", "x0", "y0", "x1", "y1")
-
-
-@query("r8_mask_boxes", "pixels")
-def _(p):
-    return raster.mask_boxes(p, "lab", 4).select("img", "x1", "y1", "x2", "y2", "pixels")
-
-
 @query("r9_mirror", "pixels", sql="SELECT img, 49 - row_no AS row_no, col_no, v1 FROM pixels UNION ALL SELECT img, row_no, 49 - col_no, v1 FROM pixels")
 def _(p):
     q = p.select("img", "row_no", "col_no", "v1")
     return raster.mirror(q, "v", 50, 50).unionByName(raster.mirror(q, "h", 50, 50))
 
 
-@query("r10_brightness", "pixels")
-def _(p):
-    return raster.brighten(p, "v1", 3).select("img", "row_no", "col_no", "v1")
-
-
 # --- vectors and graphs -----------------------------------------------------------------------------
 @query("g4_measures", "lines", sql="SELECT line_id, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 6) AS length, CAST(least(x0, x1) AS DOUBLE) AS minx, CAST(greatest(y0, y1) AS DOUBLE) AS maxy FROM lines")
 def _(x):

@@ -83,16 +83,6 @@ def _(p):
     return windows.labels_of_mosaic(windows.stitch(stitched_windows(p), 20), labels, 20).select("img", "row_no", "col_no", "actual")
 
 
-@query("r6_ensemble_regions", "pixels")
-def _(p):
-    return raster.region_boxes(raster.regions(raster.ensemble(*two(p), 127).where("v = 1"), "v")).select("img", "value", "x1", "y1", "x2", "y2", "pixels")
-
-
-@query("r7_rings", "pixels")
-def _(p):
-    return raster.rings(raster.outlines(raster.regions(p.where("lab = 1"), "lab"))).select("img", "component", "ring", "place", "x", "y", "signed_area")
-
-
 @query("r11_downsample", "pixels", sql="""WITH t AS (SELECT i.range AS i, (i.range + 0.5) * 2.5 - 0.5 AS y FROM range(20) i), taps AS (SELECT i, CAST(floor(y) AS BIGINT) AS at, 1 - (y - floor(y)) AS wt FROM t UNION ALL SELECT i, CAST(floor(y) AS BIGINT) + 1, y - floor(y) FROM t)
  SELECT img, r.i AS row_no, c.i AS col_no, CAST(round(sum(r.wt * c.wt * v1), 6) AS DOUBLE) AS v1 FROM taps r, taps c, pixels WHERE r.wt * c.wt > 0 AND row_no = r.at AND col_no = c.at GROUP BY 1, 2, 3""")
 def _(p):
