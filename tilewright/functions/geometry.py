@@ -187,6 +187,13 @@ def to_pixel(affine: tuple, x: Column, y: Column) -> Column:
     return F.struct(col.cast("int").alias("col"), row.cast("int").alias("row"))
 
 
+def ring_to_pixels(affine: tuple, ring: Column) -> Column:
+    """A ring of world points in pixels (x: column, y: row), not cut to whole ones."""
+    a, b, c, d, e, f = affine
+    det = a * e - b * d
+    return F.transform(ring, lambda p: point((e * (p["x"] - c) - b * (p["y"] - f)) / det, (a * (p["y"] - f) - d * (p["x"] - c)) / det))
+
+
 def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
     """WGS84 degrees to metres of a UTM zone by the Krüger series (third order)."""
     radius, flat, k0 = 6378137.0, 1 / 298.257223563, 0.9996
@@ -204,14 +211,15 @@ def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
     return point(500000.0 + k0 * big_a * east, (10000000.0 if south else 0.0) + k0 * big_a * north)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4, exact: Column | None = None) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4, exact: Column | None = None, by: str | None = None) -> DataFrame:
     """Pairs whose boxes (minx, miny, maxx, maxy) share a point; columns come prefixed ``a_`` and ``b_``.
 
     Each box goes to the cells of a grid level chosen by its size (cell times a power of 8), so a huge box covers few of
     them. Two boxes meet at the coarser one's level: one join takes the left boxes at their own level and the right ones at
     theirs and every coarser one, the other join the right boxes at their own and the left ones at coarser levels, so
     two small boxes never meet in a large cell. A pair counts only in the cell that holds the corner of its overlap, so no
-    distinct is needed. Boxes with a null bound meet nothing. ``exact`` is a further test on the prefixed columns, such as ``intersects``.
+    distinct is needed. Boxes with a null bound meet nothing. ``exact`` is a further test on the prefixed columns, such as ``intersects``;
+    ``by`` names a column that must be equal on both sides, such as an image.
     """
     width = F.lit(float(cell)) * F.pow(F.lit(8.0), F.col("level"))
 
@@ -233,12 +241,14 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4
         return df.withColumn("level", F.explode(at)).withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
 
     a, b = prefixed(left, "a_"), prefixed(right, "b_")
-    key = ["level", "cx", "cy"]
+    key = ["level", "cx", "cy"] + (["by"] if by else [])
+    if by:
+        a, b = a.withColumn("by", F.col(f"a_{by}")), b.withColumn("by", F.col(f"b_{by}"))
     both = listed(a, "a_", 0, 0).join(listed(b, "b_", 0, None), key).unionByName(listed(a, "a_", 1, None).join(listed(b, "b_", 0, 0), key))
     corner = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / width)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / width))
     pairs = both.where(boxes_meet("a_", "b_") & corner)
     pairs = pairs if exact is None else pairs.where(exact)
-    return pairs.drop("level", "cx", "cy", "a_level", "b_level")
+    return pairs.drop("level", "cx", "cy", "by", "a_level", "b_level")
 
 
 def convex_hull(points: str = "points") -> Column:

@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def window_boxes(sizes: DataFrame, box_w: int, box_h: int, stride: float, offset: tuple[int, int] = (0, 0), as_fraction: bool = False) -> DataFrame:
+def window_boxes(sizes: DataFrame, box_w: int, box_h: int, stride: float, offset: tuple[int, int] = (0, 0), as_fraction: bool = False, boundary: tuple[int, int, int, int] = (0, 0, 0, 0), centre: bool = False, padding: bool = False) -> DataFrame:
     """Windows of every image (img_id, h, w), x-major: starts from the offset while the window's end stays below the edge.
 
-    A stride as a fraction f is an overlap: round(size * (1 - f)) pixels. An image smaller than a window gives none.
+    A stride as a fraction f is an overlap: round(size * (1 - f)) pixels. ``boundary`` (left, top, right, bottom) keeps windows that
+    far from the edges, or, with ``centre``, keeps their centres that far; centres also keep half a window's distance, unless ``padding`` lets
+    windows reach outside the image. Without padding an image that is not larger than a window gives none.
     """
     step_x, step_y = (round(box_w * (1 - stride)), round(box_h * (1 - stride))) if as_fraction else (int(stride), int(stride))
-    if step_x < 1 or step_y < 1 or offset[0] >= step_x or offset[1] >= step_y:
+    if step_x < 1 or step_y < 1 or not 0 <= offset[0] < step_x or not 0 <= offset[1] < step_y:
         raise ValueError("the stride must be positive and larger than the offset")
-
-    def starts(size: Column, box: int, low: int, step: int) -> Column:
-        last = size - box - 1
-        return F.when(last >= low, F.sequence(F.lit(low).cast("long"), last.cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-
-    xs = sizes.select("img_id", "h", F.explode(starts(F.col("w"), box_w, offset[0], step_x)).alias("x1"))
-    both = xs.select("img_id", "x1", F.explode(starts(F.col("h"), box_h, offset[1], step_y)).alias("y1"))
+    if min(boundary) < 0 or (padding and not centre):
+        raise ValueError("boundaries must not be negative, and padding needs boundaries of centres")
+
+    def starts(size: Column, box: int, first: int, before: int, after: int, step: int) -> Column:
+        if centre and not padding:
+            before, after = max(box // 2, before), max(box // 2 + box % 2, after)
+        elif not centre:
+            after += box
+        low, back = before + first, box // 2 if centre else 0
+        last = size - after - (step - first) % step - 1
+        fits = last >= low if padding else (last >= low) & (size > box)
+        return F.when(fits, F.sequence(F.lit(low - back).cast("long"), (last - back).cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    left, top, right, bottom = boundary
+    xs = sizes.select("img_id", "h", F.explode(starts(F.col("w"), box_w, offset[0], left, right, step_x)).alias("x1"))
+    both = xs.select("img_id", "x1", F.explode(starts(F.col("h"), box_h, offset[1], top, bottom, step_y)).alias("y1"))
     return both.select("img_id", "x1", "y1", (F.col("x1") + box_w).alias("x2"), (F.col("y1") + box_h).alias("y2"))
 
 
@@ -60,9 +71,18 @@ def crop(pixels: DataFrame, row0: Column | int, col0: Column | int, h: int, w: i
     return pixels.where((r >= 0) & (r < h) & (c >= 0) & (c < w)).withColumns({"row_no": r, "col_no": c})
 
 
-def random_offset(image: str, room: Column, seed: int) -> Column:
-    """A reproducible offset from 0 to room for each image."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(image)), room + 1)
+def random_offset(image: str, room: Column, seed: int, key: Column | None = None) -> Column:
+    """A reproducible offset from 0 to room for each image, from a hash of it or from a whole number of one's own."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(image)) if key is None else key, room + 1)
+
+
+def random_crop(pixels: DataFrame, sizes: DataFrame, h: int, w: int, seed: int, key: Column | None = None) -> DataFrame:
+    """A crop of h x w pixels from each image (img, h, w in ``sizes``) at a reproducible place; images smaller on either side are left out."""
+    fits = sizes.where((F.col("h") >= h) & (F.col("w") >= w))
+    rows = random_offset("img", F.col("h") - h, seed, key)
+    cols = random_offset("img", F.col("w") - w, seed + 1, None if key is None else key + 1)
+    at = fits.select("img", rows.alias("_r"), cols.alias("_c"))
+    return crop(pixels.join(at, "img"), F.col("_r"), F.col("_c"), h, w).drop("_r", "_c")
 
 
 def window_of_pixel(x: Column, box: int) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators.blocks import image_blocks
 from tilewright.operators.manifests import file_name, stem
+from tilewright.operators.raster import resize_images
+from tilewright.plans.order import prefix_sum
 
 BOX = "array<struct<category:string,x1:string,x2:string,y1:string,y2:string>>"
 SPLITS = ("training", "validation", "testing")
@@ -44,9 +47,45 @@ def list_files(spark: SparkSession, folder: str, ext: str) -> DataFrame:
     return files.select("path", stem(F.col("path")).alias("stem"), "length")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images, broken ones with height -1."""
-    return spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+def read_images(spark: SparkSession, path: str, channel: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Decoded images (origin, height, width, nChannels, mode, data), broken ones with height -1.
+
+    With ``channel`` only that one is kept, with ``size`` (height, width) images are resized; both leave broken images out.
+    """
+    images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    if channel is not None:
+
+        def one(batches):
+            for b in batches:
+                b = b[b.nChannels > channel]
+                yield b.assign(data=[bytes(d[channel::n]) for d, n in zip(b.data, b.nChannels)], nChannels=1, mode=0)
+
+        images = images.where("height > 0").mapInPandas(one, images.schema)
+    return images if size is None else resize_images(images, *size)
+
+
+def read_world_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, a, b, c, d, e, f): affine transforms of world files, from the centre of the first pixel to its corner."""
+    v = F.transform(F.filter(F.split("value", "\\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    t = spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("stem"), v.alias("v"))
+    a, d, b, e, x, y = (F.get("v", F.lit(k)) for k in range(6))
+    return t.select("stem", a.alias("a"), b.alias("b"), (x - a / 2 - b / 2).alias("c"), d.alias("d"), e.alias("e"), (y - d / 2 - e / 2).alias("f"))
+
+
+def read_raster(spark: SparkSession, path: str, profile: DataFrame, channel: int = 0, size: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(blocks, profile) of one band of 8-bit images.
+
+    ``profile`` has stem, img (a number for each image) and whatever else is known of it, such as a world file's transform; it comes back
+    with height, width and bands. Images are decoded one a row and cut into blocks without a shuffle; broken ones have none. Large mosaics must come tiled.
+    """
+    found = read_images(spark, path).where("height > 0").withColumn("stem", stem(F.col("origin"))).join(profile, "stem")
+    known = found.select(*profile.columns, "height", "width", F.col("nChannels").alias("bands"))
+    return image_blocks(found, size, channel), known
+
+
+def read_patch_metadata(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Patch records of JSON lines with ``rank``, the place of each, from 0, by sorted key; equal keys in an arbitrary way."""
+    return prefix_sum(spark.read.schema(schema).json(path), [key], out="rank")
 
 
 def bad_images(spark: SparkSession, path: str) -> DataFrame:
@@ -113,10 +152,19 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices graph, idx, x, y; edges graph, no, src, dst) of graph text files: vertex lines, a blank line, edge lines."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("graph"), F.split("value", "\n\\s*\n", 2).alias("s"))
-    line = lambda k: F.posexplode(F.filter(F.split(F.get("s", F.lit(k)), "\n"), lambda x: F.trim(x) != ""))
-    pair = lambda: F.split(F.trim("l"), "\\s+")
-    v = t.select("graph", line(0).alias("idx", "l")).select("graph", F.col("idx").cast("long").alias("idx"), pair()[0].cast("long").alias("x"), pair()[1].cast("long").alias("y"))
-    e = t.select("graph", line(1).alias("no", "l")).select("graph", F.col("no").cast("long").alias("no"), pair()[0].cast("long").alias("src"), pair()[1].cast("long").alias("dst"))
-    return v, e
+    """(vertices graph, idx, x, y; edges graph, no, src, dst) of graph text files: vertex lines, a blank line, edge lines.
+
+    Lines are numbered over all files by file, block and place, so that a large file is read in blocks by many tasks; the first
+    blank line of a file divides it. Further blank lines count as nothing.
+    """
+    at = ["graph", "_block", "_place"]
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("graph"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    lines = prefix_sum(raw, at, out="_at").drop("_block", "_place")
+    blank = F.trim("value") == ""
+    bounds = lines.groupBy("graph").agg(F.min("_at").alias("_first"), F.min(F.when(blank, F.col("_at"))).alias("_blank"))
+    known = lines.where(~blank).join(bounds, "graph")
+    pair = F.split(F.trim("value"), "\\s+")
+    v = known.where(F.coalesce(F.col("_at") < F.col("_blank"), F.lit(True)))
+    e = known.where(F.col("_at") > F.col("_blank"))
+    vertices = v.select("graph", (F.col("_at") - F.col("_first")).alias("idx"), pair[0].cast("long").alias("x"), pair[1].cast("long").alias("y"))
+    return vertices, e.select("graph", (F.col("_at") - F.col("_blank") - 1).alias("no"), pair[0].cast("long").alias("src"), pair[1].cast("long").alias("dst"))

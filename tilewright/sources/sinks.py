@@ -2,15 +2,118 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import uuid
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.plans.staging import stage
+
 
 def write_manifest(df: DataFrame, path: str) -> None:
     """JSON lines in one folder for each split."""
     df.write.partitionBy("split").json(path)
 
 
+def manifest_lines(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    """(order, value): a manifest (split, pos, image, label, probability) as the lines of one YAML document, a row a line.
+
+    Texts are written as JSON strings, which YAML reads; null labels and probabilities as null.
+    """
+    head = df.sparkSession.createDataFrame([("0", 0, f"name: {json.dumps(name)}"), ("1", 0, f"prefix: {json.dumps(prefix)}")], "section string, pos long, value string")
+    out = head
+    splits = df.select("split").distinct()
+    out = out.unionByName(splits.select(F.concat(F.lit("2"), "split").alias("section"), F.lit(-1).cast("long").alias("pos"), F.concat("split", F.lit(":")).alias("value")))
+    for k, (column, key) in enumerate((("image", "images"), ("label", "labels"), ("probability", "probability"))):
+        if column not in df.columns:
+            continue
+        section = F.concat(F.lit("2"), "split", F.lit(f"/{k}"))
+        out = out.unionByName(splits.select(section.alias("section"), F.lit(-1).cast("long").alias("pos"), F.lit(f"  {key}:").alias("value")))
+        item = F.coalesce(F.to_json(F.array(column)).substr(F.lit(2), F.length(F.to_json(F.array(column))) - 2), F.lit("null"))
+        out = out.unionByName(df.select(section.alias("section"), F.col("pos").cast("long").alias("pos"), F.concat(F.lit("    - "), item).alias("value")))
+    return out
+
+
+def write_manifest_yaml(df: DataFrame, path: str, name: str, prefix: str, files: int | None = None) -> None:
+    """One YAML document of a dataset, as text files that give it when put together in the order of their names; ``files=1`` writes one."""
+    lines = manifest_lines(df, name, prefix)
+    ordered = lines.orderBy("section", "pos") if files is None else lines.repartitionByRange(files, "section", "pos").sortWithinPartitions("section", "pos")
+    ordered.select("value").write.text(path)
+
+
+def png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """An 8-bit PNG file of 1 (grey) or 3 channels (blue, green, red, as images are decoded)."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, ::-1]
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), a.reshape(height, width * channels)], axis=1).tobytes()
+
+    def part(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Write a file for each row (name, body) into a folder that all tasks share; (name, bytes) of what was written.
+
+    A file is written whole under another name and then moved, so a repeated task leaves the same files. ``path`` is a URI that
+    Arrow's file systems know (file, hdfs, s3, gs).
+    """
+
+    def run(batches):
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder, recursive=True)
+        for batch in batches:
+            names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, body in zip(names, bodies, strict=True):
+                own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(own) as f:
+                    f.write(body)
+                where.move(own, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(b) for b in bodies], pa.int64())], names=["name", "bytes"])
+
+    return stage(files.select("name", F.col("body").cast("binary")).mapInArrow(run, "name string, bytes long"), "written")
+
+
+def write_images(images: DataFrame, path: str) -> DataFrame:
+    """Write a PNG file for each row (name, height, width, nChannels, data): tiles, masks (one channel), flipped and predicted images alike; see ``write_files``."""
+
+    def encoded(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            names, bodies = [f"{r['name']}.png" for r in rows], [png(r["height"], r["width"], r["nChannels"], r["data"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["name", "body"])
+
+    return write_files(images.select("name", "height", "width", "nChannels", "data").mapInArrow(encoded, "name string, body binary"), path)
+
+
+def block_images(blocks: DataFrame, prefix: str = "block") -> DataFrame:
+    """Rows for ``write_images`` of raster blocks with values 0 to 255, one grey image a block; no pixel is 0."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["data"], np.int32)
+                name = f"{prefix}_{r['img']}_{r['block_row']}_{r['block_col']}"
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, r["h"], r["w"], 1, np.where(a < 0, 0, a).astype(np.uint8).tobytes())], names=["name", "height", "width", "nChannels", "data"])
+
+    return blocks.mapInArrow(run, "name string, height long, width long, nChannels long, data binary")
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """One graph text file: vertex lines (idx, x, y), a blank line, edge lines (no, src, dst), in order."""
+    blank = vertices.sparkSession.createDataFrame([(1, 0, "")], "part int, place long, value string")
+    v = vertices.select(F.lit(0).alias("part"), F.col("idx").alias("place"), F.concat_ws(" ", "x", "y").alias("value"))
+    e = edges.select(F.lit(2).alias("part"), F.col("no").alias("place"), F.concat_ws(" ", "src", "dst").alias("value"))
+    v.union(blank).union(e).repartitionByRange(1, "part", "place").sortWithinPartitions("part", "place").select("value").write.text(path)
+
+
 def feature(properties: list[str], ring: Column, kind: str = "Polygon") -> Column:
     """One GeoJSON Feature as text, keys sorted; a null ring is a null geometry."""
     xy = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
