@@ -1,7 +1,6 @@
 """Each operator against a plain-Python version on the small tables and on awkward rows."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -96,6 +95,44 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert all(r.k > 0.98 if r.quality else r.k < (0.02 if r.s else 0.15) for r in rated.collect())
 
 
+def sample_of(pattern, most):
+    """A text that the pattern matches: with all optional parts and last branches, or without any and with first ones."""
+    from re import _constants as C
+    from re import _parser
+
+    def walk(tree):
+        out = ""
+        for op, arg in tree:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.NOT_LITERAL:
+                out += "z"
+            elif op is C.IN:
+                out += chr(arg[-1 if most else 0][1])
+            elif op is C.BRANCH:
+                out += walk(arg[1][-1 if most else 0])
+            elif op is C.SUBPATTERN:
+                out += walk(arg[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                low, high, inner = arg
+                out += walk(inner) * ((3 if high > 99 else min(high, 3)) if most else low)
+            else:
+                raise AssertionError(op)
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+def test_every_license_rule_matches_its_samples(spark):
+    said = [(2 * i + most, sample_of(r[1], most)) for i, r in enumerate(licenses.RULES) for most in (0, 1)]
+    assert all(re.fullmatch(licenses.RULES[i // 2][1], t) for i, t in said)
+    got = {r.doc_id: (r.base_labels, r.labels, len(r.detections), [(d.start, d.end) for d in r.detections]) for r in licenses.license_scan(spark.createDataFrame(said, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in said:
+        want = brute_licenses(t)
+        assert (got[i][0], got[i][1], got[i][2]) == want[4:7], (t, got[i], want)
+        assert sorted(got[i][3]) == brute_places(t)
+
+
 def brute_licenses(text):
     w = [x for x in re.split(licenses.BREAKS, text or "") if x]
     w = [x.translate(str.maketrans(licenses.UPPER, licenses.LOWER)) for x in w]
@@ -103,14 +140,29 @@ def brute_licenses(text):
     spans = []
     for no, (label, pattern, level, *_groups) in enumerate(licenses.RULES):
         for i in range(len(w)):
-            m = re.match(f"(?:{pattern})(?= )", " ".join(w[i : i + 40]) + " ")
+            m = re.match(f"(?:{pattern})(?= )", " ".join(w[i : i + 60]) + " ")
             if m:
                 spans.append((i, i + len(m[0].split()), level, no, label))
-    kept = [a for a in spans if not any(b is not a and b[0] <= a[0] and b[1] >= a[1] and (b[2], b[0] - b[1], b[3]) < (a[2], a[0] - a[1], a[3]) for b in spans)]
+    kept = suppressed(spans)
     labels = sorted({b[1] for b in base} | {k[4] for k in kept})
     return len(w), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted({b[1] for b in base})), ",".join(labels), len(kept)
 
 
+def suppressed(spans):
+    return [a for a in spans if not any(b is not a and b[0] <= a[0] and b[1] >= a[1] and (b[2], b[0] - b[1], b[3]) < (a[2], a[0] - a[1], a[3]) for b in spans)]
+
+
+def brute_places(text):
+    w = [x.lower() for x in re.split(licenses.BREAKS, text or "") if x]
+    spans = []
+    for no, (label, pattern, level, *_groups) in enumerate(licenses.RULES):
+        for i in range(len(w)):
+            m = re.match(f"(?:{pattern})(?= )", " ".join(w[i : i + 60]) + " ")
+            if m:
+                spans.append((i, i + len(m[0].split()), level, no, label))
+    return sorted((a[0], a[1]) for a in suppressed(spans))
+
+
 def test_licenses(spark, odd):
     assert len(licenses.RULES) > 200
     said = [
@@ -176,6 +228,72 @@ def test_near_duplicates_of_documents(spark, docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_learned_references(spark):
+    from tilewright.llm.quality import learn_references
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    found = learn_references(docs)
+    known = [(r.lang, r.text) for r in docs.where("lang is not null and text is not null").collect()]
+    for lang, ref in found.items():
+        said = [t for k, t in known if k == lang]
+        counts = Counter(w for t in said for w in words_of(t))
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
+        assert list(ref["words"]) == [w for w, _ in want] and abs(ref["words"][want[0][0]] - want[0][1] / sum(counts.values())) < 1e-12
+        assert abs(ref["chars"][0] - sum(len(re.findall("[a-z]", t)) for t in said) / sum(map(len, said))) < 1e-12 and abs(sum(ref["chars"]) - 1) < 1e-9
+    assert sorted(found) == sorted({k for k, _ in known})
+    kept = quality(docs, references=found).where("not base_failed").join(labels, "doc_id").agg(F.avg(F.col("kept").cast("int")).alias("k")).first().k
+    assert kept > 0.95
+    assert learn_references(docs.limit(0)) == {}
+
+
+def grams(text):
+    t = text.lower()
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_language_kernel():
+    said = ["der Hund schläft, und die Katze wacht", "the dog sleeps while the cat is awake", "el perro duerme y la gata no", "abc abc abc", "a"]
+    model = language.fit(said, ["de", "en", "es", "x", "x"], landmarks=2)
+    other = [*said, "ein Satz mit anderen Wörtern", "q", "zz zz zz zz"]
+    got = model.kernel(other)
+    # few characters, so every one has a class of its own, but those that no landmark holds share classes
+    seen = {c for t in said for c in t.lower()}
+    for row, text in zip(got, other):
+        if set(text.lower()) <= seen:
+            for value, mark in zip(row, said):
+                a, b = grams(text), grams(mark)
+                assert abs(value - len(a & b) / np.sqrt(len(a) * len(b))) < 1e-5
+    assert abs(got[0, 0] - 1) < 1e-5 and got[:, 0].max() < 1 + 1e-5
+
+
+def test_language_of_odd_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    known = [(1, "½ ²"), (1, "½ ²"), (2, "٣ _ 12"), (3, None), (4, "x" * 100_000), (None, "Ⅷ"), (5, "the and of")]
+    d = spark.createDataFrame(known, "doc_id long, text string").withColumn("LANG_PRED", F.lit(5)).withColumn("kernel", F.lit("x"))
+    found = language.identify(d, model)
+    assert found.columns == ["doc_id", "text", "kernel", "lang_pred", "score"]
+    got = Counter((r.doc_id, r.lang_pred == "und") for r in found.collect())
+    assert got == Counter([(1, True), (1, True), (2, True), (3, True), (4, False), (None, True), (5, False)])
+    many = spark.range(50).select(F.col("id").alias("doc_id"), F.format_string("l%d", F.col("id") % 25).alias("lang"), F.format_string("text number %d", "id").alias("text"))
+    assert len(language.train(many, max_languages=4).languages) <= 4
+
+
+def test_word_encoder_depends_on_nothing_before():
+    from tokenizers import Tokenizer
+
+    from tilewright.llm.tokens import WordEncoder
+
+    library, own = Tokenizer.from_file(WORD_BPE), WordEncoder(WORD_BPE, limit=500)
+    r = random.Random(1)
+    pool = [*"abcXYZ'’.,;:!?-_*&()[]<>|/\\\"@#09 \t\n", *"İıßÉéñÇŒŠžǅªº½²٣ΣςЖжあ日本語\u0301\u0302\u0307 \x1c\x1f\x85\u00a0\u2003\u200b\ufeff\u0345ẞŉµ", "<|endoftext|>", "'s", "'LL", "the", "word", "</w>", "\U0001f600", "\0"]
+    texts = ["İ", "İ.", "İ", "é.", "e\u0301.", *["".join(r.choices(pool, k=r.randrange(1, 14))) for _ in range(30_000)]]
+    got = own.encode(texts)
+    for text, ids, want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(docs)
@@ -221,6 +339,56 @@ def test_fingerprints(spark, docs, odd):
     assert chunks.containment(chunks.fingerprint(data), chunks.fingerprint(b"new words in front " + data)) > 0.97, known_long[:20]
 
 
+def brute_fingerprint(data, low=40, mid=128, high=512):
+    """Chunks by a hash of the last 32 bytes, computed anew at each place."""
+    gear = [int(g) for g in chunks.gear_table()]
+    ends, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + high)
+        if len(data) - at > low:
+            for e in range(at + low, end):
+                h = sum(gear[data[e - 1 - k]] << k for k in range(min(32, e))) & 0xFFFFFFFF
+                if h >> (32 - (9 if e <= at + mid else 5)) == 0:
+                    end = e
+                    break
+        else:
+            end = len(data)
+        ends.append((at, end))
+        at = end
+    return {data[a:b] for a, b in ends}
+
+
+def test_fingerprint_is_brute_force():
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefgh \n", k=n)).encode() for n in (0, 1, 39, 40, 41, 700, 5000)]
+    texts += [texts[-1][:2500] + b"new" + texts[-1][2500:], b"a" * 3000]
+    sets = [brute_fingerprint(t) for t in texts]
+    for t, s in zip(texts, sets):
+        assert sorted(chunks.fingerprint(t)["length"].tolist()) == sorted(map(len, s))
+    for a, x in zip(texts, sets):
+        for b, y in zip(texts, sets):
+            small = min(sum(map(len, x)), sum(map(len, y)))
+            want = sum(map(len, x & y)) / small if small else float(not x and not y)
+            assert abs(chunks.containment(chunks.fingerprint(a), chunks.fingerprint(b)) - want) < 1e-12
+
+
+def test_followers_of_odd_ids(spark):
+    known = [(i, f"text {i} " * 30) for i in range(0, 4000, 2)] + [(1 << 60, "x"), (-(1 << 63), "low"), ((1 << 63) - 1, "high"), (None, "n1"), (None, "n2"), (8, "again"), (8, "again")]
+    d = spark.createDataFrame(known, "doc_id long, text string").withColumn("PART", F.lit(1))
+    sizes = chunks.with_next(d, 8).groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert max(r.n for r in sizes) < 2 * len(known) / 8
+    order = sorted(known, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[(i, hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in chunks.edit_likeness(d).collect()) == want
+    both = chunks.fingerprints(d.where("doc_id = 8 or doc_id is null").withColumn("fingerprint", F.lit(1)))
+    assert all(r.fingerprint == chunks.encode(chunks.fingerprint(r.text.encode())) for r in both.collect())
+    same = both.select(chunks.likeness(F.col("fingerprint"), F.col("fingerprint")).alias("x"), chunks.likeness(F.col("fingerprint"), F.lit(None).cast("string")).alias("y")).first()
+    assert same.x == 1.0 and same.y is None
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [\\\\/INST] \\[/INST]<"), (-8, None, None, None), (-8, 1, "assistant", None), (-8, 1, "assistant", None), (-9, 0, "assistant", "first"), (-9, 1, "us[/INST]er", "last"), (None, 0, "user", "[")], "conv_id long, turn long, role string, text string")
@@ -279,6 +447,20 @@ def test_token_files(spark, docs, odd, tmp_path):
     assert tokenfile.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_BPE)
+    known = [(5, f"text number {i}") for i in range(300)] + [(None, "none"), (None, None), (7, "x y z"), (7, "x y z"), (-3, "long " * 9000)]
+    d = spark.createDataFrame(known, "doc_id long, text string").withColumn("PART", F.lit("clash")).withColumn("ids", F.lit(1))
+    tokenfile.write_tokens(d, f"{tmp_path}/r", WORD_BPE, segment=2000)
+    got = sorted(tokenfile.read_tokens(spark, f"{tmp_path}/r").collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in known)
+    assert [r.start for r in got] == [sum(q.n_tokens for q in got[:k]) for k in range(len(got))]
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 def test_damaged_block_is_found():
     ids = np.arange(5000, dtype=np.uint32) % 97
     s, f = tokenfile.frequency_table(ids)
@@ -329,6 +511,36 @@ def test_packing_limits():
     for x in p.out:
         by[x[6]].append(x)
     assert all(sum(x[2] for x in s) <= 64 and len(s) <= 3 and sum(x[5] for x in s) <= 20 for s in by.values())
+    for limits in ((0, 1, 1), (1, 0, 1), (1, 1, 0)):
+        with pytest.raises(ValueError):
+            packing.Packer(*limits, 4, 0)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.8, 0.95, 1.0])
+def test_packing_under_a_loss_limit(share):
+    """Sequences are hardly more than tokens or loss ask for."""
+    p, r, tokens, loss = packing.Packer(2048, 256, 512, 256, 0), random.Random(3), 0, 0
+    for i in range(300):
+        n = r.randrange(1, 4300)
+        masked = int(share * n)
+        tokens, loss = tokens + n, loss + n - masked
+        p.add((i, 0, n, bytes(4 * n), n, n - masked, masked))
+    p.finish()
+    by = defaultdict(list)
+    for x in p.out:
+        by[x[6]].append(x)
+    assert all(sum(x[2] for x in s) <= 2048 and sum(x[5] for x in s) <= 512 for s in by.values())
+    assert sum(x[2] for x in p.out) == tokens and sum(x[5] for x in p.out) == loss
+    assert max(tokens / 2048, loss / 512) > 0.93 * (len(by) - 12)
+
+
+def test_packing_of_masked_repeated_and_null_ids(spark):
+    known = [(1, "one two three four", 2), (1, "one two three four", None), (None, "five six", 99), (2, None, -4), (3, "word " * 5000, 4000)]
+    d = spark.createDataFrame(known, "doc_id long, text string, masked long").withColumn("LENGTH", F.lit("clash")).coalesce(1)
+    got = packing.pack(d, WORD_BPE, max_loss=300, masked="masked").collect()
+    tokens = lambda t: len((t or "").split()) + 1
+    assert Counter({i: sum(r.length for r in got if r.doc_id == i) for i in {r.doc_id for r in got}}) == Counter({1: 10, None: 3, 2: 1, 3: 5001})
+    assert sum(r.loss_tokens for r in got) == sum(tokens(t) - min(max(0, m or 0), tokens(t)) for _, t, m in known)
 
 
 def test_pieces(spark, docs, odd):
@@ -349,41 +561,92 @@ def test_pieces(spark, docs, odd):
                 assert r.piece_ids == best or score(r.piece_ids) >= score(best) - 1e-6
     for word in {w for t in list(texts(docs).values())[:40] for w in (t or "").split()} | {"日本語x", "é\t\n", "▁"}:
         assert model._short(word) == model._search(word)
+    r = random.Random(6)
+    parts = ["".join(r.choices("aeitnrs▁dlé'.,9日", k=r.randrange(1, 2 * model.longest))) for _ in range(3000)]
+    for part, ids in zip(parts, model._many(parts)):
+        assert ids is None or np.frombuffer(ids, np.int32).tolist() == model._search(part)
+    gaps = "a" + " " * 5000 + "b \t\n" * 2000
+    assert model.decode(model.encode(gaps).tolist()) == gaps
     long = "".join(random.Random(5).choices("abcdeéあ", k=3000))
     held = list(model.stream(long))
     assert "".join(long[a:b] for a, b, _ in held) == long
 
 
-def test_token_counts(spark, docs, odd):
+def brute_counts(encoder, text, bounds, rule):
+    """Tokens and crossing tokens of each section, -1 for none, character by character."""
+    raw, at, out = text.encode(), 0, defaultdict(lambda: [0, 0])
+    place = [k for k, c in enumerate(text) for _ in c.encode()]
+    for i in encoder.encoding.encode_ordinary(text):
+        size = int(encoder.sizes[i])
+        own = sorted(set(place[at : at + size]))
+        at += size
+        holders = [next((k for k, (a, b) in enumerate(bounds) if a <= c < b), -1) for c in own]
+        if rule == "start":
+            owner = holders[0]
+        elif rule == "end":
+            owner = holders[-1]
+        else:
+            counts = Counter(h for h in holders if h >= 0)
+            owner = min(counts, key=lambda h: (-counts[h], h)) if counts else -1
+        out[owner][0] += 1
+        out[owner][1] += owner >= 0 and any(h != owner for h in holders)
+    assert at == len(raw)
+    return out
+
+
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+def test_token_counts(spark, docs, odd, rule):
     ranks = queries.tokenizer_path("byte_bpe_50k.tiktoken")
     e = tokencounts.SpanEncoder.of(ranks, queries.PATTERN)
-    for d in (docs, odd):
-        known = [(r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect()]
+    short = docs.where("length(text) < 1500").select("doc_id", "text")
+    for d in (short, odd.withColumn("section", F.lit("clash")).withColumn("N_TOKENS", F.lit(0))):
         want = Counter()
-        for doc_id, text in known:
-            at, n = 0, Counter()
-            bounds = []
-            for line in text.split("\n"):
-                bounds.append((at, min(len(text), at + len(line) + 1)))
-                at += len(line) + 1
-            raw, seen, pos = text.encode(), 0, 0
-            spans = []
-            for i in e.encoding.encode_ordinary(text):
-                size = e.sizes[i]
-                a = len(raw[:seen].decode("utf-8", "ignore")) if size and len(text) < 3000 else None
-                spans.append((seen, seen + size, a))
-                seen += size
-            assert seen == len(raw)
-            want[(doc_id, len(bounds), len(spans))] += 1
-        got = defaultdict(list)
-        found = tokencounts.token_counts(d, ranks, queries.PATTERN).collect()
-        assert sum(r.n_tokens for r in found) == sum(k[2] * v for k, v in want.items())
-    starts, ends = np.array([0, 3, 5, 9]), np.array([3, 5, 9, 12])
-    lows, highs = np.array([0, 4, 8]), np.array([4, 8, 10])
-    assert tokencounts.attribute(starts, ends, lows, highs, "majority")[0].tolist() == [0, 0, 1, 2]
-    assert tokencounts.attribute(starts, ends, lows, highs, "start")[0].tolist() == [0, 0, 1, 2]
-    assert tokencounts.attribute(starts, ends, lows, highs, "end")[0].tolist() == [0, 1, 2, -1]
-    own = spark.createDataFrame([(1, "one two three", [(0, 4), (8, 13)])], "doc_id long, text string, s array<struct<start:int,end:int>>")
-    got = {r.section: r.n_tokens for r in tokencounts.token_counts(own, ranks, queries.PATTERN, sections="s").collect()}
-    assert got[0] >= 1 and got[1] >= 1
-    assert json.dumps(sorted(got))
+        for doc_id, text in [(r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect()]:
+            if len(text) > 3000:
+                continue
+            ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
+            bounds = [(int(b - len(x) - 1), min(int(b), len(text))) for x, b in zip(text.split("\n"), ends)]
+            found = brute_counts(e, text, bounds, rule)
+            total = sum(n for n, _ in found.values())
+            for k, (a, b) in enumerate(bounds):
+                want[(doc_id, k, a, b, *found[k], total)] += 1
+        got = Counter(tuple(r) for r in tokencounts.token_counts(d.where("text is null or length(text) <= 3000"), ranks, queries.PATTERN, rule=rule).collect())
+        assert got == want
+    assert tokencounts.token_counts(docs.limit(0), ranks, queries.PATTERN).count() == 0
+
+
+def test_token_counts_of_given_sections(spark):
+    ranks = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    e = tokencounts.SpanEncoder.of(ranks, queries.PATTERN)
+    known = [(1, "one two three 日本語 four", [(0, 4), (8, 13)]), (2, "no sections at all", None), (3, "a gap, an empty one", [(2, 2), (7, 99), None]), (None, "  \t" * 400 + "x" * 2000, [(3, 9)]), (3, "", [(0, 0)])]
+    d = spark.createDataFrame(known, "doc_id long, text string, s array<struct<start:int,end:int>>")
+    want = Counter()
+    for doc_id, text, given in known:
+        bounds = sorted((min(a, len(text)), min(b, len(text))) for a, b in [g for g in given or [] if g])
+        found = brute_counts(e, text, bounds, "majority")
+        total = sum(n for n, _ in found.values())
+        for k, (a, b) in enumerate(bounds):
+            want[(doc_id, k, a, b, *found[k], total)] += 1
+        if found[-1][0]:
+            want[(doc_id, -1, 0, len(text), found[-1][0], 0, total)] += 1
+    assert Counter(tuple(r) for r in tokencounts.token_counts(d, ranks, queries.PATTERN, sections="s").collect()) == want
+    bad = spark.createDataFrame([(1, "one two", [(0, 4), (3, 5)])], "doc_id long, text string, s array<struct<start:int,end:int>>")
+    with pytest.raises(Exception, match="overlap"):
+        tokencounts.token_counts(bad, ranks, queries.PATTERN, sections="s").collect()
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    words = lambda a, n=50: " ".join(f"w{i}" for i in range(a, a + n))
+    known = [(4, words(0)), (9, words(0) + " more"), (9, words(500)), (7, words(500)), (None, words(0)), (None, None), (3, None), (3, ""), (8, words(900)), (8, words(900))]
+    d = spark.createDataFrame(known, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("KEPT", F.lit(1))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(d, words=4).collect())
+    assert got == Counter([(4, 47, 4, True), (9, 48, 4, False), (9, 47, 7, False), (7, 47, 7, True), (None, 47, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True), (8, 47, 8, True), (8, 47, 8, True)])
+
+
+def test_columns_that_clash(spark):
+    d = spark.createDataFrame([(1, "MIT license", 5), (None, None, None)], "doc_id long, text string, LABELS long").withColumn("n_words", F.lit("x")).withColumn("piece_ids", F.lit(1)).withColumn("Decoded", F.lit(2))
+    got = licenses.license_scan(d)
+    assert [c for c in got.columns if c.lower() == "labels"] == ["labels"] and sorted((r.doc_id or 0, r.n_words, r.labels) for r in got.collect()) == [(0, 0, ""), (1, 2, "mit")]
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    back = pieces.decode_pieces(pieces.encode_pieces(d, path), path)
+    assert {r.doc_id: r.decoded for r in back.select("doc_id", "decoded").collect()} == {1: "MIT license", None: None}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,102 @@ FAMILIES = [
     ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by nd", ["2 0", "2 5", "3 0", "4 0"], "cc attribution"),
     ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc by sa", ["2 0", "2 5", "3 0", "4 0"], "cc attribution"),
     ("cc-by", "(?:cc by|creative commons attribution)", "cc by", ["2 0", "2 5", "3 0", "4 0"], "cc attribution"),
+    ("sspl", "(?:sspl|server side public licen[cs]e)", "sspl", ["1 0", "1"], "sspl server"),
+    ("busl", "(?:busl|business source licen[cs]e)", "busl", ["1 1"], "busl business"),
+    ("elastic", "elastic licen[cs]e", "elastic", ["2 0"], "elastic"),
+    ("cpl", "(?:cpl|common public licen[cs]e)", "cpl", ["1 0"], "cpl common"),
+    ("ipl", "(?:ipl|ibm public licen[cs]e)", "ipl", ["1 0"], "ipl ibm"),
+    ("ruby", "ruby licen[cs]e", "ruby", [], "ruby"),
+    ("php", "php licen[cs]e", "php", ["3 0", "3 01"], "php"),
+    ("openssl", "openssl licen[cs]e", "openssl", [], "openssl"),
+    ("blueoak", "blue oak model licen[cs]e", "blueoak", ["1 0 0"], "oak blueoak"),
+    ("0bsd", "(?:0bsd|zero clause bsd)(?: licen[cs]e)?", "0bsd", [], "0bsd zero"),
+    ("mulanpsl", "(?:mulanpsl|mulan permissive software licen[cs]e)", "mulanpsl", ["1 0", "2 0"], "mulanpsl mulan"),
+    ("odbl", "(?:odbl|open database licen[cs]e)", "odbl", ["1 0"], "odbl database"),
+    ("pddl", "(?:pddl|public domain dedication and licen[cs]e)", "pddl", ["1 0"], "pddl dedication"),
+    ("odc-by", "open data commons attribution licen[cs]e", "odc by", ["1 0"], "odc commons"),
+    ("qpl", "(?:qpl|q public licen[cs]e)", "qpl", ["1 0"], "qpl q"),
+    ("cecill", "cecill(?: [bc])?(?: licen[cs]e)?", "cecill", ["1 0", "2 0", "2 1"], "cecill"),
+    ("upl", "(?:upl|universal permissive licen[cs]e)", "upl", ["1 0"], "upl universal"),
+    ("ms-rl", "microsoft reciprocal licen[cs]e", "ms rl", [], "ms reciprocal"),
+    ("lppl", "(?:lppl|latex project public licen[cs]e)", "lppl", ["1 3"], "lppl latex"),
+    ("polyform", "polyform (?:noncommercial|shield|strict) licen[cs]e", "polyform", ["1 0 0"], "polyform"),
+    ("w3c", "w3c software (?:notice and )?licen[cs]e", "w3c", [], "w3c"),
+    ("x11", "x11 licen[cs]e", "x11", [], "x11"),
+    ("postgresql", "postgresql licen[cs]e", "postgresql", [], "postgresql"),
+    ("curl", "curl licen[cs]e", "curl", [], "curl"),
+    ("openrail", "(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?", "openrail", [], "openrail"),
 ]
 #: Fixed values: (label, pattern, level) of single rules.
 SINGLE_RULES = [
     ("public-domain", "(?:released|dedicated|placed|is|in)(?: in| into| to)?(?: the)? public domain", 2),
+    ("public-domain", "(?:waives?|waived) all (?:copyright|rights) (?:and related rights )?(?:to|in) (?:this|the) (?:work|software|text)", 2),
+    ("public-domain", "no (?:rights|copyright) reserved", 2),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1),
+    ("cc0", "to the extent possible under law (?:[^ ]+ ){0,12}?has waived all copyright and related or neighboring rights", 1),
     ("proprietary", "all rights reserved", 3),
+    ("proprietary", "(?:unauthori[sz]ed )?(?:copying|reproduction) (?:or distribution )?of this (?:file|document|work) (?:[^ ]+ ){0,8}?strictly prohibited", 2),
+    ("proprietary", "(?:this (?:file|document|software) is )?proprietary and confidential", 2),
+    ("proprietary", "may not be (?:copied|reproduced)(?: or distributed)? without (?:the )?(?:prior )?(?:written )?permission", 2),
     ("permissive-notice", "permission is hereby granted free of charge to any person obtaining a copy", 1),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions", 1),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?: provided that the above copyright notice and this permission notice appear in all copies)?", 1),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 0),
+    ("hpnd", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee )?is hereby granted", 1),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 1),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){0,12}?nor the names of its contributors may be used to endorse or promote products", 1),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1),
+    ("bsd", "redistributions of source code must retain the above copyright notice", 2),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", 2),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 1),
+    ("zlib", "the origin of this software must not be misrepresented", 1),
+    ("zlib", "altered source versions must be plainly marked as such", 1),
+    ("warranty-disclaimer", "the software is provided as is without warranty of any kind", 3),
+    ("warranty-disclaimer", "without even the implied warranty of merchantability or fitness for a particular purpose", 3),
     ("copyleft-notice", "this program is free software you can redistribute it and or modify it", 1),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", 1),
+    ("lgpl", "under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation", 1),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", 1),
+    ("gpl-2.0", "as published by the free software foundation (?:either )?version 2 of the license", 0),
+    ("gpl-3.0", "as published by the free software foundation (?:either )?version 3 of the license", 0),
+    ("gpl", "you should have received a copy of the gnu general public license along with", 2),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with", 2),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 1),
+    ("gpl-exception", "as a special exception (?:[^ ]+ ){0,12}?gives? (?:you )?permission to link", 1),
+    ("gpl-exception", "(?:with )?(?:the )?classpath exception", 1),
+    ("gpl-exception", "(?:with )?(?:the )?(?:gcc )?runtime library exception", 1),
+    ("gpl-exception", "(?:with )?(?:the )?(?:autoconf|bison|font|linking) exception", 1),
+    ("llvm-exception", "(?:with )?(?:the )?llvm exceptions?", 1),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 0),
+    ("apache", "you may obtain a copy of the license at (?:http|https) www apache org licenses", 1),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license", 1),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 0),
+    ("mpl", "the contents of this file are subject to the mozilla public license", 1),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", 1),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", 1),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 1),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", 1),
+    ("ofl", "this font software is licensed under the sil open font license", 1),
+    ("artistic", "the artistic license or the gnu general public license", 1),
+    ("perl", "under the same terms as perl(?: itself)?", 2),
+    ("dual-license", "dual licensed under", 2),
+    ("dual-license", "(?:under|at your option) either the (?:[^ ]+ ){1,4}?licen[cs]e or", 3),
+    ("dual-license", "(?:licensed )?under your choice of", 3),
+    ("commercial", "(?:a )?commercial licen[cs]e (?:is available|can be obtained|may be purchased)", 2),
+    ("no-derivatives", "(?:no|without) derivative works? (?:is |are )?(?:permitted|allowed)", 3),
+    ("non-commercial", "for non ?commercial (?:use|purposes) only", 2),
+    ("non-commercial", "(?:free )?for personal (?:and|or) (?:educational|non ?commercial) use", 3),
+    ("cc", "this work is licensed under a creative commons", 1),
+    ("cc", "some rights reserved", 3),
+    ("beerware", "(?:the )?beer ?ware license", 1),
+    ("json", "the software shall be used for good not evil", 1),
+    ("commons-clause", "commons clause (?:license )?condition", 1),
+    ("gov", "this is a work of the (?:u s|united states) government", 2),
     ("license-file", "see (?:the )?(?:file )?(?:license|licence|copying)(?: txt| md)? (?:file )?for (?:more )?details", 4),
+    ("license-file", "(?:the )?(?:full )?licen[cs]e (?:text )?(?:is|can be found) in the (?:file )?(?:license|licence|copying)", 4),
 ]
 #: A rule is tried on a text that has its keyword as a word.
-KEYWORDS = ["license", "licence", "licensed", "spdx", "gpl", "agpl", "lgpl", "gfdl", "bsd", "mpl", "epl", "eupl", "cddl", "ofl", "wtfpl", "unlicense", "cc0", "cc", "creative", "domain", "reserved", "hereby", "redistribution", "redistribute", "copying"]
+KEYWORDS = ["license", "licence", "licensed", "spdx", "gpl", "agpl", "lgpl", "gfdl", "bsd", "mpl", "epl", "eupl", "cddl", "ofl", "wtfpl", "unlicense", "cc0", "cc", "creative", "domain", "reserved", "hereby", "redistribution", "redistribute", "copying", "sspl", "busl", "cpl", "ipl", "0bsd", "mulanpsl", "odbl", "pddl", "qpl", "cecill", "upl", "lppl", "openrail", "copyright", "proprietary", "permission", "warranty", "prohibited", "exception", "exceptions", "redistributions", "misrepresented", "altered", "advertising", "contributors", "perl", "choice", "commercial", "noncommercial", "personal", "derivative", "evil", "clause", "government", "rights"]
 #: By level of the rule: SPDX tag or full notice, grant of a named version, named version, grant, bare name.
 LEVEL_SCORES = [1.0, 0.95, 0.9, 0.8, 0.6, 0.5]
 GRANT = "(?:licensed|released|distributed|available|published|provided|offered|redistributed) (?:freely )?under (?:the )?(?:terms of (?:the )?)?"
@@ -95,11 +180,12 @@ def build_rules() -> list[tuple]:
 
 
 def _can_hold(pattern: str, keyword: str) -> bool:
-    """Whether ``keyword`` is one of the words in the pattern's text."""
+    """Whether ``keyword`` is one of the words in the pattern's text, with and without its optional letters and spaces."""
     plain = pattern.replace("licen[cs]e", "license licence")
-    for mark in "()?:|[]":
-        plain = plain.replace(mark, " ")
-    return keyword in plain.split()
+    words: set[str] = set()
+    for text in (re.sub(r"(\w|\s)\?", r"\1", plain), re.sub(r"(\w|\s)\?", "", plain)):
+        words.update(re.sub(r"[()?:|\[\]^+{},]", " ", text).split())
+    return keyword in words
 
 
 RULES = build_rules()
@@ -123,9 +209,10 @@ def _places(norm: Column, pattern: Column) -> Column:
         start = F.struct(spaces(F.get(pieces, F.lit(0))).alias("n"), empty.alias("out"))
 
         def step(state: Column, k: Column) -> Column:
-            # optional first words let a rule match again inside its own match, in at most three places
-            ahead = F.concat(F.array_join(F.slice(pieces, k, F.lit(4)), ""), F.lit(" "))
-            size = spaces(F.call_function("regexp_extract", ahead, extract, F.lit(1)))
+            # optional first words and bounded gaps let a rule match again inside its own match, in less than eight places
+            ahead = F.concat(F.array_join(F.slice(pieces, k, F.lit(8)), ""), F.lit(" "))
+            match = F.call_function("regexp_extract", ahead, extract, F.lit(1))
+            size = F.when(F.length(match) > 0, spaces(match)).otherwise(F.raise_error(F.lit("a rule starts too often inside its own match")).cast("int"))
             found = F.struct(state["n"].alias("s"), (state["n"] + size).alias("e"))
             return F.struct((state["n"] + spaces(F.element_at(pieces, k))).alias("n"), F.concat(state["out"], F.array(found)).alias("out"))
 
@@ -145,7 +232,8 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list | None = None)
     sorted, comma-joined; empty string without any), ``detections`` (array of start, end, label,
     level after suppression) and ``score`` (0 to 1: that of the best level, base phrases 0.5).
 
-    A rule runs only on texts that hold a word of each of its keyword lists. Of the detections, one is dropped if
+    Rules given here are (label, pattern, level, keywords, anchors, version words); a match must hold one of each list, and may hold up to seven
+    starts of further matches of its rule (more raise). A rule runs only on texts that hold a word of each of its keyword lists. Of the detections, one is dropped if
     another contains it and has a lower level, or the same level and more words, or comes
     from an earlier rule over the same words. Labels of base phrases always stay.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, chunks, language, neardup, pieces, tokencounts, tokenfile
+from tilewright.llm import chat, chunks, language, neardup, oracles, pieces, tokencounts, tokenfile
 from tilewright.llm.licenses import license_scan
 from tilewright.llm.packing import pack
 from tilewright.llm.quality import quality
@@ -85,4 +85,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Fixed value: the pattern that splits text for the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 QUERIES = {f.__name__: f for f in (op1_language, op2_neardup, op3_quality, op4_licenses, op5_fingerprints, op6_chat, op7_token_files, op8_packing, op9_pieces, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other methods (kernels, chunks, vocabularies, packing, regular expressions by the hundred) have no SQL; the tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_neardup": oracles.near_duplicates(4, 80), "op3_quality": oracles.quality(), "op6_chat": oracles.chat()}
