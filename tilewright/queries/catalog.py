@@ -502,9 +502,10 @@ def _(x, p):
     return vector.entry_points(as_lines(x), as_rings(p), 8.0).select("road", "parking", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
-FIRST_WINS = """n AS (SELECT id, row_number() OVER (ORDER BY id) AS place, coalesce(list(earlier) FILTER (earlier IS NOT NULL), []) AS earlier FROM nodes LEFT JOIN pairs ON id = later GROUP BY id),
- loop AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT i + 1, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, id) END FROM loop JOIN n ON place = i + 1)
- SELECT unnest(arg_max(kept, i)) AS id FROM loop"""
+#: In rounds: a node without an earlier active neighbour stays and drops its later ones.
+FIRST_WINS = """act AS (SELECT 0 AS k, later AS a, earlier AS b FROM pairs UNION ALL
+ (WITH w AS (SELECT * FROM act), lost AS (SELECT a FROM w WHERE b NOT IN (SELECT a FROM w)) SELECT k + 1, a, b FROM w WHERE a NOT IN (SELECT a FROM lost) AND b NOT IN (SELECT a FROM lost))),
+ gone AS (SELECT DISTINCT x.a FROM act x ANTI JOIN act y ON x.k = y.k AND x.b = y.a) SELECT id FROM nodes WHERE id NOT IN (SELECT a FROM gone)"""
 
 
 @query("g10_suppress", "parcels", sql=f"WITH RECURSIVE nodes AS (SELECT id FROM parcels), pairs AS (SELECT a.id AS later, b.id AS earlier FROM parcels a JOIN parcels b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE b.id < a.id), {FIRST_WINS}")
