@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.tokens import arrow_schema, slices
+from tilewright.llm.tokens import arrow_schema, only, slices
 from tilewright.plans.components import connected_components
 from tilewright.plans.order import prefix_sum
 from tilewright.plans.staging import Staged
@@ -32,10 +32,10 @@ PLACES = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) * n
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept in the Python worker; emptied when it has a million."""
+    """64-bit hashes of words, kept in the Python worker; emptied when it has half a million."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -44,6 +44,11 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def make_room() -> None:
+    """Empty this Python worker's other caches."""
+    only(_HASHES)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -96,6 +101,7 @@ def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, text_key, n_shingles, a 128-bit digest of the set, and the signature as big-endian bytes (null for empty sets)."""
 
     def run(batches):
+        make_room()
         for batch in slices(batches):
             out = []
             for doc_id, text, key in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -274,7 +280,7 @@ def link_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int
     return [ids[r] for r in root]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, task_rows: int = 512, max_shingles: int = 8_000_000, keys: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, max_group: int = 4096, task_rows: int = 512, max_shingles: int = 4_000_000, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach), kept.
 
     Two documents link if their sets of ``words``-word shingles have a Jaccard similarity of at least ``percent``
@@ -318,6 +324,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, max_group: int,
     groups = staged(groups, "groups")
 
     def sets(batches):
+        make_room()
         for batch in slices(batches):
             made = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(m) for m in made]

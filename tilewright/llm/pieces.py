@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.tokens import arrow_schema, slices, without
+from tilewright.llm.tokens import arrow_schema, only, slices, without
 
 SPACE = "▁"
 #: As the library has it: an unknown character costs 10 more than the worst piece.
@@ -64,6 +64,7 @@ class PieceModel:
     def of(path: str) -> PieceModel:
         if path not in _KEPT:
             _KEPT[path] = PieceModel(path)
+        only(_KEPT[path].known)
         return _KEPT[path]
 
     def stream(self, text: str):
@@ -232,7 +233,8 @@ class PieceModel:
         every = set().union(*(x for x in out if isinstance(x, list)))
         new = every.difference(self.known)
         if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, every
+            self.known.clear()
+            new = every
         new = sorted(new, key=len)
         for k in range(0, len(new), 2048):
             some = new[k : k + 2048]

@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 _ODD = "\x1c\x1d\x1e\x1f"
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 _KEPT: dict = {}
+_CACHES: list[dict] = []
+
+
+def only(cache: dict) -> dict:
+    """Make room for one cache of this Python worker: all others are emptied, since a worker may serve several operators in turn."""
+    if not any(c is cache for c in _CACHES):
+        _CACHES.append(cache)
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+    return cache
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,6 +58,7 @@ class WordEncoder:
         """The encoder of this Python worker; made once."""
         if path not in _KEPT:
             _KEPT[path] = WordEncoder(path)
+        only(_KEPT[path].known)
         return _KEPT[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
