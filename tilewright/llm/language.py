@@ -150,7 +150,7 @@ def training_sample(docs: DataFrame, per_language: int, max_chars: int, max_lang
 
     Rows with null lang or text, without a letter, or held out are not learned from. A text longer than ``max_chars`` is cut into even
     windows of at most so many characters, which are drawn like texts. Only hashes are ranked: copies merge before, and texts are
-    fetched for the hashes drawn. The lowest of each 64th of a language's hashes are found first, so that no task ranks a whole language.
+    fetched for the hashes drawn. The lowest of each 64th, then of each eighth of a language's hashes are found first, so that no task ranks a whole language.
     """
     able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     most = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
@@ -161,10 +161,10 @@ def training_sample(docs: DataFrame, per_language: int, max_chars: int, max_lang
     long = F.length("text") > max_chars
     able = able.where(~long).unionByName(able.where(long).select("lang", F.explode(windows).alias("text")))
     able = able.where(F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
-    drawn = able.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
-    for group in (["lang", "salt"], ["lang"]):
+    drawn = able.select("lang", "h").distinct().withColumn("fine", F.pmod("h", F.lit(64))).withColumn("coarse", F.pmod("h", F.lit(8)))
+    for group in (["lang", "fine"], ["lang", "coarse"], ["lang"]):
         drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("r") <= per_language)
-    return able.join(F.broadcast(drawn.drop("salt")), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text", "r")
+    return able.join(F.broadcast(drawn.drop("fine", "coarse")), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text", "r")
 
 
 def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, max_chars: int = 8000, max_languages: int = 64) -> KernelModel:
