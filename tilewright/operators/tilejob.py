@@ -27,7 +27,8 @@ def tile_annotations(features: DataFrame, images: DataFrame, size: int, preset:
     shapes = with_bounds(features.withColumn("parts", F.array("ring"))).drop("ring")
     corners = [F.col(f"b_{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")]
     met = G.spatial_join(shapes, tiles, float(size), exact=G.intersects(F.col("a_parts"), F.array(G.box_ring(*corners)), True, True), by="img")
-    cut = met.withColumn("c", clipped_bounds(F.get("a_parts", F.lit(0)), *corners)).where("c is not null")
+    # behind a generator the bounds are computed once; filters on them would otherwise be pushed down and repeat them
+    cut = met.select("*", F.explode(F.array(clipped_bounds(F.get("a_parts", F.lit(0)), *corners))).alias("c")).where("c is not null")
     pixel = lambda c, low: (F.col(f"c.{c}") - F.col(low)).cast("int")
     found = cut.select(F.col("a_img").alias("img"), F.col("b_tile_no").alias("tile_no"), F.format_string(f"{name}_%d_%06d", "a_img", "b_tile_no").alias("img_name"), F.col("a_id").alias("box_id"), F.col("a_category").alias("category"), pixel("minx", "b_minx").alias("x1"), pixel("miny", "b_miny").alias("y1"), pixel("maxx", "b_minx").alias("x2"), pixel("maxy", "b_miny").alias("y2"))
     kept = found.where(B.preset(preset))
