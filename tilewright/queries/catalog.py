@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as B
 from tilewright.functions import geometry as G
-from tilewright.operators import balance, evaluate, graph, manifests, raster, vector, windows
+from tilewright.operators import balance, evaluate, graph, manifests, patches, raster, vector, windows
 from tilewright.operators.scoring import evaluate_overlapping, evaluate_stitched
 from tilewright.queries.fixtures import fixture, oracle
 from tilewright.sources.sinks import box_rows, feature
@@ -86,8 +86,7 @@ def _(m):
 
 @query("a4_patches_per_category", "mask_stats", sql="SELECT 'roads' AS category, count(*) FILTER (roads > 0) AS n FROM mask_stats UNION ALL SELECT 'background', count(*) FILTER (background > 0) FROM mask_stats")
 def _(m):
-    long = m.unpivot(["pos"], ["roads", "background"], "category", "pixels")
-    return long.groupBy("category").agg(F.count_if(F.col("pixels") > 0).alias("n"))
+    return patches.patches_per_category(m, ["roads", "background"])
 
 
 @query("a5_ratio_histogram", "mask_stats", sql="SELECT b.range AS bin, count(m.pos) AS n FROM range(20) b LEFT JOIN mask_stats m ON roads <= 60000 AND least(19, floor((roads - 0.0) / 3000.0)) = b.range GROUP BY 1")
@@ -120,12 +119,12 @@ def _(b):
 
 @query("a14_nonzero_ratio", "pixels", sql="SELECT img, round(count(*) FILTER (lab <> 0) / count(*), 6) AS ratio, bool_and(lab = 0) AS empty FROM pixels GROUP BY 1")
 def _(p):
-    return p.groupBy("img").agg(r6(F.count_if(F.col("lab") != 0) / F.count("*"), "ratio"), F.bool_and(F.col("lab") == 0).alias("empty"))
+    return patches.nonzero_ratio(p, "lab").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("a16_duplicate_names", "url_list", sql="SELECT count(*) AS n, count(DISTINCT split_part(url, '/', -1)) AS names FROM url_list")
 def _(u):
-    return u.agg(F.count("*").alias("n"), F.count_distinct(manifests.file_name(F.col("url"))).alias("names"))
+    return patches.duplicate_names(u)
 
 
 RESPONSES = "resp AS (SELECT img, row_no, col_no, k.range AS class, ((row_no * 7 + col_no * 3 + k.range * (1 + w.range)) % 11) / 10.0 AS p FROM pixels, range(4) k, range(2) w)"
@@ -199,18 +198,18 @@ def _(b):
 
 @query("p12_foreground_ratio", "mask_stats", sql="SELECT filename, round(roads / (roads + background), 6) AS ratio FROM mask_stats")
 def _(m):
-    return m.select("filename", r6(F.try_divide("roads", F.col("roads") + F.col("background")), "ratio"))
+    return m.select("filename", r6(patches.foreground_ratio(["roads"]), "ratio"))
 
 
-@query("p13_background_patches", "mask_stats", sql="SELECT filename FROM mask_stats WHERE roads = 0")
+@query("p13_background_patches", "mask_stats", sql="SELECT filename FROM mask_stats WHERE roads = 0 AND (pos % 2 = 1 OR pos % 5 = 0)")
 def _(m):
-    total = sum((F.col(c) for c in ("roads",)), F.lit(0))
-    return m.where(total == 0).select("filename")
+    two = m.withColumn("houses", F.when(F.col("pos") % 2 == 0, F.col("pos") % 5))
+    return patches.without_foreground(two, ["roads", "houses"]).select("filename")
 
 
 @query("p14_positive_share", "mask_stats", sql="SELECT round(count(*) FILTER (roads / (roads + background) > 0.03) / count(*), 6) AS share FROM mask_stats")
 def _(m):
-    return m.agg(r6(F.count_if(F.col("roads") / (F.col("roads") + F.col("background")) > 0.03) / F.count("*"), "share"))
+    return patches.positive_share(m, ["roads"], 0.03).select(r6(F.col("share"), "share"))
 
 
 @query("p15_argmax", "probs", sql="SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS class FROM probs")
@@ -220,7 +219,7 @@ def _(p):
 
 @query("p16_remap_class", "label_pixels", sql="SELECT CASE WHEN actual = 2 THEN 0 ELSE actual END AS class, count(*) AS n FROM label_pixels GROUP BY 1")
 def _(p):
-    return p.groupBy(F.when(F.col("actual") == 2, 0).otherwise(F.col("actual")).alias("class")).agg(F.count("*").alias("n"))
+    return p.groupBy(patches.remap(F.col("actual"), 2, 0).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("p17_weight_raster", "pixels", sql="SELECT img, row_no, col_no, CASE v1 % 3 WHEN 0 THEN 1 WHEN 1 THEN 8 ELSE 2 END AS weight FROM pixels")
@@ -267,12 +266,12 @@ def _(b):
 
 @query("p23_scale_pixels", "pixels", sql="SELECT img, row_no, col_no, round(v1 / 127.5 - 1, 6) AS v FROM pixels")
 def _(p):
-    return p.select("img", "row_no", "col_no", r6(F.col("v1") / 127.5 - 1, "v"))
+    return p.select("img", "row_no", "col_no", r6(patches.scale_pixels(F.col("v1")), "v"))
 
 
 @query("p25_foreground_patches", "mask_stats", sql="SELECT filename FROM mask_stats WHERE background <> 1000000")
 def _(m):
-    return m.where(F.col("background") != 1000000).select("filename")
+    return patches.not_all_background(m).select("filename")
 
 
 # --- joins and sets ------------------------------------------------------------------------------
@@ -293,13 +292,13 @@ def _(m):
 
 @query("j3_stats_in_bounds", "mask_stats", "url_list", sql="SELECT filename, roads FROM mask_stats WHERE concat(filename, '.jpg') IN (SELECT split_part(url, '/', -1) FROM url_list)")
 def _(m, u):
-    return m.withColumn("patch_id", F.concat("filename", F.lit(".jpg"))).join(u.select(manifests.file_name(F.col("url")).alias("patch_id")), "patch_id", "left_semi").select("filename", "roads")
+    return patches.in_bounds(m, u).select("filename", "roads")
 
 
 @query("j5_attach_polygon", "mask_stats", "parcels", sql="""SELECT pos, CASE WHEN id IS NULL THEN NULL ELSE 'POLYGON ((' || minx || ' ' || miny || ', ' || minx || ' ' || maxy || ', ' || maxx || ' ' || maxy || ', ' || maxx || ' ' || miny || ', ' || minx || ' ' || miny || '))' END AS wkt
  FROM mask_stats LEFT JOIN parcels ON pos = id""")
 def _(m, p):
-    return m.join(p, m.pos == p.id, "left").select("pos", F.when(F.col("id").isNotNull(), G.wkt_box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])).alias("wkt"))
+    return patches.attach(m, p, "pos", "id")[0].select("pos", F.when(F.col("id").isNotNull(), G.wkt_box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])).alias("wkt"))
 
 
 @query("j7_first_url", "patch_loss", "url_list", sql="WITH f AS (SELECT split_part(url, '/', -1) AS name, arg_min(url, pos) AS url FROM url_list GROUP BY 1) SELECT patch_name AS name, url FROM patch_loss LEFT JOIN f ON patch_name = name")
@@ -309,12 +308,12 @@ def _(p, u):
 
 @query("j8_overlap", "mask_stats", "url_list", sql="SELECT count(*) AS n FROM (SELECT concat(filename, '.jpg') FROM mask_stats INTERSECT SELECT split_part(url, '/', -1) FROM url_list)")
 def _(m, u):
-    return m.select(F.concat("filename", F.lit(".jpg"))).intersect(u.select(manifests.file_name(F.col("url")))).agg(F.count("*").alias("n"))
+    return patches.overlap(patches.with_patch_file(m).select("patch_id"), u.select(manifests.file_name(F.col("url"))))
 
 
 @query("j9_training_rest", "mask_stats", sql="SELECT pos FROM mask_stats WHERE source <> 'poc'")
 def _(m):
-    return m.select("pos").join(m.where("source = 'poc'").select("pos"), "pos", "left_anti")
+    return patches.rest(m.select("pos"), m.where("source = 'poc'"), "pos")
 
 
 @query("j11_positional_pairs", "mask_stats", "patch_loss", sql="""WITH a AS (SELECT filename, row_number() OVER (ORDER BY filename) AS r FROM mask_stats), b AS (SELECT patch_name, row_number() OVER (ORDER BY loss, patch_name) AS r FROM patch_loss)
@@ -325,7 +324,7 @@ def _(m, p):
 
 @query("j12_union", "manifest", "url_list", sql="SELECT pos, image, NULL AS url FROM manifest UNION ALL SELECT pos, NULL, url FROM url_list")
 def _(m, u):
-    return m.select("pos", "image").unionByName(u, allowMissingColumns=True)
+    return patches.union_all(m.select("pos", "image"), u)
 
 
 @query("j13_spatial_join", "parcels", sql="SELECT a.id AS a_id, b.id AS b_id FROM parcels a JOIN parcels b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE a.id < b.id")
@@ -341,7 +340,7 @@ def _(p):
 # --- order ---------------------------------------------------------------------------------------
 @query("t1_hardest", "patch_loss", sql="SELECT patch_name, loss FROM patch_loss ORDER BY loss DESC, patch_name LIMIT 500")
 def _(p):
-    return p.orderBy(F.desc("loss"), "patch_name").limit(500)
+    return patches.hardest(p, 500)
 
 
 @query("t2_largest_first", "parcels", sql="SELECT id, CAST(row_number() OVER (PARTITION BY damage_class ORDER BY (maxx - minx) * (maxy - miny) DESC, id) AS INTEGER) AS rank FROM parcels")
@@ -357,9 +356,7 @@ def _(m):
 
 @query("t6_patch_ids", "mask_stats", sql="SELECT filename, 'patch_' || lpad(CAST(row_number() OVER (ORDER BY pos) - 1 AS VARCHAR), 6, '0') || '.jpg' AS patch FROM mask_stats")
 def _(m):
-    from tilewright.plans.order import prefix_sum
-
-    return prefix_sum(m, ["pos"], out="n").select("filename", F.format_string("patch_%06d.jpg", "n").alias("patch"))
+    return patches.patch_names(m, ["pos"]).select("filename", "patch")
 
 
 # --- windows ----------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as B
 from tilewright.functions import geometry as G
-from tilewright.operators import balance, evaluate, manifests, raster, vector, windows
+from tilewright.operators import balance, evaluate, manifests, patches, raster, vector, windows
 from tilewright.operators.scoring import masks_without, score_windows
 from tilewright.queries.catalog import CLASSES, as_rings, keyed, query, r6, stitched_windows, two
 from tilewright.sources.sinks import box_rows, class_mapping
@@ -35,8 +35,7 @@ def _(p):
 
 @query("p24_subtract_mean", "pixels", sql="WITH a AS (SELECT img, avg(v1) AS m1, avg(v2) AS m2 FROM pixels GROUP BY 1), m AS (SELECT avg(m1) AS m1, avg(m2) AS m2 FROM a) SELECT img, row_no, col_no, round((v1 - m1) / 255, 6) AS v1, round((v2 - m2) / 255, 6) AS v2 FROM pixels, m")
 def _(p):
-    m = evaluate.channel_means(p, "img", ["v1", "v2"]).select(F.col("v1").alias("m1"), F.col("v2").alias("m2"))
-    return p.join(F.broadcast(m)).select("img", "row_no", "col_no", r6((F.col("v1") - F.col("m1")) / 255, "v1"), r6((F.col("v2") - F.col("m2")) / 255, "v2"))
+    return patches.subtract_means(p, ["v1", "v2"]).select("img", "row_no", "col_no", r6(F.col("v1"), "v1"), r6(F.col("v2"), "v2"))
 
 
 @query("p26_named_objects", "boxes", sql="SELECT box_id, substr(category, 3) AS name FROM boxes WHERE category <> '4-NOT SPECIFIED'")
@@ -53,12 +52,12 @@ def _(m, s):
 
 @query("j6_label_rows", "mask_stats", "patch_loss", sql="SELECT filename, loss FROM mask_stats JOIN patch_loss ON concat(filename, '.jpg') = patch_name")
 def _(m, p):
-    return m.join(p, F.concat("filename", F.lit(".jpg")) == F.col("patch_name")).select("filename", "loss")
+    return patches.attach_labels(m, p, "patch_name").select("filename", "loss")
 
 
 @query("j10_difference", "lines", sql="SELECT line_id FROM lines EXCEPT SELECT line_id FROM lines WHERE x1 - x0 > 1")
 def _(x):
-    return x.select("line_id").exceptAll(x.where("x1 - x0 > 1").select("line_id"))
+    return patches.rest(x.select("line_id"), x.where("x1 - x0 > 1"), "line_id")
 
 
 @query("j15_raster_sum", "pixels", sql="SELECT img, row_no, col_no, v1 + v2 AS v FROM pixels")
