@@ -375,8 +375,9 @@ def test_fingerprint_is_brute_force():
 def test_followers_of_odd_ids(spark):
     known = [(i, f"text {i} " * 30) for i in range(0, 4000, 2)] + [(1 << 60, "x"), (-(1 << 63), "low"), ((1 << 63) - 1, "high"), (None, "n1"), (None, "n2"), (8, "again"), (8, "again")]
     d = spark.createDataFrame(known, "doc_id long, text string").withColumn("PART", F.lit(1))
-    sizes = chunks.with_next(d, 8).groupBy("part").agg(F.count("*").alias("n")).collect()
-    assert max(r.n for r in sizes) < 2 * len(known) / 8
+    for parts in (2, 8, 9):
+        sizes = chunks.with_next(d, parts).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("part").alias("k")).collect()
+        assert len(sizes) == parts and max(r.n for r in sizes) < 1.1 * len(known) / parts and all(r.k == 1 for r in sizes)
     order = sorted(known, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = Counter()
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):

@@ -138,7 +138,8 @@ def _count_above(bounds: list[int], key: Column) -> Column:
     # groups that lie above the key as a whole, then the place in the next one
     whole = F.size(F.filter(F.lit([g[-1] for g in groups]).cast(kind), lambda b: b > key))
     within = F.size(F.filter(F.coalesce(F.get(lists, whole), F.array().cast(kind)), lambda b: b > key))
-    return whole * size + within
+    # the last group may be short
+    return F.least(F.lit(len(bounds)), whole * size + within)
 
 
 RESULT = T.StructType(
