@@ -1,6 +1,7 @@
 """Each operator against a plain-Python version on the small tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tilewright.llm import chat, chunks, language, licenses, neardup, packing, pieces, queries, tokencounts, tokenfile
-from tilewright.llm.quality import quality
+from tilewright.llm.quality import learn_references, quality
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = queries.tokenizer_path("word_bpe_49k.json")
@@ -44,6 +46,16 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def class_counts(t):
+    found = [len(re.findall(c, t)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[ \\t-\\r]", "[.,;:!?()\"'-]", "[^\\x00-\\x7f]")]
+    return [*found, len(t) - sum(found)]
+
+
+def js_distance(p, q):
+    half = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, sum(x * math.log2(x / m) for a in (p, q) for x, m in zip(a, half, strict=True) if x > 0) / 2))
+
+
 def test_quality(spark, docs, odd):
     for d in (docs, odd):
         known = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
@@ -87,7 +99,8 @@ def letters(n, seed=5):
 def test_quality_rejects_texts_without_common_words(spark):
     known = [(1, letters(480)), (2, letters(60)), (3, letters(5000)), (4, ITALIAN)]
     d = spark.createDataFrame(known, "doc_id long, text string")
-    got = {r.doc_id: r for r in quality(d).collect()}
+    said = learn_references(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = {r.doc_id: r for r in quality(d, references=said).collect()}
     assert not any(r.base_failed for r in got.values()) and not any(r.kept for r in got.values())
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").repartition(8)
     sizes = F.when(F.col("n_words") < 100, 0).when(F.col("n_words") < 400, 1).otherwise(2)
@@ -229,24 +242,63 @@ def test_near_duplicates_of_documents(spark, docs):
 
 
 def test_learned_references(spark):
-    from tilewright.llm.quality import learn_references
-
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
     found = learn_references(docs)
     known = [(r.lang, r.text) for r in docs.where("lang is not null and text is not null").collect()]
     for lang, ref in found.items():
-        said = [t for k, t in known if k == lang]
+        own = [t for k, t in known if k == lang]
+        whole = [sum(c) for c in zip(*map(class_counts, own), strict=True)]
+        first = [x / sum(whole) for x in whole]
+        said = [t for t in own if len(t) < 200 or js_distance([x / len(t) for x in class_counts(t)], first) <= 0.25]
+        assert len(own) * 0.8 < len(said) < len(own)
         counts = Counter(w for t in said for w in words_of(t))
-        want = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
+        want = sorted(((w, n) for w, n in counts.items() if regex.fullmatch(r"[\p{L}\p{M}]+", w)), key=lambda x: (-x[1], x[0].encode()))[:10]
         assert list(ref["words"]) == [w for w, _ in want] and abs(ref["words"][want[0][0]] - want[0][1] / sum(counts.values())) < 1e-12
-        assert abs(ref["chars"][0] - sum(len(re.findall("[a-z]", t)) for t in said) / sum(map(len, said))) < 1e-12 and abs(sum(ref["chars"]) - 1) < 1e-9
+        assert np.allclose(ref["chars"], np.sum([class_counts(t) for t in said], axis=0) / sum(map(len, said)), atol=1e-12)
     assert sorted(found) == sorted({k for k, _ in known})
     kept = quality(docs, references=found).where("not base_failed").join(labels, "doc_id").agg(F.avg(F.col("kept").cast("int")).alias("k")).first().k
     assert kept > 0.95
     assert learn_references(docs.limit(0)) == {}
 
 
+def test_quality_references_of_odd_labels(spark):
+    # no label, one with few words, one without letters, one written without spaces, a tie in rank
+    plain = "the river ran past the old mill and the children threw stones into the water until the sun went down behind the hill "
+    cjk = ["".join(chr(0x4E00 + (i * 37 + j * j) % 900) for j in range(300)) for i in range(1200)]
+    known = [(1, None, None), (2, None, "en"), (3, plain * 60, "en"), (4, "few words only", "xx"), (5, "1 2 3 4 5 " * 300, "no"), (6, " ".join(random.Random(1).sample((plain * 3).split(), 72)), None)]
+    known += [(100 + i, t, "zh") for i, t in enumerate(cjk)]
+    d = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    found = learn_references(d)
+    assert sorted(found) == ["en", "no", "zh"] and found["no"]["words"] == {} and list(found["en"]["words"])[0] == "the"
+    assert list(learn_references(d, max_languages=1)) == ["zh"]
+    got = {r.doc_id: r for r in quality(d).collect()}
+    assert len(got) == len(known) and got[6].kept and got[6].word_distance < 0.2
+    # Chinese without spaces has no common words: only its characters say something
+    many = spark.createDataFrame([(1, " ".join(cjk[:60])), (2, letters(480))], "doc_id long, text string")
+    said = {r.doc_id: r.kept for r in quality(many, references={"zh": found["zh"]}).collect()}
+    assert said == {1: True, 2: False}
+    # nothing to compare with: the base rules alone
+    bare = {r.doc_id: r for r in quality(many).collect()}
+    assert bare[1].kept and bare[1].char_distance is None and bare[1].word_distance is None
+    assert [r.kept for r in quality(many, references={"no": found["no"]}).orderBy("doc_id").collect()] == [False, False]
+
+
+def test_quality_distances(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = learn_references(docs)
+    vocabulary = sorted({w for r in found.values() for w in r["words"]})
+
+    for r in quality(docs).orderBy("doc_id").limit(60).collect():
+        w, t = words_of(r.text), r.text or ""
+        shares = [x / len(t) for x in class_counts(t)] if t else []
+        said = [w.count(v) / len(w) for v in vocabulary] if w else []
+        chars = min(js_distance(shares, x["chars"]) for x in found.values()) if len(t) >= 200 else None
+        word = min(js_distance([*said, 1 - sum(said)], [*(x["words"].get(v, 0.0) for v in vocabulary), 1 - sum(x["words"].values())]) for x in found.values()) if len(w) >= 40 else None
+        assert (r.char_distance is None) == (chars is None) and (chars is None or abs(r.char_distance - chars) < 2e-6)
+        assert (r.word_distance is None) == (word is None) and (word is None or abs(r.word_distance - word) < 2e-6)
+
+
 def grams(text):
     t = text.lower()
     return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}

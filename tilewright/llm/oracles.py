@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tilewright.llm.chat import CLOSE, CONTROL, END, OPEN
-from tilewright.llm.quality import CHAR_CLASSES, LANGUAGE_REFERENCES, common_words, distance_without_words, word_shares
+from tilewright.llm.quality import CHAR_CLASSES, LETTERS
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -22,33 +22,45 @@ def near_duplicates(words: int, percent: int) -> str:
  SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM c JOIN f ON rep = id"""
 
 
-def _distance(counts: str, total: str, reference: list[float]) -> str:
-    base = sum(reference)
-    q = "[" + ", ".join(f"{x}::DOUBLE / {base}" for x in reference) + "]"
-    p = f"{counts}[i]::DOUBLE / {total}"
-    term = f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}[i]) / 2)) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2({q}[i] / (({p} + {q}[i]) / 2)) ELSE 0 END"
-    return f"sqrt(greatest(0, list_sum([{term} for i in range(1, {len(reference) + 1})]) / 2))"
+def _distance(counts: str, total: str, reference: str) -> str:
+    p, q = f"{counts}[i]::DOUBLE / {total}", f"{reference}[i] / list_sum({reference})"
+    term = f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum([{term} for i in range(1, len({reference}) + 1)]) / 2))"
 
 
-def quality(max_char_distance: float = 0.25, max_word_distance: float = 0.15, word_noise: float = 1.05, max_sum: float = 0.45, min_chars: int = 200, min_words: int = 40) -> str:
-    vocabulary, names = common_words(LANGUAGE_REFERENCES), sorted(LANGUAGE_REFERENCES)
+def quality(
+    max_char_distance: float = 0.25, max_word_distance: float = 0.15, word_noise: float = 1.05, max_sum: float = 0.45, min_chars: int = 200, min_words: int = 40,
+    words: int = 10, max_languages: int = 64, min_learned: int = 1000,
+) -> str:
     gone = lambda s: f"length(t) - length(regexp_replace(t, '[{s}]', '', 'g'))"
-    classes = ", ".join(gone(s.replace("\\x27", "''") if s == "'" else s) for s in CHAR_CLASSES.values())
-    hits = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in vocabulary)
-    chars = ", ".join(_distance("cc", "length(t)", LANGUAGE_REFERENCES[k]["chars"]) for k in names)
-    shares = ", ".join(_distance("wc", "len(w)", word_shares(LANGUAGE_REFERENCES[k], vocabulary)) for k in names)
-    near = f"coalesce(cd[i] <= {max_char_distance}, TRUE) AND coalesce(wd[i] <= least({0.99 * distance_without_words(LANGUAGE_REFERENCES)}, {max_word_distance} + {word_noise} / sqrt(n)), TRUE) AND coalesce(cd[i] + wd[i] <= {max_sum}, TRUE)"
+    classes = ", ".join(gone(s) for s in CHAR_CLASSES.values())
+    word_limit = f"least(0.99 * coalesce(list_min(list_filter(list_transform(rs, lambda y: y.far), lambda y: y > {max_word_distance})), 1), {max_word_distance} + {word_noise} / sqrt(n))"
+    sums = f"[{', '.join(f'sum(c[{i + 1}])::DOUBLE' for i in range(len(CHAR_CLASSES) + 1))}]"
+    near = f"coalesce(cd[j] <= {max_char_distance}, TRUE) AND (r.far <= {max_word_distance} OR (coalesce(wd[j] <= {word_limit}, TRUE) AND coalesce(cd[j] + wd[j] <= {max_sum}, TRUE)))"
+    without = "CASE WHEN o <= 0 THEN 1 ELSE sqrt(greatest(0, (1 - o + log2(2 / (1 + o)) + o * log2(2 * o / (1 + o))) / 2)) END"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS w FROM documents),
+ p AS (SELECT lang, t, list_append(c, length(t) - list_sum(c)) AS c FROM (SELECT lang, text AS t, [{classes.replace("(t", "(text")}] AS c FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)),
+ p1 AS (SELECT lang, {sums} AS r FROM p GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT {max_languages}),
+ y AS (SELECT lang, t, c, regexp_extract_all(t, '{WORD}+') AS w FROM p JOIN p1 USING (lang) WHERE length(t) < {min_chars} OR {_distance("c", "length(t)", "r")} <= {max_char_distance}),
+ yc AS (SELECT lang, list_transform(r, lambda x: x / list_sum(r)) AS s FROM (SELECT lang, {sums} AS r FROM y GROUP BY 1)),
+ yw AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM y) GROUP BY 1, 2),
+ ya AS (SELECT lang, sum(n) AS total FROM yw GROUP BY 1 HAVING sum(n) >= {min_learned}),
+ yt AS (SELECT lang, x, n::DOUBLE / total AS share FROM yw JOIN ya USING (lang) WHERE regexp_matches(x, '{LETTERS}') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {words}),
+ vx AS (SELECT DISTINCT x FROM yt),
+ vo AS (SELECT coalesce(list(x ORDER BY x), []) AS v FROM vx),
+ ys AS (SELECT lang, list(coalesce(share, 0.0) ORDER BY x) AS s FROM ya CROSS JOIN vx LEFT JOIN yt USING (lang, x) GROUP BY 1),
+ yr AS (SELECT lang, yc.s AS c, list_append(coalesce(ys.s, []::DOUBLE[]), 1 - coalesce(list_sum(ys.s), 0)) AS s FROM ya JOIN yc USING (lang) LEFT JOIN ys USING (lang)),
+ rs AS (SELECT coalesce(list({{'c': c, 's': s, 'far': {without}}} ORDER BY lang), []) AS rs FROM (SELECT *, s[len(s)] / list_sum(s) AS o FROM yr)),
  u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
  v AS (SELECT doc_id, i, CASE WHEN lead(x, 4) OVER o IS NOT NULL THEN hash([x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o]) END AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
  k AS (SELECT doc_id, i, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM v),
  m AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM k) GROUP BY 1),
  l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
- b AS (SELECT d.doc_id, t, w, len(w) AS n, coalesce(m.n, 0) AS again, len(l) - len(list_distinct(l)) AS dups, [{classes}] AS c0, [{hits}] AS w0 FROM d LEFT JOIN m USING (doc_id) JOIN l USING (doc_id)),
- h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS cc, list_append(w0, len(w) - list_sum(w0)) AS wc FROM b),
- z AS (SELECT *, CASE WHEN length(t) >= {min_chars} THEN [{chars}] END AS cd, CASE WHEN n >= {min_words} THEN [{shares}] END AS wd, n < 10 OR 100 * again > 20 * n AS failed FROM h)
+ b AS (SELECT d.doc_id, t, w, len(w) AS n, coalesce(m.n, 0) AS again, len(l) - len(list_distinct(l)) AS dups, [{classes}] AS c0, list_transform(v, lambda e: len(list_filter(w, lambda x: x = e))) AS w0 FROM d LEFT JOIN m USING (doc_id) JOIN l USING (doc_id) CROSS JOIN vo),
+ h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS cc, list_append(w0, len(w) - coalesce(list_sum(w0), 0)) AS wc FROM b),
+ z AS (SELECT *, CASE WHEN length(t) >= {min_chars} THEN [{_distance("cc", "length(t)", "r.c")} for r in rs] END AS cd, CASE WHEN n >= {min_words} THEN [{_distance("wc", "len(w)", "r.s")} for r in rs] END AS wd, n < 10 OR 100 * again > 20 * n AS failed FROM h CROSS JOIN rs)
  SELECT doc_id, n AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, dups AS n_dup_lines, again AS n_repeat_words,
- failed AS base_failed, NOT failed AND len(list_filter(range(1, {len(names) + 1}), lambda i: {near})) > 0 AS kept, round(list_min(cd), 6) AS char_distance, round(list_min(wd), 6) AS word_distance FROM z"""
+ failed AS base_failed, NOT failed AND (len(rs) = 0 OR len(list_filter(rs, lambda r, j: {near})) > 0) AS kept, round(list_min(cd), 6) AS char_distance, round(list_min(wd), 6) AS word_distance FROM z"""
 
 
 def chat() -> str:
