@@ -266,7 +266,7 @@ def test_quality_references_of_odd_labels(spark):
     # no label, one with few words, one without letters, one written without spaces, a tie in rank
     plain = "the river ran past the old mill and the children threw stones into the water until the sun went down behind the hill "
     cjk = ["".join(chr(0x4E00 + (i * 37 + j * j) % 900) for j in range(300)) for i in range(1200)]
-    known = [(1, None, None), (2, None, "en"), (3, plain * 60, "en"), (4, "few words only", "xx"), (5, "1 2 3 4 5 " * 300, "no"), (6, " ".join(random.Random(1).sample((plain * 3).split(), 72)), None)]
+    known = [(1, None, None), (2, None, "en"), (3, plain * 60, "en"), (4, "few words only", "xx"), (5, "1 2 3 4 5 " * 300, "no"), (6, " ".join(random.Random(1).sample((plain * 3).split(), 69)), None)]
     known += [(100 + i, t, "zh") for i, t in enumerate(cjk)]
     d = spark.createDataFrame(known, "doc_id long, text string, lang string")
     found = learn_references(d)
