@@ -73,3 +73,45 @@ def chat() -> str:
  s AS (SELECT *, sum({marks} + {escaped('role')} + {escaped('text')}) OVER (PARTITION BY conv_id {order} ROWS UNBOUNDED PRECEDING) AS upto FROM c)
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) + max(upto) - coalesce(max(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS formatted_chars FROM s GROUP BY 1"""
+
+
+def middle(seed: int = 7, rate: int = 100, spm_rate: int = 50) -> str:
+    part = lambda k: f"CAST('0x' || substr(d, {8 * k + 1}, 8) AS BIGINT)"
+    said = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    p, m, s = said("1", "a"), said("a + 1", "b"), said("b + 1", "n")
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM t),
+ n AS (SELECT *, len(u) AS n, {part(0)} AS h1, {part(1)} AS h2, {part(2)} AS h3, {part(3)} AS h4 FROM u),
+ f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {rate} THEN 'plain' WHEN h4 % 100 < {spm_rate} THEN 'spm' ELSE 'psm' END AS form FROM n)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length({p}) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length({m}) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || {p} || '<S>' || {s} || '<M>' || {m} ELSE '<S>' || {s} || '<P>' || {p} || '<M>' || {m} END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+def resample(buckets: int = 10_000, percent: int = 25, min_words: int = 20, seed: int = 7) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # the checksum takes four bits at a time, the lower ones of a byte first; its table of 16 follows from the polynomial
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    nibbles = "list_transform(range(0, len(x)), lambda i: strpos('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {nibbles}), lambda c, v: xor(c >> 4, ({table}::BIGINT[])[1 + (xor(c, v) & 15)])), 4294967295)"
+    words = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    feats = lambda t, key: f"SELECT {key} AS k, w, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{words}') AS w FROM {t})"
+    return f"""WITH df AS (SELECT k, f, count(*) AS n FROM ({feats('documents', 'doc_id')}) GROUP BY 1, 2), tf AS (SELECT f, count(*) AS n FROM ({feats('benchmark', 'item_id')}) GROUP BY 1),
+ x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM tf)), b AS (SELECT f, {crc} % {buckets} AS b FROM x),
+ s AS (SELECT b, sum(n) AS s FROM df JOIN b USING (f) GROUP BY 1), t AS (SELECT b, sum(n) AS t FROM tf JOIN b USING (f) GROUP BY 1),
+ z AS (SELECT (SELECT coalesce(sum(n), 0) FROM df)::DOUBLE AS sa, (SELECT coalesce(sum(n), 0) FROM tf)::DOUBLE AS ta),
+ g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + {buckets}) / ((s + 1)::DOUBLE * (ta + {buckets})))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b) CROSS JOIN z),
+ q AS (SELECT k, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS g FROM df JOIN b USING (f) JOIN g USING (b) GROUP BY 1),
+ d AS (SELECT doc_id, len(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{words}')) AS w, CAST('0x' || substr(sha256('{seed}:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents),
+ a AS (SELECT doc_id, w, coalesce(n, 0) AS n_features, CAST(coalesce(g // n - CASE WHEN g % n < 0 THEN 1 ELSE 0 END, 0) AS BIGINT) AS weight, CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM d LEFT JOIN q ON doc_id = k),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM a WHERE w >= {min_words})
+ SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= n * {percent} // 100 THEN r END AS rank FROM a LEFT JOIN r USING (doc_id)"""
+
+
+def exact() -> str:
+    return """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM t"""

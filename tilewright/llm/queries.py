@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, chunks, language, neardup, oracles, pieces, tokencounts, tokenfile
+from tilewright.llm import chat, chunks, language, middle, neardup, oracles, pieces, tokencounts, tokenfile
+from tilewright.llm.exact import exact_duplicates
 from tilewright.llm.licenses import license_scan
 from tilewright.llm.packing import pack
 from tilewright.llm.quality import quality
+from tilewright.llm.resample import resample
 from tilewright.plans.staging import scratch_dir, stage
 
 
@@ -82,8 +84,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stage(middle.to_frames(table(spark, sf_dir, "documents").select("doc_id", "text")), "frames", compression="none")
+    d = middle.digests(middle.fill_in_middle(stored))
+    return d.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 #: Fixed value: the pattern that splits text for the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-QUERIES = {f.__name__: f for f in (op1_language, op2_neardup, op3_quality, op4_licenses, op5_fingerprints, op6_chat, op7_token_files, op8_packing, op9_pieces, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language, op2_neardup, op3_quality, op4_licenses, op5_fingerprints, op6_chat, op7_token_files, op8_packing, op9_pieces, op10_token_counts,
+        op11_middle, op12_resample, op13_exact,
+    )
+}
 #: The other methods (kernels, chunks, vocabularies, packing, regular expressions by the hundred) have no SQL; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_neardup": oracles.near_duplicates(4, 80), "op3_quality": oracles.quality(), "op6_chat": oracles.chat()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": oracles.near_duplicates(4, 80), "op3_quality": oracles.quality(), "op6_chat": oracles.chat(), "op11_middle": oracles.middle(), "op12_resample": oracles.resample(),
+    "op13_exact": oracles.exact(),
+}
