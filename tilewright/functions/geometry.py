@@ -246,8 +246,9 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, levels: int = 4
         a, b = a.withColumn("by", F.col(f"a_{by}")), b.withColumn("by", F.col(f"b_{by}"))
     both = listed(a, "a_", 0, 0).join(listed(b, "b_", 0, None), key).unionByName(listed(a, "a_", 1, None).join(listed(b, "b_", 0, 0), key))
     corner = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / width)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / width))
-    pairs = both.where(boxes_meet("a_", "b_") & corner)
-    pairs = pairs if exact is None else pairs.where(exact)
+    cheap = boxes_meet("a_", "b_") & corner
+    # one expression: of two filters the dearer one could come first
+    pairs = both.where(cheap if exact is None else F.when(cheap, exact).otherwise(F.lit(False)))
     return pairs.drop("level", "cx", "cy", "by", "a_level", "b_level")
 
 

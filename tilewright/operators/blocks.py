@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions.geometry import box_ring, point
 from tilewright.operators.raster import rings
-from tilewright.plans.components import connected_components
+from tilewright.plans.components import staged_components
 from tilewright.plans.staging import stage
 
 NONE = np.iinfo(np.int32).min
@@ -237,7 +237,7 @@ def regions(blocks: DataFrame, diagonal: bool = False, size: int = 512) -> DataF
     two = edge.where("side = 1").select("img", "axis", "line", "value", F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("piece").alias("_piece")).withColumn("seg", F.floor(F.col("_low") / size))
     meet = (F.col("low") <= F.col("_high") + reach) & (F.col("_low") <= F.col("high") + reach)
     across = one.join(two, ["img", "axis", "line", "value", "seg"]).where(meet).select("piece", "_piece")
-    parts = connected_components(across, "piece", "_piece")
+    parts = staged_components(across, "piece", "_piece")
     named = found.withColumn("piece", _pixel("img", "row_no", "col_no")).join(parts, F.col("piece") == F.col("node"), "left")
     return named.select("img", "value", "piece", F.coalesce("component", "piece").alias("component"), "x1", "y1", "x2", "y2", "pixels")
 
@@ -319,5 +319,21 @@ def vectorise(blocks: DataFrame, categories: DataFrame, size: int = 512) -> Data
     return joined.select("img", F.col("value").alias("num"), F.col("category_name").alias("category"), "component", "x1", "y1", "x2", "y2", "pixels", F.coalesce("drawn", box).alias("polygon"))
 
 
+def region_features(found: DataFrame, transforms: DataFrame, epsg: int) -> DataFrame:
+    """What ``vectorise`` found as features in world coordinates, as the GeoJSON writers take them: img, num, category, pixels, kind, parts, polygons, epsg.
+
+    ``transforms`` has img and a to f of each image's affine transform (x = a col + b row + c, y = d col + e row + f), such as world files
+    give; it is joined by image, and an image without one raises.
+    """
+    of = transforms.select("img", F.struct(*[F.col(c).cast("double").alias(c) for c in "abcdef"]).alias("_t"))
+    joined = found.join(of, "img", "left")
+    t = F.coalesce(F.col("_t"), F.raise_error(F.concat(F.lit("no transform for image "), F.col("img"))).cast("struct<a:double,b:double,c:double,d:double,e:double,f:double>"))
+    joined = joined.withColumn("_t", t)
+    t = F.col("_t")
+    world = lambda p: point(t["a"] * p["x"] + t["b"] * p["y"] + t["c"], t["d"] * p["x"] + t["e"] * p["y"] + t["f"])
+    rings_of = F.transform("polygon", lambda ring: F.transform(ring, world))
+    return joined.withColumn("parts", rings_of).select("img", "num", "category", "pixels", F.lit("Polygon").alias("kind"), "parts", F.array("parts").alias("polygons"), F.lit(epsg).alias("epsg"))
+
+
 def component_name(component: str = "component"):
     return F.concat_ws("/", f"{component}.img", f"{component}.row_no", f"{component}.col_no").alias("component")

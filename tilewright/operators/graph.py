@@ -48,7 +48,8 @@ def meeting_lines(lines: DataFrame, cell: float = 8.0) -> DataFrame:
     """(line_id, other): every two different lines that share a point, ends, crossings and overlaps alike, both ways."""
     parts = F.array(F.array(G.point(F.col("x0"), F.col("y0")), G.point(F.col("x1"), F.col("y1"))))
     shapes = lines.select(F.col("line_id").alias("id"), parts.alias("parts"))
-    return meeting(shapes, shapes, cell, False, False).where("a_id <> b_id").select(F.col("a_id").alias("line_id"), F.col("b_id").alias("other"))
+    met = stage(meeting(shapes, shapes, cell, False, False, same=True), "meeting")
+    return met.select(F.col("a_id").alias("line_id"), F.col("b_id").alias("other")).unionByName(met.select(F.col("b_id").alias("line_id"), F.col("a_id").alias("other")))
 
 
 def line_kinds(lines: DataFrame, met: DataFrame | None = None) -> DataFrame:

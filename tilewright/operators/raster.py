@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.plans.components import connected_components
+from tilewright.plans.components import staged_components
 from tilewright.plans.staging import stage
 
 KEY = ["img", "row_no", "col_no"]
@@ -117,7 +117,7 @@ def rings(edges: DataFrame) -> DataFrame:
     right = ((F.col("nx") == -F.col("dy")) & (F.col("ny") == F.col("dx"))).cast("int")
     linked = e.join(after, ["img", "component", "x1", "y1"]).groupBy("e").agg(F.max(F.struct(right.alias("r"), F.col("next"))).alias("n"))
     succ = stage(linked.select("e", F.col("n.next").alias("next")), "ring-next")
-    named = connected_components(succ, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
+    named = staged_components(succ, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
     # the edge before a ring's name is its last: steps counts the way to there
     now = succ.join(named, "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("steps"))
     now = stage(now, "ring-steps")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as B
 from tilewright.functions import geometry as G
+from tilewright.functions.kernels import keep_intersecting
 from tilewright.operators import manifests, windows
 from tilewright.operators.vector import clipped_bounds, with_bounds
 
@@ -26,7 +27,8 @@ def tile_annotations(features: DataFrame, images: DataFrame, size: int, preset:
     tiles = windows.tiles(images.withColumnRenamed("img", "img_id"), size, edge).select(F.col("img_id").alias("img"), "tile_no", F.col("x0").alias("minx"), F.col("y0").alias("miny"), (F.col("x0") + size).alias("maxx"), (F.col("y0") + size).alias("maxy"))
     shapes = with_bounds(features.withColumn("parts", F.array("ring"))).drop("ring")
     corners = [F.col(f"b_{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")]
-    met = G.spatial_join(shapes, tiles, float(size), exact=G.intersects(F.col("a_parts"), F.array(G.box_ring(*corners)), True, True), by="img")
+    met = G.spatial_join(shapes, tiles, float(size), by="img").withColumn("b_parts", F.array(G.box_ring(*corners)))
+    met = keep_intersecting(met, "a_parts", "b_parts", True, True, drop=False)
     # behind a generator the bounds are computed once; filters on them would otherwise be pushed down and repeat them
     cut = met.select("*", F.explode(F.array(clipped_bounds(F.get("a_parts", F.lit(0)), *corners))).alias("c")).where("c is not null")
     pixel = lambda c, low: (F.col(f"c.{c}") - F.col(low)).cast("int")

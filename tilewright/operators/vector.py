@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.functions.kernels import keep_intersecting, keep_on_tiles
+from tilewright.functions.spatial import box_pairs
 from tilewright.plans.components import first_wins
 
 
@@ -128,18 +130,29 @@ def with_bounds(df: DataFrame, parts: str = "parts") -> DataFrame:
     return df.withColumn("_b", box).withColumns({k: F.col(f"_b.{k}") for k in ("minx", "miny", "maxx", "maxy")}).drop("_b")
 
 
-def meeting(left: DataFrame, right: DataFrame, cell: float, left_areal: bool, right_areal: bool) -> DataFrame:
-    """Pairs of features (id, parts) that share a point, found by their boxes and tested exactly; columns prefixed ``a_`` and ``b_``."""
-    exact = G.intersects(F.col("a_parts"), F.col("b_parts"), left_areal, right_areal)
-    return G.spatial_join(with_bounds(left), with_bounds(right), cell, exact=exact)
+def meeting(left: DataFrame, right: DataFrame, cell: float, left_areal: bool, right_areal: bool, same: bool = False) -> DataFrame:
+    """(a_id, b_id) of features (id, parts) that share a point; ``same``: left and right are one table, and only pairs with a_id < b_id are wanted.
+
+    Boxes find candidates, of which only ids are shuffled; geometries are fetched for those, and tested in Arrow batches. Ids
+    are unique; a null one meets nothing.
+    """
+    pairs = box_pairs(with_bounds(left), with_bounds(right), cell, same=same)
+    shape = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("parts").alias(f"{p}_parts"))
+    both = pairs.join(shape(left, "a"), "a_id").join(shape(right, "b"), "b_id")
+    return keep_intersecting(both, "a_parts", "b_parts", left_areal, right_areal).select("a_id", "b_id")
 
 
 def tiles_met(features: DataFrame, size: int, areal: bool) -> DataFrame:
-    """(id, tx, ty): every regular tile that a feature (id, parts) shares a point with, borders included, by arithmetic on its box and an exact test."""
-    span = lambda low, high: F.explode(F.sequence(F.ceil(F.col(low) / size) - 1, F.floor(F.col(high) / size)))
-    hits = with_bounds(features).withColumn("tx", span("minx", "maxx")).withColumn("ty", span("miny", "maxy"))
-    x, y = F.col("tx") * float(size), F.col("ty") * float(size)
-    return hits.where(G.intersects(F.col("parts"), F.array(G.box_ring(x, y, x + size, y + size)), areal, True)).drop("minx", "miny", "maxx", "maxy")
+    """(id, tx, ty): every regular tile that a feature (id, parts) shares a point with, borders included.
+
+    Tiles come by arithmetic on its box; a box that reaches no further than one tile needs no test, the others are tested in Arrow batches.
+    """
+    first, last = (lambda c: F.ceil(F.col(c) / size) - 1), (lambda c: F.floor(F.col(c) / size))
+    boxed = with_bounds(features).where("minx is not null and maxx is not null and miny is not null and maxy is not null")
+    hits = boxed.withColumn("tx", F.explode(F.sequence(first("minx"), last("maxx")))).withColumn("ty", F.explode(F.sequence(first("miny"), last("maxy"))))
+    hits = hits.withColumn("_one", (first("minx") == last("maxx")) & (first("miny") == last("maxy"))).drop("minx", "miny", "maxx", "maxy")
+    tested = keep_on_tiles(hits.where("not _one"), "parts", float(size), areal)
+    return hits.where("_one").unionByName(tested).drop("_one")
 
 
 def suppress(shapes: DataFrame, cell: float, areal: bool | None = None) -> DataFrame:
@@ -147,7 +160,7 @@ def suppress(shapes: DataFrame, cell: float, areal: bool | None = None) -> DataF
 
     Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines.
     """
-    pairs = G.spatial_join(shapes, shapes, cell) if areal is None else meeting(shapes, shapes, cell, areal, areal)
+    pairs = box_pairs(shapes, shapes, cell, same=True) if areal is None else meeting(shapes, shapes, cell, areal, areal, same=True)
     return first_wins(shapes, pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
 
 

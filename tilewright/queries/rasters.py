@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tilewright.functions import geometry as G
 from tilewright.operators import blocks as B
 from tilewright.operators import raster
 from tilewright.queries.catalog import query, r6
+from tilewright.queries.files import folder
+from tilewright.sources import readers, sinks
 
 #: Blocks of 20 x 20 pixels, so that the fixture's images of 50 x 50 have several.
 SIZE = 20
@@ -53,6 +56,46 @@ def _(p):
     return found.select("img", "num", "category", "x1", "y1", "x2", "y2", "pixels", F.size(F.flatten("polygon")).alias("corners"))
 
 
+#: Letters of 9 x 9 pixels in cells of 10: a ring with an island in its hole, a U, a comb, a cross of arms that meet at corners only.
+LETTERS = {
+    0: ["#########", "#.......#", "#.......#", "#..###..#", "#..###..#", "#..###..#", "#.......#", "#.......#", "#########"],
+    1: ["##.....##", "##.....##", "##.....##", "##.....##", "##.....##", "##.....##", "##.....##", "#########", "#########"],
+    2: ["#########", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#", "#.#.#.#.#"],
+    3: ["###...###", "###...###", "###...###", "...###...", "...#.#...", "...###...", "###...###", "###...###", "###...###"],
+}
+TEXT = "".join("".join(rows) for rows in LETTERS.values())
+#: 1 where a letter, by its cell, has a pixel; 0 elsewhere.
+LETTER = f"CASE WHEN row_no % 10 < 9 AND col_no % 10 < 9 AND substr('{TEXT}', CAST((CAST(floor(row_no / 10) * 5 + floor(col_no / 10) + img AS BIGINT) % 4) * 81 + row_no % 10 * 9 + col_no % 10 + 1 AS INTEGER), 1) = '#' THEN 1 ELSE 0 END"
+
+
+def letters(p):
+    return p.select("img", "row_no", "col_no", F.expr(LETTER).alias("lab"))
+
+
+#: Per region of letters: its pixels, unit edges, corners (of each four pixels around a point), and rings by Euler's formula for 4-connected pixels.
+SHAPES_SQL = f"""WITH RECURSIVE {region_sql(f'SELECT img, row_no, col_no, {LETTER} AS v FROM pixels WHERE {LETTER} = 1')}, q AS (SELECT img, root, row_no AS r, unnest(range(c0, c1 + 1)) AS c FROM reg),
+ s AS (SELECT *, unnest([{{'dr': -1, 'dc': 0}}, {{'dr': 0, 'dc': 1}}, {{'dr': 1, 'dc': 0}}, {{'dr': 0, 'dc': -1}}]) AS e FROM q), ed AS (SELECT s.img, s.root, count(*) AS n FROM s ANTI JOIN q o ON o.img = s.img AND o.r = s.r + e.dr AND o.c = s.c + e.dc GROUP BY 1, 2),
+ pt AS (SELECT img, root, r + dr.range AS y, c + dc.range AS x, count(*) AS k, sum(CASE WHEN dr.range = dc.range THEN 1 ELSE 0 END) AS diag FROM q, range(2) dr, range(2) dc GROUP BY 1, 2, 3, 4),
+ co AS (SELECT img, root, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND diag <> 1 THEN 2 ELSE 0 END) AS corners, sum(CASE WHEN k = 1 THEN 1 WHEN k = 3 THEN -1 WHEN k = 2 AND diag <> 1 THEN 2 ELSE 0 END) AS turn FROM pt GROUP BY 1, 2),
+ px1 AS (SELECT img, root, count(*) AS pixels FROM q GROUP BY 1, 2)"""
+
+
+@query("r5_letters", "pixels", sql=f"{SHAPES_SQL} SELECT img, CAST(pixels AS BIGINT) AS pixels, CAST(pixels * 0.25 AS DOUBLE) AS area, CAST(n * 0.5 AS DOUBLE) AS outline, CAST(corners AS INTEGER) AS corners, CAST(2 - turn / 4 AS INTEGER) AS rings, 'letter' AS category FROM px1 JOIN ed USING (img, root) JOIN co USING (img, root)")
+def _(p):
+    """Concave regions with holes and islands, in world coordinates through a GeoJSON file and back."""
+    spark = p.sparkSession
+    wanted = spark.createDataFrame([(1, "letter", True, False, None, None)], "pixel_value int, category_name string, vectorize boolean, bbox_flag boolean, kernel_size int, min_area double")
+    found = B.vectorise(cut(letters(p), "lab"), wanted, SIZE)
+    # half a metre a pixel, rows going south, and a place for each image
+    transforms = p.select("img").distinct().selectExpr("img", "0.5D as a", "0D as b", "500000D + img * 100 as c", "0D as d", "-0.5D as e", "5400000D as f")
+    path = folder(p, "letters")
+    sinks.write_geojson(B.region_features(found, transforms, 32632), path, ["img", "category", "pixels"], 32632)
+    d = readers.read_features(spark, path, "img:bigint,category:string,pixels:bigint", lines=True)
+    outline = F.aggregate("parts", F.lit(0.0), lambda s, r: s + G.length(F.concat(r, F.slice(r, 1, 1))))
+    near = F.forall(F.flatten("parts"), lambda q: (q["x"] >= 500000 + F.col("img") * 100) & (q["x"] <= 500025 + F.col("img") * 100) & (q["y"] <= 5400000) & (q["y"] >= 5400000 - 25))
+    return d.where(near).select("img", "pixels", F.round(G.polygon_area(F.col("polygons")), 6).alias("area"), F.round(outline, 6).alias("outline"), F.size(F.flatten("parts")).alias("corners"), F.size("parts").alias("rings"), "category")
+
+
 @query("r6_ensemble_regions", "pixels", sql=f"WITH RECURSIVE {region_sql('SELECT img, row_no, col_no, 1 AS v FROM pixels WHERE floor(v1 / 2) + floor(v2 / 2) > 127')} {BOXES}")
 def _(p):
     both = B.combine_blocks(cut(p, "v1"), cut(p, "v2"), lambda a, b: np.where(a // 2 + b // 2 > 127, 1, B.NONE))

@@ -128,6 +128,7 @@ def read_features(spark: SparkSession, path: str, properties: str, lines: bool =
     polygons = F.when(k == "Polygon", F.array(rings(F.from_json(c, "array<array<array<double>>>")))).when(k == "MultiPolygon", F.transform(F.from_json(c, "array<array<array<array<double>>>>"), rings))
     parts = (
         F.when(k == "Point", F.array(F.array(xy(F.from_json(c, "array<double>")))))
+        .when(k == "MultiPoint", F.transform(F.from_json(c, "array<array<double>>"), lambda p: F.array(xy(p))))
         .when(k == "LineString", F.array(F.transform(F.from_json(c, "array<array<double>>"), xy)))
         .when(k == "MultiLineString", many(F.from_json(c, "array<array<array<double>>>")))
         .when(k.isin("Polygon", "MultiPolygon"), F.flatten("polygons"))

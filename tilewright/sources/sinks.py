@@ -114,21 +114,68 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     v.union(blank).union(e).repartitionByRange(1, "part", "place").sortWithinPartitions("part", "place").select("value").write.text(path)
 
 
-def feature(properties: list[str], ring: Column, kind: str = "Polygon") -> Column:
-    """One GeoJSON Feature as text, keys sorted; a null ring is a null geometry."""
-    xy = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
-    closed = F.array(F.concat(xy, F.slice(xy, 1, 1)))
-    geometry = F.when(ring.isNotNull(), F.struct(closed.alias("coordinates"), F.lit(kind).alias("type")))
-    return F.to_json(F.struct(geometry.alias("geometry"), F.struct(*sorted(properties)).alias("properties"), F.lit("Feature").alias("type")), {"ignoreNullFields": "false"})
+KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
+
+
+def geometry_json(kind: Column, parts: Column, polygons: Column | None = None) -> Column:
+    """A geometry as GeoJSON text, by its kind; columns as ``read_features`` gives them: parts an array of point arrays, polygons an array of polygons, each
+    its outer ring and then its holes. Rings are closed. A Polygon without ``polygons`` takes all parts as its rings; a null or empty geometry is null, an unknown kind raises.
+    """
+    none = F.lit(None).cast("array<array<array<struct<x:double,y:double>>>>")
+    areas = F.coalesce(none if polygons is None else polygons, F.when(kind == "Polygon", F.array(parts)))
+    xy = lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))
+    line = lambda points: F.transform(points, xy)
+    ring = lambda points: line(F.concat(points, F.slice(points, 1, 1)))
+    rings = lambda polygon: F.transform(polygon, ring)
+    first = F.get(parts, F.lit(0))
+    some = F.size(parts) > 0 if polygons is None else (F.size(parts) > 0) | (F.size(polygons) > 0)
+    text = (
+        F.when(kind == "Point", F.to_json(xy(F.get(first, F.lit(0)))))
+        .when(kind == "MultiPoint", F.to_json(F.transform(parts, lambda p: xy(p[0]))))
+        .when(kind == "LineString", F.to_json(line(first)))
+        .when(kind == "MultiLineString", F.to_json(F.transform(parts, line)))
+        .when(kind == "Polygon", F.to_json(rings(F.get(areas, F.lit(0)))))
+        .when(kind == "MultiPolygon", F.to_json(F.transform(areas, rings)))
+        .otherwise(F.raise_error(F.concat(F.lit("no GeoJSON geometry: "), kind)).cast("string"))
+    )
+    return F.when(some & kind.isNotNull(), F.concat(F.lit('{"coordinates":'), text, F.lit(',"type":"'), kind, F.lit('"}')))
+
+
+def feature(properties: list[str], ring: Column | None = None, kind: Column | None = None, parts: Column | None = None, polygons: Column | None = None) -> Column:
+    """One GeoJSON Feature as text, keys sorted: of a simple ring, or of a geometry of any kind; a null one is a null geometry."""
+    geometry = geometry_json(F.lit("Polygon"), F.when(ring.isNotNull(), F.array(ring))) if ring is not None else geometry_json(kind, parts, polygons)
+    said = F.to_json(F.struct(*sorted(properties)), {"ignoreNullFields": "false"})
+    return F.concat(F.lit('{"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), said, F.lit(',"type":"Feature"}'))
+
+
+def _feature_of(df: DataFrame, properties: list[str], ring: str) -> Column:
+    """By column ``ring``, or by columns kind, parts and, if there, polygons."""
+    if ring in df.columns:
+        return feature(properties, F.col(ring))
+    return feature(properties, kind=F.col("kind"), parts=F.col("parts"), polygons=F.col("polygons") if "polygons" in df.columns else None)
+
+
+def crs_json(epsg: int) -> str:
+    return json.dumps({"properties": {"name": f"urn:ogc:def:crs:EPSG::{epsg}"}, "type": "name"}, separators=(",", ":"))
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str], epsg: int, ring: str = "ring") -> None:
-    """One Feature a line, and the coordinate system in a folder beside."""
-    df.select(feature(properties, F.col(ring)).alias("value")).write.text(path)
-    crs = df.sparkSession.range(1).select(F.to_json(F.struct(F.struct(F.struct(F.lit(f"urn:ogc:def:crs:EPSG::{epsg}").alias("name")).alias("properties"), F.lit("name").alias("type")).alias("crs"))).alias("value"))
+    """One Feature a line, of simple rings or of geometries of any kind (kind, parts, polygons); the coordinate system in a folder beside."""
+    df.select(_feature_of(df, properties, ring).alias("value")).write.text(path)
+    crs = df.sparkSession.createDataFrame([('{"crs":' + crs_json(epsg) + "}",)], "value string")
     crs.coalesce(1).write.text(path.rstrip("/") + ".crs")
 
 
+def write_feature_collection(df: DataFrame, path: str, properties: list[str], epsg: int, key: str, ring: str = "ring") -> None:
+    """One GeoJSON document with its coordinate system and the features in the order of ``key`` (unique, not null), as text files by many tasks that give it when put together in the order of their names."""
+    spark = df.sparkSession
+    first = df.agg(F.min(key)).first()[0]
+    lines = df.select(F.lit(1).alias("section"), F.col(key).alias("place"), F.concat(F.when(F.col(key) == F.lit(first), F.lit("")).otherwise(F.lit(",")), _feature_of(df, properties, ring)).alias("value"))
+    kind = df.schema[key].dataType
+    ends = spark.createDataFrame([(0, '{"crs":' + crs_json(epsg) + ',"features":['), (2, '],"type":"FeatureCollection"}')], "section int, value string").select("section", F.lit(None).cast(kind).alias("place"), "value")
+    lines.unionByName(ends).orderBy("section", "place").select("value").write.text(path)
+
+
 def box_rows(boxes: DataFrame, folder: str) -> DataFrame:
     """filepath, x1, y1, x2, y2, class_name."""
     return boxes.select(F.concat_ws("/", F.lit(folder), "img_name").alias("filepath"), "x1", "y1", "x2", "y2", F.col("category").alias("class_name"))
