@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tilewright.llm import chat, chunks, language, licenses, neardup, packing, pieces, queries, tokencounts, tokenfile
-from tilewright.llm.quality import learn_references, quality
+from tilewright.llm.quality import learn_references, learning_sample, quality
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = queries.tokenizer_path("word_bpe_49k.json")
@@ -245,7 +245,7 @@ def test_learned_references(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
     found = learn_references(docs)
-    known = [(r.lang, r.text) for r in docs.where("lang is not null and text is not null").collect()]
+    known = sorted({(r.lang, r.text) for r in docs.where("lang is not null and text is not null").collect()})
     for lang, ref in found.items():
         own = [t for k, t in known if k == lang]
         whole = [sum(c) for c in zip(*map(class_counts, own), strict=True)]
@@ -262,10 +262,23 @@ def test_learned_references(spark):
     assert learn_references(docs.limit(0)) == {}
 
 
+def test_quality_learning_sample(spark):
+    """The distinct texts of lowest md5; copies count once, and only the languages with the most rows are drawn from."""
+    said = [(lang, f"text {i} of {lang}") for lang, n in (("aa", 90), ("bb", 40), ("cc", 5)) for i in range(n)]
+    rows = [*said, *(("bb", "text 3 of bb") for _ in range(200)), ("aa", None), (None, "no lang"), ("aa", "")]
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for bound, most, langs in ((7, 64, "aa bb cc"), (1000, 2, "aa bb"), (3, 1, "bb")):
+        want = {(k, t) for k in langs.split() for t in sorted({x for q, x in rows if q == k and x is not None}, key=md5)[:bound]}
+        got = [(r.l, r.t) for r in learning_sample(d, bound, most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert learning_sample(d.limit(0)).count() == 0
+
+
 def test_quality_references_of_odd_labels(spark):
     # no label, one with few words, one without letters, one written without spaces, a tie in rank
     plain = "the river ran past the old mill and the children threw stones into the water until the sun went down behind the hill "
-    cjk = ["".join(chr(0x4E00 + (i * 37 + j * j) % 900) for j in range(300)) for i in range(1200)]
+    cjk = ["".join(chr(0x4E00 + (i * 37 + j * j) % 1300) for j in range(300)) for i in range(1200)]
     known = [(1, None, None), (2, None, "en"), (3, plain * 60, "en"), (4, "few words only", "xx"), (5, "1 2 3 4 5 " * 300, "no"), (6, " ".join(random.Random(1).sample((plain * 3).split(), 69)), None)]
     known += [(100 + i, t, "zh") for i, t in enumerate(cjk)]
     d = spark.createDataFrame(known, "doc_id long, text string, lang string")
@@ -305,18 +318,53 @@ def grams(text):
 
 
 def test_language_kernel():
-    said = ["der Hund schläft, und die Katze wacht", "the dog sleeps while the cat is awake", "el perro duerme y la gata no", "abc abc abc", "a"]
-    model = language.fit(said, ["de", "en", "es", "x", "x"], landmarks=2)
-    other = [*said, "ein Satz mit anderen Wörtern", "q", "zz zz zz zz"]
+    """Equal to the kernel on sets of n-grams, in any script, however many characters there are."""
+    r = random.Random(7)
+    han, hangul = (["".join(chr(base + r.randrange(size)) for _ in range(2500)) for _ in range(2)] for base, size in ((0x4E00, 12000), (0xAC00, 11000)))
+    said = [
+        "der Hund schläft, und die Katze wacht", "the dog sleeps while the cat is awake", "Старик каждое утро смотрел на море из окна своего дома", *han, *hangul,
+        "mixed 日本語 и русский \U0001f600 text \U0010fffd", "abc abc abc", "a",
+    ]
+    model = language.fit(said, ["de", "en", "ru", "zh", "zh", "ko", "ko", "x", "x", "x"], landmarks=3)
+    other = [*said, "ein Satz mit anderen Wörtern", "q", "zz zz zz zz", han[0][:40] + hangul[0][:40], "\x00\x00a", "中"]
     got = model.kernel(other)
-    # few characters, so every one has a class of its own, but those that no landmark holds share classes
-    seen = {c for t in said for c in t.lower()}
-    for row, text in zip(got, other):
-        if set(text.lower()) <= seen:
-            for value, mark in zip(row, said):
-                a, b = grams(text), grams(mark)
-                assert abs(value - len(a & b) / np.sqrt(len(a) * len(b))) < 1e-5
-    assert abs(got[0, 0] - 1) < 1e-5 and got[:, 0].max() < 1 + 1e-5
+    # landmarks of a language come in the order of the texts
+    for row, text in zip(got, other, strict=True):
+        for value, mark in zip(row, said, strict=True):
+            a, b = grams(text), grams(mark)
+            assert abs(value - len(a & b) / np.sqrt(len(a) * len(b))) < 1e-6
+    x, own, _ = model.presence(other)
+    assert own.ravel().tolist() == [len(grams(t)) for t in other]
+
+
+def test_language_weights():
+    """Scores are those of ridge regression on Nyström features, worked out once more from sets of n-grams."""
+    docs = {"en": ["the old man went to the sea", "a ship came over the sea", "the wind and the rain"], "de": ["der alte Mann ging an das Meer", "ein Schiff kam über das Meer", "der Wind und der Regen"]}
+    texts_, labels = [t for ts in docs.values() for t in ts], [k for k, ts in docs.items() for _ in ts]
+    model = language.fit(texts_, labels, landmarks=2, ridge=0.05)
+    marks = [t for ts in docs.values() for t in ts[:2]]
+    k = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    values, vectors = np.linalg.eigh(np.array([[k(a, b) for b in marks] for a in marks]))
+    to = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    x = np.array([[k(a, b) for b in marks] for a in texts_]) @ to
+    y = np.array([[float(q == lang) for lang in sorted(docs)] for q in labels])
+    centred = x - x.mean(axis=0)
+    solved = np.linalg.solve(centred.T @ centred + 0.05 * len(texts_) * 0.01 * np.eye(x.shape[1]), centred.T @ (y - y.mean(axis=0)))
+    new = ["the sea", "das alte Schiff", "rain und wind", texts_[0]]
+    want = (np.array([[k(a, b) for b in marks] for a in new]) @ to - x.mean(axis=0)) @ solved + y.mean(axis=0)
+    seen, own, shares = model.presence(new)
+    assert np.allclose(model._kernel(seen, own) @ model.weights + model.bias, want, atol=1e-5)
+    # a text's share of 3-grams common in a language, repeats counted
+    common = [{g for g, n in Counter(g for t in docs[lang] for g in grams(t) if len(g) == 3).items() if n >= 2} for lang in sorted(docs)]
+    for row, t in zip(shares, new, strict=True):
+        every = [t.lower()[i : i + 3] for i in range(len(t) - 2)]
+        assert np.allclose(row, [sum(g in c for g in every) / len(every) for c in common])
+
+
+def test_language_ties_go_to_the_first_in_order():
+    same = ["one text of both", "and another one", "the third of them"]
+    model = language.fit(same * 2, ["bb"] * 3 + ["aa"] * 3, landmarks=3)
+    assert [model.languages[k] for k in model.best([*same, "one more text"])[0]] == ["aa"] * 4
 
 
 def test_language_of_odd_texts(spark):

@@ -1,7 +1,9 @@
 """The stages of the pipeline, each on its own input."""
 
+import duckdb
+
 import corpus_pipeline
-from tilewright.llm import language
+from tilewright.llm import language, oracles
 from tilewright.llm.quality import quality
 from tilewright.plans.staging import stage
 
@@ -14,8 +16,11 @@ def test_stages(spark):
         out = stage(step(spark, docs, sf), "test")
         before, after = {r.doc_id for r in docs.select("doc_id").collect()}, {r.doc_id for r in out.select("doc_id").collect()}
         assert after <= before
+        whole = {tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()}
         if name == "quality rules":
-            assert after == {r.doc_id for r in quality(docs).where("kept").select("doc_id").collect()}
+            con = duckdb.connect()
+            con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+            assert after == {i for (i,) in con.sql(f"SELECT doc_id FROM ({oracles.quality()}) WHERE kept").fetchall()}
         if name == "language id":
             found = language.identify(docs, language.train(docs))
             assert after == {r.doc_id for r in found.where("lang_pred <> 'und' and score >= 0.2").collect()}
@@ -28,9 +33,26 @@ def test_stages(spark):
             assert after == before
         else:
             assert out.columns == corpus_pipeline.COLUMNS
+            # what stays is as it was, texts and all
+            assert {tuple(r) for r in out.collect()} == {r for r in whole if r[0] in after}
         docs = out
 
 
+def test_stages_without_labels_or_rows(spark):
+    """Without a lang in any row nothing is learned: the base rules alone judge, and no document goes for its language."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    bare = stage(docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars"), "bare")
+    assert bare.where("lang is not null").count() == 0
+    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    assert ids(corpus_pipeline.quality_rules(spark, bare, sf)) == ids(quality(bare, references={}).where("not base_failed"))
+    assert ids(corpus_pipeline.language_id(spark, bare, sf)) == ids(bare)
+    none = docs.limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, none, sf)
+        assert out.count() == 0, name
+
+
 def test_near_dedup_of_null_and_repeated_ids(spark):
     def words(start, n=60):
         return " ".join(f"w{i}" for i in range(start, start + n))

@@ -1,7 +1,7 @@
 """Language identification by a string kernel.
 
-The kernel of two texts is the number of distinct 1-, 2- and 3-grams that both hold (blended-spectrum
-presence), normalised by the roots of their own counts of distinct n-grams. Nyström landmarks map a text to a few dozen kernel
+The kernel of two texts is the number of distinct 1-, 2- and 3-grams of code points (in lower case) that both hold (blended-spectrum
+presence), normalised by the roots of their own counts of distinct n-grams; it is exact for any script. Nyström landmarks map a text to a few dozen kernel
 values; one-versus-rest kernel ridge regression on those gives a score for every language.
 """
 
@@ -15,49 +15,70 @@ from pyspark.sql import types as T
 
 from tilewright.llm.tokens import arrow_schema, slices, without
 
-#: Code points have classes 1 to 119 if common in the landmarks, else one of the rest by block of 128.
-CLASSES, COMMON = 128, 120
-_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+#: An n-gram is a whole number: 21 bits for each code point, plus 1, from the lowest bits on; so shorter n-grams come first.
+BITS = 21
+TRIGRAM = 1 << 2 * BITS
+
+
+def gram_keys(text: str) -> list[np.ndarray]:
+    """The 1-, 2- and 3-grams of a text in lower case, with repeats."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64) + 1
+    b = a[:-1] | a[1:] << BITS
+    return [a, b, b[:-1] | a[2:] << 2 * BITS]
+
+
+def distinct_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, ascending; how often each occurs)."""
+    keys = gram_keys(text)
+    for k in keys:
+        k.sort()
+    every = np.concatenate(keys)
+    new = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, dtype=np.int64)
+    return every[new], np.diff(np.append(new, len(every)))
 
 
 class KernelModel:
     """Landmark n-grams, their matrix, and the weights of the languages."""
 
-    def __init__(self, languages: list[str], classes: np.ndarray, grams: np.ndarray, matrix: np.ndarray, norms: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.classes = languages, classes
+    def __init__(self, languages: list[str], grams: np.ndarray, matrix: np.ndarray, norms: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.languages = languages
         self.grams, self.matrix, self.norms, self.weights, self.bias = grams, matrix, norms, weights, bias
-        #: Per language the codes of its common 3-grams, and the least share of a text's 3-grams that must be among them.
-        self.known: list[np.ndarray] = [np.zeros(0, dtype=np.int32) for _ in languages]
+        #: Per language its common 3-grams, and the least share of a text's 3-grams that must be among them.
+        self.known: list[np.ndarray] = [np.zeros(0, dtype=np.int64) for _ in languages]
         self.limits = np.zeros(len(languages))
-        self.slots = self.planes = self.stamps = None
+        self.table = None
 
     def open(self) -> KernelModel:
-        """Make the table from n-gram codes to columns; done where the model is used."""
-        if self.slots is None:
-            self.slots = np.zeros(CLASSES**3, dtype=np.int32)
-            self.slots[self.grams] = np.arange(1, len(self.grams) + 1)
-            self.stamps = np.zeros(CLASSES**3, dtype=np.int32)
-            # one bit a language
-            self.planes = [np.zeros(CLASSES**3, dtype=np.uint8) for _ in range(0, len(self.languages), 8)]
+        """Make the table of all n-grams that matter, with their columns and languages; done where the model is used."""
+        if self.table is None:
+            table = np.unique(np.concatenate([self.grams, *self.known]))
+            column = np.full(len(table), -1)
+            column[np.searchsorted(table, self.grams)] = np.arange(len(self.grams))
+            among = np.zeros((len(table), len(self.languages)), dtype=np.float32)
             for k, codes in enumerate(self.known):
-                self.planes[k // 8][codes] |= np.uint8(1 << k % 8)
+                among[np.searchsorted(table, codes), k] = 1
+            self.table = table, column, among
         return self
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of 0 and 1: which landmark n-grams each whole text holds; how many distinct n-grams it has at all; and its share of 3-grams common in each language (1 if it has none)."""
-        out = np.zeros((len(texts), len(self.grams) + 1), dtype=np.float32)
-        own, shares = np.ones((len(texts), 1)), np.ones((len(texts), 8 * len(self.planes)))
+        table, column, among = self.table
+        out = np.zeros((len(texts), len(self.grams)), dtype=np.float32)
+        own, shares = np.ones((len(texts), 1)), np.ones((len(texts), len(self.languages)))
         for i, text in enumerate(texts):
-            codes = gram_codes(text, self.classes)
-            every = np.concatenate(codes)
-            out[i][self.slots[every]] = 1.0
-            # each distinct code keeps one of its places, whichever was written last
-            place = np.arange(len(every), dtype=np.int32)
-            self.stamps[every] = place
-            own[i] = max(1, np.count_nonzero(self.stamps[every] == place))
-            for k, plane in enumerate(self.planes if len(codes[2]) else []):
-                shares[i, 8 * k : 8 * k + 8] = np.bincount(plane[codes[2]], minlength=256) @ _BITS / len(codes[2])
-        return out[:, 1:], own, shares[:, : len(self.languages)]
+            found, counts = distinct_grams(text)
+            own[i] = max(1, len(found))
+            three = counts[np.searchsorted(found, TRIGRAM) :].sum()
+            if len(table):
+                at = np.minimum(np.searchsorted(table, found), len(table) - 1)
+                hit = table[at] == found
+                at, counts, found = at[hit], counts[hit], found[hit]
+                landmark = column[at]
+                out[i, landmark[landmark >= 0]] = 1.0
+            if three:
+                first = np.searchsorted(found, TRIGRAM)
+                shares[i] = (counts[first:] @ among[at[first:]] if len(table) else 0) / three
+        return out, own, shares
 
     def _kernel(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         return (x @ self.matrix) / (np.sqrt(own) * self.norms)
@@ -73,23 +94,6 @@ class KernelModel:
         return k, np.where(shares[row, k] >= self.limits[k], np.clip(s[row, k], 0.0, 1.0), 0.0)
 
 
-def gram_codes(text: str, classes: np.ndarray) -> list[np.ndarray]:
-    """Codes of the 1-, 2- and 3-grams of a text in lower case, with repeats."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    a = classes[np.minimum(points, len(classes) - 1)].astype(np.int32)
-    b = a[:-1] * CLASSES + a[1:]
-    return [a, b, b[:-1] * CLASSES + a[2:]]
-
-
-def _classes(texts: list[str]) -> np.ndarray:
-    points = np.frombuffer("".join(texts).lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    found, counts = np.unique(points[points < 0x20000], return_counts=True)
-    table = (COMMON + (np.arange(0x20000) >> 7) % (CLASSES - COMMON)).astype(np.uint8)
-    best = found[np.lexsort((found, -counts))][: COMMON - 1]
-    table[best] = np.arange(1, len(best) + 1)
-    return table
-
-
 def fit(texts: list[str], labels: list[str], landmarks: int = 24, ridge: float = 0.05) -> KernelModel:
     """A model from a bounded sample: the first ``landmarks`` texts of each language are landmarks."""
     languages = sorted(set(labels))
@@ -99,14 +103,13 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 24, ridge: float =
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= landmarks:
             chosen.append(t)
-    classes = _classes(chosen)
-    per_text = [np.unique(np.concatenate(gram_codes(t, classes))) for t in chosen]
-    grams = np.unique(np.concatenate(per_text)) if per_text else np.zeros(0, dtype=np.int32)
+    per_text = [distinct_grams(t)[0] for t in chosen]
+    grams = np.unique(np.concatenate(per_text)) if per_text else np.zeros(0, dtype=np.int64)
     matrix = np.zeros((len(grams), len(chosen)), dtype=np.float32)
     for k, g in enumerate(per_text):
         matrix[np.searchsorted(grams, g), k] = 1.0
     norms = np.sqrt(np.maximum(matrix.sum(axis=0), 1.0)).astype(np.float32)
-    model = KernelModel(languages, classes, grams, matrix, norms, np.zeros((len(chosen), len(languages)), np.float32), np.zeros(len(languages), np.float32)).open()
+    model = KernelModel(languages, grams, matrix, norms, np.zeros((len(chosen), len(languages)), np.float32), np.zeros(len(languages), np.float32)).open()
     if not languages:
         return model
     among = (matrix.T @ matrix) / (norms[:, None] * norms)
@@ -122,22 +125,20 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 24, ridge: float =
     model.weights = (to_features @ solved).astype(np.float32)
     model.bias = (mean_y - mean_x @ solved).astype(np.float32)
     for k, lang in enumerate(languages):
-        model.known[k], model.limits[k] = _common([t for t, of in zip(texts, labels, strict=True) if of == lang], classes)
-    model.slots = None
+        model.known[k], model.limits[k] = _common([t for t, of in zip(texts, labels, strict=True) if of == lang])
+    model.table = None
     return model.open()
 
 
-def _common(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, float]:
+def _common(texts: list[str]) -> tuple[np.ndarray, float]:
     """The 3-grams that two texts or more hold, and three quarters of the share of them that all but 5 % of the texts reach.
 
     A text's share is taken over what two others hold, so a language with fewer than three texts has the limit 0.
     """
-    held = np.zeros(CLASSES**3, dtype=np.int32)
-    each = [gram_codes(t, classes)[2] for t in texts]
-    for codes in each:
-        held[np.unique(codes)] += 1
-    shares = [(held[codes] >= 3).mean() for codes in each if len(codes)]
-    return np.flatnonzero(held >= 2).astype(np.int32), 0.75 * float(np.quantile(shares, 0.05)) if shares else 0.0
+    each = [(f[np.searchsorted(f, TRIGRAM) :], n[np.searchsorted(f, TRIGRAM) :]) for f, n in map(distinct_grams, texts)]
+    found, held = np.unique(np.concatenate([f for f, _ in each]), return_counts=True)
+    shares = [n[held[np.searchsorted(found, f)] >= 3].sum() / n.sum() for f, n in each if len(f)]
+    return found[held >= 2], 0.75 * float(np.quantile(shares, 0.05)) if shares else 0.0
 
 
 def held_out(doc_id: str):
@@ -203,5 +204,5 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
 
 
 def _closed(model: KernelModel) -> KernelModel:
-    model.slots = model.planes = model.stamps = None
+    model.table = None
     return model
