@@ -58,7 +58,7 @@ def test_regions(cells, pixels, diagonal, size):
 def test_rings(cells, pixels):
     ones = pixels.where("lab = 1")
     cut = lambda d: blocks.to_blocks(d, "lab", 5)
-    found = raster.rings(blocks.outlines(cut(ones), blocks.regions(cut(ones), False, 5))).collect()
+    found = raster.rings(blocks.outlines(cut(ones), blocks.regions(cut(ones), False, 5)), 5).collect()
     by_ring, area = defaultdict(list), defaultdict(float)
     for r in found:
         by_ring[(r.component, r.ring)].append((r.place, r.x, r.y, r.signed_area))

@@ -109,9 +109,9 @@ def intersects(a: Column, b: Column, a_areal: bool, b_areal: bool) -> Column:
     def test(g: Column) -> Column:
         edges = F.exists(g["ea"], lambda e: F.exists(g["eb"], lambda o: touches(e, o)))
         if b_areal:
-            edges = edges | F.exists(g["a"], lambda p: holds(g["eb"], p[0]))
+            edges = edges | F.exists(g["a"], lambda p: holds(g["eb"], F.get(p, F.lit(0))))
         if a_areal:
-            edges = edges | F.exists(g["b"], lambda p: holds(g["ea"], p[0]))
+            edges = edges | F.exists(g["b"], lambda p: holds(g["ea"], F.get(p, F.lit(0))))
         return edges
 
     # a lambda's variable is computed once, a repeated expression each time

@@ -309,7 +309,7 @@ def vectorise(blocks: DataFrame, categories: DataFrame, size: int = 512) -> Data
     boxes = region_boxes(parts).join(wanted, F.col("value") == F.col("pixel_value")).where(F.coalesce(F.col("pixels") >= F.col("min_area"), F.lit(True)))
     boxes = stage(boxes, "boxes")
     drawn = parts.join(boxes.where("not boxed").select("component"), "component", "left_semi")
-    corners = rings(outlines(kept, drawn))
+    corners = rings(outlines(kept, drawn), size)
     by_ring = corners.groupBy("component", "ring", "signed_area").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("c"))
     line = F.transform("c", lambda p: point(p["x"], p["y"]))
     polygons = by_ring.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("signed_area", line.alias("line"))), asc=False).alias("r"))

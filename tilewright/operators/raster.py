@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.plans.components import staged_components
-from tilewright.plans.staging import stage
+from tilewright.plans.staging import drop_staged, stage
 
 KEY = ["img", "row_no", "col_no"]
 
@@ -78,6 +80,100 @@ def draw_outlines(objects: DataFrame, ring: str = "ring") -> DataFrame:
     return t.select("img", "class", "order", at("y").alias("row_no"), at("x").alias("col_no")).groupBy("img", "row_no", "col_no").agg(F.max_by("class", "order").alias("class"))
 
 
+def _outline(points) -> tuple:
+    """(rows, columns) of the pixels of a closed ring's edges, by the rule of ``draw_outlines``."""
+    import numpy as np
+
+    p = np.array([(q["x"], q["y"]) for q in points], dtype=np.float64)
+    a, b = p, np.roll(p, -1, axis=0)
+    n = np.maximum(np.abs(b - a).max(axis=1), 1.0)
+    count = np.ceil(n).astype(int) + 1
+    edge = np.repeat(np.arange(len(p)), count)
+    t = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = a[edge] + np.minimum(1.0, t / n[edge])[:, None] * (b - a)[edge]
+    # halves away from zero, as Spark rounds
+    at = (np.sign(at) * np.floor(np.abs(at) + 0.5)).astype(np.int64)
+    return at[:, 1], at[:, 0]
+
+
+MASKS = "x1 double, y1 double, x2 double, y2 double, row0 long, col0 long, h long, w long, mask binary"
+
+
+def instance_masks(objects: DataFrame, ring: str = "ring") -> DataFrame:
+    """One row for each object: its columns but the ring, its bounds x1, y1, x2, y2, and its own mask, cut to what it draws: row0, col0, h, w and mask, h * w bytes, 1 on the outline.
+
+    Objects are drawn in Arrow batches, one at a time; nothing is shuffled. An object without a point has nulls.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keep = [c for c in objects.columns if c != ring]
+    source = objects.select(*keep, ring)
+    names = [f.split()[0] for f in MASKS.split(", ")]
+
+    def draw(points):
+        if not points:
+            return (None,) * len(names)
+        rows, cols = _outline(points)
+        xs, ys = [p["x"] for p in points], [p["y"] for p in points]
+        r0, c0 = int(rows.min()), int(cols.min())
+        mask = np.zeros((int(rows.max()) - r0 + 1, int(cols.max()) - c0 + 1), dtype=np.uint8)
+        mask[rows - r0, cols - c0] = 1
+        return float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys)), r0, c0, *mask.shape, mask.tobytes()
+
+    kinds = [pa.float64()] * 4 + [pa.int64()] * 4 + [pa.binary()]
+
+    def run(batches):
+        for batch in batches:
+            made = list(zip(*map(draw, batch.column(len(keep)).to_pylist()), strict=True)) if batch.num_rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]], names=[*keep, *names])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], MASKS])
+    return source.mapInArrow(run, schema)
+
+
+def outline_blocks(objects: DataFrame, size: int = 512, salt: int = 16, ring: str = "ring") -> DataFrame:
+    """The class mask of all objects' outlines as blocks (``operators.blocks``); where objects (img, id, class, order, ring) meet the later order wins, of equals the larger class.
+
+    An object goes to the blocks that its box reaches, as its ring; a block's objects are drawn in ``salt`` groups first, so no task draws all
+    objects of a crowded block, and arrays of order and class are merged. No row stands for a pixel.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from tilewright.functions.geometry import bounds
+    from tilewright.operators.blocks import BLOCK, NONE
+
+    b = objects.where((F.size(ring) > 0) & F.col("class").isNotNull()).withColumn("_b", bounds(F.col(ring)))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.round(f"_b.{low}") / size), F.floor(F.round(f"_b.{high}") / size)))
+    dealt = b.withColumn("block_row", span("miny", "maxy")).withColumn("block_col", span("minx", "maxx"))
+    dealt = dealt.select("img", "block_row", "block_col", F.pmod(F.xxhash64("id"), F.lit(salt)).alias("_salt"), F.coalesce(F.col("order").cast("long"), F.lit(NONE)).alias("order"), F.col("class").cast("int").alias("class"), ring)
+    part = "img long, block_row long, block_col long, orders binary, classes binary"
+    none = np.iinfo(np.int64).min
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        img, i, j = (k.as_py() for k in key[:3])
+        order, found = np.full((size, size), none, dtype=np.int64), np.full((size, size), NONE, dtype=np.int32)
+        for r in sorted(table.to_pylist(), key=lambda r: (r["order"], r["class"])):
+            rows, cols = _outline(r[ring])
+            rows, cols = rows - i * size, cols - j * size
+            here = (rows >= 0) & (rows < size) & (cols >= 0) & (cols < size)
+            order[rows[here], cols[here]], found[rows[here], cols[here]] = r["order"], r["class"]
+        return pa.table([pa.array([v]) for v in (img, i, j, order.tobytes(), found.tobytes())], names=["img", "block_row", "block_col", "orders", "classes"])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        img, i, j = (k.as_py() for k in key)
+        order, found = np.full((size, size), none, dtype=np.int64), np.full((size, size), NONE, dtype=np.int32)
+        for r in table.to_pylist():
+            o, c = np.frombuffer(r["orders"], np.int64).reshape(size, size), np.frombuffer(r["classes"], np.int32).reshape(size, size)
+            later = (o > order) | ((o == order) & (c > found))
+            order, found = np.where(later, o, order), np.where(later, c, found)
+        return pa.table([pa.array([v]) for v in (img, i, j, i * size, j * size, size, size, found.tobytes())], names=["img", "block_row", "block_col", "row0", "col0", "h", "w", "data"])
+
+    drawn = dealt.groupBy("img", "block_row", "block_col", "_salt").applyInArrow(draw, part)
+    return drawn.groupBy("img", "block_row", "block_col").applyInArrow(merge, BLOCK)
+
+
 def fill(objects: DataFrame, ring: str = "ring") -> DataFrame:
     """Runs of the pixels whose centres lie in each object's ring: (other columns, row_no, c0, c1), by even-odd scan lines.
 
@@ -102,32 +198,128 @@ def without(objects: DataFrame, over: DataFrame, ring: str = "ring") -> DataFram
     return mine.join(theirs, KEY, "left_anti")
 
 
-def rings(edges: DataFrame) -> DataFrame:
+#: Directions of border edges, in the order of where they end: up, left, right, down.
+STEP_X, STEP_Y = (0, -1, 1, 0), (-1, 0, 0, 1)
+#: The right turn of each: rows count downwards, so that of (dx, dy) is (-dy, dx).
+RIGHT = (2, 0, 3, 1)
+SEGMENT = """img long, c_row long, c_col long, y0 long, x0 long, d int, y1 long, x1 long, last int, n long, area long, closed boolean,
+ min_y long, min_x long, min_d int, min_at long, corners array<struct<at:long,x:long,y:long>>"""
+
+
+def _segments(key: tuple, table, size: int):
+    """What the border edges that start in one block form there: stretches of edges that follow one another, and whole rings."""
+    import numpy as np
+    import pyarrow as pa
+
+    img, by, bx = (k.as_py() for k in key)
+    column = lambda n: table.column(n).to_numpy().astype(np.int64)
+    cr, cc, y0, x0, d = (column(n) for n in ("c_row", "c_col", "y0", "x0", "d"))
+    order = np.lexsort((d, x0, y0))
+    cr, cc, y0, x0, d = (v[order] for v in (cr, cc, y0, x0, d))
+    n = len(d)
+    x1, y1 = x0 + np.array(STEP_X)[d], y0 + np.array(STEP_Y)[d]
+    _, owner = np.unique(np.stack([cr, cc], 1), axis=0, return_inverse=True)
+    owner = owner.ravel()
+    at = lambda y, x: (owner * size + (y - by * size)) * size + (x - bx * size)
+    inside = (y1 >= by * size) & (y1 < (by + 1) * size) & (x1 >= bx * size) & (x1 < (bx + 1) * size)
+    start = at(y0, x0)
+    by_start = np.argsort(start, kind="stable")
+    sorted_start, end = start[by_start], np.where(inside, at(y1, x1), -1)
+    low, high = np.searchsorted(sorted_start, end, "left"), np.searchsorted(sorted_start, end, "right")
+    one = by_start[np.minimum(low, n - 1)]
+    two = by_start[np.minimum(np.maximum(high - 1, 0), n - 1)]
+    # where two edges start, the right turn, so that rings touch there but do not cross
+    after = np.where(high - low == 0, -1, np.where(d[two] == np.array(RIGHT)[d], two, one))
+    before = np.full(n, -1)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+    # rings that lie in the block whole are opened in front of their least edge, which names them
+    jump, least = before.copy(), np.arange(n)
+    for _ in range(max(1, n.bit_length())):
+        some = jump >= 0
+        least[some] = np.minimum(least[some], least[jump[some]])
+        jump[some] = jump[jump[some]]
+    ring = jump >= 0
+    closed = ring & (least == np.arange(n))
+    before[closed] = -1
+    # the first edge of each edge's stretch, and how far it lies behind it
+    head, place, jump = np.arange(n), np.zeros(n, dtype=np.int64), before.copy()
+    place[jump >= 0] = 1
+    for _ in range(max(1, n.bit_length())):
+        some = np.flatnonzero(jump >= 0)
+        if not len(some):
+            break
+        place[some] += place[jump[some]]
+        jump[some] = jump[jump[some]]
+    heads = np.flatnonzero(before < 0)
+    number = np.full(n, -1)
+    number[heads] = np.arange(len(heads))
+    jump = np.where(before < 0, np.arange(n), before)
+    for _ in range(max(1, n.bit_length())):
+        jump = jump[jump]
+    of = number[jump]
+    count = np.bincount(of, minlength=len(heads))
+    area = np.zeros(len(heads), dtype=np.int64)
+    np.add.at(area, of, x0 * y1 - x1 * y0)
+    by_segment = np.lexsort((place, of))
+    tail = by_segment[np.cumsum(count) - 1]
+    smallest = np.full(len(heads), n)
+    np.minimum.at(smallest, of, np.arange(n))
+    # corners inside a stretch; a ring's first edge is one if the last one turns there, an open stretch's waits for the one before
+    turns = np.zeros(n, dtype=bool)
+    turns[before >= 0] = d[before[before >= 0]] != d[before >= 0]
+    shut = closed[heads]
+    turns[heads[shut]] = d[tail[shut]] != d[heads[shut]]
+    picked = by_segment[turns[by_segment]]
+    points = pa.StructArray.from_arrays([pa.array(v[picked]) for v in (place, x0, y0)], names=["at", "x", "y"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of[picked], minlength=len(heads)))]).astype(np.int32)
+    columns = [np.full(len(heads), img), cr[heads], cc[heads], y0[heads], x0[heads], d[heads].astype(np.int32), y1[tail], x1[tail], d[tail].astype(np.int32), count, area, shut, y0[smallest], x0[smallest], d[smallest].astype(np.int32), place[smallest]]
+    names = [f.split()[0] for f in re.split(r",\s+", SEGMENT)]
+    return pa.table([*[pa.array(c) for c in columns], pa.ListArray.from_arrays(pa.array(ends), points)], names=names)
+
+
+def rings(edges: DataFrame, size: int = 512) -> DataFrame:
     """Corners of the closed rings that border edges (``outlines``) form: (img, component, ring, place, x, y, signed_area).
 
     An edge is followed by the one that starts where it ends; where two start, by the right turn, so rings touch there but do
-    not cross. Places come from pointer jumping (rounds grow with the logarithm of the longest ring), so no
+    not cross. In blocks of ``size`` points the edges become stretches with their lengths; rings inside a block are done then. Only stretches
+    that cross blocks are linked, named and placed, by pointer jumping (rounds grow with the logarithm of the stretches of the longest ring), so no
     ring has to fit into one task. Outer rings have a positive area, holes a negative one; the areas of a component sum to its pixels.
     """
-    turn = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    key = F.concat_ws("/", *[F.format_string("%012d", F.col(c).cast("long")) for c in ("y0", "x0", "y1", "x1")])
-    e = stage(edges.withColumns({"e": F.concat_ws("|", F.col("img").cast("string"), F.to_json(F.struct("component")), key), "dx": turn[0], "dy": turn[1]}), "ring-edges")
-    after = e.select("img", "component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("next"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
-    # rows count downwards, so the right turn of (dx, dy) is (-dy, dx)
-    right = ((F.col("nx") == -F.col("dy")) & (F.col("ny") == F.col("dx"))).cast("int")
-    linked = e.join(after, ["img", "component", "x1", "y1"]).groupBy("e").agg(F.max(F.struct(right.alias("r"), F.col("next"))).alias("n"))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    way = F.when(dy == -1, 0).when(dx == -1, 1).when(dx == 1, 2).otherwise(3)
+    e = edges.select("img", F.floor(F.col("y0") / size).alias("_by"), F.floor(F.col("x0") / size).alias("_bx"), F.col("component.row_no").alias("c_row"), F.col("component.col_no").alias("c_col"), F.col("y0").cast("long"), F.col("x0").cast("long"), way.alias("d"))
+    made = e.groupBy("img", "_by", "_bx").applyInArrow(lambda key, table: _segments(key, table, size), SEGMENT)
+    named = F.struct("img", F.col("c_row").alias("row_no"), F.col("c_col").alias("col_no")).alias("component")
+    key = F.struct("img", "y0", "x0", "d")
+    segments = stage(made.withColumn("component", named).withColumn("e", key).drop("c_row", "c_col"), "segments")
+    whole = segments.where("closed").select("img", "component", F.col("e").alias("ring"), F.explode("corners").alias("c"), (F.col("area") / 2).alias("signed_area"))
+    whole = whole.select("img", "component", "ring", F.col("c.at").alias("place"), "c.x", "c.y", "signed_area")
+    parts = segments.where("not closed")
+    if parts.isEmpty():
+        return whole
+    follow = parts.select("component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("next"), F.col("d").alias("_d"))
+    right = F.element_at(F.array(*[F.lit(k) for k in RIGHT]), F.col("last") + 1) == F.col("_d")
+    linked = parts.join(follow, ["component", "x1", "y1"]).groupBy("e").agg(F.max(F.struct(right.cast("int").alias("r"), F.col("next"))).alias("n"))
     succ = stage(linked.select("e", F.col("n.next").alias("next")), "ring-next")
-    named = staged_components(succ, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
-    # the edge before a ring's name is its last: steps counts the way to there
-    now = succ.join(named, "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("steps"))
+    label = staged_components(succ, "e", "next").select(F.col("node").alias("e"), F.col("component").alias("ring"))
+    # the stretch before a ring's name is its last: behind counts the edges from there on to the last one
+    sizes = parts.select(F.col("e").alias("next"), F.col("n").alias("_n"))
+    now = succ.join(label, "e").join(sizes, "next").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), F.col("_n")).otherwise(0).alias("behind"))
     now = stage(now, "ring-steps")
     while not now.where("next is not null").isEmpty():
-        ahead = now.select(F.col("e").alias("next"), F.col("next").alias("_n"), F.col("steps").alias("_s"))
-        now = stage(now.join(ahead, "next", "left").select("e", "ring", F.col("_n").alias("next"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")), "ring-steps")
-    before = succ.join(e.select("e", F.col("dx").alias("px"), F.col("dy").alias("py")), "e").select(F.col("next").alias("e"), "px", "py")
-    sizes = now.join(e, "e").groupBy("ring").agg(F.max("steps").alias("_m"), (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("signed_area"))
-    corners = e.join(before, "e").where("px <> dx or py <> dy").join(now.select("e", "ring", "steps"), "e").join(sizes, "ring")
-    return corners.select("img", "component", "ring", (F.col("_m") - F.col("steps")).alias("place"), F.col("x0").alias("x"), F.col("y0").alias("y"), "signed_area")
+        ahead = now.select(F.col("e").alias("next"), F.col("next").alias("_n"), F.col("behind").alias("_s"))
+        after = stage(now.join(ahead, "next", "left").select("e", "ring", F.col("_n").alias("next"), (F.col("behind") + F.coalesce("_s", F.lit(0))).alias("behind")), "ring-steps")
+        drop_staged(now)
+        now = after
+    placed = now.join(parts, "e").join(succ.select(F.col("e").alias("_before"), F.col("next").alias("e")), "e").join(parts.select(F.col("e").alias("_before"), F.col("last").alias("_from")), "_before")
+    least = F.struct("min_y", "min_x", "min_d", (F.col("behind") + F.col("n") - F.col("min_at")).alias("left"))
+    of_ring = now.join(parts, "e").groupBy("ring").agg(F.sum("n").alias("total"), (F.sum("area") / 2).alias("signed_area"), F.min(least).alias("m"))
+    first = F.when(F.col("_from") != F.col("d"), F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("x0").alias("x"), F.col("y0").alias("y")))).otherwise(F.array().cast("array<struct<at:bigint,x:bigint,y:bigint>>"))
+    corners = placed.join(of_ring, "ring").withColumn("c", F.explode(F.concat(first, "corners")))
+    # counted from the least edge of the ring, which names it
+    place = F.pmod(F.col("m.left") - (F.col("behind") + F.col("n") - F.col("c.at")), F.col("total"))
+    name = F.struct("img", F.col("m.min_y").alias("y0"), F.col("m.min_x").alias("x0"), F.col("m.min_d").alias("d"))
+    return whole.unionByName(corners.select("img", "component", name.alias("ring"), place.alias("place"), "c.x", "c.y", "signed_area"))
 
 
 def resize(pixels: DataFrame, sizes: DataFrame, value: str, height: int, width: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import blocks as B
 from tilewright.operators.evaluate import class_report
-from tilewright.operators.windows import clamped_patches, window_boxes
+from tilewright.operators.windows import clamped_patches, random_offset, window_boxes
 from tilewright.plans.staging import stage
 
 KEY = B.KEY
@@ -56,8 +56,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
 
-def _map(stacks: DataFrame, work: Callable[[dict], list[tuple]]) -> DataFrame:
-    """For every block the rows that ``work`` makes of it, a record batch each."""
+def _map(stacks: DataFrame, work: Callable[[dict], list[tuple]], profile=None) -> DataFrame:
+    """For every block the rows that ``work`` makes of it, a record batch each; ``profile`` for its tasks, but in local sessions."""
+    if profile is not None and stacks.sparkSession.sparkContext.master.split("[")[0] == "local":
+        profile = None
 
     def run(batches):
         for batch in batches:
@@ -65,7 +67,7 @@ def _map(stacks: DataFrame, work: Callable[[dict], list[tuple]]) -> DataFrame:
                 if rows := work(batch.slice(i, 1).to_pylist()[0]):
                     yield _batch(rows)
 
-    return stacks.mapInArrow(run, STACK)
+    return stacks.mapInArrow(run, STACK, profile=profile)
 
 
 # --- making and reading stacks --------------------------------------------------------------------------
@@ -195,7 +197,12 @@ def with_margins(stacks: DataFrame, below: int, right: int, size: int = 512, out
     return _map(stacks, send)
 
 
-def score_windows(stacks: DataFrame, windows: DataFrame, window: tuple[int, int], load: Callable, size: int = 512, centre: bool = False, classes: bool = False, outside: bool = False, batch: int = 16) -> DataFrame:
+HELD = STACK + ", places array<bigint>"
+
+
+def score_windows(
+    stacks: DataFrame, windows: DataFrame, window: tuple[int, int], load: Callable, size: int = 512, centre: bool = False, classes: bool = False, outside: bool = False, batch: int = 16, profile=None
+) -> DataFrame:
     """What a model says about windows, merged to stacks: the elementwise maximum, at least 0, of overlapping windows, or each window's centre half alone.
 
     ``windows`` has img, x1 and y1 of windows of the given (height, width); ``load`` returns, once a Python worker, a model that turns arrays
@@ -204,33 +211,31 @@ def score_windows(stacks: DataFrame, windows: DataFrame, window: tuple[int, int]
     arrays. The windows of a block are merged in place, ``batch`` of them at a time; parts for other blocks are the second shuffle. With ``centre`` windows stand
     half their size apart, and rows and columns from a quarter of it count, so each pixel is one window's; ``classes`` then hands on
     the class of the highest number instead of all numbers, as a stack of one channel. Windows may reach beyond the right and lower edge;
-    those that start left of or above the image need ``outside``, and raise without it.
+    those that start left of or above the image need ``outside``, and raise without it. ``profile`` is a Spark resource profile for the tasks that
+    run the model (a GPU each, say); local sessions, which have no such resources, leave it out.
     """
+    if classes and not centre:
+        raise ValueError("classes can be taken before merging only where each pixel is one window's")
     h, w = window
-    get = once_a_worker(load)
     x1, y1 = (F.col(c) if outside else F.when(F.col(c) >= 0, F.col(c)).otherwise(F.raise_error(F.lit("a window starts outside of the image"))) for c in ("x1", "y1"))
     place = windows.select("img", x1.cast("long").alias("x1"), y1.cast("long").alias("y1"))
     place = place.select("img", F.floor(F.col("y1") / size).alias("block_row"), F.floor(F.col("x1") / size).alias("block_col"), "x1", "y1")
-    if classes and not centre:
-        raise ValueError("classes can be taken before merging only where each pixel is one window's")
 
-    def score(key: tuple, parts: pa.Table, wanted: pa.Table):
-        img, i, j = (k.as_py() for k in key)
+    def hold(key: tuple, parts: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The pixels that a block's windows cover, and where the windows start."""
+        names = [*NAMES, "places"]
         if not wanted.num_rows or not parts.num_rows:
-            return pa.Table.from_batches([_batch([])])
-        model = get()
+            return pa.table({n: pa.array([], pa.binary() if n == "data" else pa.list_(pa.int64()) if n == "places" else pa.int64()) for n in names})
         at = np.unique(np.stack([wanted.column("y1").to_numpy(), wanted.column("x1").to_numpy()], 1), axis=0)
         low, high = at.min(axis=0), at.max(axis=0) + (h, w)
-        held = None
-        for r in parts.to_pylist():
-            a = _array(r)
-            if held is None:
-                held = np.full((*(high - low), a.shape[2]), np.nan, dtype=np.float32)
-            y, x = max(low[0], r["row0"]), max(low[1], r["col0"])
-            part = a[y - r["row0"] : high[0] - r["row0"], x - r["col0"] : high[1] - r["col0"]] if high[0] > r["row0"] and high[1] > r["col0"] else a[:0]
-            if part.size:
-                held[y - low[0] : y - low[0] + part.shape[0], x - low[1] : x - low[1] + part.shape[1]] = part
-        out = None
+        row = _row(*(k.as_py() for k in key), int(low[0]), int(low[1]), _assembled(parts.to_pylist(), low, high))
+        return pa.table([pa.array([v]) for v in (*row, at.ravel().tolist())], names=names)
+
+    get = once_a_worker(load)
+
+    def score(r: dict) -> list[tuple]:
+        model, held, low = get(), _array(r), np.array([r["row0"], r["col0"]])
+        at, out = np.array(r["places"]).reshape(-1, 2), None
         for n in range(0, len(at), batch):
             some = at[n : n + batch]
             said = np.asarray(model(np.stack([held[y : y + h, x : x + w] for y, x in some - low]), some), dtype=np.float32)
@@ -246,11 +251,25 @@ def score_windows(stacks: DataFrame, windows: DataFrame, window: tuple[int, int]
                 np.fmax(target, p, out=target)
         # what lies outside of the image is no pixel
         out[np.isnan(held).all(axis=2)] = np.nan
-        return pa.Table.from_batches([_batch(cut_parts(out, img, int(low[0]), int(low[1]), size))])
+        return cut_parts(out, r["img"], r["row0"], r["col0"], size)
 
     parts = with_margins(stacks, h - 1, w - 1, size, outside)
-    said = parts.groupBy(*KEY).cogroup(place.groupBy(*KEY)).applyInArrow(score, STACK)
-    return on_grid(merge_parts(said, None if centre else 0.0), size)
+    held = parts.groupBy(*KEY).cogroup(place.groupBy(*KEY)).applyInArrow(hold, HELD)
+    return on_grid(merge_parts(_map(held, score, profile), None if centre else 0.0), size)
+
+
+def _assembled(rows: list[dict], low, high) -> np.ndarray:
+    """The array from place ``low`` to ``high`` of an image, of the parts that lie there; NaN elsewhere."""
+    held = None
+    for r in rows:
+        a = _array(r)
+        if held is None:
+            held = np.full((int(high[0] - low[0]), int(high[1] - low[1]), a.shape[2]), np.nan, dtype=np.float32)
+        y, x = max(low[0], r["row0"]), max(low[1], r["col0"])
+        y1, x1 = min(high[0], r["row0"] + r["h"]), min(high[1], r["col0"] + r["w"])
+        if y < y1 and x < x1:
+            held[y - low[0] : y1 - low[0], x - low[1] : x1 - low[1]] = a[y - r["row0"] : y1 - r["row0"], x - r["col0"] : x1 - r["col0"]]
+    return held
 
 
 def on_grid(stacks: DataFrame, size: int) -> DataFrame:
@@ -274,22 +293,117 @@ def predict_stitched(stacks: DataFrame, sizes: DataFrame, box: int, load: Callab
     """Class blocks of whole images by half-stride windows, each pixel from the centre half of its window; in the image's own rows and columns, from (box/4, box/4) on."""
     at = window_boxes(sizes.withColumnRenamed("img", "img_id"), box, box, box // 2).withColumnRenamed("img_id", "img")
     found = score_windows(stacks, at, (box, box), load, size, centre=True, classes=True)
-    return _one_band(found)
+    return one_band(found)
 
 
-def _one_band(stacks: DataFrame) -> DataFrame:
-    """A stack of one channel of whole numbers as one-band blocks."""
+def one_band(stacks: DataFrame, channel: int = 0) -> DataFrame:
+    """A channel of whole numbers as one-band blocks; an array that has no such channel is left out."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                a = _array(r)[:, :, 0]
-                data = np.where(np.isnan(a), B.NONE, a).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([r[c]]) for c in (*KEY, *B.FIELDS)] + [pa.array([data.tobytes()])], names=[*KEY, *B.FIELDS, "data"])
+                if r["channels"] > channel:
+                    a = _array(r)[:, :, channel]
+                    data = np.where(np.isnan(a), B.NONE, a).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c]]) for c in (*KEY, *B.FIELDS)] + [pa.array([data.tobytes()])], names=[*KEY, *B.FIELDS, "data"])
 
     return stacks.mapInArrow(run, B.BLOCK)
 
 
+# --- regions of images: crops and resizing -----------------------------------------------------------------
+WANTED = "img long, block_row long, block_col long, h long, w long, r0 long, c0 long, r1 long, c1 long"
+
+
+def gather(stacks: DataFrame, wanted: DataFrame, work: Callable[[np.ndarray, dict], np.ndarray], size: int) -> DataFrame:
+    """New blocks, each made by ``work`` of a region of its image: ``work(pixels of the region, row of wanted)`` gives an array [h, w, channels].
+
+    ``wanted`` has img, the new block's block_row, block_col, h and w, and the region's first and last pixels r0, c0, r1, c1 (ends exclusive). Blocks are joined
+    with the regions that reach into them and cut there, so of each block only the parts asked for are shuffled, as arrays. Regions without a pixel give no block.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size)))
+    asked = wanted.where("r0 < r1 and c0 < c1").select(F.struct(*wanted.columns).alias("want"), "img", span("r0", "r1").alias("block_row"), "c0", "c1")
+    asked = asked.select("want", "img", "block_row", span("c0", "c1").alias("block_col"))
+    met = stacks.join(asked, KEY).select(*NAMES, "want")
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                a, q = _array(r), r["want"]
+                y0, x0, y1, x1 = max(r["row0"], q["r0"]), max(r["col0"], q["c0"]), min(r["row0"] + r["h"], q["r1"]), min(r["col0"] + r["w"], q["c1"])
+                if y0 < y1 and x0 < x1:
+                    part = _batch([_row(q["img"], q["block_row"], q["block_col"], y0, x0, a[y0 - r["row0"] : y1 - r["row0"], x0 - r["col0"] : x1 - r["col0"]])])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([q], batch.schema.field("want").type)], names=[*NAMES, "want"])
+
+    kind = f"{STACK}, want struct<{', '.join(f.replace(' ', ':', 1) for f in WANTED.split(', '))}>"
+    parts = met.mapInArrow(cut, kind)
+
+    def make(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        q = rows[0]["want"]
+        found = work(_assembled(rows, (q["r0"], q["c0"]), (q["r1"], q["c1"])), q)
+        return pa.Table.from_batches([_batch([_row(*(k.as_py() for k in key), q["block_row"] * size, q["block_col"] * size, found)])])
+
+    return parts.groupBy(*KEY).applyInArrow(make, STACK)
+
+
+def _target_blocks(sizes: DataFrame, height, width, size: int) -> DataFrame:
+    """(sizes' columns, block_row, block_col, h, w) of the blocks of images of a height and width."""
+    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size)))
+    d = sizes.withColumns({"_new_h": height.cast("long"), "_new_w": width.cast("long")}).where("_new_h > 0 and _new_w > 0")
+    d = d.withColumn("block_row", axis(F.col("_new_h"))).withColumn("block_col", axis(F.col("_new_w")))
+    left = lambda n, k: F.least(F.lit(size).cast("long"), F.col(n) - F.col(k) * size)
+    return d.withColumns({"h": left("_new_h", "block_row"), "w": left("_new_w", "block_col")})
+
+
+def crop_stacks(stacks: DataFrame, places: DataFrame, height: int, width: int, size: int = 512) -> DataFrame:
+    """A crop of each image of ``places`` (img, row0, col0) as blocks counted from its corner; crops may lie over any number of blocks. What lies outside of the image is no pixel."""
+    at = places.select("img", F.col("row0").cast("long").alias("_r"), F.col("col0").cast("long").alias("_c"))
+    d = _target_blocks(at, F.lit(height), F.lit(width), size)
+    r0, c0 = F.col("_r") + F.col("block_row") * size, F.col("_c") + F.col("block_col") * size
+    wanted = d.select("img", "block_row", "block_col", "h", "w", r0.alias("r0"), c0.alias("c0"), (r0 + F.col("h")).alias("r1"), (c0 + F.col("w")).alias("c1"))
+    return gather(stacks, wanted, lambda a, q: a, size)
+
+
+def random_crops(stacks: DataFrame, sizes: DataFrame, height: int, width: int, seed: int, key=None, size: int = 512) -> DataFrame:
+    """A crop of each image (img, h, w in ``sizes``) at a reproducible place, see ``windows.random_offset``; images smaller on either side are left out."""
+    fits = sizes.where((F.col("h") >= height) & (F.col("w") >= width))
+    rows = random_offset("img", F.col("h") - height, seed, key)
+    cols = random_offset("img", F.col("w") - width, seed + 1, None if key is None else key + 1)
+    return crop_stacks(stacks, fits.select("img", rows.alias("row0"), cols.alias("col0")), height, width, size)
+
+
+def resize_stacks(stacks: DataFrame, sizes: DataFrame, height: int, width: int, size: int = 512) -> DataFrame:
+    """Bilinear resize of images spread over blocks to a fixed size, half-pixel centres, clamped at the border; ``sizes`` has img, h, w.
+
+    Each new block asks for the source pixels under it and one more row and column. A pixel of which a source is missing is none.
+    """
+    d = _target_blocks(sizes.select("img", F.col("h").cast("long").alias("_h"), F.col("w").cast("long").alias("_w")), F.lit(height), F.lit(width), size)
+
+    def span(first, count, old: str, new: int, name: str):
+        at = lambda i: F.floor(F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(old) / new - 0.5, F.col(old) - 1.0)))
+        return at(first).alias(f"{name}0"), F.least(at(first + count - 1) + 2, F.col(old)).alias(f"{name}1")
+
+    r, c = span(F.col("block_row") * size, F.col("h"), "_h", height, "r"), span(F.col("block_col") * size, F.col("w"), "_w", width, "c")
+    # the image's own size comes along in the place of the new block's, which follows from it
+    wanted = d.select("img", "block_row", "block_col", F.col("_h").alias("h"), F.col("_w").alias("w"), r[0], c[0], r[1], c[1])
+
+    def scale(a: np.ndarray, q: dict) -> np.ndarray:
+        def taps(old: int, new: int, block: int, first: int):
+            i = np.arange(block * size, min(new, (block + 1) * size))
+            at = np.clip((i + 0.5) * old / new - 0.5, 0, old - 1)
+            low = np.floor(at).astype(int)
+            return low - first, np.minimum(low + 1, old - 1) - first, at - low
+
+        y0, y1, fy = taps(q["h"], height, q["block_row"], q["r0"])
+        x0, x1, fx = taps(q["w"], width, q["block_col"], q["c0"])
+        a, fy, fx = a.astype(np.float64), fy[:, None, None], fx[None, :, None]
+        across = lambda y: np.where(fx > 0, a[y][:, x0] * (1 - fx) + a[y][:, x1] * fx, a[y][:, x0])
+        return np.where(fy > 0, across(y0) * (1 - fy) + across(y1) * fy, across(y0))
+
+    return gather(stacks, wanted, scale, size)
+
+
 def report(predicted: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Class report of predicted blocks against label blocks of one grid: pixels that both have, from one n x n table a block; so a mosaic crops its labels by itself."""
     cells = predicted.sparkSession.range(n * n).select(F.expr(f"id div {n}").alias("actual"), (F.col("id") % n).alias("predicted"))

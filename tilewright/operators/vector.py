@@ -67,9 +67,9 @@ def clipped_bounds(ring: Column, minx: Column, miny: Column, maxx: Column, maxy:
 
 def _cuts(roads: DataFrame, parkings: DataFrame, cell: float) -> DataFrame:
     """(road, parking, line, ring, p, at): points where a line meets an outline, and how far along the line in edges."""
-    with_box = lambda df, g: df.select("id", g).withColumns({k: G.bounds(F.col(g))[k] for k in ("minx", "miny", "maxx", "maxy")})
-    pairs = G.spatial_join(with_box(roads, "line"), with_box(parkings, "ring"), cell)
-    pairs = pairs.select(F.col("a_id").alias("road"), F.col("b_id").alias("parking"), F.col("a_line").alias("line"), F.col("b_ring").alias("ring"))
+    with_box = lambda df, g: df.withColumn("_b", G.bounds(F.col(g))).select("id", *[F.col(f"_b.{k}").alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+    pairs = box_pairs(with_box(roads, "line"), with_box(parkings, "ring"), cell).withColumnsRenamed({"a_id": "road", "b_id": "parking"})
+    pairs = pairs.join(roads.select(F.col("id").alias("road"), "line"), "road").join(parkings.select(F.col("id").alias("parking"), "ring"), "parking")
     far = lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
 
     def of_edge(e: Column, no: Column) -> Column:

@@ -14,7 +14,8 @@ from tilewright.operators.scoring import predict_overlapping, predict_stitched
 from tilewright.plans.order import prefix_sum
 from tilewright.plans.staging import scratch_dir
 from tilewright.queries.catalog import ENDS, as_rings, query
-from tilewright.sources import readers, sinks
+from tilewright.sources import documents, readers, sinks
+from tilewright.sources.committed import committed_parts
 
 
 def folder(df, label: str) -> str:
@@ -102,8 +103,8 @@ def _(p):
 @query("s1_manifest", "manifest", sql="SELECT 'set' AS dataset, '/data' AS prefix, CASE WHEN pos % 3 = 0 THEN 'validation' ELSE 'training' END AS split, row_number() OVER (PARTITION BY pos % 3 = 0 ORDER BY pos) - 1 AS pos, image, label FROM manifest")
 def _(m):
     path = folder(m, "manifest")
-    sinks.write_manifest_yaml(m.withColumn("split", F.when(F.col("pos") % 3 == 0, "validation").otherwise("training")), path, "set", "/data", files=1)
-    return readers.read_manifest(m.sparkSession, path).select("dataset", "prefix", "split", "pos", "image", "label")
+    sinks.write_manifest_document(m.withColumn("split", F.when(F.col("pos") % 3 == 0, "validation").otherwise("training")), path, "set", "/data")
+    return documents.read_large_manifests(m.sparkSession, path)[0].select("dataset", "prefix", "split", "pos", "image", "label")
 
 
 @query("k1_manifest_splits", "manifest", sql="SELECT CASE WHEN pos % 3 = 0 THEN 'validation' ELSE 'training' END AS split, pos, image FROM manifest")
@@ -137,6 +138,25 @@ def _(p):
     return readers.read_features(p.sparkSession, path, "id:bigint", lines=True).select("id", "kind", F.size(F.flatten("parts")).alias("corners"), G.polygon_area(F.col("polygons")).alias("area"))
 
 
+@query("s7_feature_collection", "parcels", sql="SELECT id, 'Polygon' AS kind, 4 AS corners, CAST((maxx - minx) * (maxy - miny) AS DOUBLE) AS area FROM parcels")
+def _(p):
+    """One document of one line, which tasks read by byte ranges of 4 KB."""
+    path = folder(p, "collection")
+    text = F.array_join(F.array_sort(F.collect_list(sinks.feature(["id"], F.col("ring")))), ", ")
+    # a document for every 50 features, so that no row holds the whole table
+    docs = as_rings(p).groupBy(F.floor(F.col("id") / 50).alias("d")).agg(F.concat(F.lit('{"name": "not { a [ feature", "features": ['), text, F.lit(' ], "type": "FeatureCollection"}')).alias("body"))
+    sinks.write_files(docs.select(F.format_string("d%d.geojson", "d").alias("name"), "body"), path)
+    found, _ = documents.read_feature_collections(p.sparkSession, path, "id:bigint", chunk=4096)
+    return found.select("id", "kind", F.size(F.flatten("parts")).alias("corners"), G.polygon_area(F.col("polygons")).alias("area"))
+
+
+@query("k7_committed_images", "sizes", sql="SELECT img_id, 8 AS height, CASE WHEN img_id % 7 = 0 THEN 1 ELSE 3 END AS channels FROM sizes")
+def _(s):
+    path = folder(s, "committed")
+    sinks.write_committed_images(thumbs(s), path)
+    return readers.read_images(s.sparkSession, committed_parts(path)).select(number(F.col("origin")).alias("img_id"), "height", F.col("nChannels").alias("channels"))
+
+
 @query("s8_stats", "mask_stats", sql="SELECT filename, roads, background FROM mask_stats")
 def _(m):
     path = folder(m, "stats")

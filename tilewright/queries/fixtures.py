@@ -30,10 +30,13 @@ SQL = {
         o_orderkey * 7 % 61 + o_orderkey % 4 AS x1, o_orderkey * 13 % 67 + CAST(floor(o_orderkey / 900) AS BIGINT) * 1000 + 1 + o_orderkey % 3 AS y1 FROM {orders}""",
     "parcels": """SELECT p_partkey AS id, p_partkey * 13 % 400 AS minx, p_partkey * 29 % 400 AS miny, p_partkey * 13 % 400 + 3 + p_partkey % 9 AS maxx,
         p_partkey * 29 % 400 + 3 + p_partkey % 7 AS maxy, CAST(p_size % 5 + 1 AS BIGINT) AS damage_class FROM {part}""",
-    "triangles": """SELECT p_partkey AS id, p_partkey * 13 % 400 AS x0, p_partkey * 29 % 400 AS y0, p_partkey * 13 % 400 + 3 + p_partkey % 9 AS x1, p_partkey * 29 % 400 + p_partkey % 4 AS y1,
-        p_partkey * 13 % 400 + p_partkey % 5 AS x2, p_partkey * 29 % 400 + 3 + p_partkey % 7 AS y2 FROM {part}""",
-    "bent_lines": """SELECT o_orderkey AS id, o_orderkey * 7 % 400 AS x0, o_orderkey * 11 % 400 AS y0, o_orderkey * 7 % 400 + 5 + o_orderkey % 6 AS x1, o_orderkey * 11 % 400 + o_orderkey % 5 - 2 AS y1,
-        o_orderkey * 7 % 400 + 5 + o_orderkey % 6 + o_orderkey % 4 AS x2, o_orderkey * 11 % 400 + o_orderkey % 5 + 4 AS y2 FROM {orders}""",
+    # 2000 triangles and 15000 lines in each field, so that larger tables cover more ground and do not lie denser
+    "triangles": """SELECT p_partkey AS id, p_partkey * 13 % 400 + CAST(floor((p_partkey - 1) / 2000) AS BIGINT) * 500 AS x0, p_partkey * 29 % 400 AS y0,
+        p_partkey * 13 % 400 + CAST(floor((p_partkey - 1) / 2000) AS BIGINT) * 500 + 3 + p_partkey % 9 AS x1, p_partkey * 29 % 400 + p_partkey % 4 AS y1,
+        p_partkey * 13 % 400 + CAST(floor((p_partkey - 1) / 2000) AS BIGINT) * 500 + p_partkey % 5 AS x2, p_partkey * 29 % 400 + 3 + p_partkey % 7 AS y2 FROM {part}""",
+    "bent_lines": """SELECT o_orderkey AS id, o_orderkey * 7 % 400 + CAST(floor(o_orderkey / 15000) AS BIGINT) * 500 AS x0, o_orderkey * 11 % 400 AS y0,
+        o_orderkey * 7 % 400 + CAST(floor(o_orderkey / 15000) AS BIGINT) * 500 + 5 + o_orderkey % 6 AS x1, o_orderkey * 11 % 400 + o_orderkey % 5 - 2 AS y1,
+        o_orderkey * 7 % 400 + CAST(floor(o_orderkey / 15000) AS BIGINT) * 500 + 5 + o_orderkey % 6 + o_orderkey % 4 AS x2, o_orderkey * 11 % 400 + o_orderkey % 5 + 4 AS y2 FROM {orders}""",
     "sizes": "SELECT p_partkey AS img_id, 200 + p_partkey * 37 % 900 AS h, 200 + p_partkey * 53 % 900 AS w FROM {part}",
 }
 

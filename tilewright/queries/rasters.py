@@ -118,7 +118,7 @@ def _(p):
  SELECT img, component, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y, CAST(unnest([0, x2 - x1, x2 - x1 + y2 - y1, 2 * (x2 - x1) + y2 - y1]) AS BIGINT) AS place, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS signed_area FROM b""")
 def _(p):
     b = ones(p)
-    return raster.rings(B.outlines(b, B.regions(b, False, SIZE))).select("img", B.component_name(), "x", "y", "place", "signed_area")
+    return raster.rings(B.outlines(b, B.regions(b, False, SIZE)), SIZE).select("img", B.component_name(), "x", "y", "place", "signed_area")
 
 
 @query("r8_mask_boxes", "pixels", sql=f"WITH RECURSIVE {region_sql(ONES, True)}, b AS ({BOXES}), i AS (SELECT DISTINCT img FROM pixels) SELECT img, x1, y1, x2, y2, pixels FROM i LEFT JOIN (SELECT * FROM b WHERE pixels >= 60) USING (img)")

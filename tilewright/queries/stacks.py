@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tilewright.operators import blocks as B
+from tilewright.operators import raster
 from tilewright.operators import stacks as S
-from tilewright.queries.catalog import CM, REPORT, query, r6, rounded_report
-from tilewright.queries.files import window_sizes
+from tilewright.queries.catalog import CM, REPORT, as_rings, query, r6, rounded_report
+from tilewright.queries.files import folder, window_sizes
 from tilewright.queries.rasters import SIZE, cut
+from tilewright.sources import geotiff, sinks
 
 BOX = 20
 #: First rows and columns of patches of 20 with a step of 16 in images of 50.
@@ -118,3 +120,55 @@ def _(p):
 @query("a9_channel_means_blocks", "pixels", sql="WITH a AS (SELECT img, c.range AS channel, avg(CASE c.range WHEN 0 THEN v1 ELSE v2 END) AS m FROM pixels, range(2) c GROUP BY 1, 2) SELECT channel, round(avg(m), 6) AS mean FROM a GROUP BY 1")
 def _(p):
     return S.channel_means(bands(p)).select("channel", r6(F.col("mean"), "mean"))
+
+
+@query("r11_downsample_blocks", "pixels", sql="""WITH t AS (SELECT i.range AS i, (i.range + 0.5) * 2.5 - 0.5 AS y FROM range(20) i), taps AS (SELECT i, CAST(floor(y) AS BIGINT) AS at, 1 - (y - floor(y)) AS wt FROM t UNION ALL SELECT i, CAST(floor(y) AS BIGINT) + 1, y - floor(y) FROM t)
+ SELECT img, r.i AS row_no, c.i AS col_no, CAST(round(sum(r.wt * c.wt * v1), 6) AS DOUBLE) AS p FROM taps r, taps c, pixels WHERE r.wt * c.wt > 0 AND row_no = r.at AND col_no = c.at GROUP BY 1, 2, 3""")
+def _(p):
+    """Images over nine blocks, made smaller over four; of an image's last row pixels may be missing, and so may new ones."""
+    small = S.resize_stacks(S.stack_bands(cut(p, "v1")), window_sizes(p), 20, 20, SIZE)
+    return S.to_pixels(small).select("img", "row_no", "col_no", F.round("p", 6).alias("p"))
+
+
+@query("w2_random_crop_blocks", "pixels", sql="SELECT img, row_no - img * 7919 % 31 AS row_no, col_no - (img * 7919 + 1) % 21 AS col_no, CAST(c.range AS BIGINT) AS class, CAST(CASE c.range WHEN 0 THEN v1 ELSE v2 END AS DOUBLE) AS p FROM pixels, range(2) c WHERE row_no BETWEEN img * 7919 % 31 AND img * 7919 % 31 + 19 AND col_no BETWEEN (img * 7919 + 1) % 21 AND (img * 7919 + 1) % 21 + 29")
+def _(p):
+    return S.to_pixels(S.random_crops(bands(p), window_sizes(p), 20, 30, 3, F.col("img") * 7919, SIZE))
+
+
+@query("r12_outline_blocks", "parcels", sql="""WITH b AS (SELECT id, damage_class, minx, maxx, miny, maxy, unnest(range(minx, maxx + 1)) AS x FROM parcels), c AS (SELECT *, unnest(range(miny, maxy + 1)) AS y FROM b)
+ SELECT y AS row_no, x AS col_no, CAST(arg_max(damage_class, id) AS INTEGER) AS class FROM c WHERE x = minx OR x = maxx OR y = miny OR y = maxy GROUP BY 1, 2""")
+def _(p):
+    d = as_rings(p).join(p.select("id", F.col("damage_class").alias("class")), "id").withColumns({"img": F.lit(0).cast("long"), "order": F.col("id")})
+    return B.to_pixels(raster.outline_blocks(d, 64)).select("row_no", "col_no", F.col("v").alias("class"))
+
+
+@query("r12_instance_masks", "parcels", sql="SELECT id, damage_class AS class, CAST(minx AS DOUBLE) AS x1, CAST(maxy AS DOUBLE) AS y2, miny AS row0, minx AS col0, maxy - miny + 1 AS h, maxx - minx + 1 AS w, 2 * (maxy - miny + maxx - minx) AS pixels FROM parcels")
+def _(p):
+    d = as_rings(p).join(p.select("id", F.col("damage_class").alias("class")), "id")
+    # two hexadecimal digits a pixel, of which outline pixels have one 1
+    drawn = F.length(F.regexp_replace(F.hex("mask"), "0", ""))
+    return raster.instance_masks(d.select("id", "class", "ring")).select("id", "class", "x1", "y2", "row0", "col0", "h", "w", drawn.cast("long").alias("pixels"))
+
+
+@query("s12_geotiff", "pixels", sql="SELECT img, row_no, col_no, c.range AS class, CAST(CASE c.range WHEN 0 THEN v1 ELSE v2 END AS DOUBLE) AS p, 1000 + img * 100 + 0.5::DOUBLE * (col_no + 0.5) AS x, 9000 - 0.5::DOUBLE * (row_no + 0.5) AS y, 32632 AS epsg FROM pixels, range(2) c")
+def _(p):
+    """Each image as a GeoTIFF file of two bands, in tiles or strips; read in blocks, with the place of every pixel from the file's own transform."""
+    images = S.stack_bands(B.to_blocks(p, "v1", 50), B.to_blocks(p, "v2", 50))
+
+    def encoded(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["data"], np.float32).reshape(r["h"], r["w"], r["channels"])
+                where = (0.5, 0.0, 1000.0 + r["img"] * 100, 0.0, -0.5, 9000.0)
+                body = geotiff.encode(np.where(np.isnan(a), -1, a).astype(np.int16), where, 32632, tile=16 if r["img"] % 2 else None, rows=7, nodata=-1)
+                yield pa.RecordBatch.from_arrays([pa.array([f"r{r['img']}.tif"]), pa.array([body])], names=["name", "body"])
+
+    path = folder(p, "rasters")
+    sinks.write_files(images.mapInArrow(encoded, "name string, body binary"), path)
+    stacks, profile, _ = geotiff.read_geotiff(p.sparkSession, path, SIZE)
+    of = profile.select("img", F.substring("stem", 2, 20).cast("long").alias("_img"), *"abcdef", F.col("epsg").cast("int").alias("epsg"))
+    px = S.to_pixels(stacks).join(F.broadcast(of), "img")
+    x, y = F.col("col_no") + 0.5, F.col("row_no") + 0.5
+    return px.select(F.col("_img").alias("img"), "row_no", "col_no", "class", "p", (F.col("a") * x + F.col("b") * y + F.col("c")).alias("x"), (F.col("d") * x + F.col("e") * y + F.col("f")).alias("y"), "epsg")

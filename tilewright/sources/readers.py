@@ -9,6 +9,7 @@ from tilewright.operators.blocks import image_blocks
 from tilewright.operators.manifests import file_name, stem
 from tilewright.operators.raster import resize_images
 from tilewright.plans.order import prefix_sum
+from tilewright.sources.committed import text_lines
 
 BOX = "array<struct<category:string,x1:string,x2:string,y1:string,y2:string>>"
 SPLITS = ("training", "validation", "testing")
@@ -114,11 +115,21 @@ def read_features(spark: SparkSession, path: str, properties: str, lines: bool =
     outer ring and then its holes; null for points and lines. A document is one row of the reader; with ``lines`` each line is a
     Feature of its own (as ``write_geojson`` writes them), and large files are split.
     """
-    kind = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
     if lines:
-        f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
-    else:
-        f = spark.read.schema(f"features array<{kind}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+        return parsed_features(spark.read.text(path), properties)
+    kind = FEATURE.format(properties)
+    return _features(spark.read.schema(f"features array<{kind}>").json(path, multiLine=True).select(F.explode("features").alias("f")))
+
+
+FEATURE = "struct<properties:struct<{}>,geometry:struct<type:string,coordinates:string>>"
+
+
+def parsed_features(texts: DataFrame, properties: str) -> DataFrame:
+    """The features of JSON texts (value), one each, as ``read_features`` gives them."""
+    return _features(texts.select(F.from_json("value", FEATURE.format(properties)).alias("f")))
+
+
+def _features(f: DataFrame) -> DataFrame:
     c, k = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     xy = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     # rings close themselves here, so a last point that repeats the first goes
@@ -153,14 +164,13 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices graph, idx, x, y; edges graph, no, src, dst) of graph text files: vertex lines, a blank line, edge lines.
+    """(vertices graph, idx, x, y; edges graph, no, src, dst) of graph text files, or of one committed in parts: vertex lines, a blank line, edge lines.
 
     Lines are numbered over all files by file, block and place, so that a large file is read in blocks by many tasks; the first
     blank line of a file divides it. Further blank lines count as nothing.
     """
-    at = ["graph", "_block", "_place"]
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("graph"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    lines = prefix_sum(raw, at, out="_at").drop("_block", "_place")
+    raw = text_lines(spark, path).withColumnRenamed("document", "graph")
+    lines = prefix_sum(raw, ["graph", "part", "block", "place"], out="_at").drop("part", "block", "place")
     blank = F.trim("value") == ""
     bounds = lines.groupBy("graph").agg(F.min("_at").alias("_first"), F.min(F.when(blank, F.col("_at"))).alias("_blank"))
     known = lines.where(~blank).join(bounds, "graph")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.plans.staging import stage
+from tilewright.sources.committed import write_committed_files, write_ordered_lines
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
@@ -47,6 +48,11 @@ def write_manifest_yaml(df: DataFrame, path: str, name: str, prefix: str, files:
     ordered.select("value").write.text(path)
 
 
+def write_manifest_document(df: DataFrame, path: str, name: str, prefix: str, overwrite: bool = False) -> None:
+    """One YAML document of a dataset, written by many tasks and committed as a whole; ``sources.documents.read_large_manifests`` reads it."""
+    write_ordered_lines(manifest_lines(df, name, prefix), path, ["section", "pos"], overwrite=overwrite)
+
+
 def png(height: int, width: int, channels: int, data: bytes) -> bytes:
     """An 8-bit PNG file of 1 (grey) or 3 channels (blue, green, red, as images are decoded)."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, ::-1]
@@ -83,6 +89,11 @@ def write_files(files: DataFrame, path: str) -> DataFrame:
 
 def write_images(images: DataFrame, path: str) -> DataFrame:
     """Write a PNG file for each row (name, height, width, nChannels, data): tiles, masks (one channel), flipped and predicted images alike; see ``write_files``."""
+    return write_files(_encoded(images), path)
+
+
+def _encoded(images: DataFrame) -> DataFrame:
+    """(name, body) of images as PNG files."""
 
     def encoded(batches):
         for batch in batches:
@@ -90,7 +101,12 @@ def write_images(images: DataFrame, path: str) -> DataFrame:
             names, bodies = [f"{r['name']}.png" for r in rows], [png(r["height"], r["width"], r["nChannels"], r["data"]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["name", "body"])
 
-    return write_files(images.select("name", "height", "width", "nChannels", "data").mapInArrow(encoded, "name string, body binary"), path)
+    return images.select("name", "height", "width", "nChannels", "data").mapInArrow(encoded, "name string, body binary")
+
+
+def write_committed_images(images: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Like ``write_images``, but a job's files are seen all together or not at all: ``sources.committed.committed_parts`` names their folders."""
+    write_committed_files(_encoded(images), path, overwrite)
 
 
 def block_images(blocks: DataFrame, prefix: str = "block") -> DataFrame:
@@ -107,11 +123,11 @@ def block_images(blocks: DataFrame, prefix: str = "block") -> DataFrame:
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One graph text file: vertex lines (idx, x, y), a blank line, edge lines (no, src, dst), in order."""
+    """One graph text document: vertex lines (idx, x, y), a blank line, edge lines (no, src, dst), in order; written by many tasks and committed as a whole, see ``sources.committed``."""
     blank = vertices.sparkSession.createDataFrame([(1, 0, "")], "part int, place long, value string")
     v = vertices.select(F.lit(0).alias("part"), F.col("idx").alias("place"), F.concat_ws(" ", "x", "y").alias("value"))
     e = edges.select(F.lit(2).alias("part"), F.col("no").alias("place"), F.concat_ws(" ", "src", "dst").alias("value"))
-    v.union(blank).union(e).repartitionByRange(1, "part", "place").sortWithinPartitions("part", "place").select("value").write.text(path)
+    write_ordered_lines(v.union(blank).union(e), path, ["part", "place"])
 
 
 KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
