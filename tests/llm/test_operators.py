@@ -192,6 +192,16 @@ def test_licenses(spark, odd):
         assert got == Counter((i, *brute_licenses(t)) for i, t in known)
 
 
+def test_license_rules_that_start_inside_their_match(spark):
+    """However often a rule starts inside its own match, and however long the text is, the match is read whole."""
+    rule = ("many", "a (?:a ){0,60}z", 1, ["z"], ["z"], ["z"])
+    known = [(1, "b " + "a " * 40 + "z b"), (2, "a z"), (3, "a " * 7 + "z"), (4, "a " * 80), (5, "word " * 40_000 + "a a z " + "word " * 40_000 + "MIT license")]
+    d = spark.createDataFrame(known, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(d, rules=[rule]).collect()}
+    assert {k: [(x.start, x.end, x.label) for x in r.detections] for k, r in got.items()} == {1: [(1, 42, "many")], 2: [(0, 2, "many")], 3: [(0, 8, "many")], 4: [], 5: [(40_000, 40_003, "many")]}
+    assert (got[5].n_base, got[5].first_word, got[5].n_words) == (1, 80_003, 80_005)
+
+
 def jaccard_components(known, k, percent):
     sets = {}
     for doc_id, text in known.items():

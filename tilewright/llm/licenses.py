@@ -209,10 +209,12 @@ def _places(norm: Column, pattern: Column) -> Column:
         start = F.struct(spaces(F.get(pieces, F.lit(0))).alias("n"), empty.alias("out"))
 
         def step(state: Column, k: Column) -> Column:
-            # optional first words and bounded gaps let a rule match again inside its own match, in less than eight places
-            ahead = F.concat(F.array_join(F.slice(pieces, k, F.lit(8)), ""), F.lit(" "))
-            match = F.call_function("regexp_extract", ahead, extract, F.lit(1))
-            size = F.when(F.length(match) > 0, spaces(match)).otherwise(F.raise_error(F.lit("a rule starts too often inside its own match")).cast("int"))
+            # optional first words and bounded gaps let a rule match again inside its own match; where eight pieces do not hold it, all that follow are read
+            def match(n: Column) -> Column:
+                return F.call_function("regexp_extract", F.concat(F.array_join(F.slice(pieces, k, n), ""), F.lit(" ")), extract, F.lit(1))
+
+            near = match(F.lit(8))
+            size = F.when(F.length(near) > 0, spaces(near)).otherwise(spaces(match(F.size(pieces))))
             found = F.struct(state["n"].alias("s"), (state["n"] + size).alias("e"))
             return F.struct((state["n"] + spaces(F.element_at(pieces, k))).alias("n"), F.concat(state["out"], F.array(found)).alias("out"))
 
@@ -232,8 +234,7 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list | None = None)
     sorted, comma-joined; empty string without any), ``detections`` (array of start, end, label,
     level after suppression) and ``score`` (0 to 1: that of the best level, base phrases 0.5).
 
-    Rules given here are (label, pattern, level, keywords, anchors, version words); a match must hold one of each list, and may hold up to seven
-    starts of further matches of its rule (more raise). A rule runs only on texts that hold a word of each of its keyword lists. Of the detections, one is dropped if
+    Rules given here are (label, pattern, level, keywords, anchors, version words); a match must hold one of each list. A rule runs only on texts that hold a word of each of its keyword lists. Of the detections, one is dropped if
     another contains it and has a lower level, or the same level and more words, or comes
     from an earlier rule over the same words. Labels of base phrases always stay.
 
