@@ -169,6 +169,6 @@ def _(p):
     sinks.write_files(images.mapInArrow(encoded, "name string, body binary"), path)
     stacks, profile, _ = geotiff.read_geotiff(p.sparkSession, path, SIZE)
     of = profile.select("img", F.substring("stem", 2, 20).cast("long").alias("_img"), *"abcdef", F.col("epsg").cast("int").alias("epsg"))
-    px = S.to_pixels(stacks).join(F.broadcast(of), "img")
+    px = S.to_pixels(stacks).join(of, "img")
     x, y = F.col("col_no") + 0.5, F.col("row_no") + 0.5
     return px.select(F.col("_img").alias("img"), "row_no", "col_no", "class", "p", (F.col("a") * x + F.col("b") * y + F.col("c")).alias("x"), (F.col("d") * x + F.col("e") * y + F.col("f")).alias("y"), "epsg")
