@@ -541,6 +541,33 @@ def test_chat_written_out(spark):
         chat.read_written(wrong).collect()
 
 
+def test_chat_long_conversation(spark):
+    """A conversation with most of the rows is divided: ranges of few replies say what whole ones say, and no task writes most of it."""
+    r = random.Random(8)
+    said = [(1, k, r.choice(["user", "assistant", "assistant", "tool"]), f"t{k} " + "[INST]" * (k % 3)) for k in range(600)]
+    said += [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "alone"), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (1, 599, "user", "end")]
+    turns = spark.createDataFrame(r.sample(said, len(said)), "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1)).withColumn("_TO", F.lit(1)).repartition(5)
+    want = {}
+    for conv in (1, 2, 3, None):
+        text, n = "", 0
+        for _, _, role, t in sorted(x for x in said if x[0] == conv):
+            text += f"[INST]{chat.escape(role)}[/INST]"
+            if role == "assistant":
+                want[conv, n] = (text + chat.escape(t) + "</s>", len(text), len(text) + len(chat.escape(t)))
+                n += 1
+            text += chat.escape(t) + "</s>"
+    for replies in (1, 7, 64, 5000):
+        full = chat.written_out(turns, replies=replies)
+        assert {(x.conv_id, x.example): (x.text, x.loss_start, x.loss_end) for x in full.where("loss_end is not null").collect()} == want
+        assert {(x.conv_id, x.example): (x.text, x.loss_start, x.loss_end) for x in chat.full_texts(chat.expand(turns, replies=replies)).collect()} == want
+        rest = full.where("loss_end is null").collect()
+        assert {x.conv_id: x.text.endswith("[INST]user[/INST]" + t + "</s>") for x, t in ((x, "end" if x.conv_id == 1 else "alone") for x in rest)} == {1: True, 3: True}
+    spread = chat.written_out(turns, replies=7).groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n")).collect()
+    assert max(x.n for x in spread) < 0.75 * sum(x.n for x in spread)
+    empty = turns.where("turn < 0")
+    assert chat.written_out(empty).count() == 0 and chat.read_back(chat.expand(empty)).count() == 0
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 

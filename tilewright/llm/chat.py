@@ -6,11 +6,13 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.tokens import arrow_schema, slices
+from tilewright.plans.order import prefix_sum
+from tilewright.plans.staging import drop_staged, stage
 
 #: The strings that mark turns, and others that a model may take for marks.
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
@@ -45,7 +47,12 @@ EXAMPLES = T.StructType(
 )
 
 
-def expand(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
+#: Replies of a conversation that one task formats; a longer conversation is divided among several.
+REPLIES = 64
+FRONT = T.StructType([T.StructField("_range", T.LongType()), *EXAMPLES.fields])
+
+
+def expand(turns: DataFrame, trainable: str = "assistant", replies: int = REPLIES) -> DataFrame:
     """One example for every turn of the role ``trainable``: all turns before it as context, its text as target.
 
     A turn is written ``[INST]role[/INST]text</s>``, with control strings escaped inside role and text.
@@ -56,60 +63,62 @@ def expand(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
     Turns after the last reply come in a row without target: nothing of it is trained on.
 
     Turns are ordered by turn (nulls first), then role, then text, so repeated rows have a defined place. Null
-    role or text counts as empty; a null conv_id is a conversation of its own. Rows of one
-    conversation meet in one task and stream through it in order, a turn at a time, so a
-    conversation of any length needs no more memory than its longest stretch between replies. Other columns are left out.
+    role or text counts as empty; a null conv_id is a conversation of its own. Replies are numbered in one
+    global order, so no task sorts a whole conversation; ranges of ``replies`` of them, each with the turns that lead up to them, are formatted
+    apart, and a range's place in its conversation is added from a row for each range. A task streams through a range and holds no more than the longest
+    stretch between replies. Other columns are left out.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    names = EXAMPLES.names
+    numbered = prefix_sum(rows, ["conv_id", "turn", "role", "text"], F.col("role") == trainable, "_reply")
+    ranges = numbered.withColumn("_range", F.expr(f"_reply div {replies}"))
+    dealt = ranges.repartition("conv_id", "_range").sortWithinPartitions("conv_id", "_reply", "turn", "role", "text").select("conv_id", "_range", "_reply", "role", "text")
+    front = stage(dealt.mapInArrow(_formatter(trainable), FRONT), "turns")
+    drop_staged(numbered)
+    size = F.sum(F.length("added") + F.length(F.coalesce("target", F.lit(""))))
+    # a row for each range: what its conversation holds before it, and the number of the conversation's first reply
+    upto = Window.partitionBy("conv_id").orderBy("_range")
+    sizes = front.groupBy("conv_id", "_range").agg(size.alias("_size"), F.min("example").alias("_first"))
+    places = sizes.select(F.col("conv_id").alias("_c"), F.col("_range").alias("_r"), (F.sum("_size").over(upto) - F.col("_size")).alias("_before"), F.min("_first").over(upto).alias("_zero"))
+    placed = front.join(places, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    moved = {c: F.col(c) + F.col("_before") for c in ("context_chars", "loss_start", "loss_end")} | {"example": F.col("example") - F.col("_zero")}
+    return placed.withColumns(moved).select(*EXAMPLES.names)
+
+
+def _formatter(trainable: str):
+    """Of rows (conversation, range, replies before, role, text) in order: examples with offsets counted from the range's start."""
+    opening = f"{OPEN}{escape(trainable)}{CLOSE}"
 
     def run(batches):
-        conv, example, length, added, started = None, 0, 0, [], False
+        key, number, length, added = None, None, 0, []
         out: list[tuple] = []
 
         def rest():
-            if started and added:
+            if added:
                 text = "".join(added)
-                out.append((conv, example, length + len(text), text, None, None, None))
+                out.append((key[1], key[0], number, length + len(text), text, None, None, None))
 
         for batch in slices(batches, 4096):
-            r = batch.to_pydict()
-            for conv_id, role, text in zip(r["conv_id"], r["role"], r["text"], strict=True):
-                if not started or conv_id != conv:
+            for conv_id, part, reply_no, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (conv_id, part) != key:
                     rest()
-                    conv, example, length, added, started = conv_id, 0, 0, [], True
-                reply = escape(text)
+                    key, length, added = (conv_id, part), 0, []
+                number, reply = reply_no, escape(text)
                 if role == trainable:
-                    added.append(f"{OPEN}{escape(role)}{CLOSE}")
-                    before = "".join(added)
+                    before = "".join([*added, opening])
                     length += len(before)
-                    out.append((conv, example, length, before, reply + END, length, length + len(reply)))
+                    out.append((part, conv_id, number, length, before, reply + END, length, length + len(reply)))
                     length += len(reply) + len(END)
-                    example, added = example + 1, []
+                    added = []
                 else:
                     added.append(f"{OPEN}{escape(role)}{CLOSE}{reply}{END}")
             if out:
-                yield _batch(out, names, EXAMPLES)
+                yield _batch(out, FRONT.names, FRONT)
                 out = []
         rest()
         if out:
-            yield _batch(out, names, EXAMPLES)
+            yield _batch(out, FRONT.names, FRONT)
 
-    return dealt.mapInArrow(run, EXAMPLES)
-
-
-def full_texts(examples: DataFrame) -> DataFrame:
-    """Columns conv_id, example, text, loss_start, loss_end: every example with its whole context written out.
-
-    This grows with the square of a conversation's turns, as such examples do; use it for what is trained on next.
-    """
-    part = F.struct("example", F.concat("added", F.coalesce("target", F.lit(""))).alias("s"))
-    whole = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    real = examples.where("target is not null").select(F.col("conv_id").alias("c"), "example", "loss_start", "loss_end")
-    joined = real.join(whole, real.c.eqNullSafe(whole.conv_id))
-    text = F.array_join(F.transform(F.filter("parts", lambda p: p["example"] <= F.col("example")), lambda p: p["s"]), "")
-    return joined.select("conv_id", "example", text.alias("text"), "loss_start", "loss_end")
+    return run
 
 
 FULL = T.StructType(
@@ -125,31 +134,52 @@ FULL = T.StructType(
 FLUSH = 1 << 22
 
 
-def written_out(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
+def full_texts(examples: DataFrame, replies: int = REPLIES) -> DataFrame:
+    """Columns conv_id, example, text, loss_start, loss_end: every example with its whole context written out.
+
+    This grows with the square of a conversation's turns, as such examples do; use it for what is trained on next. Turns after the last reply are left out.
+    """
+    return _written(examples.where("target is not null"), replies)
+
+
+def written_out(turns: DataFrame, trainable: str = "assistant", replies: int = REPLIES) -> DataFrame:
     """One row for every turn of the role ``trainable``: ``text`` is its whole context and its reply, ready to train on alone.
 
-    The rules are those of ``expand``; a conversation's texts are written as its turns stream by, so a task holds one context at a
-    time. Turns after the last reply come alone in a row without loss span.
+    The rules are those of ``expand``. Turns after the last reply come alone in a row without loss span.
     """
+    return _written(expand(turns, trainable, replies), replies)
+
+
+def _written(examples: DataFrame, replies: int) -> DataFrame:
+    """Each range of ``replies`` examples is written by one task, which first reads what its conversation holds before it.
+
+    Ranges but a conversation's last send their turns to the later ones: one turn to as many tasks as ranges follow, a small share (1 in ``replies``) of
+    what is written. A task holds one context at a time.
+    """
+    own = examples.select(*FULL.names[:2], "added", "target", *FULL.names[3:], F.expr(f"example div {replies}").alias("_to"), F.lit(True).alias("_own"))
+    last = own.where("target is not null").groupBy(F.col("conv_id").alias("_c")).agg(F.max("_to").alias("_last")).where("_last > 0")
+    later = F.explode(F.sequence(F.col("_to") + 1, F.col("_last")))
+    sent = own.join(last, F.col("conv_id").eqNullSafe(F.col("_c"))).where("_to < _last and target is not null").select(*own.columns[:6], later.alias("_to"), F.lit(False).alias("_own"))
+    dealt = own.unionByName(sent).repartition("conv_id", "_to").sortWithinPartitions("conv_id", "_to", "example")
 
     def run(batches):
-        conv, context, started, out, size = None, "", False, [], 0
+        key, context, out, size = None, "", [], 0
         for batch in slices(batches, 4096):
-            r = batch.to_pydict()
-            for conv_id, example, added, target, a, b in zip(*[r[n] for n in ("conv_id", "example", "added", "target", "loss_start", "loss_end")], strict=True):
-                if not started or conv_id != conv:
-                    conv, context, started = conv_id, "", True
+            for conv_id, example, added, target, a, b, to, is_own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (conv_id, to) != key:
+                    key, context = (conv_id, to), ""
                 if target is not None:
                     context += added + target
-                out.append((conv_id, example, added if target is None else context, a, b))
-                size += len(out[-1][2])
+                if is_own:
+                    out.append((conv_id, example, added if target is None else context, a, b))
+                    size += len(out[-1][2])
                 if size > FLUSH:
                     yield _batch(out, FULL.names, FULL)
                     out, size = [], 0
         if out:
             yield _batch(out, FULL.names, FULL)
 
-    return expand(turns, trainable).mapInArrow(run, FULL)
+    return dealt.mapInArrow(run, FULL)
 
 
 PARTS = T.StructType([*EXAMPLES.fields, T.StructField("text_chars", T.LongType()), T.StructField("before_sha256", T.BinaryType()), T.StructField("text_sha256", T.BinaryType())])
@@ -199,8 +229,8 @@ def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation what its examples say: turns, what bears loss, and the characters written.
 
     ``turns_sha256`` is over role, newline, text, newline of each turn; ``loss_sha256`` over all text under
-    the loss spans, unescaped, in order. Each example's spans must lie where its context ends. Examples of a
-    conversation stream through one task in order. An empty table gives no rows.
+    the loss spans, unescaped, in order. Each example's spans must lie where its context ends. An empty table gives no rows.
+    A digest of a whole conversation can only be taken in order, so its parts (never its written-out texts) stream through one task, an example at a time.
     """
     return _read(examples)
 
