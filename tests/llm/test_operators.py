@@ -684,7 +684,24 @@ def test_packing_of_masked_repeated_and_null_ids(spark):
     assert sum(r.loss_tokens for r in got) == sum(tokens(t) - min(max(0, m or 0), tokens(t)) for _, t, m in known)
 
 
-def test_pieces(spark, docs, odd):
+def plain_search(model, text):
+    """The best segmentation of a text, all of it held."""
+    best, back = [0.0] + [-math.inf] * len(text), [(0, -1)] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for a in range(max(0, end - model.longest), end):
+            i = model.ids.get(text[a:end], -1)
+            value = best[a] + (model.scores[text[a:end]] if i >= 0 else model.unknown_score)
+            if (i >= 0 or end == a + 1) and value > best[end]:
+                best[end], back[end] = value, (a, i)
+    out, end = [], len(text)
+    while end:
+        a, i = back[end]
+        out.append([i] if i >= 0 else [model.bytes[b] for b in text[a:end].encode()] if model.bytes else [model.unknown])
+        end = a
+    return [i for some in reversed(out) for i in some]
+
+
+def test_pieces(spark, docs, odd, monkeypatch):
     import sentencepiece
 
     path = queries.tokenizer_path("piece_bpe_32k.model")
@@ -700,17 +717,21 @@ def test_pieces(spark, docs, odd):
                 best = unigram.encode(r.text)
                 score = lambda ids: sum(model.scores.get(model.text[i], 0.0) for i in ids)
                 assert r.piece_ids == best or score(r.piece_ids) >= score(best) - 1e-6
-    for word in {w for t in list(texts(docs).values())[:40] for w in (t or "").split()} | {"日本語x", "é\t\n", "▁"}:
-        assert model._short(word) == model._search(word)
     r = random.Random(6)
-    parts = ["".join(r.choices("aeitnrs▁dlé'.,9日", k=r.randrange(1, 2 * model.longest))) for _ in range(3000)]
-    for part, ids in zip(parts, model._many(parts)):
-        assert ids is None or np.frombuffer(ids, np.int32).tolist() == model._search(part)
+    parts = ["".join(r.choices("aeitnrs▁dlé'.,9日", k=r.randrange(0, 9 * model.longest))) for _ in range(2000)] + ["日本語x", "é\t\n", "▁", "", "a" * 3000, "▁" * 700 + "the" * 900, "e日" * 800]
+    parts += sorted({w for t in list(texts(docs).values())[:40] for w in (t or "").split()})
+    want = [plain_search(model, part) for part in parts]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in model.search(parts)] == want
+    # blocks of two windows each: paths are followed back and ids committed many times in a part
+    monkeypatch.setattr(pieces, "CELLS", 1)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in model.search(parts)] == want
+    assert np.frombuffer(model.search(parts[-1:] + ["the" * 4000])[1], np.int32).tolist() == plain_search(model, "the" * 4000)
     gaps = "a" + " " * 5000 + "b \t\n" * 2000
     assert model.decode(model.encode(gaps).tolist()) == gaps
-    long = "".join(random.Random(5).choices("abcdeéあ", k=3000))
-    held = list(model.stream(long))
-    assert "".join(long[a:b] for a, b, _ in held) == long
+    # spaces, marks and whole texts: cutting into parts loses no better segmentation
+    odd_texts = ["a  b", "  ", " x   the  end ", "".join(r.choices("the  ea.,", k=400)), "▁ ▁a"]
+    for text in odd_texts:
+        assert model.encode(text).tolist() == plain_search(model, "▁" + text.replace(" ", "▁"))
 
 
 def brute_counts(encoder, text, bounds, rule):

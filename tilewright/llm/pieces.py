@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from tilewright.llm.tokens import arrow_schema, only, slices, without
 SPACE = "▁"
 #: As the library has it: an unknown character costs 10 more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: Positions of all parts of a batch together that are searched before paths are followed back.
+CELLS = 1 << 16
 _KEPT: dict = {}
 
 
@@ -47,11 +48,11 @@ class PieceModel:
         # pieces that go on across the start of a word forbid cutting there
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # where no piece joins a letter with another character, words part there too
-        joins = {p[k : k + 2] for p in self.ids for k in range(p.startswith(SPACE), len(p) - 1)}
+        joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - len(p.lstrip(SPACE)), len(p) - 1)}
         letters = {c for p in self.ids for c in p if c.isalpha()}
         apart = letters and not any((j[0] in letters) != (j[1] in letters) for j in joins)
         some = "".join(map(re.escape, sorted(letters)))
-        self.parts_of = re.compile(f"{SPACE}?[{some}]+|{SPACE}?[^{some}{SPACE}]+|{SPACE}" if apart else f"{SPACE}?[^{SPACE}]+|{SPACE}").findall
+        self.parts_of = re.compile(f"{SPACE}*[{some}]+|{SPACE}*[^{some}{SPACE}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         # every prefix of a piece, with the piece's score and id where it is one itself
         self.prefixes = dict.fromkeys(self.starts, (None, -1)) | {p: (self.scores[p], i) for p, i in self.ids.items()}
         unknown = " ⁇ ".encode()
@@ -67,97 +68,6 @@ class PieceModel:
         only(_KEPT[path].known)
         return _KEPT[path]
 
-    def stream(self, text: str):
-        """Yield the pieces' (start, end, piece or None) in order, as soon as they are certain.
-
-        Only boundaries up to the longest piece back can still be extended. Whenever the paths of all of them go
-        through one boundary, what lies before it is committed and forgotten, so what is held
-        does not grow with the text.
-        """
-        ids, scores, starts, longest = self.ids, self.scores, self.starts, self.longest
-        base, best, back = 0, {0: 0.0}, {}
-        reach, n, check = 0, len(text), longest
-        for i in range(n):
-            if i not in best:
-                continue
-            here, end, single = best[i], i, False
-            while end < n and end - i < longest:
-                end += 1
-                piece = text[i:end]
-                score = scores.get(piece)
-                if score is not None:
-                    single = single or end == i + 1
-                    value = here + score
-                    if end not in best or value > best[end]:
-                        best[end], back[end] = value, (i, piece)
-                    reach = max(reach, end)
-                if piece not in starts:
-                    break
-            if not single:
-                value = here + self.unknown_score
-                if i + 1 not in best or value > best[i + 1]:
-                    best[i + 1], back[i + 1] = value, (i, None)
-                reach = max(reach, i + 1)
-            # boundaries that a later piece can still start from
-            if reach == i + 1 or i - base >= check:
-                live = {k for k in range(i + 1, reach + 1) if k in best}
-                meet = set(live)
-                while len(meet) > 1:
-                    last = max(meet)
-                    meet.discard(last)
-                    meet.add(back[last][0] if last > base else base)
-                cut = meet.pop() if meet else base
-                if cut > base:
-                    path, k = [], cut
-                    while k > base:
-                        j, piece = back[k]
-                        path.append((j, k, piece))
-                        k = j
-                    yield from reversed(path)
-                    best = {k: v - best[cut] for k, v in best.items() if k >= cut}
-                    back = {k: v for k, v in back.items() if k > cut}
-                    base = cut
-                check = i - base + longest
-
-    def _search(self, text: str) -> list[int]:
-        out = []
-        for start, end, piece in self.stream(text):
-            if piece is not None:
-                out.append(self.ids[piece])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in text[start:end].encode("utf-8", "replace"))
-            else:
-                out.append(self.unknown)
-        return out
-
-    def _short(self, word: str) -> list[int]:
-        """The same search over a word no longer than a few windows, with lists for the window."""
-        n, prefixes, longest, lost = len(word), self.prefixes, self.longest, (None, -2)
-        best, back, chosen = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here, single = best[i], False
-            for end in range(i + 1, min(n, i + longest) + 1):
-                score, piece = prefixes.get(word[i:end], lost)
-                if piece >= 0:
-                    single = single or end == i + 1
-                    if here + score > best[end]:
-                        best[end], back[end], chosen[end] = here + score, i, piece
-                elif piece == -2:
-                    break
-            if not single and here + self.unknown_score > best[i + 1]:
-                best[i + 1], back[i + 1], chosen[i + 1] = here + self.unknown_score, i, -1
-        out, k = [], n
-        while k:
-            if chosen[k] >= 0:
-                out.append(chosen[k])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(word[back[k] : k].encode("utf-8", "replace")))
-            else:
-                out.append(self.unknown)
-            k = back[k]
-        return out[::-1]
-
     def _tables(self) -> None:
         """The prefixes as arrays: a step is a sorted key of prefix number and character code."""
         number = {"": 0} | {p: k for k, p in enumerate(self.prefixes, 1)}
@@ -173,78 +83,130 @@ class PieceModel:
         self.node_score = np.array([-np.inf] + [-np.inf if v is None else v for v, _ in self.prefixes.values()])
         self.node_id = np.array([-1] + [i for _, i in self.prefixes.values()], dtype=np.int32)
 
-    def _many(self, parts: list[str]) -> list[bytes | None]:
-        """The same search over many short parts at once, one text position at a time.
+    def search(self, parts: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of each part, of any length: a streaming search over all of them at once.
 
-        Of a part in which a character has no piece of its own on the best path, None.
+        Only boundaries up to the longest piece back can still be extended. After every block of positions the paths of those that a piece
+        goes on from are followed back until all of a part's go through one boundary; the ids before it are committed and
+        forgotten, so what is held does not grow with a part but for the stretch whose paths have not met. Parts that end leave the batch.
+        """
+        far_back, flat = self.longest, np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        first, rows = np.cumsum(sizes) - sizes, np.flatnonzero(sizes)
+        block = max(2 * far_back, CELLS // max(len(parts), 1))
+        out: list[list[bytes]] = [[] for _ in parts]
+        # sums of the last boundaries, and pieces that end after them, by end and (longest first) length
+        best = np.full((far_back, len(rows)), -np.inf)
+        best[-1] = 0.0
+        gain = np.full((far_back, far_back, len(rows)), -np.inf)
+        ids = np.full(gain.shape, -1, dtype=np.int32)
+        # of each boundary held, from ``low`` + 1: length and id of the piece that leads to it
+        taken, piece = (np.zeros((0, len(rows)), dtype=np.int32) for _ in range(2))
+        base, low, start = np.zeros(len(rows), dtype=np.int64), 0, 0
+        while len(rows):
+            left = sizes[rows] - start
+            wide = min(block, int(left.max()))
+            gain, ids, far = self._pieces_of(flat, first[rows] + start, left, wide, gain, ids)
+            best = np.concatenate([best, np.empty((wide, len(rows)))])
+            length, chosen = np.empty((wide, len(rows)), dtype=np.int32), np.empty((wide, len(rows)), dtype=np.int32)
+            every = np.arange(len(rows))
+            for k in range(wide):
+                value = best[k : k + far_back] + gain[k]
+                pick = value.argmax(axis=0)  # of equals, the one that starts first
+                best[k + far_back], length[k], chosen[k] = value[pick, every], far_back - pick, ids[k, pick, every]
+            taken, piece = np.concatenate([taken, length]), np.concatenate([piece, chosen])
+            done, end = left <= wide, start + wide
+            cut = np.where(done, sizes[rows], end)
+            if not done.all():
+                back = np.arange(far_back)[:, None]
+                live = (far[wide - 1 : wide - far_back : -1] > back[1:]) & ~done
+                paths = np.concatenate([cut[None], np.where(live, end - back[1:], cut)])
+                while (open_ := paths.max(axis=0) > paths.min(axis=0)).any():
+                    at, row = np.nonzero((paths == paths.max(axis=0)) & open_)
+                    paths[at, row] -= taken[paths[at, row] - low - 1, row]
+                cut = paths[0]
+            self._commit(parts, rows, base, cut, low, taken, piece, out)
+            on = ~done
+            base, rows = cut[on], rows[on]
+            best = best[wide:, on] - best[-1, on]
+            gain, ids = gain[wide:, :, on], ids[wide:, :, on]
+            held = int(base.min()) if len(base) else end
+            taken, piece, low, start = taken[held - low :, on], piece[held - low :, on], held, end
+        return [b"".join(x) for x in out]
+
+    def _pieces_of(self, flat: np.ndarray, first: np.ndarray, left: np.ndarray, wide: int, gain: np.ndarray, ids: np.ndarray):
+        """Scores and ids of the pieces that start in the next ``wide`` positions of each row, and the length of the longest from each position.
+
+        ``gain[e, longest - k]`` is for the piece of k characters that ends at boundary e + 1; what earlier positions gave comes first.
         """
-        n, sizes = len(parts), np.array([len(p) for p in parts])
-        wide, longest = int(sizes.max()), min(self.longest, int(sizes.max()))
-        chars = np.frombuffer("".join(p.ljust(wide, "\0") for p in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, wide)
-        codes = np.where(np.arange(wide) < sizes[:, None], self.code_of[chars], 0).astype(np.int64)
-        codes = np.concatenate([codes, np.zeros((n, longest), dtype=np.int64)], axis=1)
-        # gain[k - 1, i]: score of the piece of k characters from position i
-        gain = np.full((longest, wide, n), -np.inf)
-        ids = np.full((longest, wide, n), -1, dtype=np.int32)
-        row, at = np.nonzero(codes[:, :wide])
-        node = self.first[codes[row, at]]
-        for k in range(longest):
-            if k:
-                key = node * self.codes + codes[row, at + k]
-                found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
-                hit = self.steps[found] == key
-                row, at, node = row[hit], at[hit], self.next[found[hit]]
+        far_back, n = self.longest, len(first)
+        gain = np.concatenate([gain, np.full((wide, far_back, n), -np.inf)])
+        ids = np.concatenate([ids, np.full((wide, far_back, n), -1, dtype=np.int32)])
+        place = np.arange(wide + far_back)[:, None]
+        codes = np.where(place < left, self.code_of[flat[np.minimum(first + place, len(flat) - 1)]], 0).astype(np.int64)
+        far = np.ones((wide, n), dtype=np.int32)
+        at, row = np.nonzero(place[:wide] < left)
+        node = self.first[codes[at, row]]
+        score = self.node_score[node]
+        # a character that is no piece
+        gain[at, far_back - 1, row], ids[at, far_back - 1, row] = np.where(np.isneginf(score), self.unknown_score, score), self.node_id[node]
+        at, row, node = at[node > 0], row[node > 0], node[node > 0]
+        for k in range(2, far_back + 1):
+            key = node * self.codes + codes[at + k - 1, row]
+            found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            hit = self.steps[found] == key
+            at, row, node = at[hit], row[hit], self.next[found[hit]]
+            if not len(at):
+                break
+            gain[at + k - 1, far_back - k, row], ids[at + k - 1, far_back - k, row] = self.node_score[node], self.node_id[node]
+            whole = self.node_id[node] >= 0
+            far[at[whole], row[whole]] = k
+        return gain, ids, far
+
+    def _commit(self, parts: list[str], rows: np.ndarray, base: np.ndarray, cut: np.ndarray, low: int, taken: np.ndarray, piece: np.ndarray, out: list[list[bytes]]) -> None:
+        """Add the ids between ``base`` and ``cut`` of each row to its output."""
+        at, live, some = cut.copy(), np.flatnonzero(cut > base), []
+        while len(live):
+            held = at[live] - low - 1
+            at[live] -= taken[held, live]
+            some.append((live, at[live], piece[held, live]))
+            live = live[at[live] > base[live]]
+        if not some:
+            return
+        row, where, found = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.lexsort((where, row))
+        where, found = where[order], found[order].astype(np.int32)
+        bounds = np.searchsorted(row[order], np.arange(len(rows) + 1)).tolist()
+        lost = {int(r) for r in row[order][found < 0]}
+        raw = found.tobytes()
+        for r, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if r in lost:
+                many = (([i] if i >= 0 else self._unknown(parts[rows[r]][p])) for p, i in zip(where[a:b].tolist(), found[a:b].tolist()))
+                out[rows[r]].append(np.array([i for some in many for i in some], dtype=np.int32).tobytes())
             else:
-                hit = node > 0
-                row, at, node = row[hit], at[hit], node[hit]
-            gain[k, at, row], ids[k, at, row] = self.node_score[node], self.node_id[node]
-        gain[0][np.isneginf(gain[0])] = self.unknown_score
-        best, taken = np.zeros((wide + 1, n)), np.zeros((wide + 1, n), dtype=np.int64)
-        every = np.arange(n)
-        for end in range(1, wide + 1):
-            ways = range(min(end, longest), 0, -1)  # of equals, the one that starts first
-            value = np.stack([best[end - k] + gain[k - 1, end - k] for k in ways])
-            pick = value.argmax(axis=0)
-            best[end], taken[end] = value[pick, every], ways[0] - pick
-        out, count, lost = np.zeros((n, wide), dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-        row, at = every, sizes.copy()
-        while len(row):
-            k = taken[at, row]
-            at = at - k
-            piece = ids[k - 1, at, row]
-            count[row] += 1
-            out[row, wide - count[row]] = piece
-            lost[row] |= piece < 0
-            row, at = row[at > 0], at[at > 0]
-        raw = out.tobytes()
-        return [None if no else raw[4 * (wide * (r + 1) - c) : 4 * wide * (r + 1)] for r, (c, no) in enumerate(zip(count.tolist(), lost.tolist()))]
+                out[rows[r]].append(raw[4 * a : 4 * b])
+
+    def _unknown(self, character: str) -> list[int]:
+        return [self.bytes[b] for b in character.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; an empty text has none.
 
-        No piece lies across the parts of a text, so all paths meet between them; parts are searched one by one and kept.
+        No piece lies across the parts of a text, so all paths meet between them; parts are searched together, and words kept.
         """
-        out = []
-        for text in texts:
-            marked = SPACE + text.replace(" ", SPACE) if text else ""
-            # pieces of several marks only go on across marks next to one another
-            whole = not self.by_word or SPACE + SPACE in marked
-            out.append(np.array(self._search(marked), dtype=np.int32) if whole else self.parts_of(marked))
-        every = set().union(*(x for x in out if isinstance(x, list)))
+        marked = [SPACE + text.replace(" ", SPACE) if text else "" for text in texts]
+        cut = [self.parts_of(m) if self.by_word else [m] for m in marked]
+        every = set().union(*cut)
         new = every.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = every
-        new = sorted(new, key=len)
-        for k in range(0, len(new), 2048):
-            some = new[k : k + 2048]
-            short = [p for p in some if len(p) <= 2 * self.longest]
-            self.known.update(zip(short, self._many(short) if short else []))
-            for part in some:
-                if self.known.get(part) is None:
-                    ids = self._short(part) if len(part) <= 4 * self.longest else self._search(part)
-                    self.known[part] = struct.pack(f"={len(ids)}i", *ids)
-        return [x if isinstance(x, np.ndarray) else np.frombuffer(b"".join(map(self.known.__getitem__, x)), dtype=np.int32) for x in out]
+        ordered, long = sorted(new, key=len), {}
+        for k in range(0, len(ordered), 2048):
+            some = ordered[k : k + 2048]
+            for part, ids in zip(some, self.search(some)):
+                (self.known if len(part) <= 4 * self.longest else long)[part] = ids
+        return [np.frombuffer(b"".join([self.known[p] if p in self.known else long[p] for p in x]), dtype=np.int32) for x in cut]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
