@@ -285,6 +285,31 @@ def test_quality_learning_sample(spark):
     assert learning_sample(d.limit(0)).count() == 0
 
 
+def labelled_beyond_a_sample(spark):
+    """2000 short labelled texts of lowest md5 in other words than the 100 long ones after them, copies of both, and one text without a lang in the long ones' words."""
+    r = random.Random(5)
+    low = lambda t: hashlib.md5(t.encode()).hexdigest() < "8"
+    said = "stone river cloud field house light water green north wind".split()
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    short = [t for t in (f"only {name(i)}" for i in range(9000)) if low(t)][:2000]
+    long = [t for t in (" ".join(r.choices(said, k=400)) for _ in range(400)) if not low(t)][:100]
+    known = [*short, *short[:50], *long, *long[:9], *long[:9]]
+    rows = [(i, t, "xx") for i, t in enumerate(known)] + [(10_000, "12 | 34 | " * 60, "xx"), (9999, " ".join(r.choices(said, k=60)), None)]
+    d = spark.createDataFrame([(*x, None, len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    return d, short + long, said
+
+
+def test_quality_learns_from_all_texts(spark):
+    """Every text counts once, however many a language has; copies and texts far from their language do not."""
+    d, texts, said = labelled_beyond_a_sample(spark)
+    found = learn_references(d)["xx"]
+    counts = Counter(w for t in texts for w in t.split())
+    want = sorted(((w, n) for w, n in counts.items()), key=lambda x: (-x[1], x[0]))[:10]
+    assert found["words"] == {w: n / sum(counts.values()) for w, n in want} and set(said) & set(found["words"])
+    assert np.allclose(found["chars"], np.sum([class_counts(t) for t in texts], axis=0) / sum(map(len, texts)), atol=1e-12)
+    assert quality(d).where("doc_id = 9999").first().kept
+
+
 def test_quality_references_of_odd_labels(spark):
     # no label, one with few words, one without letters, one written without spaces, a tie in rank
     plain = "the river ran past the old mill and the children threw stones into the water until the sun went down behind the hill "

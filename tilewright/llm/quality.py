@@ -1,6 +1,6 @@
 """Quality rules: how far a document's histograms lie from those of known languages.
 
-Scoring is a column expression over one row: no shuffle, no Python, no state. The references are learned from a bounded sample before.
+Scoring is a column expression over one row: no shuffle, no Python, no state. The references are learned from all labelled texts before.
 """
 
 from __future__ import annotations
@@ -10,23 +10,36 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.plans.staging import drop_staged, stage
+from tilewright.plans.staging import Staged, drop_staged, stage
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: The character classes, each as a regular expression set; what is left is "other".
 CHAR_CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": "\\x20\\x09-\\x0D", "punct": ".,;:!?()\\x22\\x27\\x2D", "beyond_ascii": "\\x{80}-\\x{10FFFF}"}
+#: Tables of copied texts' hashes up to so many rows are broadcast.
+FEW = 1_000_000
 #: What counts as a common word: letters and their marks only.
 LETTERS = "^[\\p{L}\\p{M}]+$"
 
 
-def _class_counts(t: Column) -> list[Column]:
-    """Characters of ``t`` in each class, in order, then all others; what is neither a lower-case letter nor a space is counted in what is left without both."""
-    lower, space = CHAR_CLASSES["lower"], CHAR_CLASSES["space"]
-    rest = F.regexp_replace(t, f"[{lower}]+", "")
-    bare = F.regexp_replace(rest, f"[{space}]+", "")
-    special = {"lower": F.length(t) - F.length(rest), "space": F.length(rest) - F.length(bare)}
-    found = [special.get(k, F.length(bare) - F.length(F.regexp_replace(bare, f"[{s}]+", ""))) for k, s in CHAR_CLASSES.items()]
-    return [*found, F.length(t) - sum(found[1:], found[0])]
+def _bare(t: Column) -> Column:
+    """``t`` without lower-case letters and spaces: they come in long runs, so there are few matches, and little is left."""
+    return F.regexp_replace(t, f"[{CHAR_CLASSES['lower']}{CHAR_CLASSES['space']}]+", "")
+
+
+def _spaces(t: Column) -> Column:
+    """Characters of ``t`` that are spaces; fixed strings are searched faster than patterns."""
+    left = t
+    for c in " \t\n\x0b\x0c\r":
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(t) - F.length(left)
+
+
+def _class_counts(t: Column, bare: Column | None = None, spaces: Column | None = None) -> list[Column]:
+    """Characters of ``t`` in each class, in order, then all others; what is neither a lower-case letter nor a space is counted in what is left without both (``bare``)."""
+    bare, spaces = _bare(t) if bare is None else bare, _spaces(t) if spaces is None else spaces
+    special = {"lower": F.length(t) - F.length(bare) - spaces, "space": spaces}
+    seen = {k: F.length(bare) - F.length(F.regexp_replace(bare, f"[{s}]+", "")) for k, s in CHAR_CLASSES.items() if k not in special}
+    return [*[special.get(k, seen.get(k)) for k in CHAR_CLASSES], F.length(bare) - sum(list(seen.values())[1:], next(iter(seen.values())))]
 
 
 def learning_sample(docs: DataFrame, per_language: int = 2000, max_languages: int = 64, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -47,6 +60,25 @@ def learning_sample(docs: DataFrame, per_language: int = 2000, max_languages: in
     return sample
 
 
+def _spoken(texts: DataFrame) -> DataFrame:
+    """(l, w, n, rows, chars) of texts (l, t, k), each counted k times: how often each word stands in them, and, with the first word of a text, how many texts and characters there are.
+
+    Texts are cut at spaces, so the characters of a language's words and the spaces between them are all its characters. The empty word stands before and behind the spaces at a text's ends.
+    """
+    cut = texts.select("l", "k", F.length("t").cast("long").alias("size"), F.posexplode(F.split("t", SPACES)).alias("i", "w"))
+    of_text = lambda c: F.sum(F.when(F.col("i") == 0, c).otherwise(F.lit(0).cast("long")))
+    return cut.groupBy("l", "w").agg(F.sum("k").alias("n"), of_text(F.col("k")).alias("rows"), of_text(F.col("k") * F.col("size")).alias("chars"))
+
+
+def _each_once(texts: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """One row (l, t) for each of the texts (l, t, h), which copies share h; where ``copied`` (l, h, more) is given, of its texts only, with ``more``. Copies merge before the shuffle."""
+    if copied is None:
+        return texts.groupBy("l", "h").agg(F.min("t").alias("t")).select("l", "t")
+    # as a join of two shuffled sides all texts would move
+    copied = F.broadcast(copied) if copied.count() <= FEW else copied
+    return texts.join(copied, ["l", "h"]).groupBy("l", "h", "more").agg(F.min("t").alias("t")).select("l", "t", "more")
+
+
 def learn_references(
     docs: DataFrame,
     words: int = 10,
@@ -54,43 +86,60 @@ def learn_references(
     min_words: int = 1000,
     max_char_distance: float = 0.25,
     min_chars: int = 200,
-    per_language: int = 2000,
+    per_language: int | None = None,
     text: str = "text",
     lang: str = "lang",
 ) -> dict:
-    """Language references from a bounded sample of the rows with a lang and a text: ``{lang: {"chars": shares of the classes, then "other", "words": {word: share of all words}}}``.
+    """Language references from all texts with a lang: ``{lang: {"chars": shares of the classes, then "other", "words": {word: share of all words}}}``.
 
-    The sample is that of ``learning_sample``: ``per_language`` distinct texts of each of ``max_languages`` languages. Class counts of each language are summed over it
+    Every text counts, its copies in one language once. Class counts of each language are summed over all its texts
     first. Texts of ``min_chars`` characters or more that lie more than ``max_char_distance`` from their own language's sum are no prose of it (tables, scrambled
     letters); the references are summed over all others. The words are the ``words`` commonest ones that consist of letters (of equals, the first in
-    order). A language with fewer than ``min_words`` words has no reference. The sums are made on the cluster; only (classes + words) numbers for each
-    language come to the driver. No labelled row gives {}.
+    order). A language with fewer than ``min_words`` words has no reference, and of more than ``max_languages`` those with the most rows are learned (of equals, the first in order).
+    With ``per_language`` only the texts of ``learning_sample`` are learned from.
+
+    All rows are counted in one pass by their words, and classes are counted in each different word; what copies and texts far from their language added is then taken off
+    again, so that only those texts are shuffled. Counts are whole numbers, so nothing is lost by that. Only (classes + words) numbers for each language come to the driver. No labelled row gives {}.
     """
-    known = learning_sample(docs, per_language, max_languages, text, lang)
-    sized = known.select("l", "t", F.array(*[c.cast("double") for c in _class_counts(F.col("t"))]).alias("c"))
-    sums = [F.sum(F.col("c")[i]) for i in range(len(CHAR_CLASSES) + 1)]
-    whole = sized.groupBy("l").agg(F.array(*sums).alias("s")).collect()
-    if not whole:
-        drop_staged(known)
-        return {}
-    first = docs.sparkSession.createDataFrame([(r["l"], [x / (sum(r["s"]) or 1.0) for x in r["s"]]) for r in whole], "l string, q array<double>")
-    size = F.length("t")
-    far = F.when(size >= min_chars, _js_distance(F.col("c"), size.cast("double"), F.col("q")) > max_char_distance).otherwise(F.lit(False))
-    prose = sized.join(F.broadcast(first), "l").where(~far)
-    chars = {r["l"]: r["s"] for r in prose.groupBy("l").agg(F.array(*sums).alias("s")).collect()}
-    counts = prose.select("l", F.explode(F.array_remove(F.split("t", SPACES), "")).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("l").agg(F.sum("n").alias("all")).where(F.col("all") >= min_words)
-    # words of letters come first: a filter on letters would be pushed below the counts, which then could not be shared with the totals
-    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("letters"), F.desc("n"), "w"))
-    top = counts.withColumn("letters", F.col("w").rlike(LETTERS)).withColumn("r", place).where((F.col("r") <= words) & F.col("letters"))
-    found: dict = {}
-    for r in totals.join(top, "l", "left").orderBy("l", "r").collect():
-        of = chars[r["l"]]
-        said = found.setdefault(r["l"], {"chars": [x / sum(of) for x in of], "words": {}})["words"]
-        if r["w"] is not None:
-            said[r["w"]] = r["n"] / r["all"]
-    drop_staged(known)
-    return found
+    spark = docs.sparkSession
+    with Staged() as staged:
+        if per_language is None:
+            known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+        else:
+            known = learning_sample(docs, per_language, max_languages, text, lang)
+            staged.tables.append(known)
+        one = F.lit(1).cast("long")
+        hashed = known.withColumn("h", F.md5(F.col("t").cast("binary")))
+        spoken = staged(_spoken(known.withColumn("k", one)), "spoken")
+        copied = staged(hashed.groupBy("l", "h").agg((F.count("*") - 1).alias("more")).where("more > 0"), "copied")
+        # rows are those of the whole table, copies included; they only choose the languages
+        repeats = staged(_spoken(_each_once(hashed, copied).select("l", "t", (-F.col("more")).alias("k"))).withColumn("rows", F.lit(0).cast("long")), "repeats")
+
+        counts = [F.col("n") * c for c in _class_counts(F.col("w"))]
+        counts[list(CHAR_CLASSES).index("space")] = F.col("chars") - F.col("n") * F.length("w")
+        sums = F.array(*[F.sum(c).cast("double") for c in counts])
+        total = spoken.unionByName(repeats).groupBy("l", "w").agg(*[F.sum(c).alias(c) for c in ("n", "rows", "chars")])
+        whole = total.groupBy("l").agg(F.sum("rows").alias("rows"), sums.alias("s")).orderBy(F.desc("rows"), "l").limit(max_languages).collect()
+        if not whole:
+            return {}
+        first = F.broadcast(spark.createDataFrame([(r["l"], [x / (sum(r["s"]) or 1.0) for x in r["s"]]) for r in whole], "l string, q array<double>"))
+        bared = known.where(F.length("t") >= min_chars).select("l", "t", _bare(F.col("t")).alias("b"), _spaces(F.col("t")).alias("s"))
+        sized = bared.select("l", "t", F.array(*[c.cast("double") for c in _class_counts(F.col("t"), F.col("b"), F.col("s"))]).alias("c")).join(first, "l")
+        # a generator stops the filter, which would count the classes again on its way down
+        away = F.explode(F.array(_js_distance(F.col("c"), F.length("t").cast("double"), F.col("q"))))
+        far = sized.select("l", "t", away.alias("d")).where(F.col("d") > max_char_distance).withColumn("h", F.md5(F.col("t").cast("binary")))
+        strange = staged(_spoken(_each_once(far).withColumn("k", -one)), "strange")
+
+        prose = spoken.unionByName(repeats).unionByName(strange).join(first.select("l"), "l").groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+        prose = staged(prose, "prose")
+        said = prose.groupBy("l").agg(F.sum(F.when(F.col("w") != "", F.col("n"))).alias("all"), sums.alias("s"))
+        found = {r["l"]: {"all": r["all"], "s": r["s"]} for r in said.orderBy("l").collect() if r["all"] and r["all"] >= min_words}
+        place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
+        top = prose.where((F.col("n") > 0) & F.col("w").rlike(LETTERS)).withColumn("r", place).where(F.col("r") <= words).orderBy("l", "r").collect()
+    return {
+        k: {"chars": [x / sum(v["s"]) for x in v["s"]], "words": {r["w"]: r["n"] / v["all"] for r in top if r["l"] == k}}
+        for k, v in found.items()
+    }
 
 
 def common_words(references: dict) -> list[str]:
@@ -187,15 +236,14 @@ def quality(
         F.transform(w, lambda x: F.xxhash64(x)).alias(tmp + "h1"),
         F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias(tmp + "hits"),
         F.length(t).alias(tmp + "length"),
-        F.regexp_replace(t, f"[{CHAR_CLASSES['lower']}]+", "").alias(tmp + "r"),
+        _bare(t).alias(tmp + "rest"),
     )
-    # three quarters are lower-case letters: the other classes are counted in what is left
-    a = a.withColumn(tmp + "rest", F.regexp_replace(of("r"), SPACES, ""))
+    # of a text's characters all but its words' are spaces, and all but spaces and what is left are lower-case letters
     r = of("rest")
     a = a.select(
         "*",
-        (of("length") - F.length(of("r"))).alias(tmp + "c_lower"),
-        (F.length(of("r")) - F.length(r)).alias(tmp + "c_space"),
+        (of("chars") - F.length(r)).alias(tmp + "c_lower"),
+        (of("length") - of("chars")).alias(tmp + "c_space"),
         *[(F.length(r) - F.length(F.regexp_replace(r, f"[{s}]+", ""))).alias(f"{tmp}c_{k}") for k, s in CHAR_CLASSES.items() if k not in ("lower", "space")],
         (F.length(r) - F.length(F.regexp_replace(r, "[#*$%&|<>]+", ""))).cast("long").alias(tmp + "symbols"),
     )
