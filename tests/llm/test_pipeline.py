@@ -79,3 +79,10 @@ def test_language_id_rejects_what_was_not_learned(spark):
     after = {r.doc_id for r in corpus_pipeline.language_id(spark, real.union(added), "").select("doc_id").collect()}
     assert not any(i < 0 for i in after)
     assert len(after) > 0.97 * real.count()
+
+
+def test_quality_rules_learn_from_all_texts(spark):
+    from tests.llm.test_operators import labelled_beyond_a_sample
+
+    d, _, _ = labelled_beyond_a_sample(spark)
+    assert 9999 in {r.doc_id for r in corpus_pipeline.quality_rules(spark, d, "").select("doc_id").collect()}
