@@ -12,6 +12,7 @@ from tilewright.functions import geometry as G
 from tilewright.functions import kernels, overlay, spatial
 from tilewright.operators import vector
 from tilewright.plans import components
+from tilewright.queries import fixtures
 from tilewright.sources import readers, sinks
 
 RING = "array<struct<x:double,y:double>>"
@@ -98,6 +99,34 @@ def test_kernels_in_chunks(monkeypatch):
     assert (kernels.intersecting(a, b, True, True) == whole).all()
 
 
+def test_features_of_equal_shapes(spark, monkeypatch):
+    """All pairs and the same survivors however many features share a shape; a shape is tested once with another, and shapes without points meet nothing, not even each other."""
+    r = random.Random(8)
+    some = [[[(x := float(r.randrange(40)), y := float(r.randrange(40))), (x + 6, y + 1), (x + 2, y + 5)]] for _ in range(12)] + [[], None, [[(1.0, 1.0)]]]
+    rows = [(i, r.choice(some)) for i in range(150)] + [(None, some[0])]
+    d = spark.createDataFrame(rows, f"id long, parts array<{RING}>")
+    seen, whole, shapes = [], vector.keep_intersecting, vector._shapes
+    monkeypatch.setattr(vector, "keep_intersecting", lambda both, *x: seen.append(both.count()) or whole(both, *x))
+    monkeypatch.setattr(vector, "_shapes", lambda f: shapes(f, 4))
+    other = d.where("id is not null").select(F.col("id").alias("i"), F.col("parts").alias("p"))
+    met = d.where("id is not null").crossJoin(other).where(G.intersects(F.col("parts"), F.col("p"), True, True))
+    want = sorted((q.id, q.i) for q in met.select("id", "i").collect())
+    assert sorted(map(tuple, vector.meeting(d, d, 4.0, True, True).collect())) == want and max(seen) <= len(some) ** 2 < len(want)
+    later = [(a, b) for a, b in want if a < b]
+    assert sorted(map(tuple, vector.meeting(d, d, 4.0, True, True, same=True).collect())) == later
+    gone = set()
+    for a, b in later:
+        gone |= {b} if a not in gone else set()
+    assert sorted(q.id for q in vector.suppress(d, 4.0, areal=True).collect()) == [i for i, _ in rows if i is not None and i not in gone]
+
+
+def test_shapes_of_larger_tables_lie_denser(spark):
+    """The fields of triangles and lines do not grow with their tables, so no pair of far ids is left out."""
+    part, orders = (spark.range(1, 30_001).select(F.col("id").alias(c)) for c in ("p_partkey", "o_orderkey"))
+    for name, table, key in (("triangles", "part", part), ("bent_lines", "orders", orders)):
+        assert spark.sql(fixtures.SQL[name], **{table: key}).agg(F.max("x1")).first()[0] < 420
+
+
 def test_tiles_of_shapes(spark):
     r = random.Random(2)
     rows = [(i, [[(r.uniform(-30, 30), r.uniform(-30, 30)) for _ in range(3)]]) for i in range(60)] + [(100, None), (101, []), (102, [[(10.0, 10.0)]])]
