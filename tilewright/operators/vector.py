@@ -178,10 +178,19 @@ def tiles_met(features: DataFrame, size: int, areal: bool) -> DataFrame:
 def suppress(shapes: DataFrame, cell: float, areal: bool | None = None) -> DataFrame:
     """Ids kept when each shape in ascending id, if still there, drops the later ones it shares a point with.
 
-    Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines.
+    Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines. Features of equal parts that meet
+    themselves go with the first of them: it drops the others, or what drops it drops them all. So only that one is compared with other shapes.
     """
-    pairs = box_pairs(shapes, shapes, cell, same=True) if areal is None else meeting(shapes, shapes, cell, areal, areal, same=True)
-    return first_wins(shapes, pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    if areal is None:
+        return first_wins(shapes, box_pairs(shapes, shapes, cell, same=True).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    of, different = _shapes(shapes)
+    itself = different.select("id", "parts", F.col("parts").alias("_q"))
+    solid = stage(keep_intersecting(itself, "parts", "_q", areal, areal).select("id"), "solid")
+    pairs = meeting(different, different, cell, areal, areal, same=True)
+    kept = first_wins(different, pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    # what does not meet even itself (without points, or with one that is no number) meets nothing, and stays
+    loose = of.join(solid, F.col("shape") == solid["id"], "left_anti").select("id").distinct()
+    return kept.join(solid, "id", "left_semi").unionByName(loose)
 
 
 def ground_truth(boxes: DataFrame, images: DataFrame, mapping: dict, background: str = "bg") -> DataFrame:
