@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tilewright.llm import chat, chunks, language, licenses, neardup, packing, pieces, queries, tokencounts, tokenfile
+from tilewright.llm import quality as quality_module
 from tilewright.llm.quality import learn_references, learning_sample, quality
 
 SF = "/root/testdata/sf0.001"
@@ -310,6 +311,22 @@ def test_quality_learns_from_all_texts(spark):
     assert quality(d).where("doc_id = 9999").first().kept
 
 
+def test_quality_compares_own_words_only(spark, monkeypatch):
+    """A text is compared with each language's own words, however many languages there are; the distances are those over all words."""
+    lengths = []
+    shares = quality_module._shares
+    monkeypatch.setattr(quality_module, "_shares", lambda r: lengths.append(len(r)) or shares(r))
+    names = [chr(97 + i) for i in range(8)]
+    said = {k: {"chars": [0.7, 0.1, 0.01, 0.15, 0.02, 0.01, 0.01], "words": {"both": 0.1} | {k * (n + 1): 0.02 * (n + 1) for n in range(6)}} for k in names}
+    vocabulary = sorted({w for r in said.values() for w in r["words"]})
+    words = "both both b bb bbb c cc cccccc other words stand here".split() * 4
+    got = quality(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), references=said).first()
+    p = [words.count(v) / len(words) for v in vocabulary]
+    want = min(js_distance([*p, 1 - sum(p)], [*(r["words"].get(v, 0.0) for v in vocabulary), 1 - sum(r["words"].values())]) for r in said.values())
+    assert abs(got.word_distance - want) < 2e-6
+    assert sorted(set(lengths)) == [7, 8]
+
+
 def test_quality_references_of_odd_labels(spark):
     # no label, one with few words, one without letters, one written without spaces, a tie in rank
     plain = "the river ran past the old mill and the children threw stones into the water until the sun went down behind the hill "

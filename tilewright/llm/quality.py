@@ -22,24 +22,26 @@ LETTERS = "^[\\p{L}\\p{M}]+$"
 
 
 def _bare(t: Column) -> Column:
-    """``t`` without lower-case letters and spaces: they come in long runs, so there are few matches, and little is left."""
-    return F.regexp_replace(t, f"[{CHAR_CLASSES['lower']}{CHAR_CLASSES['space']}]+", "")
+    """``t`` without lower-case letters and blanks: they come in long runs, so there are few matches, and little is left."""
+    return F.regexp_replace(t, f"[{CHAR_CLASSES['lower']} ]+", "")
 
 
-def _spaces(t: Column) -> Column:
-    """Characters of ``t`` that are spaces; fixed strings are searched faster than patterns."""
-    left = t
-    for c in " \t\n\x0b\x0c\r":
-        left = F.replace(left, F.lit(c), F.lit(""))
-    return F.length(t) - F.length(left)
+def _blanks(t: Column) -> Column:
+    """How many blanks ``t`` has; a fixed string is searched faster than a pattern, and lengths in bytes are known."""
+    return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))
 
 
-def _class_counts(t: Column, bare: Column | None = None, spaces: Column | None = None) -> list[Column]:
-    """Characters of ``t`` in each class, in order, then all others; what is neither a lower-case letter nor a space is counted in what is left without both (``bare``)."""
-    bare, spaces = _bare(t) if bare is None else bare, _spaces(t) if spaces is None else spaces
-    special = {"lower": F.length(t) - F.length(bare) - spaces, "space": spaces}
-    seen = {k: F.length(bare) - F.length(F.regexp_replace(bare, f"[{s}]+", "")) for k, s in CHAR_CLASSES.items() if k not in special}
-    return [*[special.get(k, seen.get(k)) for k in CHAR_CLASSES], F.length(bare) - sum(list(seen.values())[1:], next(iter(seen.values())))]
+def _class_counts(bare: Column, length: Column, blanks: Column) -> tuple[list[Column], Column]:
+    """Characters of a text in each class, in order, then all others; and those others.
+
+    What is neither a lower-case letter nor a blank is counted in ``_bare``, what is left without both; each class is counted in what those before it have left.
+    """
+    seen, left = {"lower": length - F.length(bare) - blanks}, bare
+    for k in ("beyond_ascii", "punct", "upper", "digit", "space"):
+        less = F.regexp_replace(left, f"[{CHAR_CLASSES[k]}]+", "")
+        seen[k], left = F.length(left) - F.length(less), less
+    seen["space"] = seen["space"] + blanks
+    return [*[seen[k] for k in CHAR_CLASSES], F.length(left)], left
 
 
 def learning_sample(docs: DataFrame, per_language: int = 2000, max_languages: int = 64, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -115,7 +117,7 @@ def learn_references(
         # rows are those of the whole table, copies included; they only choose the languages
         repeats = staged(_spoken(_each_once(hashed, copied).select("l", "t", (-F.col("more")).alias("k"))).withColumn("rows", F.lit(0).cast("long")), "repeats")
 
-        counts = [F.col("n") * c for c in _class_counts(F.col("w"))]
+        counts = [F.col("n") * c for c in _class_counts(_bare(F.col("w")), F.length("w"), F.lit(0))[0]]
         counts[list(CHAR_CLASSES).index("space")] = F.col("chars") - F.col("n") * F.length("w")
         sums = F.array(*[F.sum(c).cast("double") for c in counts])
         total = spoken.unionByName(repeats).groupBy("l", "w").agg(*[F.sum(c).alias(c) for c in ("n", "rows", "chars")])
@@ -123,11 +125,12 @@ def learn_references(
         if not whole:
             return {}
         first = F.broadcast(spark.createDataFrame([(r["l"], [x / (sum(r["s"]) or 1.0) for x in r["s"]]) for r in whole], "l string, q array<double>"))
-        bared = known.where(F.length("t") >= min_chars).select("l", "t", _bare(F.col("t")).alias("b"), _spaces(F.col("t")).alias("s"))
-        sized = bared.select("l", "t", F.array(*[c.cast("double") for c in _class_counts(F.col("t"), F.col("b"), F.col("s"))]).alias("c")).join(first, "l")
-        # a generator stops the filter, which would count the classes again on its way down
-        away = F.explode(F.array(_js_distance(F.col("c"), F.length("t").cast("double"), F.col("q"))))
-        far = sized.select("l", "t", away.alias("d")).where(F.col("d") > max_char_distance).withColumn("h", F.md5(F.col("t").cast("binary")))
+        made = F.array(*[c.cast("double") for c in _class_counts(_bare(F.col("t")), F.length("t"), _blanks(F.col("t")))[0]])
+        # behind a generator: a lambda or a filter that got the counts as expressions would make them anew for each use
+        counted = known.where(F.length("t") >= min_chars).select("l", "t", made.alias("c")).select("l", "t", F.explode(F.array("c")).alias("c"))
+        sized = counted.join(first, "l")
+        away = _js_distance(F.col("c"), F.aggregate("c", F.lit(0.0), lambda x, y: x + y), F.col("q"))
+        far = sized.where(away > max_char_distance).select("l", "t", F.md5(F.col("t").cast("binary")).alias("h"))
         strange = staged(_spoken(_each_once(far).withColumn("k", -one)), "strange")
 
         prose = spoken.unionByName(repeats).unionByName(strange).join(first.select("l"), "l").groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
@@ -158,15 +161,16 @@ def _shares(reference: list[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(x) / base!r}D" for x in reference) + ")")
 
 
-def _js_distance(counts: Column, total: Column, q: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence in bits; 0 alike, 1 disjoint."""
+def _js_distance(counts: Column, total: Column, q: Column, elsewhere: Column | None = None) -> Column:
+    """Square root of the Jensen-Shannon divergence in bits; 0 alike, 1 disjoint. ``elsewhere`` are counts where ``q`` has nothing; each adds its whole share."""
 
     def term(n: Column, r: Column) -> Column:
         p = n / total
         m = (p + r) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(r > 0, r * F.log2(r / m)).otherwise(0.0)
 
-    divergence = F.aggregate(F.zip_with(counts, q, term), F.lit(0.0), lambda a, x: a + x) / 2
+    start = F.lit(0.0) if elsewhere is None else elsewhere / total
+    divergence = F.aggregate(F.zip_with(counts, q, term), start, lambda a, x: a + x) / 2
     return F.sqrt(F.greatest(F.lit(0.0), divergence))
 
 
@@ -227,37 +231,44 @@ def quality(
         return F.col(tmp + name)
 
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    hits = F.filter(w, lambda x: x.isin(vocabulary))
+    # one character for each common word, three bytes long, in the order of the words
+    codes = {v: chr(0x4E00 + i) for i, v in enumerate(vocabulary)}
+    code_of = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    hits = F.array_join(F.transform(F.filter(w, lambda x: x.isin(vocabulary)), lambda x: F.element_at(code_of, x)), "") if vocabulary else F.lit("")
     a = a.select(
         "*",
         n.cast("long").alias(tmp + "n"),
-        F.length(F.array_join(w, "")).cast("long").alias(tmp + "chars"),
         F.when(F.instr(t, "\n") > 0, lines).otherwise(F.array().cast("array<string>")).alias(tmp + "lines"),
         F.transform(w, lambda x: F.xxhash64(x)).alias(tmp + "h1"),
-        F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias(tmp + "hits"),
+        hits.alias(tmp + "hits"),
         F.length(t).alias(tmp + "length"),
+        _blanks(t).alias(tmp + "blanks"),
         _bare(t).alias(tmp + "rest"),
     )
-    # of a text's characters all but its words' are spaces, and all but spaces and what is left are lower-case letters
-    r = of("rest")
-    a = a.select(
-        "*",
-        (of("chars") - F.length(r)).alias(tmp + "c_lower"),
-        (of("length") - of("chars")).alias(tmp + "c_space"),
-        *[(F.length(r) - F.length(F.regexp_replace(r, f"[{s}]+", ""))).alias(f"{tmp}c_{k}") for k, s in CHAR_CLASSES.items() if k not in ("lower", "space")],
-        (F.length(r) - F.length(F.regexp_replace(r, "[#*$%&|<>]+", ""))).cast("long").alias(tmp + "symbols"),
-    )
-
-    def joined(x: Column, y: Column, size: int) -> Column:
-        # of two runs of words that start `size` words apart: the hash of both, cut to where both exist
-        m = F.size(y) - size
-        return F.when(m > 0, F.zip_with(F.slice(x, 1, m), F.slice(y, size + 1, m), lambda p, q: F.xxhash64(p, q))).otherwise(F.array().cast("array<bigint>"))
-
-    a = a.withColumn(tmp + "h2", joined(of("h1"), of("h1"), 1))
-    a = a.withColumn(tmp + "h4", joined(of("h2"), of("h2"), 2))
-    a = a.withColumn(tmp + "h", joined(of("h4"), of("h1"), 4))
-    zipped = F.transform(of("h"), lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-    a = a.withColumn(tmp + "win", F.when(F.size(F.array_distinct(of("h"))) < F.size(of("h")), F.sort_array(zipped)))
+    counts, others = _class_counts(of("rest"), of("length"), of("blanks"))
+    # the symbols are all among the others
+    symbols = F.length(others) - F.length(F.regexp_replace(others, "[#*$%&|<>]+", ""))
+    a = a.select("*", F.array(*[x.cast("double") for x in counts]).alias(tmp + "cc"), symbols.cast("long").alias(tmp + "symbols"))
+
+    # equal windows of five words begin with equal three words, and few texts repeat three words: only those look at their windows
+    h1 = of("h1")
+    three = F.transform(h1, lambda x, i: F.xxhash64(x, F.get(h1, i + 1), F.get(h1, i + 2)))
+    a = a.withColumn(tmp + "h3", three)
+    again = (F.size(of("h1")) > 5) & (F.size(F.array_distinct(of("h3"))) < F.size(of("h3")))
+    h3 = of("h3")
+    five = F.transform(F.slice(h3, 1, F.size(h3) - 4), lambda x, i: F.xxhash64(x, F.get(h3, i + 2)))
+    a = a.withColumn(tmp + "h", F.when(again, five))
+    # numbers sort faster than pairs: half of each hash beside its place; only places that share a half with another are looked at whole
+    halves = F.transform(of("h"), lambda x, i: x.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))
+    a = a.withColumn(tmp + "halves", F.sort_array(halves))
+    halves = of("halves")
+
+    def beside(x: Column, j: Column) -> Column:
+        return F.shiftright(x, 32) == F.shiftright(F.get(halves, j), 32)
+
+    shared = F.filter(halves, lambda x, j: beside(x, j + 1) | beside(x, j - 1))
+    places = F.transform(shared, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    a = a.withColumn(tmp + "win", F.sort_array(F.transform(places, lambda i: F.struct(F.get(of("h"), i).alias("h"), i.alias("i")))))
     win = of("win")
 
     def same(x: Column, y: Column) -> Column:
@@ -267,33 +278,39 @@ def quality(
         return same(F.get(win, j), F.get(win, j - 1)) | same(F.get(win, j), F.get(win, j + 1))
 
     found = F.transform(F.filter(F.sequence(F.lit(0), F.size(win) - 1), twin), lambda j: F.get(win, j)["i"])
-    a = a.withColumn(tmp + "found", F.when(win.isNotNull(), F.sort_array(found)))
+    a = a.withColumn(tmp + "found", F.when(F.size(win) > 0, F.sort_array(found)))
     found = of("found")
     steps = F.transform(found, lambda x, j: F.when(j == 0, 5).otherwise(F.least(F.lit(5), x - F.get(found, j - 1))))
     repeated = F.coalesce(F.aggregate(steps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")
 
-    known = [of(f"c_{k}") for k in CHAR_CLASSES]
-    other = of("length") - sum(known[1:], known[0])
-    per_word = [((F.length(of("hits")) - F.length(F.replace(of("hits"), F.lit(f" {v} "), F.lit("")))) / (len(v) + 2)) for v in vocabulary]
+    per_word = [(F.octet_length(of("hits")) - F.octet_length(F.replace(of("hits"), F.lit(c), F.lit("")))) / 3 for c in codes.values()]
     a = a.select(
         *[F.col(f"`{c}`") for c in keep],
         of("n").alias("n_words"),
-        of("chars").alias("word_chars"),
+        (of("length") - F.get(of("cc"), list(CHAR_CLASSES).index("space"))).cast("long").alias("word_chars"),
         of("symbols").alias("n_symbols"),
         (F.size(of("lines")) - F.size(F.array_distinct(of("lines")))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         of("length").alias(tmp + "length"),
-        F.array(*[x.cast("double") for x in [*known, other]]).alias(tmp + "cc"),
+        of("cc"),
         F.array(*[x.cast("double") for x in per_word]).cast("array<double>").alias(tmp + "wc"),
+        (F.octet_length(of("hits")) / 3).alias(tmp + "common"),
     )
-    a = a.withColumn(tmp + "wc", F.concat(of("wc"), F.array(F.col("n_words") - F.aggregate(of("wc"), F.lit(0.0), lambda s, x: s + x))))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     long_chars, long_words = of("length") >= min_chars, F.col("n_words") >= min_words
     names = sorted(references)
     shares = [word_shares(references[k], vocabulary) for k in names]
     none = F.array().cast("array<double>")
     char_distances = [_js_distance(of("cc"), of("length").cast("double"), _shares(references[k]["chars"])) for k in names]
-    word_distances = [_js_distance(of("wc"), F.col("n_words").cast("double"), _shares(r)) for r in shares]
+
+    def word_distance(r: list[float]) -> Column:
+        # common words of other languages alone add their share as it is
+        own = [i for i, x in enumerate(r[:-1]) if x > 0]
+        said = [F.get(of("wc"), i) for i in own]
+        elsewhere = of("common") - sum(said, F.lit(0.0))
+        return _js_distance(F.array(*said, F.col("n_words") - of("common")), F.col("n_words").cast("double"), _shares([*[r[i] for i in own], r[-1]]), elsewhere)
+
+    word_distances = [word_distance(r) for r in shares]
     # a guard turns a distance into null before it is computed
     a = a.select(
         "*",
