@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
-from tilewright.operators import blocks, graph, raster, vector
+from tilewright.operators import blocks, graph, patches, raster, vector
 from tilewright.plans.components import connected_components
 from tilewright.sources import readers, sinks
 
@@ -264,3 +264,11 @@ def test_writers_read_back(spark, tmp_path):
     assert {(r.split, r.image) for r in spark.read.json(f"{tmp_path}/m").collect()} == {("training", "a"), ("validation", "b")}
     sinks.write_lines(m, "image", f"{tmp_path}/l")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/l").collect()) == ["a", "b"]
+
+
+def test_patch_names_from_a_million_on(spark):
+    """The query's SQL cuts names to six digits; the operator does so only when asked."""
+    rows = spark.range(1_000_002)
+    last = lambda **k: [r.patch for r in patches.patch_names(rows, ["id"], **k).where("id >= 999999").orderBy("id").collect()]
+    assert last() == ["patch_999999.jpg", "patch_1000000.jpg", "patch_1000001.jpg"]
+    assert last(parity=True) == ["patch_999999.jpg", "patch_100000.jpg", "patch_100000.jpg"]

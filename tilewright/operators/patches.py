@@ -108,6 +108,7 @@ def hardest(losses: DataFrame, n: int, loss: str = "loss", unique: str = "patch_
     return losses.orderBy(F.desc(loss), unique).limit(n)
 
 
-def patch_names(patches: DataFrame, order: list, out: str = "patch") -> DataFrame:
-    """Add sequential names of patch files."""
-    return prefix_sum(patches, order, out="_n").withColumn(out, F.format_string("patch_%06d.jpg", "_n")).drop("_n")
+def patch_names(patches: DataFrame, order: list, out: str = "patch", parity: bool = False) -> DataFrame:
+    """Add sequential names of patch files, with six digits at least; ``parity``: the first six only, as the query's SQL has them, so names recur from a million patches on."""
+    number = F.lpad(F.col("_n").cast("string"), 6, "0") if parity else F.format_string("%06d", "_n")
+    return prefix_sum(patches, order, out="_n").withColumn(out, F.concat(F.lit("patch_"), number, F.lit(".jpg"))).drop("_n")
