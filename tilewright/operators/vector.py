@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions.kernels import keep_intersecting, keep_on_tiles
-from tilewright.functions.spatial import box_pairs
+from tilewright.functions.spatial import BOX, box_pairs, distinct_shapes, paired_features
 from tilewright.plans.components import first_wins
 from tilewright.plans.staging import stage
 
@@ -178,11 +178,14 @@ def tiles_met(features: DataFrame, size: int, areal: bool) -> DataFrame:
 def suppress(shapes: DataFrame, cell: float, areal: bool | None = None) -> DataFrame:
     """Ids kept when each shape in ascending id, if still there, drops the later ones it shares a point with.
 
-    Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines. Features of equal parts that meet
+    Shapes are boxes (id, minx, miny, maxx, maxy), or, with ``areal`` given, features (id, parts), areas or lines. Equal boxes, and features of equal parts, that meet
     themselves go with the first of them: it drops the others, or what drops it drops them all. So only that one is compared with other shapes.
     """
     if areal is None:
-        return first_wins(shapes, box_pairs(shapes, shapes, cell, same=True).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+        # a box with a null bound, or whose least bound is not the least, does not meet itself: it stands for itself alone
+        alone = F.when(F.coalesce((F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")), F.lit(False)), F.lit(None)).otherwise(F.col("id"))
+        first = stage(shapes.where("id is not null").groupBy(*BOX, alone.alias("_alone")).agg(F.min("id").alias("id")).drop("_alone"), "first")
+        return first_wins(first, box_pairs(first, first, cell, same=True).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
     of, different = _shapes(shapes)
     itself = different.select("id", "parts", F.col("parts").alias("_q"))
     solid = stage(keep_intersecting(itself, "parts", "_q", areal, areal).select("id"), "solid")
