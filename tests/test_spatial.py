@@ -301,3 +301,70 @@ def test_feature_collection_is_one_document(spark, tmp_path):
         doc = json.loads(text)
         assert doc["type"] == "FeatureCollection" and doc["crs"]["properties"]["name"].endswith("32632")
         assert [f["properties"]["id"] for f in doc["features"]] == (list(range(1, 51)) if name == "all" else [])
+
+
+def counted(monkeypatch, module, name):
+    """Rows of the first table in each call of a module's function."""
+    real, rows = getattr(module, name), []
+
+    def call(df, *rest, **more):
+        rows.append(df.count())
+        return real(df, *rest, **more)
+
+    monkeypatch.setattr(module, name, call)
+    return rows
+
+
+def squares(spark, boxes):
+    ring = lambda x0, y0, x1, y1: [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
+    return spark.createDataFrame([(k, [ring(*map(float, b))]) for k, b in boxes], "id long, parts array<array<struct<x:double,y:double>>>")
+
+
+def test_equal_areas_are_clipped_once(spark, monkeypatch):
+    rows = counted(monkeypatch, overlay, "overlay_column")
+    same, other = (1, 1, 4, 3), (2, 2, 12, 4)
+    found = overlay.clip_to_tiles(squares(spark, [(k, same) for k in range(50)] + [(k, other) for k in range(50, 80)]), 10.0)
+    got = sorted((r.id, r.tx, r.ty, round(r.a, 6)) for r in found.select("id", "tx", "ty", G.polygon_area(F.col("polygons")).alias("a")).collect())
+    assert got == [(k, 0, 0, 6.0) for k in range(50)] + [(k, x, 0, a) for k in range(50, 80) for x, a in ((0, 16.0), (1, 4.0))]
+    assert rows == [3]
+
+
+def test_equal_covers_are_subtracted_once(spark, monkeypatch):
+    rows = counted(monkeypatch, overlay, "overlay_column")
+    areas = squares(spark, [(k, (0, 0, 10, 10)) for k in range(40)] + [(k, (20, 0, 30, 10)) for k in range(40, 50)])
+    covers = squares(spark, [(k, (k % 8, 0, k % 8 + 1, 5)) for k in range(400)])
+    found = overlay.subtract(areas, covers, 4.0, together=3)
+    got = {r.id: round(r.a, 6) for r in found.select("id", G.polygon_area(F.col("polygons")).alias("a")).collect()}
+    assert got == {k: 60.0 for k in range(40)} | {k: 100.0 for k in range(40, 50)}
+    # eight covers in threes, and then two areas
+    assert rows == [3, 2]
+
+
+def test_equal_boxes_are_suppressed_once(spark, monkeypatch):
+    rng = random.Random(3)
+    kinds = [(0.0, 0.0, 2.0, 2.0), (1.0, 1.0, 4.0, 4.0), (4.0, 4.0, 5.0, 5.0), (9.0, 9.0, 9.0, 9.0), (None, 0.0, 2.0, 2.0), (3.0, 0.0, 1.0, 2.0)]
+    boxes = [(k, *rng.choice(kinds)) for k in range(300)]
+    meet = lambda a, b: None not in a + b and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    want = []
+    for b in boxes:
+        if not any(meet(a, b) for a in want):
+            want.append(b)
+    rows = counted(monkeypatch, vector, "box_pairs")
+    got = vector.suppress(spark.createDataFrame(boxes, "id long, minx double, miny double, maxx double, maxy double"), 2.0)
+    assert sorted(r.id for r in got.collect()) == [b[0] for b in want]
+    assert rows == [4 + sum(b[1:] in kinds[4:] for b in boxes)]
+
+
+@pytest.mark.parametrize("together", [2, 2048])
+def test_pairs_of_equal_boxes_come_from_lists(spark, monkeypatch, together):
+    rng = random.Random(together)
+    kinds = [(0, 0, 2, 2), (1, 1, 4, 4), (4, 4, 5, 5), (9, 9, 9, 9), (None, 0, 2, 2), (3, 0, 1, 2)]
+    a, b = ([(k, *rng.choice(kinds)) for k in range(n)] for n in (60, 25))
+    meet = lambda a, b: None not in a + b and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    frame = lambda d: spark.createDataFrame(d, "id long, minx int, miny int, maxx int, maxy int")
+    rows = counted(monkeypatch, spatial, "box_pairs")
+    pairs = lambda d: sorted((r.a_id, r.b_id) for r in d.collect())
+    assert pairs(spatial.meeting_boxes(frame(a), frame(b), 2.0, together=together)) == sorted((x[0], y[0]) for x in a for y in b if meet(x, y))
+    assert pairs(spatial.meeting_boxes(frame(b), frame(a), 2.0, together=together)) == sorted((y[0], x[0]) for x in a for y in b if meet(x, y))
+    assert pairs(spatial.meeting_boxes(frame(a), frame(a), 2.0, same=True, together=together)) == sorted((x[0], y[0]) for x in a for y in a if meet(x, y) and x[0] < y[0])
+    assert max(rows) == len(kinds)

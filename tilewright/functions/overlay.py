@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tilewright.functions.geometry import bounds
-from tilewright.functions.spatial import box_pairs
+from tilewright.functions.spatial import box_pairs, distinct_shapes
 from tilewright.plans.staging import stage
 
 Ring = np.ndarray
@@ -27,6 +27,10 @@ ROUNDED = 2.0**-50
 #: Times that edges are cut; then what is left is within roundings.
 ROUNDS = 12
 AT_ONCE = 1 << 20
+#: Areas and covers a task.
+TASK_SHAPES = 2000
+#: Covers of one area that a task puts in order.
+PART = 4096
 
 
 def overlay(subject: list[Ring], clips: list[list[Ring]], op: str) -> list[list[Ring]]:
@@ -271,37 +275,51 @@ def overlay_column(df: DataFrame, subject: str, clips: str, op: str, out: str =
     return source.mapInArrow(run, schema)
 
 
+def _dealt(df: DataFrame, shapes: int) -> DataFrame:
+    """Dealt out by the number of shapes in it, not by bytes, since small ones can be much work: some seconds of it a task."""
+    return df.repartition(max(1, -(-shapes // TASK_SHAPES)))
+
+
 def subtract(areas: DataFrame, covers: DataFrame, cell: float, together: int = 500) -> DataFrame:
     """(id, polygons): every area (id, parts: all its rings) without what any of the ``covers`` (id, parts) covers.
 
     Covers are found by boxes. Those of one area meet in groups of at most ``together``: a group becomes the piece of the area that it covers, pieces meet
     in the same way, and the last ones are subtracted, so no task holds more than ``together`` covers, however many lie on an area. An area without
-    covers is rebuilt as it is, one that is wholly covered, or has no extent, has no polygon. Ids are unique and not null.
+    covers is rebuilt as it is, one that is wholly covered, or has no extent, has no polygon. Ids are unique and not null. Areas of equal parts are one shape,
+    and so are covers: each is worked on once, and every area is given what its shape gave.
     """
+    (of, areas), (_, covers) = distinct_shapes(areas), distinct_shapes(covers)
     box = lambda d: d.withColumn("_b", bounds(F.flatten("parts"))).select("id", *[F.col(f"_b.{k}").alias(k) for k in ("minx", "miny", "maxx", "maxy")])
     pairs = box_pairs(box(areas), box(covers), cell)
     met = stage(pairs.join(covers.select(F.col("id").alias("b_id"), F.col("parts").alias("cover")), "b_id").select(F.col("a_id").alias("id"), F.col("b_id").alias("no"), "cover"), "covers")
-    spread = min(64, together)
-    place = F.row_number().over(Window.partitionBy("id", F.pmod(F.xxhash64("no"), F.lit(spread))).orderBy("no"))
     while True:
-        most = met.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most <= together:
+        sizes = stage(met.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > together), "sizes")
+        if sizes.isEmpty():
             break
-        dealt = met.withColumn("_g", F.floor((place - 1) / (together // spread))).groupBy("id", "_g").agg(F.collect_list("cover").alias("clips"), F.min("no").alias("no"))
-        part = overlay_column(dealt.join(areas.select("id", "parts"), "id"), "parts", "clips", "intersection")
-        met = stage(part.select("id", "no", F.flatten("polygons").alias("cover")).where(F.size("cover") > 0), "covers")
+        # covers of one area are numbered in parts of some thousands, so that no task sorts all of them
+        many = met.join(sizes, "id").withColumn("_s", F.pmod(F.xxhash64("no"), F.ceil(F.col("n") / PART)))
+        place = F.row_number().over(Window.partitionBy("id", "_s").orderBy("no")) - 1
+        dealt = many.withColumn("_g", F.floor(place / together)).groupBy("id", "_s", "_g").agg(F.collect_list("cover").alias("clips"), F.min("no").alias("no"))
+        dealt = stage(dealt.join(areas.select("id", "parts"), "id"), "groups")
+        work = dealt.agg(F.sum(F.size("clips") + 1)).first()[0]
+        part = overlay_column(_dealt(dealt, work), "parts", "clips", "intersection").select("id", "no", F.flatten("polygons").alias("cover"))
+        met = stage(met.join(sizes, "id", "left_anti").unionByName(part.where(F.size("cover") > 0)), "covers")
     last = met.groupBy("id").agg(F.collect_list("cover").alias("clips"))
-    whole = areas.select("id", "parts").join(last, "id", "left")
-    return overlay_column(whole, "parts", "clips", "difference").select("id", "polygons")
+    whole = _dealt(areas.select("id", "parts").join(last, "id", "left"), areas.count() + met.count())
+    found = overlay_column(whole, "parts", "clips", "difference").select(F.col("id").alias("shape"), "polygons")
+    return of.select("id", "shape").join(found, "shape").select("id", "polygons")
 
 
 def clip_to_tiles(features: DataFrame, size: float) -> DataFrame:
-    """(id, tx, ty, polygons): what of each area (id, parts) lies in each regular tile that its box reaches; tiles it does not reach into are left out."""
+    """(id, tx, ty, polygons): what of each area (id, parts) lies in each regular tile that its box reaches; tiles it does not reach into are left out. Areas of equal parts are cut once."""
+    of, features = distinct_shapes(features)
     b = bounds(F.flatten("parts"))
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"_b.{low}") / size), F.floor(F.col(f"_b.{high}") / size)))
     hits = features.select("id", "parts", b.alias("_b")).where("_b.minx is not null").withColumn("tx", span("minx", "maxx")).withColumn("ty", span("miny", "maxy"))
     x, y = F.col("tx") * float(size), F.col("ty") * float(size)
     at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
     tile = F.array(F.array(F.array(at(0.0, 0.0), at(float(size), 0.0), at(float(size), float(size)), at(0.0, float(size)))))
-    found = overlay_column(hits.drop("_b").withColumn("_tile", tile), "parts", "_tile", "intersection")
-    return found.where(F.size("polygons") > 0).select("id", "tx", "ty", "polygons")
+    hits = stage(hits.select("id", "parts", "tx", "ty", tile.alias("_tile")), "hits")
+    found = overlay_column(_dealt(hits, hits.count() * 2), "parts", "_tile", "intersection")
+    found = found.where(F.size("polygons") > 0).select(F.col("id").alias("shape"), "tx", "ty", "polygons")
+    return of.select("id", "shape").join(found, "shape").select("id", "tx", "ty", "polygons")
