@@ -368,3 +368,11 @@ def test_pairs_of_equal_boxes_come_from_lists(spark, monkeypatch, together):
     assert pairs(spatial.meeting_boxes(frame(b), frame(a), 2.0, together=together)) == sorted((y[0], x[0]) for x in a for y in b if meet(x, y))
     assert pairs(spatial.meeting_boxes(frame(a), frame(a), 2.0, same=True, together=together)) == sorted((x[0], y[0]) for x in a for y in a if meet(x, y) and x[0] < y[0])
     assert max(rows) == len(kinds)
+
+
+def test_pairs_of_features_are_not_shuffled(spark):
+    """Pairs of features are made where two lists of ids meet; only what makes them is shuffled."""
+    d = squares(spark, [(k, (k % 3, 0, k % 3 + 1, 1)) for k in range(30)])
+    found = vector.meeting(d, d, 4.0, True, True)
+    steps = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line or "Exchange" in line]
+    assert found.count() == 30 * 30 and ["Generate" in line for line in steps[:2]] == [True, True]
