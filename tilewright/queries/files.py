@@ -125,9 +125,10 @@ def _(b):
 def _(b):
     points = F.array(*[F.array(F.col(x).cast("double"), F.col(y).cast("double")) for x, y in (("x1", "y1"), ("x1", "y2"), ("x2", "y2"))])
     tags = F.collect_list(F.struct(F.struct(F.col("category").alias("tag"), points.alias("points")).alias("tags")))
-    tasks = b.groupBy(F.col("img_name").alias("name")).agg(F.struct(tags.alias("tags")).alias("Tags"))
+    # an image's boxes in as many documents as the table needs, so that no row holds a share of the whole table
+    tasks = b.groupBy(F.col("img_name").alias("name"), F.floor(F.col("box_id") / 100_000).alias("d")).agg(F.struct(tags.alias("tags")).alias("Tags"))
     path = folder(b, "tasks")
-    sinks.write_files(tasks.select(F.concat("name", F.lit(".json")).alias("name"), F.to_json(F.struct(F.array(F.struct("name", "Tags")).alias("tasks"))).alias("body")), path)
+    sinks.write_files(tasks.select(F.concat("name", F.lit("_"), "d", F.lit(".json")).alias("name"), F.to_json(F.struct(F.array(F.struct("name", "Tags")).alias("tasks"))).alias("body")), path)
     return readers.read_tasks(b.sparkSession, path).select("name", "tag", F.get("points", F.lit(0))["x"].alias("x1"), F.get("points", F.lit(1))["y"].alias("y2"))
 
 

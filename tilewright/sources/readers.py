@@ -102,10 +102,10 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """(name, tag, points) of labelling tasks."""
+    """(name, tag, points) of labelling tasks. A document is one row of the reader, each object a row of its own that carries no more than its task's name."""
     kind = "tasks array<struct<name:string,Tags:struct<tags:array<struct<tags:struct<tag:string,points:array<array<double>>>>>>>>"
-    t = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("tasks").alias("t"))
-    return t.select("t.name", F.explode("t.Tags.tags").alias("g")).select("name", "g.tags.tag", F.transform("g.tags.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    t = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("tasks").alias("t")).select("t.name", F.col("t.Tags.tags").alias("objects"))
+    return t.select("name", F.explode("objects").alias("g")).select("name", "g.tags.tag", F.transform("g.tags.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
 
 
 def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
