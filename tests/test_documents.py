@@ -267,3 +267,25 @@ def test_geotiff_of_other_layouts():
         p = geotiff.profile(tags)
         assert (p["height"], p["width"], p["bands"], p["epsg"], p["transform"]) == (6, 5, 2, 4326, (2.0, 0.0, 99.0, 0.0, -3.0, 201.5))
         assert (geotiff.read_area(read, tags, p, 1, 2, 5, 3) == a[1:, 2:]).all()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"d{k}.geojson").write_text(json.dumps({"features": [{"type": "Feature", "properties": {"id": 10 * k + i}, "geometry": None} for i in range(10)]}))
+    ranges = documents.byte_ranges(spark, f"file://{tmp_path}", 64)
+    assert ranges.count() > 300 and documents._dealt(ranges).rdd.getNumPartitions() == 1
+    found, rejects = documents.read_feature_collections(spark, f"file://{tmp_path}", "id:bigint", chunk=64)
+    assert sorted(r.id for r in found.collect()) == list(range(300)) and rejects.count() == 0
+
+
+def test_objects_of_tasks_do_not_carry_their_document(spark, tmp_path):
+    tags = [{"tags": {"tag": "Roof", "points": [[i, 1], [i, 2], [3, 4]]}} for i in range(200)]
+    (tmp_path / "a.json").write_text(json.dumps({"tasks": [{"name": f"n{k}", "Tags": {"tags": tags}} for k in range(2)]}))
+    found = readers.read_tasks(spark, f"file://{tmp_path}")
+    assert sorted((r.name, r.tag, r.points[0].x) for r in found.collect()) == sorted((f"n{k}", "Roof", float(i)) for k in range(2) for i in range(200))
+    # what a row is given of the row it comes from: a name and the array, not the task
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while "Generate" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    kinds = [plan.child().output().apply(k).dataType().simpleString() for k in range(plan.child().output().size())]
+    assert sorted(k[:5] for k in kinds) == ["array", "strin"]

@@ -85,12 +85,16 @@ def _optional(of, name: str) -> Column:
 
 # --- GeoJSON -------------------------------------------------------------------------------------------------
 def byte_ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(path, no, start, stop, length): each file of a path in ranges of ``size`` bytes, one a task."""
+    """(path, no, start, stop, length), staged: each file of a path in ranges of ``size`` bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     parts = files.select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("no", "start"))
-    ranges = parts.select("path", "no", "start", F.least(F.col("start") + size, F.col("length")).alias("stop"), "length")
-    n = max(1, ranges.count())
-    return ranges.repartitionByRange(n, "path", "no")
+    return stage(parts.select("path", "no", "start", F.least(F.col("start") + size, F.col("length")).alias("stop"), "length"), "ranges")
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges dealt out in order: one a task where they are large, as many as come to TASK_BYTES, but no more than TASK_RANGES, where they are small."""
+    n, size = ranges.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
+    return ranges.repartitionByRange(max(1, -(-(size or 0) // TASK_BYTES), -(-n // TASK_RANGES)), "path", "no")
 
 
 def _open(path: str):
@@ -132,6 +136,8 @@ def _outside(places: np.ndarray, quotes: np.ndarray, inside: bool) -> np.ndarray
     return places[(np.searchsorted(quotes, places) + inside) % 2 == 0]
 
 
+#: Bytes, and ranges, that a task looks through.
+TASK_BYTES, TASK_RANGES = 32 << 20, 512
 STATE = "path string, no int, flips boolean, deeper long, deeper_inside long"
 FOUND = "path string, start long, value string"
 
@@ -145,7 +151,7 @@ def read_feature_collections(spark: SparkSession, path: str, properties: str, ch
     other objects there are passed over. ``rejects`` has path, start (byte) and value of objects that are no JSON, or that the file ends in. Files are UTF-8; ``path`` is what
     both Spark and Arrow's file systems know (file, hdfs, s3, gs).
     """
-    ranges = stage(byte_ranges(spark, path, chunk), "ranges")
+    ranges = byte_ranges(spark, path, chunk)
 
     def look(batches):
         for batch in batches:
@@ -160,10 +166,9 @@ def read_feature_collections(spark: SparkSession, path: str, properties: str, ch
     # a row for each range of a file: a terabyte in ranges of 32 MB has some 30,000
     before = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(F.col("flips").cast("int")).over(before), F.lit(0)) % 2 == 1
-    seen = ranges.mapInArrow(look, STATE).withColumn("inside", inside).withColumn("_d", F.when(F.col("inside"), F.col("deeper_inside")).otherwise(F.col("deeper")))
+    seen = _dealt(ranges).mapInArrow(look, STATE).withColumn("inside", inside).withColumn("_d", F.when(F.col("inside"), F.col("deeper_inside")).otherwise(F.col("deeper")))
     states = seen.select("path", "no", "inside", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("depth"))
-    work = stage(ranges.join(states, ["path", "no"]), "work")
-    work = work.repartitionByRange(max(1, work.count()), "path", "no")
+    work = _dealt(stage(ranges.join(states, ["path", "no"]), "work"))
 
     def find(batches):
         for batch in batches:
