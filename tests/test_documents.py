@@ -3,12 +3,14 @@
 import json
 import os
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.sources import committed, documents, readers, sinks
+from tilewright.sources import committed, documents, images, readers, sinks
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -289,3 +291,58 @@ def test_objects_of_tasks_do_not_carry_their_document(spark, tmp_path):
         plan = plan.children().apply(0)
     kinds = [plan.child().output().apply(k).dataType().simpleString() for k in range(plan.child().output().size())]
     assert sorted(k[:5] for k in kinds) == ["array", "strin"]
+
+
+def filtered_png(a, kind):
+    """A PNG file of an array [h, w, n] (red first) whose lines all have one filter, with chunks before its pixels."""
+    h, w, n = a.shape
+    left, above = np.zeros_like(a), np.zeros_like(a)
+    left[:, 1:], above[1:] = a[:, :-1], a[:-1]
+    corner = np.zeros_like(a)
+    corner[1:, 1:] = a[:-1, :-1]
+    x, y, z = (v.astype(int) for v in (left, above, corner))
+    near = np.stack([abs(y - z), abs(x - z), abs(x + y - 2 * z)])
+    guess = [0 * x, x, y, (x + y) // 2, np.choose(near.argmin(axis=0), [x, y, z])][kind]
+    lines = np.concatenate([np.full((h, 1), kind, np.uint8), ((a - guess) & 255).astype(np.uint8).reshape(h, w * n)], axis=1)
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    body = zlib.compress(lines.tobytes())
+    return images.SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[n], 0, 0, 0)) + part(b"tEXt", b"a\0b") + part(b"IDAT", body[:20]) + part(b"IDAT", body[20:]) + part(b"IEND", b"")
+
+
+def test_images_are_read_as_by_the_image_source(spark, tmp_path):
+    """Every filter, grey and colour, broken files, hidden ones, odd names; a bitmap, which only the image source reads."""
+    r = np.random.default_rng(5)
+    for k in range(5):
+        for n in (1, 3):
+            a = r.integers(0, 256, (7, 5, n)).astype(np.uint8) if k % 2 else (np.arange(35 * n) * 3 % 256).astype(np.uint8).reshape(7, 5, n)
+            (tmp_path / f"f {k}#{n}%é.png").write_bytes(filtered_png(a, k))
+    (tmp_path / "none.png").write_bytes(b"no image")
+    (tmp_path / "empty.png").write_bytes(b"")
+    (tmp_path / ".hidden.png").write_bytes(b"no image")
+    (tmp_path / "below").mkdir()
+    rows = lambda d: sorted((x.origin, x.height, x.width, x.nChannels, x.mode, bytes(x.data)) for x in d.collect())
+    path = f"file://{tmp_path}"
+    plain = images.images_of(spark, [path])
+    assert rows(plain) == rows(images.source_images(spark, [path])) and len(rows(plain)) == 11
+    # nothing is left to the image source, and so to the driver's list of files
+    assert all("binary" not in f and not f.endswith(".png") for f in plain.inputFiles())
+    (tmp_path / "b.png").write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 58, 0, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\x01\x02\x03\0")
+    assert rows(readers.read_images(spark, path)) == rows(images.source_images(spark, [path])) and len(rows(images.images_of(spark, [path]))) == 12
+
+
+def test_a_cut_png_is_broken(spark, tmp_path):
+    whole = filtered_png(np.zeros((4, 4, 3), np.uint8), 0)
+    (tmp_path / "a.png").write_bytes(whole)
+    (tmp_path / "b.png").write_bytes(whole[:-20])
+    (tmp_path / "c.png").write_bytes(whole[:60] + bytes([whole[60] ^ 1]) + whole[61:])
+    got = {r.origin[-5:]: r.height for r in readers.read_images(spark, f"file://{tmp_path}").collect()}
+    assert got["a.png"] == 4 and got["c.png"] == -1
+    assert {r.origin[-5:] for r in readers.bad_images(spark, f"file://{tmp_path}").collect()} == {p for p, h in got.items() if h == -1}
+
+
+def test_world_files_are_listed_by_tasks(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"t{k}.pgw").write_text(f"0.5\n0\n0\n-0.5\n{k + 0.25}\n{9 - k}\n")
+    found = readers.read_world_files(spark, f"file://{tmp_path}")
+    assert sorted((r.stem, r.c) for r in found.collect()) == [(f"t{k}", float(k)) for k in range(5)]
+    assert not any(f.endswith(".pgw") for f in found.inputFiles())

@@ -7,6 +7,7 @@ crosses their borders is settled by joins of border pieces, so only borders, not
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +25,8 @@ NONE = np.iinfo(np.int32).min
 KEY = ["img", "block_row", "block_col"]
 BLOCK = "img long, block_row long, block_col long, row0 long, col0 long, h long, w long, data binary"
 FIELDS = ["row0", "col0", "h", "w"]
+#: Pixels of small blocks that are sent on together.
+TOGETHER = 1 << 20
 
 
 def to_blocks(pixels: DataFrame, value: str, size: int = 512) -> DataFrame:
@@ -47,11 +50,19 @@ def image_blocks(images: DataFrame, size: int = 512, channel: int = 0) -> DataFr
     """Blocks of one channel of decoded images (img, height, width, nChannels, data); broken images have none. No shuffle."""
 
     def cut(batches):
+        said = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*KEY, *FIELDS, "data"])
         for batch in batches:
+            rows, held = [], 0
             for r in batch.to_pylist():
                 a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])[:, :, channel]
-                rows = [(r["img"], i // size, j // size, i, j, *(part := a[i : i + size, j : j + size]).shape, part.astype(np.int32).tobytes()) for i in range(0, a.shape[0], size) for j in range(0, a.shape[1], size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[*KEY, *FIELDS, "data"])
+                rows += [(r["img"], i // size, j // size, i, j, *(part := a[i : i + size, j : j + size]).shape, part.astype(np.int32).tobytes()) for i in range(0, a.shape[0], size) for j in range(0, a.shape[1], size)]
+                # small images go together
+                held += a.size
+                if held >= TOGETHER:
+                    yield said(rows)
+                    rows, held = [], 0
+            if rows:
+                yield said(rows)
 
     return images.where("height > 0").select("img", "height", "width", "nChannels", "data").mapInArrow(cut, BLOCK)
 
@@ -60,14 +71,26 @@ def _array(row: dict, name: str = "data") -> np.ndarray:
     return np.frombuffer(row[name], np.int32).reshape(row["h"], row["w"])
 
 
+def _joined(made: list[pa.RecordBatch]):
+    """Batches of equal columns that follow one another as one; without those of no row."""
+    for _, same in itertools.groupby((b for b in made if b.num_rows), key=lambda b: b.schema):
+        yield pa.concat_batches(list(same))
+
+
 def _each(blocks: DataFrame, schema: str, work: Callable) -> DataFrame:
-    """For every block the columns (arrays of one length, or lists) that ``work`` gives for it; one record batch each."""
+    """For every block the columns (arrays of one length, or lists) that ``work`` gives for it; those of small blocks go together."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
+            made, held = [], 0
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(row)], names=names)
+                made.append(pa.RecordBatch.from_arrays([pa.array(c) for c in work(row)], names=names))
+                held += max(made[-1].nbytes // 4, 64)
+                if held >= TOGETHER:
+                    yield from _joined(made)
+                    made, held = [], 0
+            yield from _joined(made)
 
     return blocks.mapInArrow(run, schema)
 

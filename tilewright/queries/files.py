@@ -32,9 +32,14 @@ def thumbs(s):
     return d.select(F.format_string("t%d", "img_id").alias("name"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("n").alias("nChannels"), data.alias("data"))
 
 
+def dealt(s):
+    """Ids dealt out by their number: a row is a file to write, however few bytes the table has."""
+    return s.select("img_id").repartition(max(1, -(-s.count() // 5000)))
+
+
 def written(s) -> str:
     """A folder of the images; every eleventh file is no image."""
-    path = folder(s, "images")
+    path, s = folder(s, "images"), dealt(s)
     sinks.write_images(thumbs(s.where("img_id % 11 <> 0")), path)
     sinks.write_files(s.where("img_id % 11 = 0").select(F.format_string("t%d.png", "img_id").alias("name"), F.lit("no image").alias("body")), path)
     return path
@@ -81,7 +86,7 @@ def _(s):
 def _(s):
     world = folder(s, "world")
     lines = F.concat_ws("\n", F.lit("0.5"), F.lit("0"), F.lit("0"), F.lit("-0.5"), (F.col("img_id") + 0.25).cast("string"), (1000 - F.col("img_id") - 0.25).cast("string"))
-    sinks.write_files(s.select(F.format_string("t%d.pgw", "img_id").alias("name"), lines.alias("body")), world)
+    sinks.write_files(dealt(s).select(F.format_string("t%d.pgw", "img_id").alias("name"), lines.alias("body")), world)
     profile = readers.read_world_files(s.sparkSession, world).withColumn("img", F.substring("stem", 2, 20).cast("long"))
     blocks, known = readers.read_raster(s.sparkSession, written(s), profile, 0, 8)
     return B.image_stats(blocks).join(known, "img").select(F.col("img").alias("img_id"), "bands", "c", "f", F.round("mean", 6).alias("mean"))
@@ -154,7 +159,7 @@ def _(p):
 @query("k7_committed_images", "sizes", sql="SELECT img_id, 8 AS height, CASE WHEN img_id % 7 = 0 THEN 1 ELSE 3 END AS channels FROM sizes")
 def _(s):
     path = folder(s, "committed")
-    sinks.write_committed_images(thumbs(s), path)
+    sinks.write_committed_images(thumbs(dealt(s)), path)
     return readers.read_images(s.sparkSession, committed_parts(path)).select(number(F.col("origin")).alias("img_id"), "height", F.col("nChannels").alias("channels"))
 
 

@@ -10,6 +10,7 @@ from tilewright.operators.manifests import file_name, stem
 from tilewright.operators.raster import resize_images
 from tilewright.plans.order import prefix_sum
 from tilewright.sources.committed import text_lines
+from tilewright.sources.images import images_of, known_folder, read_texts, source_images
 
 BOX = "array<struct<category:string,x1:string,x2:string,y1:string,y2:string>>"
 SPLITS = ("training", "validation", "testing")
@@ -48,12 +49,14 @@ def list_files(spark: SparkSession, folder: str, ext: str) -> DataFrame:
     return files.select("path", stem(F.col("path")).alias("stem"), "length")
 
 
-def read_images(spark: SparkSession, path: str, channel: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str], channel: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Decoded images (origin, height, width, nChannels, mode, data), broken ones with height -1.
 
-    With ``channel`` only that one is kept, with ``size`` (height, width) images are resized; both leave broken images out.
+    With ``channel`` only that one is kept, with ``size`` (height, width) images are resized; both leave broken images out. Folders are listed and read
+    by tasks (``sources.images``) where Arrow knows their file system; paths with patterns, and those of other file systems, are read by Spark's image source.
     """
-    images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    paths = [path] if isinstance(path, str) else path
+    images = images_of(spark, paths) if paths and all(map(known_folder, paths)) else source_images(spark, paths)
     if channel is not None:
 
         def one(batches):
@@ -68,7 +71,8 @@ def read_images(spark: SparkSession, path: str, channel: int | None = None, size
 def read_world_files(spark: SparkSession, path: str) -> DataFrame:
     """(stem, a, b, c, d, e, f): affine transforms of world files, from the centre of the first pixel to its corner."""
     v = F.transform(F.filter(F.split("value", "\\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    t = spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("stem"), v.alias("v"))
+    texts = read_texts(spark, path) if known_folder(path) else spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    t = texts.select(stem(F.col("path")).alias("stem"), v.alias("v"))
     a, d, b, e, x, y = (F.get("v", F.lit(k)) for k in range(6))
     return t.select("stem", a.alias("a"), b.alias("b"), (x - a / 2 - b / 2).alias("c"), d.alias("d"), e.alias("e"), (y - d / 2 - e / 2).alias("f"))
 
