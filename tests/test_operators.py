@@ -272,3 +272,16 @@ def test_patch_names_from_a_million_on(spark):
     last = lambda **k: [r.patch for r in patches.patch_names(rows, ["id"], **k).where("id >= 999999").orderBy("id").collect()]
     assert last() == ["patch_999999.jpg", "patch_1000000.jpg", "patch_1000001.jpg"]
     assert last(parity=True) == ["patch_999999.jpg", "patch_100000.jpg", "patch_100000.jpg"]
+
+
+def test_resizing_broadcasts_no_pixels(spark):
+    """What the few sizes grow to is shuffled, however small they are."""
+    pixels = spark.range(4 * 36).selectExpr("id div 36 as img", "id % 36 div 6 as row_no", "id % 6 as col_no", "id % 7 as v")
+    sizes = pixels.select("img").distinct().withColumns({"h": F.lit(6), "w": F.lit(6)})
+    found = raster.resize(pixels, sizes, "v", 3, 3)
+    want = defaultdict(float)
+    for p in pixels.collect():
+        want[p.img, p.row_no // 2, p.col_no // 2] += p.v / 4
+    assert {(r.img, r.row_no, r.col_no): r.v for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan

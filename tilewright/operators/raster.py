@@ -339,7 +339,8 @@ def resize(pixels: DataFrame, sizes: DataFrame, value: str, height: int, width:
 
     grid = sizes.select("img", "w", axis(height, "h", "i").alias("r")).where("r.wt > 0").select("img", "r", axis(width, "w", "j").alias("c")).where("c.wt > 0")
     asked = grid.select("img", F.col("r.at").alias("row_no"), F.col("c.at").alias("col_no"), "r.i", "c.j", (F.col("r.wt") * F.col("c.wt")).alias("_w"))
-    met = asked.join(pixels.select(*KEY, value), KEY)
+    # the list of sizes is small, what comes of it is not: taken for small, it would be broadcast
+    met = asked.hint("merge").join(pixels.select(*KEY, value), KEY)
     return met.groupBy("img", F.col("i").alias("row_no"), F.col("j").alias("col_no")).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
 
 
